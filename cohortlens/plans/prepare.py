@@ -99,14 +99,12 @@ class Preparation:
         return cls(**state, classes=spark.read.parquet(f"{path}/classes"))
 
 
-def labelled(df: DataFrame, spec: PanelSpec, year: int | None = None, test_size: float = C.TEST_SIZE,
-             seed: int = C.SEED) -> DataFrame:
-    """Rows with a target, with `label` and an exact stratified `split`; identifiers and leaking columns are gone."""
+def labelled(df: DataFrame, spec: PanelSpec, year: int | None = None) -> DataFrame:
+    """Rows with a target, with `label`; identifiers and leaking columns are gone."""
     goal = target.resolve(df.columns, year or spec.latest_year, spec.target)
     rows = target.binarize(df, goal, spec.target_mode, LABEL)
     clean = cols.drop_identifiers(rows, (spec.key,), spec.identifiers)
-    safe = cols.drop_leakage(clean, (LABEL, spec.key), spec.target, spec.leakage, spec.leakage_match)
-    return split.stratified(safe, LABEL, spec.key, test_size, seed, SPLIT)
+    return cols.drop_leakage(clean, (LABEL, spec.key), spec.target, spec.leakage, spec.leakage_match)
 
 
 def fit(rows: DataFrame, spec: PanelSpec, missing: str = "median", engineered: bool = True, fit_on: str = "train") -> Preparation:
@@ -138,11 +136,12 @@ def fit(rows: DataFrame, spec: PanelSpec, missing: str = "median", engineered: b
 
 
 def prepare(df: DataFrame, spec: PanelSpec, year: int | None = None, missing: str = "median", engineered: bool = True,
-            fit_on: str = "train") -> tuple[DataFrame, Preparation]:
+            fit_on: str = "train", test_size: float = C.TEST_SIZE, seed: int = C.SEED) -> tuple[DataFrame, Preparation]:
     """(key, label, split and standardised features, fitted preparation).
 
-    The labelled rows are written to the shared folder once; every fit and the final matrix read that copy.
+    The labelled rows are written to the shared folder once; the split, every fit and the final matrix read that copy.
     """
-    rows = materialize(labelled(df, spec, year), "labelled")
+    clean = materialize(labelled(df, spec, year), "labelled")
+    rows = materialize(split.stratified(clean, LABEL, spec.key, test_size, seed, SPLIT), "split")
     prep = fit(rows, spec, missing, engineered, fit_on)
     return prep.transform(rows, [spec.key, LABEL, SPLIT]), prep

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from cohortlens.functions.numeric import named
 
@@ -27,6 +28,10 @@ REPORT = (
 )
 
 
+# Log times keep their microseconds.
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def prediction_rows(scored: DataFrame, inputs: list[str], timestamp: Column | None = None) -> DataFrame:
     """Scored rows in the shape of the prediction log; null inputs do not appear in the JSON text."""
     have = set(scored.columns)
@@ -43,7 +48,9 @@ def prediction_rows(scored: DataFrame, inputs: list[str], timestamp: Column | No
 
 def append(rows: DataFrame, path: str, form: str = "json") -> None:
     """Append to a log folder with one partition folder per day."""
-    rows.withColumn("log_date", F.to_date("timestamp")).write.mode("append").partitionBy("log_date").format(form).save(path)
+    rows.withColumn("log_date", F.to_date("timestamp")).write.mode("append").partitionBy("log_date").option(
+        "timestampFormat", TIME_FORMAT
+    ).format(form).save(path)
 
 
 def metrics_row(metrics: DataFrame, model_type: str, timestamp: Column) -> DataFrame:
@@ -71,8 +78,8 @@ def read(spark: SparkSession, path: str, schema: str = PREDICTION_LOG, form: str
     """A log as a frame; an empty one while nothing has been written. Blank lines are skipped."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    log = spark.read.schema(schema).format(form).load(path)
-    return log.select(*[c for c in spark.createDataFrame([], schema).columns])
+    log = spark.read.schema(schema).option("timestampFormat", TIME_FORMAT).format(form).load(path)
+    return log.select(*StructType.fromDDL(schema).names)
 
 
 def read_with_quarantine(spark: SparkSession, path: str, schema: str = PREDICTION_LOG) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from cohortlens.operators import contract
 from cohortlens.plans.scoring import Scorer
@@ -10,14 +11,16 @@ from cohortlens.session import scratch_dir
 from cohortlens.sources import logs
 
 
-def read_stream(spark: SparkSession, path: str, schema: str, form: str = "parquet", name_filter: str | None = None,
+def read_stream(spark: SparkSession, path: str, schema: str | StructType, form: str = "parquet",
                 files_per_trigger: int | None = None) -> DataFrame:
-    """A folder (or a single file) as a stream."""
+    """A folder as a stream; a single file is read through its folder."""
     reader = spark.readStream.schema(schema).format(form)
-    if name_filter:
-        reader = reader.option("pathGlobFilter", name_filter)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isFile():
+        folder, name = path.rsplit("/", 1)
+        return reader.option("pathGlobFilter", name).load(folder)
     return reader.load(path)
 
 
