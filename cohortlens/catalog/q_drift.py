@@ -192,7 +192,7 @@ SELECT 'active' AS status, count(*) AS total_predictions, count(*) FILTER (WHERE
        max(timestamp) AS latest_prediction, (SELECT accuracy FROM K) AS accuracy, (SELECT f1_score FROM K) AS f1_score FROM EV""")
 def monitoring_summary(spark, d):
     metrics = evaluate.binary_metrics(star.labelled_scores(spark, d), "y_true", "y_pred")
-    logged = logs.metrics_row(metrics, "fixed rule", F.lit("2024-01-31 00:00:00"))
+    logged = logs.metrics_row(metrics, "fixed rule", "2024-01-31 00:00:00")
     out = monitor.summary(star.score_log(spark, d), logged, metrics)
     return rounded(out.select(
         "status", "total_predictions", "n_high", "n_low", "avg_risk_probability", "latest_prediction",

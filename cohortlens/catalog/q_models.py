@@ -37,7 +37,7 @@ def _assembled(spark, d):
 def _job(spark, d, model, grids, out=None):
     df = star.wide(spark, d, STEMS)
     job = TrainJob(spark, star.wide_spec(df), out, model=model, folds=3, grids=grids, settings=LIGHT,
-                   timestamp=F.lit("2024-02-01 12:00:00"))
+                   timestamp="2024-02-01 12:00:00")
     return df, job.run(df)
 
 
@@ -97,7 +97,7 @@ def score_model(spark, d):
     path = scratch_dir(spark, "train-out")
     df, _ = _job(spark, d, "RandomForest", {"RandomForest": {"trees": (10,), "depth": (5,), "min_split": (2,)}}, path)
     scorer = Scorer.load(spark, f"{path}/scorer")
-    scored, _ = score_valid(scorer, df, [star.KEY], F.lit("2024-02-01 12:00:00"))
+    scored, _ = score_valid(scorer, df, [star.KEY], "2024-02-01 12:00:00")
     return rounded(scored.select(
         star.KEY, "prediction", "risk_level", F.col("probability.no_risk").alias("no_risk"),
         F.col("probability.at_risk").alias("at_risk"), "model_type", "timestamp",

@@ -213,12 +213,13 @@ def preview_head(spark, d):
 def num_coerce(spark, d):
     from pyspark.sql.types import StringType
 
-    from cohortlens.functions.numeric import number
+    from cohortlens.functions.text import number
 
     df = star.table(spark, d, "events").select(
         "event_id", F.get_json_object("props", "$.k").alias("k"), "event_type"
     )
-    return df.select("event_id", number("k", StringType()).alias("k"), number("event_type", StringType()).alias("from_text"))
+    kind = StringType()
+    return df.selectExpr("event_id", f"{number('k', kind)} AS k", f"{number('event_type', kind)} AS from_text")
 
 
 @query("json_props_extract", """SELECT event_id, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) AS k FROM events""")

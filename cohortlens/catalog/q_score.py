@@ -46,7 +46,7 @@ SELECT TIMESTAMP '2024-02-01 12:00:00' AS timestamp, {_JSON} AS input_data, pred
        CAST(NULL AS DOUBLE) AS probability_at_risk, 'fixed rule' AS model_type FROM F""")
 def log_prediction_rows(spark, d):
     rows = scored(spark, d).withColumn("model_type", F.lit("fixed rule"))
-    return rounded(logs.prediction_rows(rows, [star.KEY, "FASE_2000"], F.lit("2024-02-01 12:00:00")))
+    return rounded(logs.prediction_rows(rows, [star.KEY, "FASE_2000"], "2024-02-01 12:00:00"))
 
 
 @query("log_append_read", f"""WITH {LOG}
@@ -81,7 +81,7 @@ def metrics_log(spark, d):
 
     metrics = evaluate.binary_metrics(star.labelled_scores(spark, d), "y_true", "y_pred")
     path = scratch_dir(spark, "metrics-log")
-    logs.append(logs.metrics_row(metrics, "fixed rule", F.lit("2024-02-01 12:00:00")), path)
+    logs.append(logs.metrics_row(metrics, "fixed rule", "2024-02-01 12:00:00"), path)
     return rounded(logs.read(spark, path, logs.METRICS_LOG).select("timestamp", "model_type", "accuracy"))
 
 

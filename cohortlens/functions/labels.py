@@ -1,4 +1,4 @@
-"""Codes, class names and risk levels."""
+"""Class names and risk levels."""
 
 from __future__ import annotations
 
@@ -7,17 +7,6 @@ from pyspark.sql import Column, functions as F
 from cohortlens import constants as C
 
 
-def ordinal_code(column: Column, levels: dict[str, int] = C.ORDINAL_LEVELS) -> Column:
-    """Level number; 0 for null and for unknown texts."""
-    by_code: dict[int, list[str]] = {}
-    for text, code in levels.items():
-        by_code.setdefault(code, []).append(text)
-    out = F.lit(0)
-    for code, texts in by_code.items():
-        out = F.when(column.isin(texts), F.lit(code)).otherwise(out)
-    return out.cast("int")
-
-
 def risk_level(prediction: Column) -> Column:
     return F.when(prediction == 1, F.lit(C.RISK_LEVELS[1])).otherwise(F.lit(C.RISK_LEVELS[0]))
 

@@ -1,14 +1,8 @@
-"""Row-wise arithmetic that skips nulls, stays inside code generation and never divides by zero."""
+"""Small column expressions."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DataType, NumericType
-
-_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def named(name: str) -> Column:
@@ -16,17 +10,6 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def number(name: str, dtype: DataType | None = None) -> Column:
-    """The column as a double; text that is not a number becomes null, and so does NaN."""
-    column = named(name)
-    if dtype is None or isinstance(dtype, NumericType):
-        value = column.cast("double")
-    else:
-        text = column.cast("string")
-        value = F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
-    return F.when(~F.isnan(value), value)
-
-
 def or_zero(column: Column) -> Column:
     return F.coalesce(column, F.lit(0.0))
 
@@ -36,27 +19,6 @@ def divide(a: Column, b: Column) -> Column:
     return F.when(b != 0, a.cast("double") / b.cast("double"))
 
 
-def total(columns: list[Column]) -> Column:
-    return reduce(add, columns)
-
-
-def filled(columns: list[Column]) -> Column:
-    """How many of the columns are not null."""
-    return total([F.when(c.isNotNull(), F.lit(1)).otherwise(F.lit(0)) for c in columns])
-
-
-def row_mean(columns: list[Column]) -> Column:
-    """Mean over the non-null columns; null when all are null."""
-    return divide(total([or_zero(c) for c in columns]), filled(columns))
-
-
-def row_std(columns: list[Column]) -> Column:
-    """Sample deviation over the non-null columns; 0 with fewer than two."""
-    mean, n = row_mean(columns), filled(columns)
-    squares = total([or_zero((c - mean) * (c - mean)) for c in columns])
-    return F.when(n > 1, F.sqrt(squares / (n - 1))).otherwise(F.lit(0.0))
-
-
 def clip(column: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(column, F.lit(low)), F.lit(high))
 

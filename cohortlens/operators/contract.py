@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlens import constants as C
 from cohortlens.functions.numeric import named
+from cohortlens.functions.text import literal, quoted
 
 
 def panel_rules(columns: list[str], years, bounds=C.CONTRACT_BOUNDS) -> dict[str, tuple[float, float]]:
@@ -33,10 +34,8 @@ def split(df: DataFrame, rules: dict[str, tuple[float, float]]) -> tuple[DataFra
 
 def violation_counts(df: DataFrame, rules: dict[str, tuple[float, float]]) -> DataFrame:
     """(rule, low, high, n_violations), one row per rule from a single pass; no row is exploded."""
-    counts = df.agg(*[F.count_if(~named(c).between(*b)).alias(c) for c, b in rules.items()])
-    rows = [
-        F.struct(F.lit(c).alias("rule"), F.lit(float(b[0])).alias("low"), F.lit(float(b[1])).alias("high"),
-                 named(c).alias("n_violations"))
-        for c, b in rules.items()
-    ]
-    return counts.select(F.inline(F.array(*rows)))
+    counts = df.selectExpr(*[
+        f"count_if({quoted(c)} NOT BETWEEN {low} AND {high}) AS _{i}" for i, (c, (low, high)) in enumerate(rules.items())
+    ])
+    rows = ", ".join(f"{literal(c)}, {float(low)}D, {float(high)}D, _{i}" for i, (c, (low, high)) in enumerate(rules.items()))
+    return counts.selectExpr(f"stack({len(rules)}, {rows}) AS (rule, low, high, n_violations)")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlens.functions.numeric import half_even, named
+from cohortlens.functions.shape import unpivot
 from cohortlens.operators.columns import common_columns
 from cohortlens.operators.impute import long_numbers
 from cohortlens.operators.ranks import prefix_sums, quantile_columns, quantile_name, value_counts
@@ -129,7 +130,7 @@ def js(reference: DataFrame, current: DataFrame, columns: list[str], bins: int =
 def category_side_counts(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, n_ref, n_cur) over texts of both frames."""
     def long(df, side):
-        texts = df.select(*[named(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+        texts = unpivot(df.select(*[named(c).cast("string").alias(c) for c in columns]), [], columns)
         return texts.where("value is not null").withColumn("side", F.lit(side))
 
     both = long(reference, "ref").unionByName(long(current, "cur"))

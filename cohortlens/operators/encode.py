@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens import constants as C
-from cohortlens.functions.labels import ordinal_code
 from cohortlens.functions.numeric import named
+from cohortlens.functions.shape import unpivot
+from cohortlens.functions.text import ordinal_code, quoted
 from cohortlens.operators.ranks import prefix_sums
 
 
@@ -16,7 +17,7 @@ def ordinal_columns(df: DataFrame, stem: str = C.ORDINAL) -> list[str]:
 
 def ordinal(df: DataFrame, columns: list[str], levels=C.ORDINAL_LEVELS) -> DataFrame:
     """Replace level names by their numbers."""
-    return df.select(*[ordinal_code(named(c), levels).alias(c) if c in columns else named(c) for c in df.columns])
+    return df.selectExpr(*[f"{ordinal_code(c, levels)} AS {quoted(c)}" if c in columns else quoted(c) for c in df.columns])
 
 
 def catalog(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -24,7 +25,7 @@ def catalog(df: DataFrame, columns: list[str]) -> DataFrame:
 
     The numbering runs in value ranges, so a column may have any number of distinct values.
     """
-    texts = df.select(*[named(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    texts = unpivot(df.select(*[named(c).cast("string").alias(c) for c in columns]), [], columns)
     distinct = texts.where("value is not null").groupBy("column", "value").agg(F.lit(1).cast("bigint").alias("n"))
     ranked = prefix_sums(distinct, ["column"], "value", ["n"])
     return ranked.select("column", "value", (F.col("cum_n") - 1).cast("int").alias("index"))

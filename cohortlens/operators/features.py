@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from cohortlens import constants as C
-from cohortlens.functions.numeric import number, or_zero, row_mean, row_std, total
+from cohortlens.functions.text import literal, number, or_zero, quoted, row_mean, row_std
 from cohortlens.spec import Feature, PanelSpec
 
 
@@ -68,22 +68,15 @@ def default_features(columns: list[str], spec: PanelSpec) -> list[Feature]:
     return temporal_features(columns, spec) + composite_features(columns, spec) + interaction_features(columns, spec)
 
 
-def _product(xs: list[Column]) -> Column:
-    out = xs[0]
-    for x in xs[1:]:
-        out = out * x
-    return out
-
-
 FORMULAS = {
-    "difference": lambda xs, _: xs[0] - xs[1],
+    "difference": lambda xs, _: f"{xs[0]} - {xs[1]}",
     "row_mean": lambda xs, _: row_mean(xs),
     "row_std": lambda xs, _: row_std(xs),
-    "inverse_mean": lambda xs, p: F.lit(p[0]) - row_mean(xs),
-    "product": lambda xs, _: _product(xs),
-    "product_or_zero": lambda xs, _: _product([or_zero(x) for x in xs]),
+    "inverse_mean": lambda xs, p: f"{literal(p[0])} - {row_mean(xs)}",
+    "product": lambda xs, _: " * ".join(xs),
+    "product_or_zero": lambda xs, _: " * ".join(map(or_zero, xs)),
     # weights of the inputs, then a constant
-    "linear": lambda xs, p: total([x * F.lit(w) for x, w in zip(xs, p)]) + F.lit(p[len(xs)]),
+    "linear": lambda xs, p: " + ".join(f"{x} * {literal(w)}" for x, w in zip(xs, p)) + f" + {literal(p[len(xs)])}",
 }
 
 
@@ -93,8 +86,8 @@ def build(df: DataFrame, features: list[Feature]) -> DataFrame:
     unknown = {f.kind for f in features} - set(FORMULAS)
     if unknown:
         raise ValueError(f"unknown feature kinds {sorted(unknown)}; one of {sorted(FORMULAS)}")
-    return df.select("*", *[
-        FORMULAS[f.kind]([number(c, types[c]) for c in f.inputs], f.params).alias(f.name) for f in features
+    return df.selectExpr("*", *[
+        f"{FORMULAS[f.kind]([number(c, types[c]) for c in f.inputs], f.params)} AS {quoted(f.name)}" for f in features
     ])
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.functions.numeric import named
+from cohortlens.functions.shape import statistics, unpivot
+from cohortlens.functions.text import quoted
 from cohortlens.operators.ranks import quantile_name, quantiles
 
 
 def long_numbers(df: DataFrame, columns: list[str], ids: list[str] = ()) -> DataFrame:
     """(ids, column, value) with numbers as doubles; NaN counts as null."""
-    values = [F.when(~F.isnan(named(c).cast("double")), named(c).cast("double")).alias(c) for c in columns]
-    return df.select(*[named(i) for i in ids], *values).unpivot(list(ids), columns, "column", "value")
+    values = [f"nullif(cast({quoted(c)} AS double), double('NaN')) AS {quoted(c)}" for c in columns]
+    return unpivot(df.selectExpr(*map(quoted, ids), *values), list(ids), columns)
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -22,18 +24,16 @@ def medians(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def approximate_medians(df: DataFrame, columns: list[str], accuracy: int = 10000) -> DataFrame:
     """(column, fill) in one pass and within 1/accuracy in rank, where exact values are not needed."""
-    row = df.agg(*[F.percentile_approx(named(c).cast("double"), 0.5, accuracy).alias(c) for c in columns])
-    return row.unpivot([], columns, "column", "fill")
+    return statistics(df, columns, fill=f"percentile_approx(cast({{c}} AS double), 0.5D, {accuracy})")
 
 
 def means(df: DataFrame, columns: list[str]) -> DataFrame:
-    row = df.agg(*[F.avg(F.when(~F.isnan(named(c).cast("double")), named(c).cast("double"))).alias(c) for c in columns])
-    return row.unpivot([], columns, "column", "fill")
+    return statistics(df, columns, fill="avg(nullif(cast({c} AS double), double('NaN')))")
 
 
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, fill): the most frequent text, the smallest one on ties. All-null columns have no row."""
-    texts = df.select(*[named(c) for c in columns]).unpivot([], columns, "column", "value").where("value is not null")
+    texts = unpivot(df.select(*[named(c) for c in columns]), [], columns).where("value is not null")
     counted = texts.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("fill"))
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.functions.numeric import named
+from cohortlens.functions.shape import unpivot
 from cohortlens.spec import PanelSpec, split_year
 
 
 def year_columns(names: list[str], year: int) -> list[str]:
     """Source columns of one year; derived names that carry two years do not count."""
-    hits = [(n, split_year(n, (year, year))) for n in names]
-    return [n for n, hit in hits if hit]
+    hits = [(n, split_year(n, (1900, 2100))) for n in names]
+    return [n for n, hit in hits if hit and hit[1] == year]
 
 
 def year_slice(df: DataFrame, year: int, key: str | None = None) -> DataFrame:
@@ -22,7 +23,7 @@ def year_slice(df: DataFrame, year: int, key: str | None = None) -> DataFrame:
 
 def melt(df: DataFrame, ids: list[str], columns: list[str], variable="variable", value="value") -> DataFrame:
     """One (variable, value) row per id and column; null values stay."""
-    return df.unpivot(ids, columns, variable, value)
+    return unpivot(df, ids, columns, variable, value)
 
 
 def melt_years(df: DataFrame, spec: PanelSpec, stems: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.functions.numeric import divide, named
+from cohortlens.functions.shape import statistics, unpivot
+from cohortlens.functions.text import literal, quoted
 from cohortlens.operators.impute import long_numbers
 from cohortlens.operators.ranks import prefix_sums, quantile_columns, value_counts
 
@@ -16,11 +18,7 @@ BLOCK = 100  # aggregates per pass, so that generated code stays within the limi
 def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, n_nulls, n_rows) from one pass over the data."""
     columns = columns or df.columns
-    row = df.agg(
-        F.count(F.lit(1)).alias("_rows"), *[(F.count(F.lit(1)) - F.count(named(c))).alias(c) for c in columns]
-    )
-    cells = [F.struct(F.lit(c).alias("column"), named(c).alias("n_nulls"), F.col("_rows").alias("n_rows")) for c in columns]
-    return row.select(F.inline(F.array(*cells)))
+    return statistics(df, columns, n_nulls="count(1) - count({c})", n_rows="count(1)")
 
 
 def null_total(df: DataFrame) -> DataFrame:
@@ -87,7 +85,7 @@ def category_counts(df: DataFrame, column: str) -> DataFrame:
 
 def category_counts_many(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, n) for several columns from one pass."""
-    texts = df.select(*[named(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    texts = unpivot(df.select(*[named(c).cast("string").alias(c) for c in columns]), [], columns)
     return texts.where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -97,8 +95,7 @@ def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False
     Exact counts go through (column, value) groups, which share out evenly; one row per column comes back.
     """
     if approximate:
-        row = df.agg(*[F.approx_count_distinct(named(c)).alias(c) for c in columns])
-        return row.unpivot([], columns, "column", "n_distinct")
+        return statistics(df, columns, n_distinct="approx_count_distinct({c})")
     return category_counts_many(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
 
 
@@ -123,11 +120,9 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     blocks = [pairs[i:i + BLOCK] for i in range(0, len(pairs), BLOCK)]
     out = None
     for block in blocks:
-        row = df.agg(*[F.corr(named(a), named(b)).alias(f"p{i}") for i, (a, b) in enumerate(block)])
-        cells = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("corr")) for i, (a, b) in enumerate(block)
-        ]
-        part = row.select(F.inline(F.array(*cells)))
+        row = df.selectExpr(*[f"corr({quoted(a)}, {quoted(b)}) AS p{i}" for i, (a, b) in enumerate(block)])
+        cells = ", ".join(f"{literal(a)}, {literal(b)}, p{i}" for i, (a, b) in enumerate(block))
+        part = row.selectExpr(f"stack({len(block)}, {cells}) AS (a, b, corr)")
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("a correlation needs two columns")
@@ -150,8 +145,7 @@ def top_pairs(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
 
 def correlation_with(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """(column, abs_corr) with the label, from one pass."""
-    row = df.agg(*[F.abs(F.corr(named(c), named(label))).alias(c) for c in columns])
-    return row.unpivot([], columns, "column", "abs_corr")
+    return statistics(df, columns, abs_corr=f"abs(corr({{c}}, {quoted(label)}))")
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int, by: list[str] = ()) -> DataFrame:

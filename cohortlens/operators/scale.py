@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.functions.numeric import named
+from cohortlens.functions.shape import statistics
 
 
 def fit(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, mean, std) from one pass."""
-    row = df.agg(*[
-        F.struct(F.avg(named(c)).alias("mean"), F.stddev_pop(named(c)).alias("std")).alias(c) for c in columns
-    ])
-    long = row.unpivot([], columns, "column", "s")
-    return long.select("column", "s.mean", "s.std")
+    return statistics(df, columns, mean="avg({c})", std="stddev_pop({c})")
 
 
 def apply(df: DataFrame, stats: DataFrame, columns: list[str]) -> DataFrame:

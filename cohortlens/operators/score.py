@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 
 from cohortlens.functions.labels import risk_level
 from cohortlens.functions.numeric import half_even, named, or_zero
+from cohortlens.functions.times import moment
 
 # Weights of the linear risk rule and its cut without the noise term.
 RULE_WEIGHTS = {"INDE": 0.4, "IAA": 0.3}
@@ -22,7 +23,7 @@ def linear_risk(df: DataFrame, year: int) -> DataFrame:
     )
 
 
-def from_model(predicted: DataFrame, model_type: str, timestamp: Column, keep: list[str]) -> DataFrame:
+def from_model(predicted: DataFrame, model_type: str, timestamp: str | Column | None, keep: list[str]) -> DataFrame:
     """Model output in the shape of a prediction record; every row of a run carries the same time."""
     p = vector_to_array("probability")
     return predicted.select(
@@ -31,7 +32,7 @@ def from_model(predicted: DataFrame, model_type: str, timestamp: Column, keep: l
         risk_level(F.col("prediction")).alias("risk_level"),
         F.struct(half_even(p[0], 4).alias("no_risk"), half_even(p[1], 4).alias("at_risk")).alias("probability"),
         F.lit(model_type).alias("model_type"),
-        timestamp.cast("timestamp").alias("timestamp"),
+        moment(timestamp).alias("timestamp"),
     )
 
 

@@ -8,8 +8,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens import constants as C
-from cohortlens.functions.labels import ordinal_code
 from cohortlens.functions.numeric import named
+from cohortlens.functions.text import literal, number, ordinal_code, quoted
 from cohortlens.operators import columns as cols
 from cohortlens.operators import encode, features, impute, scale, split, target
 from cohortlens.session import materialize
@@ -39,19 +39,16 @@ class Preparation:
 
     def fill(self, df: DataFrame, keep: list[str] = (), zero: bool = False) -> DataFrame:
         """The raw columns of training, missing ones and nulls filled with the fitted values (or 0)."""
-        have = set(df.columns)
-
-        def value(name, fills, kind):
-            default = F.lit(0 if zero and kind == "double" else fills.get(name)).cast(kind)
-            own = named(name).cast(kind) if name in have else F.lit(None).cast(kind)
-            if kind == "double":
-                own = F.when(~F.isnan(own), own)
-            return F.coalesce(own, default).alias(name)
-
-        return df.select(
-            *[named(k) for k in keep],
-            *[value(c, self.fills, "double") for c in self.numeric],
-            *[value(c, self.text_fills, "string") for c in (*self.ordinal, *self.nominal)],
+        have = {f.name: f.dataType for f in df.schema.fields}
+
+        def value(name, default, kind):
+            own = (number(name, have[name]) if kind == "double" else f"cast({quoted(name)} AS string)") if name in have else "NULL"
+            return f"cast(coalesce({own}, {literal(default)}) AS {kind}) AS {quoted(name)}"
+
+        return df.selectExpr(
+            *map(quoted, keep),
+            *[value(c, 0 if zero else self.fills.get(c), "double") for c in self.numeric],
+            *[value(c, self.text_fills.get(c), "string") for c in (*self.ordinal, *self.nominal)],
         )
 
     def encode(self, filled: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -59,8 +56,8 @@ class Preparation:
         built = features.build(filled, self.derived)
         coded = encode.apply(built, self.classes, self.nominal)
         levels = self.spec.ordinal_levels
-        return coded.select(*[named(k) for k in keep], *[
-            (ordinal_code(named(c), levels) if c in self.ordinal else named(c)).cast("double").alias(c) for c in self.columns
+        return coded.selectExpr(*map(quoted, keep), *[
+            f"cast({ordinal_code(c, levels) if c in self.ordinal else quoted(c)} AS double) AS {quoted(c)}" for c in self.columns
         ])
 
     def standardize(self, encoded: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -68,10 +65,10 @@ class Preparation:
         def value(c):
             mean, std = self.means.get(c), self.stds.get(c)
             if mean is None:
-                return F.lit(0.0).alias(c)
-            return F.coalesce((named(c) - mean) / (std or 1.0), F.lit(0.0)).alias(c)
+                return f"0D AS {quoted(c)}"
+            return f"coalesce(({quoted(c)} - ({literal(mean)})) / {literal(std or 1.0)}, 0D) AS {quoted(c)}"
 
-        return encoded.select(*[named(k) for k in keep], *[value(c) for c in self.columns])
+        return encoded.selectExpr(*map(quoted, keep), *[value(c) for c in self.columns])
 
     def transform(self, df: DataFrame, keep: list[str] = (), zero: bool = False) -> DataFrame:
         """`keep` columns and the model matrix; each row's result depends on that row alone."""
@@ -107,8 +104,9 @@ def labelled(df: DataFrame, spec: PanelSpec, year: int | None = None) -> DataFra
     return cols.drop_leakage(clean, (LABEL, spec.key), spec.target, spec.leakage, spec.leakage_match)
 
 
-def fit(rows: DataFrame, spec: PanelSpec, missing: str = "median", engineered: bool = True, fit_on: str = "train") -> Preparation:
-    """Fit on the training part of labelled rows (`fit_on="all"` uses every row for the fill values)."""
+def fit_values(rows: DataFrame, spec: PanelSpec, missing: str = "median", engineered: bool = True,
+               fit_on: str = "train") -> Preparation:
+    """Fill values and class catalogs from the training part of labelled rows (`fit_on="all"`: from every row)."""
     if fit_on not in ("train", "all"):
         raise ValueError(f"fit_on is 'train' or 'all', not {fit_on!r}")
     train = rows.where(F.col(SPLIT) == "train")
@@ -124,24 +122,31 @@ def fit(rows: DataFrame, spec: PanelSpec, missing: str = "median", engineered: b
     text_fills = {r["column"]: r["fill"] for r in impute.fit(base, texts, "mode").collect()} if texts else {}
     derived = features.default_features(numeric, spec) if engineered else []
     prep = Preparation(spec, numeric, ordinal, nominal, derived, fills, text_fills, {}, {}, None)
-    filled = prep.fill(train)
     if nominal:
-        prep.classes = materialize(encode.catalog(filled, nominal), "classes")
+        named_texts = train.select(*[F.coalesce(named(c), F.lit(text_fills.get(c))).alias(c) for c in nominal])
+        prep.classes = materialize(encode.catalog(named_texts, nominal), "classes")
     else:
         prep.classes = rows.sparkSession.createDataFrame([], "column string, value string, index int")
-    moments = scale.fit(prep.encode(filled), prep.columns).collect()
-    prep.means = {r["column"]: r["mean"] for r in moments}
-    prep.stds = {r["column"]: r["std"] for r in moments}
     return prep
 
 
+def fit_scale(prep: Preparation, encoded_train: DataFrame) -> None:
+    """Means and deviations of the encoded training rows, one row of statistics per column."""
+    for r in scale.fit(encoded_train, prep.columns).collect():
+        prep.means[r["column"]], prep.stds[r["column"]] = r["mean"], r["std"]
+
+
 def prepare(df: DataFrame, spec: PanelSpec, year: int | None = None, missing: str = "median", engineered: bool = True,
             fit_on: str = "train", test_size: float = C.TEST_SIZE, seed: int = C.SEED) -> tuple[DataFrame, Preparation]:
     """(key, label, split and standardised features, fitted preparation).
 
-    The labelled rows are written to the shared folder once; the split, every fit and the final matrix read that copy.
+    Labelled rows, split rows and encoded rows are each written to the shared folder once, so no fit repeats
+    the work before it.
     """
+    keep = [spec.key, LABEL, SPLIT]
     clean = materialize(labelled(df, spec, year), "labelled")
     rows = materialize(split.stratified(clean, LABEL, spec.key, test_size, seed, SPLIT), "split")
-    prep = fit(rows, spec, missing, engineered, fit_on)
-    return prep.transform(rows, [spec.key, LABEL, SPLIT]), prep
+    prep = fit_values(rows, spec, missing, engineered, fit_on)
+    encoded = materialize(prep.encode(prep.fill(rows, keep), keep), "encoded")
+    fit_scale(prep, encoded.where(F.col(SPLIT) == "train"))
+    return prep.standardize(encoded, keep), prep

@@ -22,7 +22,7 @@ class Scorer:
     model: object
     model_type: str
 
-    def predict(self, df: DataFrame, keep: list[str], timestamp: Column, zero: bool = False) -> DataFrame:
+    def predict(self, df: DataFrame, keep: list[str], timestamp: str | Column | None, zero: bool = False) -> DataFrame:
         """Prediction records for every row; `keep` columns ride along unchanged."""
         inputs = F.struct(*[F.col(f"`{k}`") for k in keep]).alias("_keep")
         matrix = self.preparation.transform(df.withColumn("_keep", inputs), ["_keep"], zero)
@@ -50,7 +50,7 @@ class Scorer:
         )
 
 
-def score_valid(scorer: Scorer, df: DataFrame, keep: list[str], timestamp: Column) -> tuple[DataFrame, DataFrame]:
+def score_valid(scorer: Scorer, df: DataFrame, keep: list[str], timestamp: str | Column | None) -> tuple[DataFrame, DataFrame]:
     """(prediction records of rows within bounds, quarantined rows with their violations)."""
     rules = contract.panel_rules(df.columns, scorer.preparation.spec.years)
     valid, quarantine = contract.split(df, rules)
@@ -58,11 +58,10 @@ def score_valid(scorer: Scorer, df: DataFrame, keep: list[str], timestamp: Colum
 
 
 def score_file(spark: SparkSession, scorer: Scorer, source: str, result: str, log: str | None = None,
-               timestamp: Column | None = None) -> DataFrame:
+               timestamp: str | Column | None = None) -> DataFrame:
     """CSV in, CSV out with three more columns, rows logged; returns total and counts by risk level."""
-    at = timestamp if timestamp is not None else F.current_timestamp()
     inputs = files.read_csv(spark, source)
-    scored = scorer.predict(inputs, inputs.columns, at)
+    scored = scorer.predict(inputs, inputs.columns, timestamp)
     flat = scored.select(
         *[F.col(f"`{c}`") for c in inputs.columns], "prediction", "risk_level",
         F.col("probability.at_risk").alias("probability_at_risk"),

@@ -40,7 +40,7 @@ class TrainJob:
     fit_on: str = "train"
     grids: dict | None = None
     settings: dict | None = None
-    timestamp: Column | None = None
+    timestamp: str | Column | None = None
 
     def run(self, df: DataFrame, year: int | None = None) -> Outcome:
         matrix, prep = prepare.prepare(df, self.spec, year, self.missing, True, self.fit_on)
@@ -77,10 +77,9 @@ class TrainJob:
 
     def persist(self, outcome: Outcome) -> None:
         """Model and statistics, the JSON report and a row of the metrics log below `out`."""
-        at = self.timestamp if self.timestamp is not None else F.current_timestamp()
         outcome.scorer.save(f"{self.out}/scorer")
         logs.write_report(report_row(outcome), f"{self.out}/evaluation_report")
-        logs.append(logs.metrics_row(outcome.evaluation, outcome.scorer.model_type, at), f"{self.out}/model_metrics")
+        logs.append(logs.metrics_row(outcome.evaluation, outcome.scorer.model_type, self.timestamp), f"{self.out}/model_metrics")
 
 
 def _refit(model):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from cohortlens.functions.numeric import named
+from cohortlens.functions.times import moment
 
 # The three log tables and the report.
 PREDICTION_LOG = (
@@ -32,12 +33,12 @@ REPORT = (
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
-def prediction_rows(scored: DataFrame, inputs: list[str], timestamp: Column | None = None) -> DataFrame:
+def prediction_rows(scored: DataFrame, inputs: list[str], timestamp: str | Column | None = None) -> DataFrame:
     """Scored rows in the shape of the prediction log; null inputs do not appear in the JSON text."""
     have = set(scored.columns)
     at_risk = F.col("probability.at_risk") if "probability" in have else F.lit(None)
     return scored.select(
-        (timestamp if timestamp is not None else F.col("timestamp")).cast("timestamp").alias("timestamp"),
+        moment(timestamp if timestamp is not None else F.col("timestamp")).alias("timestamp"),
         F.to_json(F.struct(*[named(c) for c in inputs])).alias("input_data"),
         F.col("prediction").cast("int").alias("prediction"),
         "risk_level",
@@ -53,18 +54,18 @@ def append(rows: DataFrame, path: str, form: str = "json") -> None:
     ).format(form).save(path)
 
 
-def metrics_row(metrics: DataFrame, model_type: str, timestamp: Column) -> DataFrame:
+def metrics_row(metrics: DataFrame, model_type: str, timestamp: str | Column | None) -> DataFrame:
     """One row of binary metrics in the shape of the metrics log."""
     return metrics.select(
-        timestamp.cast("timestamp").alias("timestamp"), F.lit(model_type).alias("model_type"), "accuracy",
+        moment(timestamp).alias("timestamp"), F.lit(model_type).alias("model_type"), "accuracy",
         F.col("precision").alias("precision_score"), "recall", "f1_score",
         (F.col("auc_roc") if "auc_roc" in metrics.columns else F.lit(None).cast("double")).alias("auc_roc"),
     )
 
 
-def drift_row(summary: DataFrame, timestamp: Column, report_path: str) -> DataFrame:
+def drift_row(summary: DataFrame, timestamp: str | Column | None, report_path: str) -> DataFrame:
     return summary.select(
-        timestamp.cast("timestamp").alias("timestamp"), "drift_detected", "drifted_features", "n_features_analyzed",
+        moment(timestamp).alias("timestamp"), "drift_detected", "drifted_features", "n_features_analyzed",
         "n_features_drifted", F.lit(report_path).alias("report_path"),
     )
 

@@ -40,12 +40,11 @@ def drain(stream: DataFrame, purpose: str, form: str = "parquet") -> DataFrame:
     return spark.read.schema(stream.schema).format(form).load(f"{root}/rows")
 
 
-def score_stream(stream: DataFrame, scorer: Scorer, keep: list[str], timestamp: Column | None = None) -> DataFrame:
+def score_stream(stream: DataFrame, scorer: Scorer, keep: list[str], timestamp: str | Column | None = None) -> DataFrame:
     """Prediction log rows of the valid records of a stream: stateless, so any batch split gives the same rows."""
-    at = timestamp if timestamp is not None else F.current_timestamp()
     rules = contract.panel_rules(stream.columns, scorer.preparation.spec.years)
     valid, _ = contract.split(stream, rules)
-    return logs.prediction_rows(scorer.predict(valid, keep, at), keep)
+    return logs.prediction_rows(scorer.predict(valid, keep, timestamp), keep)
 
 
 def start_append(rows: DataFrame, path: str, checkpoint: str, interval: str = "1 minute"):
