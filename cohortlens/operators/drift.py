@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.numeric import half_even, named
-from cohortlens.functions.shape import unpivot
+from cohortlens.functions.shape import statistics, unpivot
 from cohortlens.operators.columns import common_columns
 from cohortlens.operators.impute import long_numbers
 from cohortlens.operators.ranks import prefix_sums, quantile_columns, quantile_name, value_counts
@@ -64,6 +64,7 @@ def _numeric_tests(ranked: DataFrame) -> DataFrame:
     mean = F.col("tot_s_ref") / F.col("tot_n_ref")
     squares = F.sum(F.col("n_ref") * (F.col("value") - mean) * (F.col("value") - mean))
     work = _gap() * (F.coalesce("next_value", "value") - F.col("value"))
+    r, c = F.col("n_ref").cast("double") / F.col("tot_n_ref"), F.col("n_cur").cast("double") / F.col("tot_n_cur")
     stats = ranked.groupBy("column").agg(
         F.max("tot_n_ref").alias("n_ref"),
         F.max("tot_n_cur").alias("n_cur"),
@@ -71,9 +72,10 @@ def _numeric_tests(ranked: DataFrame) -> DataFrame:
         F.max(_gap()).alias("ks"),
         F.sum(work).alias("_work"),
         F.sqrt(squares / F.max("tot_n_ref")).alias("_std"),
+        F.sqrt(F.greatest(F.sum(_js_terms(r, c)), F.lit(0.0))).alias("js_distance"),
     )
     return stats.select(
-        "column", "n_ref", "n_cur", "n_values", "ks", ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_cur")).alias("ks_p_value"),
+        "column", "n_ref", "n_cur", "n_values", "js_distance", "ks", ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_cur")).alias("ks_p_value"),
         (F.col("_work") / F.greatest(F.col("_std"), F.lit(0.001))).alias("wasserstein"),
     )
 
@@ -88,18 +90,31 @@ def wasserstein(reference: DataFrame, current: DataFrame, columns: list[str]) ->
     return _numeric_tests(_ranked(reference, current, columns)).select("column", "wasserstein")
 
 
-def binned(reference: DataFrame, current: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
-    """(column, bin, n_ref, n_cur, tot_ref, tot_cur) over reference quantiles; each edge closes its bin."""
-    ranked = prefix_sums(side_counts(reference, current, columns), ["column"], "value", ["n_ref", "n_cur"])
+def binned(reference: DataFrame, current: DataFrame, columns: list[str], bins: int = 10, accuracy: int | None = None) -> DataFrame:
+    """(column, bin, n_ref, n_cur, tot_ref, tot_cur) over reference quantiles; each edge closes its bin.
+
+    Edges are exact. With `accuracy` they come from one sketch per column, right within 1/accuracy in rank,
+    and no distinct value is shuffled: the choice for continuous columns of very many rows.
+    """
     inner = [i / bins for i in range(1, bins)]
-    edges = ranked.groupBy("column").agg(*quantile_columns("value", inner, "n_ref"))
-    edges = edges.select("column", F.array(*[quantile_name(p) for p in inner]).alias("_edges"))
+    if accuracy is None:
+        counted = prefix_sums(side_counts(reference, current, columns), ["column"], "value", ["n_ref", "n_cur"])
+        edges = counted.groupBy("column").agg(*quantile_columns("value", inner, "n_ref"))
+        edges = edges.select("column", F.array(*[quantile_name(p) for p in inner]).alias("_edges"))
+        sums = [F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur")]
+    else:
+        counted = tagged(reference, current, columns).where("value is not null")
+        edges = statistics(
+            reference, columns, _edges=f"percentile_approx(cast({{c}} AS double), array({', '.join(f'{p!r}D' for p in inner)}), {accuracy})"
+        )
+        is_ref = F.col("side") == "ref"
+        sums = [F.count_if(is_ref).alias("n_ref"), F.count_if(~is_ref).alias("n_cur")]
     spot = F.size(F.filter("_edges", lambda e: e < F.col("value")))
     # one row of edges per column of the schema
-    placed = ranked.join(F.broadcast(edges), "column").withColumn("bin", spot)
-    return placed.groupBy("column", "bin").agg(
-        F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"),
-        F.max("tot_n_ref").alias("tot_ref"), F.max("tot_n_cur").alias("tot_cur"),
+    placed = counted.join(F.broadcast(edges), "column").withColumn("bin", spot)
+    whole = Window.partitionBy("column")  # at most `bins` rows per column
+    return placed.groupBy("column", "bin").agg(*sums).select(
+        "*", F.sum("n_ref").over(whole).alias("tot_ref"), F.sum("n_cur").over(whole).alias("tot_cur")
     )
 
 
@@ -107,10 +122,10 @@ def _share(n: str, whole: str) -> Column:
     return F.greatest(F.col(n).cast("double") / F.col(whole), F.lit(TINY))
 
 
-def psi(reference: DataFrame, current: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
+def psi(reference: DataFrame, current: DataFrame, columns: list[str], bins: int = 10, accuracy: int | None = None) -> DataFrame:
     """(column, psi): population stability index over reference quantile bins."""
     r, c = _share("n_ref", "tot_ref"), _share("n_cur", "tot_cur")
-    return binned(reference, current, columns, bins).groupBy("column").agg(F.sum((c - r) * F.ln(c / r)).alias("psi"))
+    return binned(reference, current, columns, bins, accuracy).groupBy("column").agg(F.sum((c - r) * F.ln(c / r)).alias("psi"))
 
 
 def _js_terms(n_ref: Column, n_cur: Column) -> Column:
@@ -120,11 +135,11 @@ def _js_terms(n_ref: Column, n_cur: Column) -> Column:
     return 0.5 * (part(n_ref, n_cur) + part(n_cur, n_ref))
 
 
-def js(reference: DataFrame, current: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
+def js(reference: DataFrame, current: DataFrame, columns: list[str], bins: int = 10, accuracy: int | None = None) -> DataFrame:
     """(column, js_distance): square root of the Jensen-Shannon divergence (base 2) over the same bins."""
     r, c = F.col("n_ref").cast("double") / F.col("tot_ref"), F.col("n_cur").cast("double") / F.col("tot_cur")
     total = F.sum(_js_terms(r, c))
-    return binned(reference, current, columns, bins).groupBy("column").agg(F.sqrt(F.greatest(total, F.lit(0.0))).alias("js_distance"))
+    return binned(reference, current, columns, bins, accuracy).groupBy("column").agg(F.sqrt(F.greatest(total, F.lit(0.0))).alias("js_distance"))
 
 
 def category_side_counts(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
@@ -186,16 +201,13 @@ def report(reference: DataFrame, current: DataFrame, columns: list[str] | None =
         columns = common_columns(reference, current)
     if not columns:
         raise ValueError("the frames share no numeric column")
-    ranked = _ranked(reference, current, columns)
-    tests = _numeric_tests(ranked)
-    r, c = F.col("n_ref").cast("double") / F.col("tot_n_ref"), F.col("n_cur").cast("double") / F.col("tot_n_cur")
-    per_value = ranked.groupBy("column").agg(F.sqrt(F.greatest(F.sum(_js_terms(r, c)), F.lit(0.0))).alias("js_distance"))
+    tests = _numeric_tests(_ranked(reference, current, columns))
     few = F.col("n_values") <= limits.few_values
     small = F.col("n_ref") <= limits.small_rows
     test = F.when(few, "js_distance").when(small, "ks").otherwise("wasserstein")
     score = F.when(few, F.col("js_distance")).when(small, F.col("ks_p_value")).otherwise(F.col("wasserstein"))
     threshold = F.when(few, limits.js_distance).when(small, limits.ks_p_value).otherwise(limits.wasserstein)
-    decided = tests.join(per_value, "column").select(
+    decided = tests.select(
         "column", "n_ref", "n_cur", test.alias("test"), score.alias("score"), threshold.alias("threshold")
     )
     verdict = F.when(F.col("test") == "ks", F.col("score") < F.col("threshold")).otherwise(F.col("score") >= F.col("threshold"))

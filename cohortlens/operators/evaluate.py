@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens import constants as C
 from cohortlens.functions.labels import class_name
@@ -34,8 +34,8 @@ def confusion_long(df: DataFrame, label: str, prediction: str) -> DataFrame:
 def confusion_normalized(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """(actual, predicted, share) with shares of the actual class."""
     cells = confusion_long(df, label, prediction)
-    rows = cells.groupBy("actual").agg(F.sum("n").alias("_row"))
-    return cells.join(rows, "actual").select("actual", "predicted", (F.col("n").cast("double") / F.col("_row")).alias("share"))
+    row = F.sum("n").over(Window.partitionBy("actual"))  # one row per predicted class
+    return cells.select("actual", "predicted", (F.col("n").cast("double") / row).alias("share"))
 
 
 def _metrics(cells: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def roc_from(ranked: DataFrame) -> DataFrame:
         F.col("score").alias("threshold"), _over(F.col("fp"), F.col("tot_n_neg")).alias("fpr"),
         _over(F.col("tp"), F.col("tot_n_pos")).alias("tpr"),
     )
-    start = points.agg(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    start = points.sparkSession.range(1).selectExpr("cast(NULL AS double) AS threshold", "0D AS fpr", "0D AS tpr")
     return points.unionByName(start)
 
 
@@ -106,7 +106,7 @@ def pr_from(ranked: DataFrame) -> DataFrame:
         F.col("score").alias("threshold"), _over(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         _over(F.col("tp"), F.col("tot_n_pos")).alias("recall"),
     )
-    end = points.agg(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    end = points.sparkSession.range(1).selectExpr("cast(NULL AS double) AS threshold", "1D AS precision", "0D AS recall")
     return points.unionByName(end)
 
 

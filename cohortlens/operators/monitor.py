@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.functions.numeric import half_even
-from cohortlens.operators.drift import prediction_drift
+from cohortlens.functions.numeric import half_even, named
 
 MIN_PREDICTIONS = 10
 
@@ -42,12 +41,18 @@ def latest_record(table: DataFrame, time: str = "timestamp", tie: str | None = N
 def drift_gate(reference: DataFrame, current: DataFrame, column: str, threshold: float = 0.1,
                minimum: int = MIN_PREDICTIONS) -> DataFrame:
     """Verdict on the current predictions; null with a message while there are fewer than `minimum`."""
-    verdict = prediction_drift(reference, current, column, threshold).withColumn("_one", F.lit(1))
-    n = current.agg(F.count(F.lit(1)).alias("total_predictions")).withColumn("_one", F.lit(1))
+    sides = reference.select(F.lit(True).alias("is_ref"), named(column).alias("v")).unionByName(
+        current.select(F.lit(False).alias("is_ref"), named(column).alias("v"))
+    )
+    means = sides.agg(
+        F.count_if(~F.col("is_ref")).alias("total_predictions"),
+        F.avg(F.when(F.col("is_ref"), F.col("v"))).alias("rm"),
+        F.avg(F.when(~F.col("is_ref"), F.col("v"))).alias("cm"),
+    )
     enough = F.col("total_predictions") >= minimum
-    return n.join(verdict, "_one").select(
+    return means.select(
         "total_predictions",
-        F.when(enough, F.col("drift_detected")).alias("drift_detected"),
+        F.when(enough, F.abs(F.col("cm") - F.col("rm")) > threshold).alias("drift_detected"),
         F.when(enough, "drift monitoring active").otherwise("not enough predictions").alias("message"),
     )
 

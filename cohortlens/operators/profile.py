@@ -11,6 +11,7 @@ from cohortlens.functions.shape import statistics, unpivot
 from cohortlens.functions.text import literal, quoted
 from cohortlens.operators.impute import long_numbers
 from cohortlens.operators.ranks import prefix_sums, quantile_columns, value_counts
+from cohortlens.session import materialize
 
 BLOCK = 100  # aggregates per pass, so that generated code stays within the limits of the JVM
 
@@ -111,18 +112,20 @@ def yearly_means_wide(df: DataFrame, years, indicators) -> DataFrame:
     return row.select(F.inline(F.array(*rows)))
 
 
-def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, corr) for every pair a before b; a pair uses the rows where both are present.
+def correlations(df: DataFrame, columns: list[str], both_ways: bool = False) -> DataFrame:
+    """(a, b, corr) for every pair a before b (or in both orders); a pair uses the rows where both are present.
 
-    Up to BLOCK pairs share a pass.
+    Up to BLOCK pairs share a pass over the data.
     """
     pairs = list(combinations(columns, 2))
     blocks = [pairs[i:i + BLOCK] for i in range(0, len(pairs), BLOCK)]
     out = None
     for block in blocks:
         row = df.selectExpr(*[f"corr({quoted(a)}, {quoted(b)}) AS p{i}" for i, (a, b) in enumerate(block)])
-        cells = ", ".join(f"{literal(a)}, {literal(b)}, p{i}" for i, (a, b) in enumerate(block))
-        part = row.selectExpr(f"stack({len(block)}, {cells}) AS (a, b, corr)")
+        cells = [f"{literal(a)}, {literal(b)}, p{i}" for i, (a, b) in enumerate(block)]
+        if both_ways:
+            cells += [f"{literal(b)}, {literal(a)}, p{i}" for i, (a, b) in enumerate(block)]
+        part = row.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS (a, b, corr)")
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("a correlation needs two columns")
@@ -131,11 +134,9 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """The full matrix in long form: both triangles and the diagonal."""
-    upper = correlations(df, columns)
-    lower = upper.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
-    same = F.array(*[F.lit(c) for c in columns])
-    diagonal = upper.limit(1).select(F.explode(same).alias("a")).select("a", F.col("a").alias("b"), F.lit(1.0).alias("corr"))
-    return upper.unionByName(lower).unionByName(diagonal)
+    cells = ", ".join(f"{literal(c)}, {literal(c)}, 1D" for c in columns)
+    diagonal = df.sparkSession.range(1).selectExpr(f"stack({len(columns)}, {cells}) AS (a, b, corr)")
+    return correlations(df, columns, both_ways=True).unionByName(diagonal)
 
 
 def top_pairs(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
@@ -151,13 +152,15 @@ def correlation_with(df: DataFrame, columns: list[str], label: str) -> DataFrame
 def histogram(df: DataFrame, columns: list[str], bins: int, by: list[str] = ()) -> DataFrame:
     """(by, column, bin, low, high, n): equal-width bins over the observed range; empty bins have no row.
 
-    Ranges are found per (by, column) and joined back; equal values are counted before that, so the join
-    and the second shuffle work on distinct values.
+    Ranges are found per (by, column) and joined back; equal values are counted before that, so the data is
+    read once and the rest works on distinct values.
     """
     by = list(by)
     keys = [*by, "column"]
-    counted = value_counts(long_numbers(df, columns, by), keys, "value")
+    counted = materialize(value_counts(long_numbers(df, columns, by), keys, "value"), "counts")
     ranges = counted.groupBy(*keys).agg(F.min("value").alias("_min"), F.max("value").alias("_max"))
+    if not by:
+        ranges = F.broadcast(ranges)  # one row per column of the schema
     both = counted.join(ranges, keys)
     width = (F.col("_max") - F.col("_min")) / bins
     spot = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("_min")) / width), F.lit(bins - 1))).otherwise(0)
@@ -186,8 +189,11 @@ def box_stats(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFram
     ranked = prefix_sums(counted, keys, "value", ["n"], few_keys=not by)
     boxes = _fences(ranked, keys)
     inside = F.col("value").between(F.col("low_fence"), F.col("high_fence"))
+    fences = boxes.select(*keys, "low_fence", "high_fence")
+    if not by:
+        fences = F.broadcast(fences)  # one row per column of the schema
     tails = (
-        counted.join(boxes.select(*keys, "low_fence", "high_fence"), keys)
+        ranked.join(fences, keys)
         .groupBy(*keys)
         .agg(
             F.min(F.when(inside, F.col("value"))).alias("low_whisker"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens import constants as C
 from cohortlens.functions.numeric import named
@@ -37,15 +37,14 @@ def binarize(df: DataFrame, column: str, mode: str = "negative_is_risk", label:
 
 
 def distribution(df: DataFrame, label: str) -> DataFrame:
-    """(label, n, share). The totals come from at most one row per class."""
+    """(label, n, share). The window runs over one row per class."""
     counts = df.where(named(label).isNotNull()).groupBy(named(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.agg(F.sum("n")).scalar()
-    return counts.select("label", "n", (F.col("n").cast("double") / whole).alias("share"))
+    return counts.select("label", "n", (F.col("n").cast("double") / F.sum("n").over(Window.partitionBy())).alias("share"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, n, weight) with weight = rows / (classes * rows of the class)."""
     counts = df.where(named(label).isNotNull()).groupBy(named(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.agg(F.struct(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes"))).scalar()
-    both = counts.select("*", whole.alias("_w"))
-    return both.select("label", "n", (F.col("_w.rows").cast("double") / (F.col("_w.classes") * F.col("n"))).alias("weight"))
+    classes = Window.partitionBy()  # one row per class
+    share = F.sum("n").over(classes).cast("double") / (F.count(F.lit(1)).over(classes) * F.col("n"))
+    return counts.select("label", "n", share.alias("weight"))

@@ -126,3 +126,9 @@ def test_drift_between_files(spark, tmp_path):
     a, b = (files.write_csv(normal(spark, 200, s, 3 + i), str(tmp_path / str(i))) for i, s in enumerate((0.0, 2.0)))
     got = drift.report(files.read_csv(spark, a), files.read_csv(spark, b))
     assert drift.summary(got).head()["drifted_features"] == ["x"]
+
+
+def test_sketched_edges_are_close_to_exact_ones(spark):
+    a, b = normal(spark, 4000), normal(spark, 4000, 0.5, 3)
+    exact, near = drift.psi(a, b, ["x"]).head()["psi"], drift.psi(a, b, ["x"], accuracy=10000).head()["psi"]
+    assert near == pytest.approx(exact, rel=0.02)
