@@ -11,6 +11,7 @@ from cohortlens.functions.shape import statistics, unpivot
 from cohortlens.operators.columns import common_columns
 from cohortlens.operators.impute import long_numbers
 from cohortlens.operators.ranks import prefix_sums, quantile_columns, quantile_name, value_counts
+from cohortlens.session import materialize
 
 TINY = 1e-4  # stands in for an empty share inside logarithms
 
@@ -98,8 +99,9 @@ def binned(reference: DataFrame, current: DataFrame, columns: list[str], bins: i
     """
     inner = [i / bins for i in range(1, bins)]
     if accuracy is None:
-        counted = prefix_sums(side_counts(reference, current, columns), ["column"], "value", ["n_ref", "n_cur"])
-        edges = counted.groupBy("column").agg(*quantile_columns("value", inner, "n_ref"))
+        counted = materialize(side_counts(reference, current, columns), "counts")
+        ranked = prefix_sums(counted, ["column"], "value", ["n_ref", "n_cur"], stored=True)
+        edges = ranked.groupBy("column").agg(*quantile_columns("value", inner, "n_ref"))
         edges = edges.select("column", F.array(*[quantile_name(p) for p in inner]).alias("_edges"))
         sums = [F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur")]
     else:

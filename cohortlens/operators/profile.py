@@ -185,15 +185,15 @@ def box_stats(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFram
     """Quartiles, whiskers (last values inside 1.5 spreads) and the number of outliers per (by, column)."""
     by = list(by)
     keys = [*by, "column"]
-    counted = value_counts(long_numbers(df, columns, by), keys, "value")
-    ranked = prefix_sums(counted, keys, "value", ["n"], few_keys=not by)
+    counted = materialize(value_counts(long_numbers(df, columns, by), keys, "value"), "counts")
+    ranked = prefix_sums(counted, keys, "value", ["n"], few_keys=not by, stored=True)
     boxes = _fences(ranked, keys)
     inside = F.col("value").between(F.col("low_fence"), F.col("high_fence"))
     fences = boxes.select(*keys, "low_fence", "high_fence")
     if not by:
         fences = F.broadcast(fences)  # one row per column of the schema
     tails = (
-        ranked.join(fences, keys)
+        counted.join(fences, keys)
         .groupBy(*keys)
         .agg(
             F.min(F.when(inside, F.col("value"))).alias("low_whisker"),
