@@ -186,6 +186,23 @@ def latest_metrics(spark, d):
     return rounded(monitor.latest_record(log, tie="id"))
 
 
+@query("metrics_view", f"""WITH {LOG}, {LABELS}, M AS (SELECT {CELLS}, count(*) AS n_test_samples FROM LB), X AS ({SHORT}), K AS (SELECT {MEASURES} FROM X)
+SELECT 'fixed rule' AS model_type, (SELECT f1_score FROM K) AS f1_score, (SELECT n_test_samples FROM M) AS n_test_samples,
+       (SELECT true_positives FROM M) AS true_positives, count(*) AS total_predictions, max(timestamp) AS latest_prediction FROM EV""")
+def metrics_view(spark, d):
+    done = evaluate.evaluation(star.labelled_scores(spark, d), "y_true", "y_pred", "y_proba", "fixed rule")
+    report = evaluate.matrix_array(done).select(
+        F.struct("accuracy", "precision", "recall", "f1_score", "auc_roc").alias("metrics"),
+        F.struct("matrix", "true_negatives", "false_positives", "false_negatives", "true_positives").alias("confusion_matrix"),
+        "model_type", "n_test_samples", F.lit(None).cast("array<struct<feature:string,importance:double>>").alias("feature_importance"),
+    )
+    out = monitor.metrics_view(report, star.score_log(spark, d))
+    return rounded(out.select(
+        "model_type", "metrics.f1_score", "n_test_samples", "confusion_matrix.true_positives",
+        "prediction_stats.total_predictions", "prediction_stats.latest_prediction",
+    ))
+
+
 @query("monitoring_summary", f"""WITH {LOG}, {LABELS}, M AS (SELECT {CELLS} FROM LB), X AS ({SHORT}), K AS (SELECT {MEASURES} FROM X)
 SELECT 'active' AS status, count(*) AS total_predictions, count(*) FILTER (WHERE risk_level = 'HIGH') AS n_high,
        count(*) FILTER (WHERE risk_level = 'LOW') AS n_low, round(avg(probability_at_risk), 4) + 0::DOUBLE AS avg_risk_probability,

@@ -30,7 +30,7 @@ def ordinal_encode(spark, d):
 _CATALOG = """K AS (
   SELECT 'c_mktsegment' AS "column", c_mktsegment AS value FROM customer GROUP BY 2
   UNION ALL SELECT 'c_name', c_name FROM customer GROUP BY 2),
-E AS (SELECT "column", value, CAST(row_number() OVER (PARTITION BY "column" ORDER BY value) - 1 AS INTEGER) AS index FROM K)"""
+E AS (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY value) - 1 AS index FROM K)"""
 _NOMINAL = ["c_mktsegment", "c_name"]
 
 
@@ -49,7 +49,7 @@ def label_encode(spark, d):
 
 # Classes are learned from events before the middle of the month, without one event type.
 _LEARN = "ts < TIMESTAMP '2024-01-16' AND event_type <> 'error'"
-_SEEN = f"""K AS (SELECT event_type AS seen, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS index
+_SEEN = f"""K AS (SELECT event_type AS seen, row_number() OVER (ORDER BY event_type) - 1 AS index
 FROM (SELECT DISTINCT event_type FROM events WHERE {_LEARN}))"""
 
 

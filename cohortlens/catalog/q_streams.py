@@ -79,7 +79,7 @@ def stream_drift_windows(spark, d):
     return rounded(runs.drain(windows.drift_windows(_log_stream(spark, d), mean, 0.02, "1 day"), "drift-windows"))
 
 
-_SESSIONS = f"""{LOG}, A AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens
+_SESSIONS = f"""{LOG}, A AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens
   FROM EV WINDOW w AS (PARTITION BY user_id ORDER BY timestamp, id)),
 B AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY timestamp, id) AS s FROM A),
 G AS (SELECT user_id, s, min(timestamp) AS session_start, max(timestamp) + INTERVAL 30 MINUTE AS session_end, {MEASURES} FROM B GROUP BY 1, 2)"""
@@ -92,4 +92,4 @@ def stream_sessions(spark, d):
 
 @query("sessions_batch", f"WITH {_SESSIONS} SELECT * EXCLUDE (s) FROM G")
 def sessions_batch(spark, d):
-    return rounded(windows.sessions(star.score_log(spark, d), ["user_id"]))
+    return rounded(windows.sessions_table(star.score_log(spark, d), ["user_id"]))

@@ -9,6 +9,7 @@ from cohortlens.functions.numeric import named
 from cohortlens.functions.shape import unpivot
 from cohortlens.functions.text import ordinal_code, quoted
 from cohortlens.operators.ranks import prefix_sums
+from cohortlens.session import materialize
 
 
 def ordinal_columns(df: DataFrame, stem: str = C.ORDINAL) -> list[str]:
@@ -23,23 +24,21 @@ def ordinal(df: DataFrame, columns: list[str], levels=C.ORDINAL_LEVELS) -> DataF
 def catalog(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, index): distinct texts in code point order, numbered from 0.
 
-    The numbering runs in value ranges, so a column may have any number of distinct values.
+    The numbering runs in value ranges, so a column may have any number of distinct values. The result is a
+    written table: its size is known when it is joined, and Spark broadcasts it only when that is small.
     """
     texts = unpivot(df.select(*[named(c).cast("string").alias(c) for c in columns]), [], columns)
     distinct = texts.where("value is not null").groupBy("column", "value").agg(F.lit(1).cast("bigint").alias("n"))
     ranked = prefix_sums(distinct, ["column"], "value", ["n"])
-    return ranked.select("column", "value", (F.col("cum_n") - 1).cast("int").alias("index"))
+    return materialize(ranked.select("column", "value", (F.col("cum_n") - 1).cast("bigint").alias("index")), "classes")
 
 
 def apply(df: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace texts by their index, row by row; null and unseen texts become -1.
-
-    One join per column; Spark broadcasts the classes of a column when they turn out to be small.
-    """
+    """Replace texts by their index, row by row; null and unseen texts become -1. One join per column."""
     out = df
     for c in columns:
         own = classes.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("index").alias("_index"))
-        rest = [named(x) if x != c else F.coalesce("_index", F.lit(-1)).cast("int").alias(c) for x in df.columns]
+        rest = [named(x) if x != c else F.coalesce("_index", F.lit(-1)).cast("bigint").alias(c) for x in df.columns]
         out = out.join(own, named(c).cast("string") == F.col("_value"), "left").select(*rest)
     return out
 
@@ -50,6 +49,6 @@ def apply_like_batch(df: DataFrame, classes: DataFrame, columns: list[str]) -> D
     worst = coded.agg(F.struct(*[F.min(named(c)).alias(c) for c in columns])).scalar()
     both = coded.select("*", worst.alias("_worst"))
     return both.select(*[
-        F.when(F.col("_worst").getField(c) < 0, 0).otherwise(named(c)).cast("int").alias(c) if c in columns else named(c)
+        F.when(F.col("_worst").getField(c) < 0, 0).otherwise(named(c)).cast("bigint").alias(c) if c in columns else named(c)
         for c in df.columns
     ])

@@ -8,6 +8,7 @@ from cohortlens.functions.numeric import named
 from cohortlens.functions.shape import statistics, unpivot
 from cohortlens.functions.text import quoted
 from cohortlens.operators.ranks import quantile_name, quantiles
+from cohortlens.session import materialize
 
 
 def long_numbers(df: DataFrame, columns: list[str], ids: list[str] = ()) -> DataFrame:
@@ -74,12 +75,16 @@ def impute(df: DataFrame, columns: list[str], how: str = "median") -> DataFrame:
 
 
 def fitted_by_group(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
-    """Medians of the group of each row, for long panels: one row per group and column, then a join."""
+    """Medians of the group of each row, for long panels.
+
+    The medians are written first, so the join with the rows knows their size: few groups are broadcast and
+    the rows stay where they are.
+    """
     found = quantiles(long_numbers(df, columns, [group]), [group, "column"], "value", [0.5], few_keys=False)
     wide = found.groupBy(group).agg(
         *[F.max(F.when(F.col("column") == c, F.col(quantile_name(0.5)))).alias(f"_fill_{c}") for c in columns]
     )
-    joined = df.join(wide, group, "left")
+    joined = df.join(materialize(wide, "medians"), group, "left")
     return joined.select(
         *[F.coalesce(named(c), F.col(f"_fill_{c}")).alias(c) if c in columns else named(c) for c in df.columns]
     )

@@ -57,6 +57,21 @@ def drift_gate(reference: DataFrame, current: DataFrame, column: str, threshold:
     )
 
 
+def metrics_view(report: DataFrame, log: DataFrame) -> DataFrame:
+    """One row: model type, metrics, matrix, importance and size of the last evaluation beside the log statistics.
+
+    The evaluation part is null while there is no report.
+    """
+    last = report.select(F.struct(
+        "model_type", "metrics", "n_test_samples", "confusion_matrix", "feature_importance"
+    )).limit(1).scalar()
+    both = stats(log).select(F.struct("*").alias("prediction_stats"), last.alias("_r"))
+    return both.select(
+        F.coalesce("_r.model_type", F.lit("unknown")).alias("model_type"), "_r.metrics", "prediction_stats",
+        "_r.n_test_samples", "_r.confusion_matrix", "_r.feature_importance",
+    )
+
+
 def summary(log: DataFrame, metrics: DataFrame | None = None, evaluation: DataFrame | None = None) -> DataFrame:
     """One row: log statistics, the newest metrics row and the evaluation metrics, each as a struct."""
     totals = stats(log).select(

@@ -171,14 +171,15 @@ def histogram(df: DataFrame, columns: list[str], bins: int, by: list[str] = ())
 
 
 def _fences(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """Quartiles and fences per key, written out: joins then know how small (or large) they are."""
     quartiles = ranked.groupBy(*keys).agg(
         F.max("tot_n").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
         *quantile_columns("value", [0.25, 0.5, 0.75]),
     )
     spread = F.col("q0_75") - F.col("q0_25")
-    return quartiles.select(
+    return materialize(quartiles.select(
         "*", (F.col("q0_25") - 1.5 * spread).alias("low_fence"), (F.col("q0_75") + 1.5 * spread).alias("high_fence")
-    )
+    ), "boxes")
 
 
 def box_stats(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
@@ -189,11 +190,8 @@ def box_stats(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFram
     ranked = prefix_sums(counted, keys, "value", ["n"], few_keys=not by, stored=True)
     boxes = _fences(ranked, keys)
     inside = F.col("value").between(F.col("low_fence"), F.col("high_fence"))
-    fences = boxes.select(*keys, "low_fence", "high_fence")
-    if not by:
-        fences = F.broadcast(fences)  # one row per column of the schema
     tails = (
-        counted.join(fences, keys)
+        counted.join(boxes.select(*keys, "low_fence", "high_fence"), keys)
         .groupBy(*keys)
         .agg(
             F.min(F.when(inside, F.col("value"))).alias("low_whisker"),
@@ -214,8 +212,6 @@ def box_outliers(df: DataFrame, columns: list[str], ids: list[str], by: list[str
     long = long_numbers(df, columns, [*ids, *by]).where("value is not null")
     ranked = prefix_sums(value_counts(long, keys, "value"), keys, "value", ["n"], few_keys=not by)
     fences = _fences(ranked, keys).select(*keys, "low_fence", "high_fence")
-    if not by:
-        fences = F.broadcast(fences)  # one row per column of the schema
     outside = ~F.col("value").between(F.col("low_fence"), F.col("high_fence"))
     return long.join(fences, keys).where(outside).select(*ids, *keys, "value")
 

@@ -124,9 +124,9 @@ def fit_values(rows: DataFrame, spec: PanelSpec, missing: str = "median", engine
     prep = Preparation(spec, numeric, ordinal, nominal, derived, fills, text_fills, {}, {}, None)
     if nominal:
         named_texts = train.select(*[F.coalesce(named(c), F.lit(text_fills.get(c))).alias(c) for c in nominal])
-        prep.classes = materialize(encode.catalog(named_texts, nominal), "classes")
+        prep.classes = encode.catalog(named_texts, nominal)
     else:
-        prep.classes = rows.sparkSession.createDataFrame([], "column string, value string, index int")
+        prep.classes = rows.sparkSession.createDataFrame([], "column string, value string, index bigint")
     return prep
 
 

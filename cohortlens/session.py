@@ -20,6 +20,8 @@ def build_session(app: str = "cohortlens", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
+        # a busy session key shrinks before its rows are shuffled
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         **conf,
     }
     for key, value in settings.items():

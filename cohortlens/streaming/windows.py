@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 WATERMARK = "1 hour"
 
@@ -24,8 +24,47 @@ def windowed_stats(log: DataFrame, width: str, slide: str | None = None, by: lis
     )
 
 
+def sessions_table(log: DataFrame, by: list[str], gap_seconds: int = 1800) -> DataFrame:
+    """The sessions of a whole table, safe for keys with very many records.
+
+    Records first become short sessions inside (key, day), which spreads a busy key over its days; then only
+    those sessions are chained across days.
+    """
+    at = F.col("timestamp").cast("timestamp")
+    gap = gap_seconds * 1_000_000
+
+    def chained(df, part, first, last):
+        """Number the runs of rows whose distance to the latest end before them is at most the gap."""
+        before = Window.partitionBy(*part).orderBy(first, last).rowsBetween(Window.unboundedPreceding, -1)
+        opens = F.unix_micros(first) - F.unix_micros(F.max(last).over(before)) <= gap
+        marked = df.withColumn("_opens", F.when(opens, 0).otherwise(1))
+        # of rows with equal times, the one that opens a session comes first
+        upto = Window.partitionBy(*part).orderBy(first, last, F.desc("_opens")).rowsBetween(Window.unboundedPreceding, 0)
+        return marked.withColumn("_session", F.sum("_opens").over(upto))
+
+    def folded(df, part, n, total, high):
+        return df.groupBy(*part, "_session").agg(
+            F.min("_first").alias("_first"), F.max("_last").alias("_last"),
+            n.alias("_n"), total.alias("_total"), high.alias("_high"),
+        )
+
+    rows = log.select(
+        *by, at.alias("_first"), at.alias("_last"), F.date_trunc("day", at).alias("_day"), "probability_at_risk", "risk_level"
+    )
+    days = folded(
+        chained(rows, [*by, "_day"], "_first", "_last"), [*by, "_day"],
+        F.count(F.lit(1)), F.sum("probability_at_risk"), F.count_if(F.col("risk_level") == "HIGH"),
+    ).drop("_session")
+    whole = folded(chained(days, by, "_first", "_last"), by, F.sum("_n"), F.sum("_total"), F.sum("_high"))
+    return whole.select(
+        *by, F.col("_first").alias("session_start"),
+        F.timestamp_micros(F.unix_micros("_last") + gap).alias("session_end"),
+        F.col("_n").alias("n"), (F.col("_total") / F.col("_n")).alias("avg_probability"), F.col("_high").alias("n_high"),
+    )
+
+
 def sessions(log: DataFrame, by: list[str], gap: str = "30 minutes", watermark: str = WATERMARK) -> DataFrame:
-    """One row per session: a session closes when `gap` passes without a record."""
+    """One row per session of a stream: a session closes when more than `gap` passes without a record."""
     grouped = log.withWatermark("timestamp", watermark).groupBy(F.session_window("timestamp", gap).alias("s"), *by)
     return grouped.agg(*_measures()).select(
         *by, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n", "avg_probability", "n_high"

@@ -24,3 +24,32 @@ def spark():
 def frame(spark):
     """frame("a double, b string", (1.0, "x"), ...)"""
     return lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+
+
+NOW = "2024-02-01 12:00:00"
+
+
+@pytest.fixture(scope="session")
+def panel(spark):
+    from cohortlens.sources import synthetic
+
+    return synthetic.generate(spark, 400)
+
+
+@pytest.fixture(scope="session")
+def spec(panel):
+    from cohortlens.spec import PanelSpec
+
+    return PanelSpec.from_schema(panel.schema, "row_id", target_mode="already_binary")
+
+
+@pytest.fixture(scope="session")
+def trained(spark, panel, spec, tmp_path_factory):
+    """(output folder, outcome) of a small training job."""
+    from cohortlens.catalog.q_models import LIGHT
+    from cohortlens.plans.training import TrainJob
+
+    out = str(tmp_path_factory.mktemp("job"))
+    grids = {"LogisticRegression": {"C": (0.1, 1.0)}}
+    job = TrainJob(spark, spec, out, model="LogisticRegression", folds=2, grids=grids, settings=LIGHT, timestamp=NOW)
+    return out, job.run(panel)

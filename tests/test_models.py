@@ -5,21 +5,9 @@ from cohortlens.catalog.q_models import LIGHT
 from cohortlens.operators import evaluate, models, profile, target
 from cohortlens.plans import prepare
 from cohortlens.plans.scoring import Scorer, score_file, score_valid
-from cohortlens.plans.training import TrainJob
-from cohortlens.sources import files, logs, synthetic
-from cohortlens.spec import PanelSpec
+from cohortlens.sources import files, logs
+from conftest import NOW
 
-NOW = "2024-02-01 12:00:00"
-
-
-@pytest.fixture(scope="module")
-def panel(spark):
-    return synthetic.generate(spark, 400)
-
-
-@pytest.fixture(scope="module")
-def spec(panel):
-    return PanelSpec.from_schema(panel.schema, "row_id", target_mode="already_binary")
 
 
 @pytest.fixture(scope="module")
@@ -30,14 +18,6 @@ def prepared(panel, spec):
     matrix.unpersist()
 
 
-@pytest.fixture(scope="module")
-def trained(spark, panel, spec, tmp_path_factory):
-    out = str(tmp_path_factory.mktemp("job"))
-    grids = {"LogisticRegression": {"C": (0.1, 1.0)}}
-    job = TrainJob(spark, spec, out, model="LogisticRegression", folds=2, grids=grids, settings=LIGHT, timestamp=NOW)
-    return out, job.run(panel)
-
-
 def test_catalog():
     found = models.catalog()
     assert {n: len(c.points()) for n, c in found.items()} == {

@@ -1,11 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.catalog.q_models import LIGHT
-from cohortlens.plans.training import TrainJob
-from cohortlens.sources import logs, synthetic
-from cohortlens.spec import PanelSpec
+from cohortlens.sources import logs
 from cohortlens.streaming import runs, windows
+from conftest import NOW
 
 SCHEMA = "id bigint, timestamp timestamp, risk_level string, probability_at_risk double, user string"
 
@@ -74,15 +72,28 @@ def test_single_file_source(spark, folder):
     assert runs.drain(stream(spark, file).select("id"), "t").count() == 3
 
 
-def test_stream_scoring_equals_batch(spark, tmp_path):
-    df = synthetic.generate(spark, 80, null_rate=0.0).withColumn("INDE_2022", F.when(F.col("row_id") % 10 == 0, 11.0).otherwise(F.col("INDE_2022")))
-    spec = PanelSpec.from_schema(df.schema, "row_id", target_mode="already_binary")
-    grids = {"LogisticRegression": {"C": (1.0,)}}
-    now = "2024-02-01 12:00:00"
-    scorer = TrainJob(spark, spec, model="LogisticRegression", folds=2, grids=grids, settings=LIGHT).run(df).scorer
+def test_sessions_of_a_table_equal_session_windows(spark):
+    """One user holds most records, days meet at midnight, and equal times occur."""
+    start = F.lit("2024-01-01").cast("timestamp")
+    log = spark.range(4000).select(
+        F.col("id"), (start + F.make_dt_interval(secs=(F.pmod(F.xxhash64("id"), F.lit(5 * 86400))).cast("decimal(18,6)"))).alias("timestamp"),
+        F.when(F.col("id") % 3 == 0, "LOW").otherwise("HIGH").alias("risk_level"), (F.col("id") % 100 / 100.0).alias("probability_at_risk"),
+        F.when(F.col("id") % 10 < 8, "busy").otherwise(F.concat(F.lit("u"), F.col("id") % 7)).alias("user"),
+    )
+    def comparable(df):
+        return df.withColumn("avg_probability", F.round("avg_probability", 9))
+
+    for seconds in (120, 1800, 7200):
+        got = comparable(windows.sessions_table(log, ["user"], seconds))
+        want = comparable(windows.sessions(log, ["user"], f"{seconds} seconds"))
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_stream_scoring_equals_batch(spark, trained, panel, tmp_path):
+    scorer = trained[1].scorer
+    df = panel.where("row_id < 80").withColumn("INDE_2022", F.when(F.col("row_id") % 10 == 0, 11.0).otherwise(5.0))
     path = str(tmp_path / "records")
     df.repartition(3).write.parquet(path)
-    got = runs.drain(runs.score_stream(runs.read_stream(spark, path, df.schema, files_per_trigger=1), scorer, ["row_id"], now), "t")
-    batch_rows = scorer.predict(df.where("INDE_2022 <= 10"), ["row_id"], now)
-    want = logs.prediction_rows(batch_rows, ["row_id"])
+    got = runs.drain(runs.score_stream(runs.read_stream(spark, path, df.schema, files_per_trigger=1), scorer, ["row_id"], NOW), "t")
+    want = logs.prediction_rows(scorer.predict(df.where("INDE_2022 <= 10"), ["row_id"], NOW), ["row_id"])
     assert got.count() == 72 and got.exceptAll(want).count() == 0
