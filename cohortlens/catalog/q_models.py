@@ -25,7 +25,7 @@ STEMS = (*S, "PEDRA", "TURMA", "FASE", "IDADE_ALUNO", "PONTO_VIRADA", "BOLSISTA"
 
 
 def _train(spark, d):
-    df = target.binarize(star.panel(spark, d), "DEFASAGEM")
+    df = target.binarize(star.panel(spark, d, (*S, "FASE", "DEFASAGEM")), "DEFASAGEM")
     rows = df.select((F.col("cust_id") * 10000 + F.col("year")).alias("row_key"), *S, "FASE", "label")
     return materialize(rows, "train")
 

@@ -48,7 +48,7 @@ def panel_wide_to_long(spark, d):
 
 @query("panel_latest_year", f"WITH {PANEL} SELECT max(year) AS latest_year FROM P")
 def panel_latest_year(spark, d):
-    return panel.latest_year(star.panel(spark, d))
+    return panel.latest_year(star.panel(spark, d, ()))
 
 
 @query("panel_year_slice", f"""WITH {wide(('INDE', 'IAA', 'TURMA'))}
@@ -61,7 +61,7 @@ def panel_year_slice(spark, d):
 def panel_yearly_means(spark, d):
     from cohortlens.operators import profile
 
-    return rounded(profile.yearly_means(star.panel(spark, d), "year", S))
+    return rounded(profile.yearly_means(star.panel(spark, d, S), "year", S))
 
 
 @query("panel_yearly_means_wide", f"""WITH {PANEL}
@@ -75,21 +75,21 @@ def panel_yearly_means_wide(spark, d):
 @query("win_yoy_diff", f"""WITH {PANEL}
 SELECT cust_id, year, {', '.join(r6(f'{s} - lag({s}) OVER (PARTITION BY cust_id ORDER BY year)', f'{s}_diff') for s in S)} FROM P""")
 def win_yoy_diff(spark, d):
-    df = panel.yearly_changes(star.panel(spark, d), star.KEY, "year", S)
+    df = panel.yearly_changes(star.panel(spark, d, S), star.KEY, "year", S)
     return rounded(df.select(star.KEY, "year", *[f"{s}_diff" for s in S]))
 
 
 @query("win_trend", f"""WITH {PANEL}
 SELECT cust_id, {', '.join(r6(f'arg_max({s}, year) - arg_min({s}, year)', f'{s}_trend') for s in S)} FROM P GROUP BY cust_id""")
 def win_trend(spark, d):
-    return rounded(panel.entity_trend(star.panel(spark, d), star.KEY, "year", S))
+    return rounded(panel.entity_trend(star.panel(spark, d, S), star.KEY, "year", S))
 
 
 @query("win_mean_std", f"""WITH {PANEL}
 SELECT cust_id, {', '.join(r6(f'avg({s})', f'{s}_mean') for s in S)},
        {', '.join(r6(f'coalesce(stddev_samp({s}), 0)', f'{s}_std') for s in S)} FROM P GROUP BY cust_id""")
 def win_mean_std(spark, d):
-    return rounded(panel.entity_moments(star.panel(spark, d), star.KEY, S))
+    return rounded(panel.entity_moments(star.panel(spark, d, S), star.KEY, S))
 
 
 @query("win_position", f"""WITH {PANEL}
@@ -98,7 +98,7 @@ SELECT cust_id, year, {r6('INDE', 'INDE')}, CAST(row_number() OVER w AS INTEGER)
 FROM P WINDOW w AS (PARTITION BY cust_id ORDER BY year),
               f AS (PARTITION BY cust_id ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def win_position(spark, d):
-    return rounded(panel.entity_window(star.panel(spark, d), star.KEY, "year", "INDE"))
+    return rounded(panel.entity_window(star.panel(spark, d, ("INDE",)), star.KEY, "year", "INDE"))
 
 
 @query("proj_drop_ids", """SELECT c_custkey AS cust_key, c_nationkey AS nation, """ + r6("c_acctbal", "balance") + " FROM customer")

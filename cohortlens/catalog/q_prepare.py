@@ -10,6 +10,7 @@ from cohortlens.catalog.registry import query, r6, rounded
 from cohortlens.functions.labels import risk_level
 from cohortlens.operators import encode, scale, split, target
 from cohortlens.plans import prepare
+from cohortlens.session import materialize
 from cohortlens.sources import star
 
 S = C.SCORE_INDICATORS
@@ -79,8 +80,9 @@ def split_sql(source, key, label, extra=""):
 
 
 def _labelled_rows(spark, d):
-    df = target.binarize(star.panel(spark, d), "DEFASAGEM")
-    return df.select((F.col("cust_id") * 10000 + F.col("year")).alias("row_key"), "INDE", "IDA", "label")
+    df = target.binarize(star.panel(spark, d, ("INDE", "IDA", "DEFASAGEM")), "DEFASAGEM")
+    rows = df.select((F.col("cust_id") * 10000 + F.col("year")).alias("row_key"), "INDE", "IDA", "label")
+    return materialize(rows, "rows")  # a split reads its rows more than once
 
 
 @query("stratified_split", f"WITH {_ROWS}, Z AS ({split_sql('Y', 'row_key', 'label')}) SELECT row_key, label, split FROM Z")
@@ -134,7 +136,7 @@ def class_weights(spark, d):
 @query("risk_level_label", f"""WITH {PANEL}
 SELECT cust_id, year, CASE WHEN DEFASAGEM < 0 THEN 'HIGH' ELSE 'LOW' END AS risk_level FROM P""")
 def risk_level_label(spark, d):
-    df = target.binarize(star.panel(spark, d), "DEFASAGEM")
+    df = target.binarize(star.panel(spark, d, ("DEFASAGEM",)), "DEFASAGEM")
     return df.select("cust_id", "year", risk_level(F.col("label")).alias("risk_level"))
 
 

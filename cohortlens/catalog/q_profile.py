@@ -67,7 +67,7 @@ def profile_describe(spark, d):
 @query("value_counts_category", f"""WITH {PANEL}
 SELECT PEDRA AS value, count(*) AS n FROM P GROUP BY PEDRA""")
 def value_counts_category(spark, d):
-    return profile.category_counts(star.panel(spark, d), "PEDRA")
+    return profile.category_counts(star.panel(spark, d, ("PEDRA",)), "PEDRA")
 
 
 @query("value_counts_many", f"""WITH {PANEL}
@@ -81,7 +81,7 @@ def value_counts_many(spark, d):
 @query("target_distribution", f"""WITH {PANEL}, Y AS (SELECT CAST(CASE WHEN DEFASAGEM < 0 THEN 1 ELSE 0 END AS INTEGER) AS label FROM P)
 SELECT label, count(*) AS n, {r6('count(*) / sum(count(*)) OVER ()', 'share')} FROM Y GROUP BY label""")
 def target_distribution(spark, d):
-    return rounded(target.distribution(target.binarize(star.panel(spark, d), "DEFASAGEM"), "label"))
+    return rounded(target.distribution(target.binarize(star.panel(spark, d, ("DEFASAGEM",)), "DEFASAGEM"), "label"))
 
 
 _PAIRS = list(combinations(S, 2))
@@ -92,12 +92,12 @@ _CORR = "K AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a},
 SELECT a, b, {r6('corr', 'corr')} FROM K UNION ALL SELECT b, a, {r6('corr')} FROM K
 UNION ALL SELECT * FROM (VALUES {', '.join(f"('{s}', '{s}', 1.0::DOUBLE)" for s in S)}) v""")
 def corr_matrix(spark, d):
-    return rounded(profile.correlation_matrix(star.panel(spark, d), list(S)))
+    return rounded(profile.correlation_matrix(star.panel(spark, d, S), list(S)))
 
 
 @query("corr_top_pairs", f"WITH {PANEL}, {_CORR} SELECT a, b, {r6('corr', 'corr')} FROM K ORDER BY K.corr DESC, a, b LIMIT 5")
 def corr_top_pairs(spark, d):
-    return rounded(profile.top_pairs(star.panel(spark, d), list(S), 5))
+    return rounded(profile.top_pairs(star.panel(spark, d, S), list(S), 5))
 
 
 _PAIRWISE = names(("INDE", "IAA"), (1998, 2000))
@@ -113,7 +113,7 @@ def corr_pairwise_nulls(spark, d):
 K AS ({' UNION ALL '.join(f"SELECT '{s}' AS column, abs(corr({s}, label)) AS c FROM Y" for s in S)})
 SELECT "column", {r6('c', 'abs_corr')} FROM K ORDER BY c DESC, "column" LIMIT 3""")
 def select_by_correlation(spark, d):
-    df = target.binarize(star.panel(spark, d), "DEFASAGEM")
+    df = target.binarize(star.panel(spark, d, (*S, "DEFASAGEM")), "DEFASAGEM")
     ranked = profile.correlation_with(df, list(S), "label")
     return rounded(ranked.orderBy(F.desc("abs_corr"), "column").limit(3))
 
@@ -122,7 +122,7 @@ def select_by_correlation(spark, d):
 SELECT 'PEDRA' AS "column", count(DISTINCT PEDRA) AS n_distinct FROM P UNION ALL SELECT 'FASE', count(DISTINCT FASE) FROM P
 UNION ALL SELECT 'DEFASAGEM', count(DISTINCT DEFASAGEM) FROM P UNION ALL SELECT 'cust_id', count(DISTINCT cust_id) FROM P""")
 def nunique(spark, d):
-    return profile.distinct_counts(star.panel(spark, d), ["PEDRA", "FASE", "DEFASAGEM", "cust_id"])
+    return profile.distinct_counts(star.panel(spark, d, ("PEDRA", "FASE", "DEFASAGEM")), ["PEDRA", "FASE", "DEFASAGEM", "cust_id"])
 
 
 def _hist_sql(source, keys, bins):
@@ -139,13 +139,13 @@ FROM B GROUP BY {lead}"column", bin, lo, hi"""
 
 @query("hist_indicator", f"WITH {PANEL}, {_hist_sql(melted(list(S), 'P', 'year'), ['year'], 25)}")
 def hist_indicator(spark, d):
-    return rounded(profile.histogram(star.panel(spark, d), list(S), 25, by=["year"]))
+    return rounded(profile.histogram(star.panel(spark, d, S), list(S), 25, by=["year"]))
 
 
 @query("hist_by_label", f"""WITH {PANEL}, Y AS (SELECT *, CAST(CASE WHEN DEFASAGEM < 0 THEN 1 ELSE 0 END AS INTEGER) AS label FROM P),
 {_hist_sql(melted(['INDE'], 'Y', 'label'), ['label'], 25)}""")
 def hist_by_label(spark, d):
-    return rounded(profile.histogram(target.binarize(star.panel(spark, d), "DEFASAGEM"), ["INDE"], 25, by=["label"]))
+    return rounded(profile.histogram(target.binarize(star.panel(spark, d, ("INDE", "DEFASAGEM")), "DEFASAGEM"), ["INDE"], 25, by=["label"]))
 
 
 def _box_sql(source, keys, final):
@@ -167,19 +167,19 @@ count(*) FILTER (WHERE NOT inside) AS n_outliers FROM X GROUP BY {k}"""
 
 @query("box_stats", f"WITH {PANEL}, {_box_sql(melted(list(S), 'P'), [], _box_final([]))}")
 def box_stats(spark, d):
-    return rounded(profile.box_stats(star.panel(spark, d), list(S)))
+    return rounded(profile.box_stats(star.panel(spark, d, S), list(S)))
 
 
 @query("box_stats_by_category", f"WITH {PANEL}, {_box_sql(melted(['INDE', 'IDA'], 'P', 'PEDRA'), ['PEDRA'], _box_final(['PEDRA']))}")
 def box_stats_by_category(spark, d):
-    return rounded(profile.box_stats(star.panel(spark, d), ["INDE", "IDA"], by=["PEDRA"]))
+    return rounded(profile.box_stats(star.panel(spark, d, ("INDE", "IDA", "PEDRA")), ["INDE", "IDA"], by=["PEDRA"]))
 
 
 @query("box_outliers", f"""WITH {PANEL}, {_box_sql(melted(['INDE', 'IPP', 'IPV'], 'P', 'cust_id, year'), [],
 "SELECT cust_id, year, column, " + r6('value', 'value') + " FROM X WHERE NOT inside")}""".replace(
     'max(value) AS mx', 'max(value) AS mx').replace('SELECT cust_id, year, column,', 'SELECT cust_id, year, "column",'))
 def box_outliers(spark, d):
-    return rounded(profile.box_outliers(star.panel(spark, d), ["INDE", "IPP", "IPV"], [star.KEY, "year"]))
+    return rounded(profile.box_outliers(star.panel(spark, d, S), ["INDE", "IPP", "IPV"], [star.KEY, "year"]))
 
 
 IMPUTED = names(("INDE", "IAA", "FASE"))
@@ -226,7 +226,7 @@ _GAPS = "G AS (SELECT cust_id, year, CASE WHEN (cust_id + year) % 7 = 0 THEN NUL
 @query("impute_median_by_year", f"""WITH {PANEL}, {_GAPS}, M AS (SELECT year, median(INDE) AS a, median(IDA) AS b FROM G GROUP BY year)
 SELECT cust_id, year, {r6('coalesce(INDE, a)', 'INDE')}, {r6('coalesce(IDA, b)', 'IDA')} FROM G JOIN M USING (year)""")
 def impute_median_by_year(spark, d):
-    gaps = star.panel(spark, d).selectExpr(
+    gaps = star.panel(spark, d, ("INDE", "IDA")).selectExpr(
         "cust_id", "year", "CASE WHEN (cust_id + year) % 7 = 0 THEN NULL ELSE INDE END AS INDE",
         "CASE WHEN cust_id % 5 = 0 THEN NULL ELSE IDA END AS IDA",
     )

@@ -52,7 +52,7 @@ def prefix_sums(
     """Add cum_<c> (running sum up to and including the row) and tot_<c> for every count column.
 
     `grouped` has one row per (keys, value); it is written out once, because split points, range totals
-    and the sums themselves all read it (`stored` says that it is a written table already). `few_keys` says that the number of keys is bounded by the
+    and the sums themselves all read it (`stored`: it is a written table already). `few_keys` says that the number of keys is bounded by the
     schema, so that the range totals (at most RANGES + 1 rows per key) may be broadcast; otherwise Spark
     decides from their size at run time. `next_value` adds the next larger value of the same key.
     """

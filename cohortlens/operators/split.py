@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohortlens import constants as C
 from cohortlens.functions.hashing import order_hash
 from cohortlens.functions.numeric import named
+from cohortlens.session import materialize
 
 _DIGITS = 4  # hash prefix: 16**4 = 65,536 buckets per class
 
@@ -45,7 +46,7 @@ def cut_points(df: DataFrame, label: str, key: str, fractions: list[float], seed
 
 
 def _with_cuts(df: DataFrame, label: str, key: str, fractions: list[float], seed: int) -> DataFrame:
-    cuts = cut_points(df, label, key, fractions, seed)
+    cuts = materialize(cut_points(df, label, key, fractions, seed), "cuts")
     marked = df.withColumn("_at", F.struct(order_hash(named(key), seed).alias("_h"), named(key).alias("_key")))
     return marked.join(F.broadcast(cuts), named(label) == F.col("_label"), "left")
 

@@ -36,11 +36,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def panel(spark: SparkSession, folder: str) -> DataFrame:
+def panel(spark: SparkSession, folder: str, columns=YEARLY) -> DataFrame:
     """Long panel: one row per customer and year with at least one order that has lines.
 
     Lines shrink to one row per order before they meet the orders, so both sides of that join share
     the partitioning by order key. All sums are of integers and come out the same in any order.
+    First years and customers are joined only for columns that need them.
     """
     orders = table(spark, folder, "orders")
     per_order = (
@@ -70,37 +71,39 @@ def panel(spark: SparkSession, folder: str) -> DataFrame:
             F.expr("bit_count(bit_or(shiftleft(1, month(o_orderdate) - 1))) AS months"),
         )
     )
-    first_year = orders.groupBy(F.expr(f"o_custkey AS {KEY}")).agg(F.expr("year(min(o_orderdate)) AS first_year"))
-    people = table(spark, folder, "customer").selectExpr(f"c_custkey AS {KEY}", "c_mktsegment", "c_acctbal")
-    scored = sums.join(first_year, KEY).join(people, KEY).selectExpr(
-        "*", "least(10.0D, cast(cents AS double) / (5000000 * orders)) AS INDE"
-    )
-    return scored.selectExpr(
-        KEY,
-        "year",
-        "INDE",
-        "least(10.0D, cast(sd AS double) / n) AS IAA",
-        "least(10.0D, cast(2 * orders AS double)) AS IEG",
-        "least(10.0D, cast(125 * st AS double) / (100 * n)) AS IPS",
-        "cast(sq AS double) / (5 * n) AS IDA",
-        "cast(10 * urgent AS double) / orders AS IPP",
-        "cast(10 * (n - nr) AS double) / n AS IPV",
-        f"cast(na - nr AS int) AS {C.TARGET}",
-        f"any_f AS {C.TURNING_POINT}",
-        f"cast(least(8, months) AS int) AS {C.PHASE}",
-        f"cast(7 + {KEY} % 11 + (year - {YEARS[0]}) AS int) AS {C.AGE}",
-        "CASE WHEN INDE < 2.5D THEN 'Quartzo' WHEN INDE < 5 THEN 'Ágata' WHEN INDE < 7.5D THEN 'Ametista' "
-        f"ELSE 'Topázio' END AS {C.ORDINAL}",
-        f"c_mktsegment AS {C.GROUP}",
-        f"if(c_acctbal < 0, 1, 0) AS {C.SCHOLARSHIP}",
-        f"year - first_year AS {C.TENURE}",
-    )
+    joined = sums
+    if C.TENURE in columns:
+        firsts = orders.groupBy(F.expr(f"o_custkey AS {KEY}")).agg(F.expr("year(min(o_orderdate)) AS first_year"))
+        joined = joined.join(firsts, KEY)
+    if C.GROUP in columns or C.SCHOLARSHIP in columns:
+        people = table(spark, folder, "customer").selectExpr(f"c_custkey AS {KEY}", "c_mktsegment", "c_acctbal")
+        joined = joined.join(people, KEY)
+    scored = joined.selectExpr("*", "least(10.0D, cast(cents AS double) / (5000000 * orders)) AS INDE")
+    formulas = {
+        "INDE": "INDE",
+        "IAA": "least(10.0D, cast(sd AS double) / n)",
+        "IEG": "least(10.0D, cast(2 * orders AS double))",
+        "IPS": "least(10.0D, cast(125 * st AS double) / (100 * n))",
+        "IDA": "cast(sq AS double) / (5 * n)",
+        "IPP": "cast(10 * urgent AS double) / orders",
+        "IPV": "cast(10 * (n - nr) AS double) / n",
+        C.TARGET: "cast(na - nr AS int)",
+        C.TURNING_POINT: "any_f",
+        C.PHASE: "cast(least(8, months) AS int)",
+        C.AGE: f"cast(7 + {KEY} % 11 + (year - {YEARS[0]}) AS int)",
+        C.ORDINAL: "CASE WHEN INDE < 2.5D THEN 'Quartzo' WHEN INDE < 5 THEN 'Ágata' WHEN INDE < 7.5D THEN 'Ametista' "
+        "ELSE 'Topázio' END",
+        C.GROUP: "c_mktsegment",
+        C.SCHOLARSHIP: "if(c_acctbal < 0, 1, 0)",
+        C.TENURE: "year - first_year",
+    }
+    return scored.selectExpr(KEY, "year", *[f"{formulas[c]} AS {c}" for c in columns])
 
 
 def wide(spark: SparkSession, folder: str, columns=YEARLY, years=YEARS) -> DataFrame:
     """The panel as one row per customer, columns {name}_{year}; customers without orders stay, as nulls."""
     people = table(spark, folder, "customer").selectExpr(f"c_custkey AS {KEY}")
-    pivoted = to_wide(panel(spark, folder).where(F.col("year").isin(*years)), KEY, "year", years, columns)
+    pivoted = to_wide(panel(spark, folder, columns).where(F.col("year").isin(*years)), KEY, "year", years, columns)
     return people.join(pivoted, KEY, "left")
 
 
