@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cohortlens import constants as C
 from cohortlens.catalog.inputs import PANEL, names, wide
 from cohortlens.catalog.registry import query, r6, rounded
-from cohortlens.operators import columns, contract, impute, panel, target
+from cohortlens.functions.text import number
+from cohortlens.operators import columns, contract, impute, panel, profile, target
 from cohortlens.sources import star
 
 S = C.SCORE_INDICATORS
@@ -59,16 +61,12 @@ def panel_year_slice(spark, d):
 
 @query("panel_yearly_means", f"WITH {PANEL} SELECT year, {', '.join(r6(f'avg({s})', s) for s in S)} FROM P GROUP BY year")
 def panel_yearly_means(spark, d):
-    from cohortlens.operators import profile
-
     return rounded(profile.yearly_means(star.panel(spark, d, S), "year", S))
 
 
 @query("panel_yearly_means_wide", f"""WITH {PANEL}
 SELECT year, {', '.join(r6(f'avg({s})', s) for s in THREE)} FROM P GROUP BY year""")
 def panel_yearly_means_wide(spark, d):
-    from cohortlens.operators import profile
-
     return rounded(profile.yearly_means_wide(star.wide(spark, d, THREE), star.YEARS, THREE))
 
 
@@ -211,10 +209,6 @@ def preview_head(spark, d):
 @query("num_coerce", """SELECT event_id, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS DOUBLE) AS k,
        CAST(NULL AS DOUBLE) AS from_text FROM events""")
 def num_coerce(spark, d):
-    from pyspark.sql.types import StringType
-
-    from cohortlens.functions.text import number
-
     df = star.table(spark, d, "events").select(
         "event_id", F.get_json_object("props", "$.k").alias("k"), "event_type"
     )

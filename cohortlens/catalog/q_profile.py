@@ -175,26 +175,19 @@ def box_stats_by_category(spark, d):
     return rounded(profile.box_stats(star.panel(spark, d, ("INDE", "IDA", "PEDRA")), ["INDE", "IDA"], by=["PEDRA"]))
 
 
-@query("box_outliers", f"""WITH {PANEL}, {_box_sql(melted(['INDE', 'IPP', 'IPV'], 'P', 'cust_id, year'), [],
-"SELECT cust_id, year, column, " + r6('value', 'value') + " FROM X WHERE NOT inside")}""".replace(
-    'max(value) AS mx', 'max(value) AS mx').replace('SELECT cust_id, year, column,', 'SELECT cust_id, year, "column",'))
+_OUTSIDE = f'SELECT cust_id, year, "column", {r6("value", "value")} FROM X WHERE NOT inside'
+
+
+@query("box_outliers", f"WITH {PANEL}, {_box_sql(melted(['INDE', 'IPP', 'IPV'], 'P', 'cust_id, year'), [], _OUTSIDE)}")
 def box_outliers(spark, d):
     return rounded(profile.box_outliers(star.panel(spark, d, S), ["INDE", "IPP", "IPV"], [star.KEY, "year"]))
 
 
 IMPUTED = names(("INDE", "IAA", "FASE"))
-_INT = names(("FASE",))
 
 
 def _filled(stat):
-    out = []
-    for c in IMPUTED:
-        fill = f"(SELECT {stat}({c}) FROM W)"
-        if c in _INT:
-            out.append(r6(f"coalesce({c}, {fill})", c))
-        else:
-            out.append(r6(f"coalesce({c}, {fill})", c))
-    return ", ".join(out)
+    return ", ".join(r6(f"coalesce({c}, (SELECT {stat}({c}) FROM W))", c) for c in IMPUTED)
 
 
 @query("impute_median", f"WITH {wide(('INDE', 'IAA', 'FASE'))} SELECT cust_id, {_filled('median')} FROM W")
