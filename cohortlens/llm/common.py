@@ -41,3 +41,13 @@ def batch_of(schema: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip((columns[k] for k in schema), schema.values())],
         names=list(schema))
+
+
+def bounded_sample(rows: DataFrame, by: list[str], wanted: int, total: int) -> DataFrame:
+    """About `wanted` distinct rows of `total` at most, the same ones in every run.
+
+    Rows are chosen by a hash of the columns `by`; rows that agree in them count once, so copies cannot break the bound.
+    """
+    share = min(1.0, wanted / max(total, 1))
+    hashed = rows.withColumn("sample_hash", F.xxhash64(*by))
+    return hashed.where(F.pmod("sample_hash", F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["sample_hash"])

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm import bpe, token_counts
-from cohortlens.llm.common import table
+from cohortlens.llm import bpe, language_id, token_counts, toxicity
+from cohortlens.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,11 +21,32 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def _remainder_is(parts: int, remainder: int):
+    """Whether crc32 of doc_id as text leaves that remainder; false for a null id."""
+    return F.coalesce(crc_mod(F.col("doc_id"), parts) == remainder, F.lit(False))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", _remainder_is(4, 2).alias("held_out"), "lang_pred", "score", "runner_up", "ambiguous")
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = crc_mod(F.col("doc_id"), 5) != 0
+    model = toxicity.fit_from_labels(docs.where(learn), labels.where(learn))
+    return toxicity.score(docs, model).select("doc_id", _remainder_is(5, 0).alias("held_out"), "score", "predicted")
+
+
 @query
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
