@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm import bpe, chat, language_id, token_counts, toxicity
+from cohortlens.llm import bpe, chat, language_id, quality, token_counts, toxicity
 from cohortlens.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = chat.read_turns(chat.format_turns(turns))
     in_order = back.repartition("conv_id").sortWithinPartitions("conv_id", "ordinal")
     return in_order.mapInArrow(_conversation_digests, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
