@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm import bpe, chat, decontaminate, language_id, pii, quality, token_counts, toxicity
+from cohortlens.llm import bpe, chat, decontaminate, language_id, pii, quality, simhash, token_counts, toxicity
 from cohortlens.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [F.expr(f"CAST(size(filter(base, x -> x.kind = '{kind}')) AS BIGINT) AS n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
