@@ -173,13 +173,31 @@ def codec(path: str) -> PairIndexCodec:
     return PairIndexCodec(path)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 12 << 20) -> DataFrame:
-    """One row per input row: id, ids (array of int).
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 12 << 20,
+           ids: bool = True, digests: bool = False) -> DataFrame:
+    """One row per input row: id, n_tokens, with `ids` the ids, with `digests` ids_sha256 and decoded_sha256.
 
-    A null text is encoded as the empty one (no id). Ids of rows are only passed through: null or repeated ones and
+    The digests are those of the ids as little-endian 32-bit numbers and of the text that is decoded from them. A null
+    text is encoded as the empty one (no id). Ids of rows are only passed through: null or repeated ones and
     repeated rows keep their rows; an empty table gives an empty result; other columns are not read.
     """
-    return _encoded(docs, path, id_col, text_col, block_bytes, digest=False)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in text_blocks(batches, "text", block_bytes):
+            made = own.encode(texts_of(batch, "text"))
+            columns = {"id": batch.column("id"), "n_tokens": pa.array(map(len, made), pa.int64())}
+            if ids:
+                columns["ids"] = pa.array([i.view("<i4") for i in made], pa.list_(pa.int32()))
+            if digests:
+                columns["ids_sha256"] = pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in made], pa.string())
+                columns["decoded_sha256"] = pa.array([hashlib.sha256(own.decode(i).encode()).hexdigest() for i in made], pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    schema = f"id {kind}, n_tokens bigint" + ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -194,34 +212,3 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
     rows = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return rows.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
-
-
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 12 << 20) -> DataFrame:
-    """One row per input row: id, n_tokens, and SHA-256 of the ids and of the text decoded from them.
-
-    The rules for nulls, repeated rows and other columns are those of `encode`.
-    """
-    return _encoded(docs, path, id_col, text_col, block_bytes, digest=True)
-
-
-def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, block_bytes: int, digest: bool) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
-        for batch in text_blocks(batches, "text", block_bytes):
-            ids = own.encode(texts_of(batch, "text"))
-            if digest:
-                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                arrays = [
-                    batch.column("id"), pa.array(map(len, ids), pa.int64()),
-                    pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string()),
-                    pa.array([hashlib.sha256(own.decode(i).encode()).hexdigest() for i in ids], pa.string()),
-                ]
-            else:
-                names, arrays = ["id", "ids"], [batch.column("id"), pa.array(ids, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    out = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"
-    return rows.mapInArrow(run, f"id {kind}, {out}").withColumnRenamed("id", id_col)

@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm import bpe, chat, decontaminate, language_id, pii, quality, simhash, token_counts, toxicity
+from cohortlens.llm import bpe, chat, decontaminate, language_id, pii, quality, simhash, substrings, token_counts, toxicity
 from cohortlens.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,7 +51,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), ids=False, digests=True)
 
 
 def _conversation_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,3 +117,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"), texts=False)

@@ -234,6 +234,16 @@ def links(codes: DataFrame, most: int = 3, blocks: int | None = None, max_group:
     return grouped.mapInArrow(_linker(most), "a bigint, b bigint")
 
 
+def _classes(made: DataFrame, key: str, most: int, blocks: int | None, max_group: int) -> DataFrame:
+    """(fp, least): for every distinct fingerprint of `made` the least `key` of its component, null keys only if there is no other."""
+    codes = materialize(made.groupBy("fp").agg(F.min(key).alias("low")), "simhash-codes")
+    nodes = components(links(codes.select("fp"), most, blocks, max_group)).select(F.col("node").alias("fp"), "root")
+    members = materialize(codes.join(nodes, "fp"), "simhash-members")
+    lows = members.groupBy("root").agg(F.min("low").alias("least"))
+    joined = members.join(lows, "root").select("fp", "least")
+    return codes.join(joined.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("low")).alias("least"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, most: int = 3,
                     blocks: int | None = None, max_group: int = 100_000) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id of its component).
@@ -243,10 +253,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids and rows keep their rows; an empty table gives an empty result; other columns are not read.
     """
     made = materialize(fingerprints(docs, id_col, text_col, words_per_shingle), "simhash")
-    codes = materialize(made.groupBy("fp").agg(F.min("id").alias("low")), "simhash-codes")
-    nodes = components(links(codes.select("fp"), most, blocks, max_group)).select(F.col("node").alias("fp"), "root")
-    members = materialize(codes.join(nodes, "fp"), "simhash-members")
-    lows = members.groupBy("root").agg(F.min("low").alias("least"))
-    joined = members.join(lows, "root").select("fp", "least")
-    classes = codes.join(joined, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
-    return made.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = _classes(made, "id", most, blocks, max_group)
+    return made.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, most: int = 3,
+             blocks: int | None = None, max_group: int = 100_000) -> DataFrame:
+    """One row of `docs`, all columns, for each component of `near_duplicates`: one with the smallest id.
+
+    Rows with null id come after all others; of rows with the same id the one with the smallest hash of its text stays, and of
+    rows that agree in both any one.
+    """
+    row = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.lit(1), F.col(f"`{text_col}`")).alias("h"))
+    made = materialize(fingerprints(docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text")), "row", "text", words_per_shingle).withColumnRenamed("id", "row"), "simhash")
+    chosen = _classes(made, "row", most, blocks, max_group).groupBy("least").agg(F.count("*").alias("n"))
+    pair = [F.xxhash64(F.lit(k), "row").alias(f"r{k}") for k in (1, 2)]
+    wanted = chosen.select(F.col("least").alias("row")).select(*pair)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row.alias("row")).select("doc", *pair)
+    kept = packed.join(wanted, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"])
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -202,3 +202,15 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     scored = rows.mapInArrow(run, f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose text `score` would not predict as toxic; all rows without a model."""
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_blocks(batches, text_col, 4 << 20):
+            yield batch.filter(pa.array([model.score(t) < 0.5 for t in texts_of(batch, text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
