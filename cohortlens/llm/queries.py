@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.llm import bpe, chat, decontaminate, language_id, pii, quality, simhash, substrings, token_counts, toxicity
 from cohortlens.llm.common import crc_mod, table
+from cohortlens.llm.oracle import STATEMENTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = STATEMENTS
 
 TOKENIZER = "byte_bpe_50k.json"
 
