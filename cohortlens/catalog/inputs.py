@@ -22,7 +22,6 @@ sums AS (
          max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS any_f,
          count(DISTINCT month(o_orderdate)) AS months
   FROM orders JOIN per_order ON l_orderkey = o_orderkey
-  WHERE year(o_orderdate) BETWEEN 1998 AND 2000
   GROUP BY 1, 2),
 firsts AS (SELECT o_custkey AS cust_id, min(CAST(year(o_orderdate) AS INTEGER)) AS first_year FROM orders GROUP BY 1),
 scored AS (
@@ -40,7 +39,7 @@ P AS (
          CAST(na - nr AS INTEGER) AS DEFASAGEM,
          CAST(any_f AS INTEGER) AS PONTO_VIRADA,
          CAST(least(8, months) AS INTEGER) AS FASE,
-         CAST(7 + cust_id % 11 + (year - 1998) AS INTEGER) AS IDADE_ALUNO,
+         CAST(7 + cust_id % 11 + (year - 1995) AS INTEGER) AS IDADE_ALUNO,
          CASE WHEN INDE < 2.5 THEN 'Quartzo' WHEN INDE < 5 THEN 'Ágata' WHEN INDE < 7.5 THEN 'Ametista'
               ELSE 'Topázio' END AS PEDRA,
          c_mktsegment AS TURMA,

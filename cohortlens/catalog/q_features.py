@@ -9,7 +9,8 @@ from cohortlens.operators import features
 from cohortlens.sources import star
 
 S = C.SCORE_INDICATORS
-LATEST = (2000,)
+LATEST = (star.LATEST,)
+STEPS = list(zip(star.YEARS, star.YEARS[1:]))
 COMPOSITE_INPUTS = ("INDE", "IAA", "IDA", "IEG", "IPS")
 
 
@@ -23,14 +24,14 @@ def _temporal():
     for s in S:
         cols = names((s,))
         out += [
-            r6(f"{s}_1999 - {s}_1998", f"{s}_diff_1998_1999"), r6(f"{s}_2000 - {s}_1999", f"{s}_diff_1999_2000"),
-            r6(f"{s}_2000 - {s}_1998", f"{s}_trend"), r6(_mean(cols), f"{s}_mean"),
+            *[r6(f"{s}_{b} - {s}_{a}", f"{s}_diff_{a}_{b}") for a, b in STEPS],
+            r6(f"{s}_{star.LATEST} - {s}_{star.YEARS[0]}", f"{s}_trend"), r6(_mean(cols), f"{s}_mean"),
             r6(f"coalesce(list_stddev_samp([{', '.join(cols)}]), 0)", f"{s}_std"),
         ]
     return ", ".join(out)
 
 
-def _composites(suffix="_2000"):
+def _composites(suffix="_2001"):
     c = lambda *stems: [f"{x}{suffix}" for x in stems]
     return ", ".join([
         r6(_mean(c("INDE", "IAA", "IDA")), "ACADEMIC_COMPOSITE"), r6(_mean(c("IEG", "IPS")), "ENGAGEMENT_COMPOSITE"),
@@ -38,12 +39,12 @@ def _composites(suffix="_2000"):
     ])
 
 
-PROGRESS = r6("PONTO_VIRADA_2000 * ANOS_PM_2000", "PROGRESS_INDEX")
-GAP = r6("IDADE_ALUNO_2000 - FASE_2000 - 6", "AGE_PHASE_GAP")
+PROGRESS = r6("PONTO_VIRADA_2001 * ANOS_PM_2001", "PROGRESS_INDEX")
+GAP = r6("IDADE_ALUNO_2001 - FASE_2001 - 6", "AGE_PHASE_GAP")
 INTERACTIONS = ", ".join([
-    r6("coalesce(INDE_2000, 0) * coalesce(IEG_2000, 0)", "INDE_IEG_INTERACTION"),
-    r6("coalesce(IPS_2000, 0) * coalesce(IAA_2000, 0)", "IPS_IAA_INTERACTION"),
-    r6("coalesce(BOLSISTA_2000, 0) * coalesce(INDE_2000, 0)", "BOLSISTA_INDE_INTERACTION"),
+    r6("coalesce(INDE_2001, 0) * coalesce(IEG_2001, 0)", "INDE_IEG_INTERACTION"),
+    r6("coalesce(IPS_2001, 0) * coalesce(IAA_2001, 0)", "IPS_IAA_INTERACTION"),
+    r6("coalesce(BOLSISTA_2001, 0) * coalesce(INDE_2001, 0)", "BOLSISTA_INDE_INTERACTION"),
 ])
 
 

@@ -54,9 +54,9 @@ def panel_latest_year(spark, d):
 
 
 @query("panel_year_slice", f"""WITH {wide(('INDE', 'IAA', 'TURMA'))}
-SELECT cust_id, {_rounded_sql(('INDE_2000', 'IAA_2000'))}, TURMA_2000 FROM W""")
+SELECT cust_id, {_rounded_sql(('INDE_2001', 'IAA_2001'))}, TURMA_2001 FROM W""")
 def panel_year_slice(spark, d):
-    return rounded(panel.year_slice(star.wide(spark, d, ("INDE", "IAA", "TURMA")), 2000, star.KEY))
+    return rounded(panel.year_slice(star.wide(spark, d, ("INDE", "IAA", "TURMA")), 2001, star.KEY))
 
 
 @query("panel_yearly_means", f"WITH {PANEL} SELECT year, {', '.join(r6(f'avg({s})', s) for s in S)} FROM P GROUP BY year")
@@ -109,28 +109,28 @@ def proj_drop_ids(spark, d):
     return rounded(columns.drop_identifiers(people, keep=("cust_key",)))
 
 
-@query("proj_drop_leakage", f"""WITH {wide(('INDE', 'FASE'), (2000,))}
-SELECT cust_id, {r6('INDE_2000', 'INDE_2000')}, FASE_2000, {r6('INDE_2000', 'MEDIANA_2000')} FROM W""")
+@query("proj_drop_leakage", f"""WITH {wide(('INDE', 'FASE'), (2001,))}
+SELECT cust_id, {r6('INDE_2001', 'INDE_2001')}, FASE_2001, {r6('INDE_2001', 'MEDIANA_2001')} FROM W""")
 def proj_drop_leakage(spark, d):
-    df = star.wide(spark, d, ("INDE", "FASE", "DEFASAGEM"), (2000,)).select(
-        "*", F.col("INDE_2000").alias("IAN_2000"), F.col("FASE_2000").alias("NIVEL_IDEAL_2000"),
-        F.col("INDE_2000").alias("MEDIANA_2000"),
+    df = star.wide(spark, d, ("INDE", "FASE", "DEFASAGEM"), (2001,)).select(
+        "*", F.col("INDE_2001").alias("IAN_2001"), F.col("FASE_2001").alias("NIVEL_IDEAL_2001"),
+        F.col("INDE_2001").alias("MEDIANA_2001"),
     )
     return rounded(columns.drop_leakage(df))
 
 
-@query("target_notnull", f"""WITH {wide(('DEFASAGEM', 'FASE'), (2000,))}
-SELECT cust_id, DEFASAGEM_2000, FASE_2000 FROM W WHERE DEFASAGEM_2000 IS NOT NULL""")
+@query("target_notnull", f"""WITH {wide(('DEFASAGEM', 'FASE'), (2001,))}
+SELECT cust_id, DEFASAGEM_2001, FASE_2001 FROM W WHERE DEFASAGEM_2001 IS NOT NULL""")
 def target_notnull(spark, d):
-    df = star.wide(spark, d, ("DEFASAGEM", "FASE"), (2000,))
-    return target.binarize(df, target.resolve(df.columns, 2000), "negative_is_risk").drop("label")
+    df = star.wide(spark, d, ("DEFASAGEM", "FASE"), (2001,))
+    return target.binarize(df, target.resolve(df.columns, 2001), "negative_is_risk").drop("label")
 
 
 @query("target_binarize", f"""WITH {wide(('DEFASAGEM',))}
-SELECT cust_id, CAST(CASE WHEN DEFASAGEM_2000 < 0 THEN 1 ELSE 0 END AS INTEGER) AS label FROM W WHERE DEFASAGEM_2000 IS NOT NULL""")
+SELECT cust_id, CAST(CASE WHEN DEFASAGEM_2001 < 0 THEN 1 ELSE 0 END AS INTEGER) AS label FROM W WHERE DEFASAGEM_2001 IS NOT NULL""")
 def target_binarize(spark, d):
     df = star.wide(spark, d, ("DEFASAGEM",))
-    return target.binarize(df, target.resolve(df.columns, None), "detect").select(star.KEY, "label")
+    return target.binarize(df, target.resolve(df.columns, None), "negative_is_risk").select(star.KEY, "label")
 
 
 @query("na_drop", f"""WITH {wide(('INDE', 'FASE'))}
@@ -142,61 +142,61 @@ def na_drop(spark, d):
 
 @query("na_drop_subset", f"""WITH {wide(('INDE', 'DEFASAGEM'))}
 SELECT cust_id, {_rounded_sql(names(('INDE',)))}, {', '.join(names(('DEFASAGEM',)))} FROM W
-WHERE INDE_2000 IS NOT NULL AND DEFASAGEM_2000 IS NOT NULL""")
+WHERE INDE_2001 IS NOT NULL AND DEFASAGEM_2001 IS NOT NULL""")
 def na_drop_subset(spark, d):
     df = star.wide(spark, d, ("INDE", "DEFASAGEM"))
-    return rounded(impute.drop_incomplete(df, ["INDE_2000", "DEFASAGEM_2000"]))
+    return rounded(impute.drop_incomplete(df, ["INDE_2001", "DEFASAGEM_2001"]))
 
 
-@query("score_align", f"""WITH {wide(('INDE', 'FASE', 'IAA'), (1999, 2000))}
-SELECT cust_id, {r6('coalesce(FASE_2000, 0)', 'FASE_2000')}, {r6('coalesce(INDE_2000, 0)', 'INDE_2000')},
-       {r6('0', 'IPP_2000')}, {r6('coalesce(IAA_1999, 0)', 'IAA_1999')} FROM W""")
+@query("score_align", f"""WITH {wide(('INDE', 'FASE', 'IAA'), (2000, 2001))}
+SELECT cust_id, {r6('coalesce(FASE_2001, 0)', 'FASE_2001')}, {r6('coalesce(INDE_2001, 0)', 'INDE_2001')},
+       {r6('0', 'IPP_2001')}, {r6('coalesce(IAA_2000, 0)', 'IAA_2000')} FROM W""")
 def score_align(spark, d):
-    df = star.wide(spark, d, ("INDE", "FASE", "IAA"), (1999, 2000))
-    return rounded(columns.align(df, ["FASE_2000", "INDE_2000", "IPP_2000", "IAA_1999"], keep=(star.KEY,)))
+    df = star.wide(spark, d, ("INDE", "FASE", "IAA"), (2000, 2001))
+    return rounded(columns.align(df, ["FASE_2001", "INDE_2001", "IPP_2001", "IAA_2000"], keep=(star.KEY,)))
 
 
-CHECKED = ("INDE", "IAA", "IDADE_ALUNO", "FASE", "PONTO_VIRADA", "BOLSISTA", "ANOS_PM")
-_SHIFT = "IDADE_ALUNO_2000 + CASE WHEN cust_id % 17 = 0 THEN 20 ELSE 0 END"
+CHECKED = tuple(c for c in star.YEARLY if c in C.CONTRACT_BOUNDS)
+_SHIFT = "IDADE_ALUNO_2001 + CASE WHEN cust_id % 17 = 0 THEN 20 ELSE 0 END"
 
 
 def _records(spark, d):
     """Latest-year records; some ages are moved out of bounds."""
-    df = star.wide(spark, d, CHECKED, (2000,))
-    return df.withColumn("IDADE_ALUNO_2000", F.expr(_SHIFT).cast("int"))
+    df = star.wide(spark, d, CHECKED, (2001,))
+    return df.withColumn("IDADE_ALUNO_2001", F.expr(_SHIFT).cast("int"))
 
 
 def _violation(c):
     low, high = C.CONTRACT_BOUNDS[c]
-    return f"{c}_2000 NOT BETWEEN {low} AND {high}"
+    return f"{c}_2001 NOT BETWEEN {low} AND {high}"
 
 
-_RECORDS = f"{wide(CHECKED, (2000,))},\nR AS (SELECT * REPLACE (CAST({_SHIFT} AS INTEGER) AS IDADE_ALUNO_2000) FROM W)"
+_RECORDS = f"{wide(CHECKED, (2001,))},\nR AS (SELECT * REPLACE (CAST({_SHIFT} AS INTEGER) AS IDADE_ALUNO_2001) FROM W)"
 
 
 @query("dq_contract_violations", f"WITH {_RECORDS}\n" + " UNION ALL ".join(
-    f"SELECT '{c}_2000' AS rule, {float(C.CONTRACT_BOUNDS[c][0])}::DOUBLE AS low, {float(C.CONTRACT_BOUNDS[c][1])}::DOUBLE AS high, "
+    f"SELECT '{c}_2001' AS rule, {float(C.CONTRACT_BOUNDS[c][0])}::DOUBLE AS low, {float(C.CONTRACT_BOUNDS[c][1])}::DOUBLE AS high, "
     f"count(*) FILTER (WHERE {_violation(c)}) AS n_violations FROM R" for c in CHECKED))
 def dq_contract_violations(spark, d):
     df = _records(spark, d)
-    return contract.violation_counts(df, contract.panel_rules(df.columns, (2000,)))
+    return contract.violation_counts(df, contract.panel_rules(df.columns, (2001,)))
 
 
 @query("dq_valid_rows", f"""WITH {_RECORDS}
-SELECT cust_id, IDADE_ALUNO_2000, FASE_2000 FROM R
+SELECT cust_id, IDADE_ALUNO_2001, FASE_2001 FROM R
 WHERE {' AND '.join(f'coalesce(NOT ({_violation(c)}), true)' for c in CHECKED)}""")
 def dq_valid_rows(spark, d):
     df = _records(spark, d)
-    valid, _ = contract.split(df, contract.panel_rules(df.columns, (2000,)))
-    return valid.select(star.KEY, "IDADE_ALUNO_2000", "FASE_2000")
+    valid, _ = contract.split(df, contract.panel_rules(df.columns, (2001,)))
+    return valid.select(star.KEY, "IDADE_ALUNO_2001", "FASE_2001")
 
 
 @query("dq_quarantine", f"""WITH {_RECORDS}
-SELECT cust_id, concat_ws(',', {', '.join(f"CASE WHEN {_violation(c)} THEN '{c}_2000' END" for c in sorted(CHECKED))}) AS violations
+SELECT cust_id, concat_ws(',', {', '.join(f"CASE WHEN {_violation(c)} THEN '{c}_2001' END" for c in sorted(CHECKED))}) AS violations
 FROM R WHERE {' OR '.join(_violation(c) for c in CHECKED)}""")
 def dq_quarantine(spark, d):
     df = _records(spark, d)
-    _, bad = contract.split(df, contract.panel_rules(df.columns, (2000,)))
+    _, bad = contract.split(df, contract.panel_rules(df.columns, (2001,)))
     return bad.select(star.KEY, F.array_join(F.array_sort("violations"), ",").alias("violations"))
 
 

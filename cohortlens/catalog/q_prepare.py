@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens import constants as C
-from cohortlens.catalog.inputs import PANEL, wide
+from cohortlens.catalog.inputs import PANEL, names, wide
 from cohortlens.catalog.registry import query, r6, rounded
 from cohortlens.functions.labels import risk_level
 from cohortlens.operators import encode, scale, split, target
@@ -140,12 +140,10 @@ def risk_level_label(spark, d):
     return df.select("cust_id", "year", risk_level(F.col("label")).alias("risk_level"))
 
 
-# The whole preparation, on a few columns so that the SQL stays readable.
-PREP_STEMS = ("INDE", "IAA", "PEDRA", "TURMA", "DEFASAGEM")
-PREP_YEARS = (1999, 2000)
-_NUM = ("INDE_1999", "INDE_2000", "IAA_1999", "IAA_2000")
-_ORD = ("PEDRA_1999", "PEDRA_2000")
-_NOM = ("TURMA_1999", "TURMA_2000")
+# The whole preparation of all columns and years.
+_NUM = names([c for c in star.YEARLY if c not in (C.ORDINAL, C.GROUP, C.TARGET)])
+_ORD = names((C.ORDINAL,))
+_NOM = names((C.GROUP,))
 
 
 def _mode(c):
@@ -166,8 +164,8 @@ def prep_sql(rows: str, keep: str) -> str:
         for c in (*_NUM, *_ORD, *_NOM)
     )
     lists = ", ".join(f"C_{c} AS (SELECT DISTINCT {c} AS v FROM TF)" for c in _NOM)
-    return f"""{wide(PREP_STEMS, PREP_YEARS)},
-Y AS (SELECT *, CAST(CASE WHEN DEFASAGEM_2000 < 0 THEN 1 ELSE 0 END AS INTEGER) AS label FROM W WHERE DEFASAGEM_2000 IS NOT NULL),
+    return f"""{wide()},
+Y AS (SELECT *, CAST(CASE WHEN DEFASAGEM_2001 < 0 THEN 1 ELSE 0 END AS INTEGER) AS label FROM W WHERE DEFASAGEM_2001 IS NOT NULL),
 Z AS ({split_sql('Y', 'cust_id', 'label')}),
 TR AS (SELECT * FROM Z WHERE split = 'train'),
 TF AS (SELECT {filled} FROM TR), {lists},
@@ -179,14 +177,14 @@ SELECT {keep}, {scaled} FROM RC"""
 
 @query("prep_rows", "WITH " + prep_sql("Z", "cust_id, label, split"))
 def prep_rows(spark, d):
-    df = star.wide(spark, d, PREP_STEMS, PREP_YEARS)
+    df = star.wide(spark, d)
     matrix, _ = prepare.prepare(df, star.wide_spec(df), engineered=False)
     return rounded(matrix)
 
 
-@query("score_prepare", "WITH " + prep_sql("(SELECT * FROM W WHERE DEFASAGEM_2000 IS NULL)", "cust_id"))
+@query("score_prepare", "WITH " + prep_sql("(SELECT * FROM W WHERE DEFASAGEM_2001 IS NULL)", "cust_id"))
 def score_prepare(spark, d):
-    df = star.wide(spark, d, PREP_STEMS, PREP_YEARS)
+    df = star.wide(spark, d)
     spec = star.wide_spec(df)
     _, prep = prepare.prepare(df, spec, engineered=False)
-    return rounded(prep.transform(df.where("DEFASAGEM_2000 IS NULL"), [star.KEY]))
+    return rounded(prep.transform(df.where("DEFASAGEM_2001 IS NULL"), [star.KEY]))

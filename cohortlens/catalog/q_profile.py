@@ -48,20 +48,16 @@ def profile_overview(spark, d):
     return rounded(profile.overview(star.wide(spark, d)))
 
 
-@query("profile_types")
-def profile_types(spark, d):
-    return profile.type_histogram(star.wide(spark, d))
+NUMERIC = tuple(c for c in YEARLY if c not in (C.ORDINAL, C.GROUP))
+DESCRIBED = names(NUMERIC)
 
 
-DESCRIBED = names(("INDE", "IAA", "FASE"))
-
-
-@query("profile_describe", f"""WITH {wide(('INDE', 'IAA', 'FASE'))}, L AS ({melted(DESCRIBED)})
+@query("profile_describe", f"""WITH {wide(NUMERIC)}, L AS ({melted(DESCRIBED)})
 SELECT "column", count(value) AS count, {r6('avg(value)', 'mean')}, {r6('stddev_samp(value)', 'std')}, {r6('min(value)', 'min')},
        {r6('quantile_cont(value, 0.25)', 'q0_25')}, {r6('quantile_cont(value, 0.5)', 'q0_5')},
        {r6('quantile_cont(value, 0.75)', 'q0_75')}, {r6('max(value)', 'max')} FROM L GROUP BY "column" """)
 def profile_describe(spark, d):
-    return rounded(profile.describe(star.wide(spark, d, ("INDE", "IAA", "FASE")), DESCRIBED))
+    return rounded(profile.describe(star.wide(spark, d, NUMERIC), DESCRIBED))
 
 
 @query("value_counts_category", f"""WITH {PANEL}
@@ -100,13 +96,13 @@ def corr_top_pairs(spark, d):
     return rounded(profile.top_pairs(star.panel(spark, d, S), list(S), 5))
 
 
-_PAIRWISE = names(("INDE", "IAA"), (1998, 2000))
+_PAIRWISE = names(("INDE", "IAA"))
 
 
-@query("corr_pairwise_nulls", f"WITH {wide(('INDE', 'IAA'), (1998, 2000))} " + " UNION ALL ".join(
+@query("corr_pairwise_nulls", f"WITH {wide(('INDE', 'IAA'))} " + " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, {r6(f'corr({a}, {b})', 'corr')} FROM W" for a, b in combinations(_PAIRWISE, 2)))
 def corr_pairwise_nulls(spark, d):
-    return rounded(profile.correlations(star.wide(spark, d, ("INDE", "IAA"), (1998, 2000)), _PAIRWISE))
+    return rounded(profile.correlations(star.wide(spark, d, ("INDE", "IAA")), _PAIRWISE))
 
 
 @query("select_by_correlation", f"""WITH {PANEL}, Y AS (SELECT *, CASE WHEN DEFASAGEM < 0 THEN 1 ELSE 0 END AS label FROM P),
@@ -183,21 +179,21 @@ def box_outliers(spark, d):
     return rounded(profile.box_outliers(star.panel(spark, d, S), ["INDE", "IPP", "IPV"], [star.KEY, "year"]))
 
 
-IMPUTED = names(("INDE", "IAA", "FASE"))
+IMPUTED = names(NUMERIC)
 
 
 def _filled(stat):
     return ", ".join(r6(f"coalesce({c}, (SELECT {stat}({c}) FROM W))", c) for c in IMPUTED)
 
 
-@query("impute_median", f"WITH {wide(('INDE', 'IAA', 'FASE'))} SELECT cust_id, {_filled('median')} FROM W")
+@query("impute_median", f"WITH {wide(NUMERIC)} SELECT cust_id, {_filled('median')} FROM W")
 def impute_median(spark, d):
-    return rounded(impute.impute(star.wide(spark, d, ("INDE", "IAA", "FASE")), IMPUTED, "median"))
+    return rounded(impute.impute(star.wide(spark, d, NUMERIC), IMPUTED, "median"))
 
 
-@query("impute_mean", f"WITH {wide(('INDE', 'IAA', 'FASE'))} SELECT cust_id, {_filled('avg')} FROM W")
+@query("impute_mean", f"WITH {wide(NUMERIC)} SELECT cust_id, {_filled('avg')} FROM W")
 def impute_mean(spark, d):
-    return rounded(impute.impute(star.wide(spark, d, ("INDE", "IAA", "FASE")), IMPUTED, "mean"))
+    return rounded(impute.impute(star.wide(spark, d, NUMERIC), IMPUTED, "mean"))
 
 
 _TEXTS = names(("PEDRA", "TURMA"))

@@ -10,14 +10,14 @@ from cohortlens.operators import score
 from cohortlens.session import scratch_dir
 from cohortlens.sources import files, logs, star
 
-RISK = "((10.0::DOUBLE - coalesce(INDE_2000, 0)) * 0.4::DOUBLE + (10.0::DOUBLE - coalesce(IAA_2000, 0)) * 0.3::DOUBLE)"
-SCORED = f"""{wide(('INDE', 'IAA', 'FASE'), (2000,))},
+RISK = "((10.0::DOUBLE - coalesce(INDE_2001, 0)) * 0.4::DOUBLE + (10.0::DOUBLE - coalesce(IAA_2001, 0)) * 0.3::DOUBLE)"
+SCORED = f"""{wide(('INDE', 'IAA', 'FASE'), (2001,))},
 F AS (SELECT *, {RISK} AS risk, CAST(CASE WHEN {RISK} > 3.5 THEN 1 ELSE 0 END AS INTEGER) AS prediction,
       CASE WHEN {RISK} > 3.5 THEN 'HIGH' ELSE 'LOW' END AS risk_level FROM W)"""
 
 
 def scored(spark, d):
-    return score.linear_risk(star.wide(spark, d, ("INDE", "IAA", "FASE"), (2000,)), 2000)
+    return score.linear_risk(star.wide(spark, d, ("INDE", "IAA", "FASE"), (2001,)), 2001)
 
 
 @query("score_fixed_linear", f"WITH {SCORED} SELECT cust_id, {r6('risk', 'risk')}, prediction, risk_level FROM F")
@@ -38,7 +38,7 @@ def join_inputs_scores(spark, d):
     return score.attach(inputs, scored(spark, d).select(star.KEY, "prediction", "risk_level"), star.KEY)
 
 
-_JSON = """'{' || concat_ws(',', '"cust_id":' || CAST(cust_id AS VARCHAR), CASE WHEN FASE_2000 IS NOT NULL THEN '"FASE_2000":' || CAST(FASE_2000 AS VARCHAR) END) || '}'"""
+_JSON = """'{' || concat_ws(',', '"cust_id":' || CAST(cust_id AS VARCHAR), CASE WHEN FASE_2001 IS NOT NULL THEN '"FASE_2001":' || CAST(FASE_2001 AS VARCHAR) END) || '}'"""
 
 
 @query("log_prediction_rows", f"""WITH {SCORED}
@@ -46,7 +46,7 @@ SELECT TIMESTAMP '2024-02-01 12:00:00' AS timestamp, {_JSON} AS input_data, pred
        CAST(NULL AS DOUBLE) AS probability_at_risk, 'fixed rule' AS model_type FROM F""")
 def log_prediction_rows(spark, d):
     rows = scored(spark, d).withColumn("model_type", F.lit("fixed rule"))
-    return rounded(logs.prediction_rows(rows, [star.KEY, "FASE_2000"], "2024-02-01 12:00:00"))
+    return rounded(logs.prediction_rows(rows, [star.KEY, "FASE_2001"], "2024-02-01 12:00:00"))
 
 
 @query("log_append_read", f"""WITH {LOG}
@@ -85,11 +85,11 @@ def metrics_log(spark, d):
     return rounded(logs.read(spark, path, logs.METRICS_LOG).select("timestamp", "model_type", "accuracy"))
 
 
-@query("src_csv_roundtrip", f"""WITH {wide(('INDE', 'FASE', 'TURMA'), (1999, 2000))}
-SELECT cust_id, {r6('INDE_1999', 'INDE_1999')}, {r6('INDE_2000', 'INDE_2000')}, CAST(FASE_1999 AS BIGINT) AS FASE_1999,
-       CAST(FASE_2000 AS BIGINT) AS FASE_2000, TURMA_1999, TURMA_2000 FROM W""")
+@query("src_csv_roundtrip", f"""WITH {wide(('INDE', 'FASE', 'TURMA'), (2000, 2001))}
+SELECT cust_id, {r6('INDE_2000', 'INDE_2000')}, {r6('INDE_2001', 'INDE_2001')}, CAST(FASE_2000 AS BIGINT) AS FASE_2000,
+       CAST(FASE_2001 AS BIGINT) AS FASE_2001, TURMA_2000, TURMA_2001 FROM W""")
 def src_csv_roundtrip(spark, d):
-    path = files.write_csv(star.wide(spark, d, ("INDE", "FASE", "TURMA"), (1999, 2000)), scratch_dir(spark, "csv"))
+    path = files.write_csv(star.wide(spark, d, ("INDE", "FASE", "TURMA"), (2000, 2001)), scratch_dir(spark, "csv"))
     return rounded(files.read_csv(spark, path))
 
 
@@ -97,7 +97,7 @@ def src_csv_roundtrip(spark, d):
 SELECT count(*) AS total, count(*) FILTER (WHERE risk_level = 'HIGH') AS n_high, count(*) FILTER (WHERE risk_level = 'LOW') AS n_low FROM F""")
 def batch_score_file(spark, d):
     """CSV in, fixed rule, CSV out, counts of the written file."""
-    source = files.write_csv(star.wide(spark, d, ("INDE", "IAA"), (2000,)), scratch_dir(spark, "batch-in"))
-    rows = score.linear_risk(files.read_csv(spark, source), 2000)
+    source = files.write_csv(star.wide(spark, d, ("INDE", "IAA"), (2001,)), scratch_dir(spark, "batch-in"))
+    rows = score.linear_risk(files.read_csv(spark, source), 2001)
     result = files.write_csv(rows, scratch_dir(spark, "batch-out"))
     return score.batch_summary(files.read_csv(spark, result, schema=rows.schema, sep=","))

@@ -33,8 +33,8 @@ def stream_score(spark, d):
     source = scratch_dir(spark, "records")
     records.write.parquet(source)
     stream = runs.read_stream(spark, source, records.schema, files_per_trigger=4)
-    valid, _ = contract.split(stream, contract.panel_rules(stream.columns, (2000,)))
-    rows = logs.prediction_rows(score.linear_risk(valid, 2000), [star.KEY], "2024-02-01 12:00:00")
+    valid, _ = contract.split(stream, contract.panel_rules(stream.columns, (2001,)))
+    rows = logs.prediction_rows(score.linear_risk(valid, 2001), [star.KEY], "2024-02-01 12:00:00")
     return rounded(runs.drain(rows.drop("probability_at_risk", "model_type"), "stream-score"))
 
 

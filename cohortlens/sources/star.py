@@ -9,7 +9,8 @@ from cohortlens.operators.panel import to_wide
 from cohortlens.spec import PanelSpec
 
 KEY = "cust_id"
-YEARS = (1998, 1999, 2000)
+YEARS = tuple(range(1995, 2002))  # the years of the given order tables
+LATEST = YEARS[-1]
 
 # Columns of the yearly panel, in table order.
 YEARLY = (
@@ -37,7 +38,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, folder: str, columns=YEARLY) -> DataFrame:
-    """Long panel: one row per customer and year with at least one order that has lines.
+    """Long panel: one row per customer and year with at least one order that has lines, all years there are.
 
     Lines shrink to one row per order before they meet the orders, so both sides of that join share
     the partitioning by order key. All sums are of integers and come out the same in any order.
@@ -56,11 +57,8 @@ def panel(spark: SparkSession, folder: str, columns=YEARLY) -> DataFrame:
             F.expr("count_if(l_returnflag = 'A') AS na"),
         )
     )
-    in_years = orders.where(
-        f"o_orderdate >= timestamp_ntz'{YEARS[0]}-01-01' AND o_orderdate < timestamp_ntz'{YEARS[-1] + 1}-01-01'"
-    )
     sums = (
-        in_years.join(per_order, "o_orderkey")
+        orders.join(per_order, "o_orderkey")
         .groupBy(F.expr(f"o_custkey AS {KEY}"), F.expr("year(o_orderdate) AS year"))
         .agg(
             F.expr("count(1) AS orders"),
@@ -100,8 +98,18 @@ def panel(spark: SparkSession, folder: str, columns=YEARLY) -> DataFrame:
     return scored.selectExpr(KEY, "year", *[f"{formulas[c]} AS {c}" for c in columns])
 
 
+def order_years(spark: SparkSession, folder: str) -> tuple[int, ...]:
+    """Every year from the first order to the last."""
+    first, last = table(spark, folder, "orders").agg(F.min("o_orderdate"), F.max("o_orderdate")).head()
+    return tuple(range(first.year, last.year + 1))
+
+
 def wide(spark: SparkSession, folder: str, columns=YEARLY, years=YEARS) -> DataFrame:
-    """The panel as one row per customer, columns {name}_{year}; customers without orders stay, as nulls."""
+    """The panel as one row per customer, columns {name}_{year}; customers without orders stay, as nulls.
+
+    `years=None` takes the years of the orders; naming them saves a pass over the dates.
+    """
+    years = years or order_years(spark, folder)
     people = table(spark, folder, "customer").selectExpr(f"c_custkey AS {KEY}")
     pivoted = to_wide(panel(spark, folder, columns).where(F.col("year").isin(*years)), KEY, "year", years, columns)
     return people.join(pivoted, KEY, "left")
