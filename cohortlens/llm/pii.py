@@ -105,10 +105,11 @@ def spans_of(rows: DataFrame) -> DataFrame:
     base = _valid(F.col("kind"), F.col("found"))
     kept = placed.where((F.col("kind") == "candidate") | base)
     # a candidate that touches a base span is not one; its value has no brackets and marks around it
-    near = Window.partitionBy("row").orderBy("start")
+    upto = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    onward = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     is_base = F.col("kind") != "candidate"
-    reach = F.max(F.when(is_base, F.col("end"))).over(near.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    next_start = F.min(F.when(is_base, F.col("start"))).over(near.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    reach = F.max(F.when(is_base, F.col("end"))).over(upto)
+    next_start = F.min(F.when(is_base, F.col("start"))).over(onward)
     free = kept.withColumn("reach", reach).withColumn("next", next_start).where(
         is_base | ((F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))))
     lead = F.length("found") - F.length(F.regexp_replace("found", r"^[\"'(\[{<]+", ""))
