@@ -13,6 +13,7 @@ from cohortlens.sources import files, logs, star
 
 CUT = "timestamp_ntz'2024-01-16'"
 COLUMNS = ["p", "user_id", "high"]
+TESTS = {"user_id": "ks", "high": "js_distance"}
 
 
 def _sides(spark, d):
@@ -43,9 +44,9 @@ T1 AS (SELECT *, ks * sqrt(CAST(n_ref AS DOUBLE) * n_cur / (n_ref + n_cur)) AS x
 T AS (SELECT *, CASE WHEN x < 0.3 THEN 1 ELSE least(greatest((SELECT sum(CASE WHEN j % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END
       * exp(-2.0::DOUBLE * j * j * x * x)) FROM range(1, 101) k(j)), 0), 1) END AS pv FROM T1)"""
 _VERDICT = f"""{_LONG}, V AS (
-  SELECT "column", n_ref, n_cur, CASE WHEN n_values <= 5 THEN 'js_distance' WHEN n_ref <= 1000 THEN 'ks' ELSE 'wasserstein' END AS test,
-         CASE WHEN n_values <= 5 THEN js WHEN n_ref <= 1000 THEN pv ELSE w END AS score,
-         CASE WHEN n_values <= 5 THEN 0.1::DOUBLE WHEN n_ref <= 1000 THEN 0.05::DOUBLE ELSE 0.1::DOUBLE END AS threshold FROM T),
+  SELECT *, CASE "column" WHEN 'high' THEN 'js_distance' WHEN 'user_id' THEN 'ks' ELSE 'wasserstein' END AS test,
+         CASE "column" WHEN 'high' THEN js WHEN 'user_id' THEN pv ELSE w END AS score,
+         CASE "column" WHEN 'user_id' THEN 0.05::DOUBLE ELSE 0.1::DOUBLE END AS threshold FROM T),
 U AS (SELECT *, CASE WHEN test = 'ks' THEN score < threshold ELSE score >= threshold END AS drift_detected FROM V)"""
 
 
@@ -59,9 +60,10 @@ def drift_wasserstein(spark, d):
     return rounded(drift.wasserstein(*_sides(spark, d), COLUMNS))
 
 
-@query("drift_report", f"""WITH {_VERDICT} SELECT "column", n_ref, n_cur, test, {r6('score', 'score')}, {r6('threshold', 'threshold')}, drift_detected FROM U""")
+@query("drift_report", f"""WITH {_VERDICT} SELECT "column", n_ref, n_cur, {r6('ks', 'ks')}, {r6('pv', 'ks_p_value')}, {r6('w', 'wasserstein')}, {r6('js', 'js_distance')},
+       test, {r6('score', 'score')}, {r6('threshold', 'threshold')}, drift_detected FROM U""")
 def drift_report(spark, d):
-    return rounded(drift.report(*_sides(spark, d)))
+    return rounded(drift.report(*_sides(spark, d), test=TESTS))
 
 
 @query("drift_summary", f"""WITH {_VERDICT}
@@ -69,7 +71,7 @@ SELECT coalesce(bool_or(drift_detected), false) AS drift_detected,
        coalesce(string_agg("column", ',' ORDER BY "column") FILTER (WHERE drift_detected), '') AS drifted_features,
        count(*) AS n_features_analyzed, count(*) FILTER (WHERE drift_detected) AS n_features_drifted FROM U""")
 def drift_summary(spark, d):
-    return drift.summary(drift.report(*_sides(spark, d))).withColumn("drifted_features", F.array_join("drifted_features", ","))
+    return drift.summary(drift.report(*_sides(spark, d), test=TESTS)).withColumn("drifted_features", F.array_join("drifted_features", ","))
 
 
 _EDGES = """E AS (SELECT "column", """ + ", ".join(
@@ -146,12 +148,30 @@ def drift_gate(spark, d):
     return monitor.drift_gate(*_sides(spark, d), "p", 0.1)
 
 
-@query("drift_from_files", f"""WITH {_VERDICT} SELECT "column", test, drift_detected FROM U WHERE "column" <> 'high'""")
+@query("drift_from_files", f"""WITH {_VERDICT} SELECT "column", test, drift_detected FROM U""")
 def drift_from_files(spark, d):
     """Both sides as CSV files, read back and compared."""
-    paths = [files.write_csv(side.select("p", "user_id"), scratch_dir(spark, "drift-csv")) for side in _sides(spark, d)]
-    reference, current = (files.read_csv(spark, path, schema="p double, user_id bigint", sep=",") for path in paths)
-    return drift.report(reference, current).select("column", "test", "drift_detected")
+    paths = [files.write_csv(side.select(*COLUMNS), scratch_dir(spark, "drift-csv")) for side in _sides(spark, d)]
+    features, _ = drift.report_files(spark, *paths, test=TESTS)
+    return features.select("column", "test", "drift_detected")
+
+
+@query("drift_log", f"""WITH {_VERDICT}
+SELECT 'compared' AS status, TIMESTAMP '2024-02-01 12:00:00' AS timestamp, bool_or(drift_detected) AS drift_detected, count(*) AS n_features_analyzed,
+       count(*) FILTER (WHERE drift_detected) AS n_features_drifted FROM U
+UNION ALL SELECT 'no reference data', TIMESTAMP '2024-02-01 12:00:00', false, 0, 0""")
+def drift_log(spark, d):
+    """Two checks leave a row each in the drift table: one of two folders, one whose reference is missing."""
+    paths = [files.write_csv(side.select(*COLUMNS), scratch_dir(spark, "drift-csv")) for side in _sides(spark, d)]
+    checks = [drift.report_files(spark, *paths, test=TESTS), drift.report_files(spark, f"{paths[0]}-missing", paths[1])]
+    kept = None
+    target = scratch_dir(spark, "drift-log")
+    for _, outcome in checks:
+        logs.append(logs.drift_row(outcome, "2024-02-01 12:00:00"), target)
+        status = outcome.select("status", "n_features_analyzed")
+        kept = status if kept is None else kept.unionByName(status)
+    back = logs.read(spark, target, logs.DRIFT_LOG)
+    return rounded(back.join(kept, "n_features_analyzed").select("status", "timestamp", "drift_detected", "n_features_analyzed", "n_features_drifted"))
 
 
 STATS = f"""count(*) AS total_predictions, count(*) FILTER (WHERE risk_level = 'HIGH') AS n_high, count(*) FILTER (WHERE risk_level = 'LOW') AS n_low,
@@ -160,12 +180,12 @@ STATS = f"""count(*) AS total_predictions, count(*) FILTER (WHERE risk_level = '
 
 @query("prediction_stats", f"WITH {LOG} SELECT {STATS} FROM EV")
 def prediction_stats(spark, d):
-    return rounded(monitor.stats(star.score_log(spark, d)))
+    return rounded(monitor.stats(star.score_log(spark, d)).drop("risk_distribution"))
 
 
 @query("prediction_stats_last_1000", f"WITH {LOG}, L AS (SELECT * FROM EV ORDER BY timestamp DESC, id DESC LIMIT 1000) SELECT {STATS} FROM L")
 def prediction_stats_last_1000(spark, d):
-    return rounded(monitor.stats(star.score_log(spark, d), 1000))
+    return rounded(monitor.stats(star.score_log(spark, d), 1000).drop("risk_distribution"))
 
 
 @query("log_latest_1000", f"""WITH {LOG} SELECT id, timestamp, prediction, risk_level, {r6('probability_at_risk', 'probability_at_risk')}, model_type
@@ -180,6 +200,14 @@ def risk_distribution(spark, d):
     return monitor.risk_distribution(star.score_log(spark, d))
 
 
+@query("risk_distribution_any_level", f"""WITH {LOG}
+SELECT model_type || '-' || risk_level AS risk_level, count(*) AS n FROM EV GROUP BY 1""")
+def risk_distribution_any_level(spark, d):
+    """The distribution inside the statistics, for levels that are not HIGH and LOW."""
+    log = star.score_log(spark, d).withColumn("risk_level", F.concat_ws("-", "model_type", "risk_level"))
+    return monitor.stats(log).select(F.inline("risk_distribution"))
+
+
 @query("latest_metrics", f"WITH {LOG} SELECT id, timestamp, risk_level, {r6('probability_at_risk', 'probability_at_risk')} FROM EV ORDER BY timestamp DESC, id DESC LIMIT 1")
 def latest_metrics(spark, d):
     log = star.score_log(spark, d).select("id", "timestamp", "risk_level", "probability_at_risk")

@@ -8,7 +8,7 @@ from cohortlens import constants as C
 from cohortlens.catalog.inputs import PANEL, names, wide
 from cohortlens.catalog.registry import query, r6, rounded
 from cohortlens.functions.labels import risk_level
-from cohortlens.operators import encode, scale, split, target
+from cohortlens.operators import encode, impute, scale, split, target
 from cohortlens.plans import prepare
 from cohortlens.session import materialize
 from cohortlens.sources import star
@@ -188,3 +188,25 @@ def score_prepare(spark, d):
     spec = star.wide_spec(df)
     _, prep = prepare.prepare(df, spec, engineered=False)
     return rounded(prep.transform(df.where("DEFASAGEM_2001 IS NULL"), [star.KEY]))
+
+
+_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in (*_NUM, *_ORD, *_NOM))
+
+
+@query("prep_rows_drop", "WITH " + prep_sql("Z", "cust_id, label, split").replace(
+    f"AS label FROM W WHERE {C.TARGET}_{star.LATEST} IS NOT NULL", f"AS label FROM W WHERE {C.TARGET}_{star.LATEST} IS NOT NULL AND {_COMPLETE}"))
+def prep_rows_drop(spark, d):
+    """The preparation on rows without a gap."""
+    df = star.wide(spark, d)
+    matrix, _ = prepare.prepare(df, star.wide_spec(df), missing="drop", engineered=False)
+    return rounded(matrix)
+
+
+_NUMBERS = [*_NUM, *names((C.TARGET,))]
+
+
+@query("impute_all", f"""WITH {wide()}
+SELECT cust_id, {', '.join(r6(f'coalesce({c}, (SELECT median({c}) FROM W))', c) for c in _NUMBERS)},
+       {', '.join(f'coalesce({c}, (SELECT {c} FROM W WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)) AS {c}' for c in (*_ORD, *_NOM))} FROM W""")
+def impute_all(spark, d):
+    return rounded(impute.impute_all(star.wide(spark, d), keep=(star.KEY,)))

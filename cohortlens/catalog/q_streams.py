@@ -13,8 +13,6 @@ from cohortlens.session import scratch_dir
 from cohortlens.sources import logs, star
 from cohortlens.streaming import runs, windows
 
-# Windows that end at or before the watermark have been closed.
-CLOSED = "(SELECT max(timestamp) - INTERVAL 1 HOUR FROM EV)"
 MEASURES = f"count(*) AS n, {r6('avg(probability_at_risk)', 'avg_probability')}, count(*) FILTER (WHERE risk_level = 'HIGH') AS n_high"
 
 
@@ -33,23 +31,37 @@ def stream_score(spark, d):
     source = scratch_dir(spark, "records")
     records.write.parquet(source)
     stream = runs.read_stream(spark, source, records.schema, files_per_trigger=4)
-    valid, _ = contract.split(stream, contract.panel_rules(stream.columns, (2001,)))
-    rows = logs.prediction_rows(score.linear_risk(valid, 2001), [star.KEY], "2024-02-01 12:00:00")
-    return rounded(runs.drain(rows.drop("probability_at_risk", "model_type"), "stream-score"))
+    valid, _ = contract.split(stream, contract.panel_rules(stream.columns, (star.LATEST,)))
+    rows = logs.prediction_rows(score.linear_risk(valid, star.LATEST), [star.KEY], "2024-02-01 12:00:00")
+    return rounded(runs.drain(rows.drop("probability_at_risk", "model_type"), scratch_dir(spark, "stream-score")))
+
+
+@query("stream_quarantine", f"""WITH {_RECORDS}
+SELECT cust_id, concat_ws(',', {', '.join(f"CASE WHEN {_violation(c)} THEN '{c}_{star.LATEST}' END" for c in sorted(CHECKED))}) AS violations
+FROM R WHERE {' OR '.join(_violation(c) for c in CHECKED)}""")
+def stream_quarantine(spark, d):
+    """The records of the same stream that are out of bounds have a sink of their own."""
+    records = _records(spark, d)
+    source = scratch_dir(spark, "records")
+    records.write.parquet(source)
+    stream = runs.read_stream(spark, source, records.schema, files_per_trigger=4)
+    _, rejected = contract.split(stream, contract.panel_rules(stream.columns, (star.LATEST,)))
+    rows = rejected.select(star.KEY, F.array_join(F.array_sort("violations"), ",").alias("violations"))
+    return runs.drain(rows, scratch_dir(spark, "stream-quarantine"))
 
 
 @query("stream_stats_tumbling", f"""WITH {LOG}
 SELECT time_bucket(INTERVAL 1 DAY, timestamp) AS window_start, time_bucket(INTERVAL 1 DAY, timestamp) + INTERVAL 1 DAY AS window_end, {MEASURES}
-FROM EV GROUP BY 1, 2 HAVING window_end <= {CLOSED}""")
+FROM EV GROUP BY 1, 2""")
 def stream_stats_tumbling(spark, d):
-    return rounded(runs.drain(windows.windowed_stats(_log_stream(spark, d), "1 day"), "tumbling"))
+    return rounded(runs.drain_complete(windows.windowed_stats(_log_stream(spark, d), "1 day"), scratch_dir(spark, "tumbling")))
 
 
 @query("stream_stats_by_model", f"""WITH {LOG}
 SELECT time_bucket(INTERVAL 1 DAY, timestamp) AS window_start, time_bucket(INTERVAL 1 DAY, timestamp) + INTERVAL 1 DAY AS window_end, model_type, {MEASURES}
-FROM EV GROUP BY 1, 2, 3 HAVING window_end <= {CLOSED}""")
+FROM EV GROUP BY 1, 2, 3""")
 def stream_stats_by_model(spark, d):
-    return rounded(runs.drain(windows.windowed_stats(_log_stream(spark, d), "1 day", by=["model_type"]), "by-model"))
+    return rounded(runs.drain_complete(windows.windowed_stats(_log_stream(spark, d), "1 day", by=["model_type"]), scratch_dir(spark, "by-model")))
 
 
 _SLIDES = f"""{LOG}, X AS (
@@ -58,9 +70,9 @@ _SLIDES = f"""{LOG}, X AS (
 
 @query("stream_stats_sliding", f"""WITH {_SLIDES}
 SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, {MEASURES}
-FROM X GROUP BY 1, 2 HAVING window_end <= {CLOSED}""")
+FROM X GROUP BY 1, 2""")
 def stream_stats_sliding(spark, d):
-    return rounded(runs.drain(windows.windowed_stats(_log_stream(spark, d), "1 day", "6 hours"), "sliding"))
+    return rounded(runs.drain_complete(windows.windowed_stats(_log_stream(spark, d), "1 day", "6 hours"), scratch_dir(spark, "sliding")))
 
 
 @query("stats_sliding_batch", f"WITH {_SLIDES} SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, {MEASURES} FROM X GROUP BY 1, 2")
@@ -71,12 +83,12 @@ def stats_sliding_batch(spark, d):
 @query("stream_drift_windows", f"""WITH {LOG}, M AS (SELECT avg(probability_at_risk) AS m FROM EV WHERE timestamp < TIMESTAMP '2024-01-16'),
 G AS (SELECT time_bucket(INTERVAL 1 DAY, timestamp) AS window_start, count(*) AS n, avg(probability_at_risk) AS a FROM EV GROUP BY 1)
 SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, n, {r6('a', 'current_mean')}, {r6('abs(a - m)', 'mean_difference')},
-       CASE WHEN n >= 10 THEN abs(a - m) > 0.02 END AS drift_detected FROM G, M WHERE window_start + INTERVAL 1 DAY <= {CLOSED}""")
+       CASE WHEN n >= 10 THEN abs(a - m) > 0.02 END AS drift_detected FROM G, M""")
 def stream_drift_windows(spark, d):
     log = star.score_log(spark, d)
     before = log.where(F.col("timestamp") < F.lit("2024-01-16").cast("timestamp"))
     mean = before.agg(F.avg("probability_at_risk")).head()[0]
-    return rounded(runs.drain(windows.drift_windows(_log_stream(spark, d), mean, 0.02, "1 day"), "drift-windows"))
+    return rounded(runs.drain_complete(windows.drift_windows(_log_stream(spark, d), mean, 0.02, "1 day"), scratch_dir(spark, "drift-windows")))
 
 
 _SESSIONS = f"""{LOG}, A AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens
@@ -85,9 +97,9 @@ B AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY timestamp, id) AS
 G AS (SELECT user_id, s, min(timestamp) AS session_start, max(timestamp) + INTERVAL 30 MINUTE AS session_end, {MEASURES} FROM B GROUP BY 1, 2)"""
 
 
-@query("stream_sessions", f"WITH {_SESSIONS} SELECT * EXCLUDE (s) FROM G WHERE session_end <= {CLOSED}")
+@query("stream_sessions", f"WITH {_SESSIONS} SELECT * EXCLUDE (s) FROM G")
 def stream_sessions(spark, d):
-    return rounded(runs.drain(windows.sessions(_log_stream(spark, d), ["user_id"]), "sessions"))
+    return rounded(runs.drain_complete(windows.sessions(_log_stream(spark, d), ["user_id"]), scratch_dir(spark, "sessions")))
 
 
 @query("sessions_batch", f"WITH {_SESSIONS} SELECT * EXCLUDE (s) FROM G")

@@ -7,6 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortlens.session import with_scratch
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -15,7 +17,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            with_scratch(spark).conf.set("spark.sql.session.timeZone", "UTC")
             return fn(spark, sf_dir.rstrip("/"))
 
         QUERIES[name] = run

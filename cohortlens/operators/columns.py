@@ -9,15 +9,18 @@ from cohortlens import constants as C
 from cohortlens.functions.numeric import named
 
 
+def _parts(name: str) -> list[str]:
+    return name.casefold().split("_")
+
+
 def identifier_columns(names: list[str], identifiers=C.IDENTIFIER_NAMES) -> list[str]:
-    """Names that are an identifier, or carry one as first or last part; case does not matter."""
-    def hit(name):
-        lower = name.lower()
-        return any(
-            lower == i or lower.startswith(i + "_") or lower.endswith("_" + i) for i in map(str.lower, identifiers)
-        )
-
-    return [n for n in names if hit(n)]
+    """Names whose first or last parts between underscores are those of an identifier, whatever the case."""
+    sought = [_parts(i) for i in identifiers]
+
+    def ends(parts: list[str], own: list[str]) -> bool:
+        return own in (parts[:len(own)], parts[-len(own):])
+
+    return [n for n in names if any(ends(_parts(n), own) for own in sought)]
 
 
 def drop_identifiers(df: DataFrame, keep: tuple[str, ...] = (), identifiers=C.IDENTIFIER_NAMES) -> DataFrame:

@@ -10,7 +10,7 @@ from cohortlens.functions.numeric import half_even, named
 from cohortlens.functions.shape import statistics, unpivot
 from cohortlens.operators.columns import common_columns
 from cohortlens.operators.impute import long_numbers
-from cohortlens.operators.ranks import prefix_sums, quantile_columns, quantile_name, value_counts
+from cohortlens.operators.ranks import in_ranges, prefix_sums, quantile_columns, quantile_name, value_counts
 from cohortlens.session import materialize
 
 TINY = 1e-4  # stands in for an empty share inside logarithms
@@ -18,13 +18,11 @@ TINY = 1e-4  # stands in for an empty share inside logarithms
 
 @dataclass(frozen=True)
 class Thresholds:
-    """A feature drifts by KS on small data, else by normed Wasserstein distance; few-valued features by JS."""
+    """Where each test sees drift: a KS p-value below, a normed Wasserstein or Jensen-Shannon distance from here on."""
 
     ks_p_value: float = 0.05
     wasserstein: float = 0.1
     js_distance: float = 0.1
-    small_rows: int = 1000
-    few_values: int = 5
 
 
 def tagged(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
@@ -99,7 +97,7 @@ def binned(reference: DataFrame, current: DataFrame, columns: list[str], bins: i
     """
     inner = [i / bins for i in range(1, bins)]
     if accuracy is None:
-        counted = materialize(side_counts(reference, current, columns), "counts")
+        counted = in_ranges(side_counts(reference, current, columns), ["column"], "value")
         ranked = prefix_sums(counted, ["column"], "value", ["n_ref", "n_cur"], stored=True)
         edges = ranked.groupBy("column").agg(*quantile_columns("value", inner, "n_ref"))
         edges = edges.select("column", F.array(*[quantile_name(p) for p in inner]).alias("_edges"))
@@ -193,27 +191,72 @@ def moments_shift(reference: DataFrame, current: DataFrame, columns: list[str])
     return stats.withColumn("shift", shift)
 
 
+TESTS = {"ks": "ks_p_value", "wasserstein": "wasserstein", "js_distance": "js_distance"}
+
+
 def report(reference: DataFrame, current: DataFrame, columns: list[str] | None = None,
-           limits: Thresholds = Thresholds()) -> DataFrame:
-    """One row per common numeric column: test used, its score and threshold, and the verdict.
+           limits: Thresholds = Thresholds(), test: str | dict[str, str] = "wasserstein") -> DataFrame:
+    """One row per common numeric column: all statistics, the named test with its score and threshold, and its verdict.
 
-    Both frames are scanned once; every test reads the counts per distinct value.
+    `test` is one of TESTS for all columns, or one per column (others by Wasserstein distance). It never depends on
+    the data, so a feature is judged alike at every size. Both frames are scanned once; every test reads the counts per
+    distinct value.
     """
+    named_tests = test if isinstance(test, dict) else {}
+    default = "wasserstein" if isinstance(test, dict) else test
+    if unknown := {default, *named_tests.values()} - set(TESTS):
+        raise ValueError(f"unknown tests {sorted(unknown)}; known are {sorted(TESTS)}")
     if columns is None:
         columns = common_columns(reference, current)
     if not columns:
         raise ValueError("the frames share no numeric column")
     tests = _numeric_tests(_ranked(reference, current, columns))
-    few = F.col("n_values") <= limits.few_values
-    small = F.col("n_ref") <= limits.small_rows
-    test = F.when(few, "js_distance").when(small, "ks").otherwise("wasserstein")
-    score = F.when(few, F.col("js_distance")).when(small, F.col("ks_p_value")).otherwise(F.col("wasserstein"))
-    threshold = F.when(few, limits.js_distance).when(small, limits.ks_p_value).otherwise(limits.wasserstein)
-    decided = tests.select(
-        "column", "n_ref", "n_cur", test.alias("test"), score.alias("score"), threshold.alias("threshold")
-    )
+    chosen = F.lit(default)
+    for column, own in named_tests.items():
+        chosen = F.when(F.col("column") == column, own).otherwise(chosen)
+
+    def of_test(value) -> Column:
+        out = F.lit(None).cast("double")
+        for name, statistic in TESTS.items():
+            out = F.when(F.col("test") == name, value(statistic)).otherwise(out)
+        return out
+
+    score, threshold = of_test(F.col), of_test(lambda statistic: F.lit(getattr(limits, statistic)))
+    decided = tests.withColumn("test", chosen).withColumn("score", score).withColumn("threshold", threshold)
     verdict = F.when(F.col("test") == "ks", F.col("score") < F.col("threshold")).otherwise(F.col("score") >= F.col("threshold"))
-    return decided.withColumn("drift_detected", verdict)
+    return decided.select(
+        "column", "n_ref", "n_cur", "ks", "ks_p_value", "wasserstein", "js_distance", "test", "score", "threshold", verdict.alias("drift_detected"))
+
+
+def report_files(spark, reference_path: str, current_path: str, limits: Thresholds = Thresholds(),
+                 test: str | dict[str, str] = "wasserstein") -> tuple[DataFrame, DataFrame]:
+    """(feature report, one summary row) of two CSV paths; `status` says why there is no verdict.
+
+    A missing side or frames without a common numeric column give an empty report and a summary with a status, so a
+    scheduled check always leaves a record.
+    """
+    from cohortlens.sources import files
+
+    sides = []
+    for name, path in (("reference", reference_path), ("current", current_path)):
+        try:
+            sides.append(files.discover_csv(spark, path) if not path.endswith(".csv") else files.read_csv(spark, path))
+        except Exception as error:
+            if not isinstance(error, (FileNotFoundError, ValueError)) and "PATH_NOT_FOUND" not in str(error):
+                raise
+            return _no_report(spark, f"no {name} data")
+    columns = common_columns(*sides)
+    if not columns:
+        return _no_report(spark, "no common numeric column")
+    features = report(*sides, columns, limits, test)
+    return features, summary(features).withColumn("status", F.lit("compared"))
+
+
+def _no_report(spark, status: str) -> tuple[DataFrame, DataFrame]:
+    features = spark.createDataFrame([], (
+        "column string, n_ref bigint, n_cur bigint, ks double, ks_p_value double, wasserstein double, js_distance double, "
+        "test string, score double, threshold double, drift_detected boolean"))
+    return features, summary(features).withColumn("status", F.lit(status))
 
 
 def summary(features: DataFrame) -> DataFrame:

@@ -165,31 +165,39 @@ def report_text(report: DataFrame) -> str:
     return "\n".join(lines) + "\n"
 
 
-def evaluation(df: DataFrame, label: str, prediction: str, score: str, model_type: str) -> DataFrame:
-    """One row: metrics, matrix, area, model type and number of rows.
+def evaluation(df: DataFrame, label: str, prediction: str, score: str | None, model_type: str) -> DataFrame:
+    """One row: metrics, matrix, area (null without a score column), model type and number of rows.
 
-    The data is grouped once by (score, label, prediction); the matrix and the curve both come from that.
+    The matrix counts the rows with label and prediction, as `binary_metrics` does, the area those with label and score,
+    as `roc_curve` does. The data is grouped once by (score, label, prediction); both come from that.
     """
     y, p = named(label), named(prediction)
-    grouped = df.where(y.isNotNull()).groupBy(named(score).alias("score")).agg(
-        F.count_if(y == 1).alias("n_pos"),
-        F.count_if(y != 1).alias("n_neg"),
-        F.count_if((y == 1) & (p == 1)).alias("n_tp"),
-        F.count_if((y == 0) & (p == 1)).alias("n_fp"),
-    )
-    ranked = prefix_sums(grouped, [], "score", ["n_pos", "n_neg", "n_tp", "n_fp"])
-    below = F.col("cum_n_neg") - F.col("n_neg")
-    wins = F.sum(F.col("n_pos").cast("double") * (below.cast("double") + 0.5 * F.col("n_neg")))
-    pos, neg = F.max("tot_n_pos"), F.max("tot_n_neg")
-    cells = ranked.agg(
-        (neg - F.max("tot_n_fp")).alias("true_negatives"),
-        F.max("tot_n_fp").alias("false_positives"),
-        (pos - F.max("tot_n_tp")).alias("false_negatives"),
-        F.max("tot_n_tp").alias("true_positives"),
-        F.when((pos > 0) & (neg > 0), wins / (pos.cast("double") * neg)).alias("auc_roc"),
-        (pos + neg).alias("n_test_samples"),
-    )
-    return _metrics(cells).withColumn("model_type", F.lit(model_type))
+    if score is None:
+        cells = confusion(df, label, prediction).withColumn("auc_roc", F.lit(None).cast("double"))
+    else:
+        value = F.nanvl(named(score).cast("double"), F.lit(None))
+        scored = value.isNotNull()
+        grouped = df.where(y.isNotNull()).groupBy(value.alias("score")).agg(
+            F.count_if(scored & (y == 1)).alias("n_pos"),
+            F.count_if(scored & (y != 1)).alias("n_neg"),
+            F.count_if((y == 0) & (p == 0)).alias("n_tn"),
+            F.count_if((y == 0) & (p == 1)).alias("n_fp"),
+            F.count_if((y == 1) & (p == 0)).alias("n_fn"),
+            F.count_if((y == 1) & (p == 1)).alias("n_tp"),
+        )
+        ranked = prefix_sums(grouped, [], "score", ["n_pos", "n_neg", "n_tn", "n_fp", "n_fn", "n_tp"])
+        below = F.col("cum_n_neg") - F.col("n_neg")
+        wins = F.sum(F.col("n_pos").cast("double") * (below.cast("double") + 0.5 * F.col("n_neg")))
+        pos, neg = F.max("tot_n_pos"), F.max("tot_n_neg")
+        cells = ranked.agg(
+            F.max("tot_n_tn").alias("true_negatives"),
+            F.max("tot_n_fp").alias("false_positives"),
+            F.max("tot_n_fn").alias("false_negatives"),
+            F.max("tot_n_tp").alias("true_positives"),
+            F.when((pos > 0) & (neg > 0), wins / (pos.cast("double") * neg)).alias("auc_roc"),
+        )
+    size = F.col("true_negatives") + F.col("false_positives") + F.col("false_negatives") + F.col("true_positives")
+    return _metrics(cells.withColumn("n_test_samples", size)).withColumn("model_type", F.lit(model_type))
 
 
 def matrix_array(cells: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from cohortlens.functions.numeric import named
 from cohortlens.functions.shape import statistics, unpivot
 from cohortlens.functions.text import quoted
+from cohortlens.operators.columns import numeric_columns, text_columns, without_nan
 from cohortlens.operators.ranks import quantile_name, quantiles
 from cohortlens.session import materialize
 
@@ -75,7 +76,7 @@ def impute(df: DataFrame, columns: list[str], how: str = "median") -> DataFrame:
 
 
 def fitted_by_group(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
-    """Medians of the group of each row, for long panels.
+    """Medians of the group of each row, for long panels; rows without a group are a group, NaN counts as null.
 
     The medians are written first, so the join with the rows knows their size: few groups are broadcast and
     the rows stay where they are.
@@ -84,10 +85,25 @@ def fitted_by_group(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
     wide = found.groupBy(group).agg(
         *[F.max(F.when(F.col("column") == c, F.col(quantile_name(0.5)))).alias(f"_fill_{c}") for c in columns]
     )
-    joined = df.join(materialize(wide, "medians"), group, "left")
-    return joined.select(
-        *[F.coalesce(named(c), F.col(f"_fill_{c}")).alias(c) if c in columns else named(c) for c in df.columns]
-    )
+    wide = materialize(wide, "medians")
+    joined = df.alias("r").join(wide.withColumnRenamed(group, "_group"), named(group).eqNullSafe(F.col("_group")), "left")
+    return joined.select(*[
+        F.coalesce(F.nanvl(named(c).cast("double"), F.lit(None)), F.col(f"_fill_{c}")).alias(c) if c in columns else named(c) for c in df.columns
+    ])
+
+
+def impute_all(df: DataFrame, how: str = "median", keep: tuple[str, ...] = ()) -> DataFrame:
+    """All columns at once: numbers by `how`, texts by their mode, or with `drop` only the rows without a gap.
+
+    Columns named in `keep` are left alone and do not count as gaps.
+    """
+    own = [c for c in df.columns if c not in keep]
+    if how == "drop":
+        return drop_incomplete(without_nan(df), own)
+    numbers = [c for c in numeric_columns(df) if c in own]
+    texts = [c for c in text_columns(df) if c in own]
+    filled = apply(df, fit(df, numbers, how), numbers) if numbers else df
+    return apply(filled, fit(df, texts, "mode"), texts) if texts else filled
 
 
 def drop_incomplete(df: DataFrame, subset: list[str] | None = None) -> DataFrame:

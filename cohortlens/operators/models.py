@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from cohortlens import constants as C
 from cohortlens.functions.numeric import named
 from cohortlens.operators import evaluate, profile, split, target
+from cohortlens.session import materialize
 
 FEATURES, LABEL, WEIGHT, FOLD = "features", "label", "weight", "fold"
 SEED = C.SEED
@@ -94,19 +95,19 @@ def catalog() -> dict[str, Candidate]:
 def assemble(df: DataFrame, columns: list[str], label: str, keep: list[str] = ()) -> DataFrame:
     """`features` vector, `label` as double, and balanced class weights as `weight`.
 
-    The weights are one row per class, so joining them is a broadcast of fixed size.
+    The weights are one row per class; Spark sees their size and chooses the join.
     """
-    weights = target.class_weights(df, label).select(F.col("label").alias("_class"), F.col("weight").alias(WEIGHT))
+    weights = materialize(target.class_weights(df, label), "weights").select(F.col("label").alias("_class"), F.col("weight").alias(WEIGHT))
     base = df.where(named(label).isNotNull())
-    joined = base.join(F.broadcast(weights), named(label) == F.col("_class")).withColumn(LABEL, named(label).cast("double"))
+    joined = base.join(weights, named(label) == F.col("_class")).withColumn(LABEL, named(label).cast("double"))
     vector = VectorAssembler(inputCols=list(columns), outputCol=FEATURES, handleInvalid="error")
     return vector.transform(joined).select(*[named(k) for k in keep], FEATURES, LABEL, WEIGHT)
 
 
 def from_vectors(df: DataFrame, vector: str, label: str, key: str) -> DataFrame:
     """Training frame from an array column."""
-    weights = target.class_weights(df, label).select(F.col("label").alias("_class"), F.col("weight").alias(WEIGHT))
-    joined = df.join(F.broadcast(weights), named(label) == F.col("_class"))
+    weights = materialize(target.class_weights(df, label), "weights").select(F.col("label").alias("_class"), F.col("weight").alias(WEIGHT))
+    joined = df.join(weights, named(label) == F.col("_class"))
     return joined.select(named(key), array_to_vector(named(vector)).alias(FEATURES), named(label).cast("double").alias(LABEL), WEIGHT)
 
 
@@ -133,7 +134,7 @@ def fold_scores(train: DataFrame, key: str, names: list[str] | None = None, scor
     models = catalog()
     names = names or list(models)
     folded = split.folds(train, LABEL, key, k).persist()
-    weight = total_weight(train) * (k - 1) / k
+    weight = total_weight(train)  # as in the grid search, so that both rank the same models
     judge = scorer(scoring)
 
     def one(task):
@@ -181,12 +182,11 @@ def train_best(train: DataFrame, key: str, name: str | None = None, scoring: str
                grids: dict[str, dict] | None = None, settings: dict[str, dict] | None = None, parallelism: int = 4):
     """(model, cv table or None, best parameters): pick by cross-validation, tune by grid, refit on all rows."""
     models = catalog()
-    cv = None
-    if name is None:
-        cv = cross_validate(train, key, scoring=scoring, k=k, settings=settings)
-        name = evaluate.best_model(cv).head()["model"]
-    if name not in models:
+    if name is not None and name not in models:
         raise ValueError(f"unknown model {name!r}; one of {sorted(models)}")
+    cv = None if name else cross_validate(train, key, scoring=scoring, k=k, settings=settings)
+    if cv is not None:
+        name = evaluate.best_model(cv).head()["model"]
     candidate = models[name]
     weight = total_weight(train)
     estimator = candidate.build(weight, **(settings or {}).get(name, {}))
@@ -218,29 +218,35 @@ def calibrated_svm(train: DataFrame, key: str, estimator: LinearSVC, k: int = C.
 
 
 def importance(model, columns: list[str], spark) -> DataFrame:
-    """(feature, importance), largest first; empty for models that have neither importances nor coefficients."""
-    if hasattr(model, "featureImportances"):
-        values = model.featureImportances.toArray()
-    elif hasattr(model, "coefficients"):
-        values = [abs(v) for v in model.coefficients.toArray()]
-    else:
-        return spark.createDataFrame([], "feature string, importance double")
-    rows = [(c, float(v)) for c, v in zip(columns, values)]
+    """(feature, importance), largest first: what a tree model splits by, or the size of a linear model's coefficients.
+
+    Empty for models that have neither.
+    """
+    vectors = [(name, getattr(model, name, None)) for name in ("featureImportances", "coefficients")]
+    weights = next((v.toArray() for _, v in vectors if v is not None), ())
+    rows = [(c, abs(float(w))) for c, w in zip(columns, weights)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def _by_correlation(df: DataFrame, columns: list[str], label: str, trees: int) -> DataFrame:
+    return profile.correlation_with(df, columns, label).select(F.col("column").alias("feature"), F.col("abs_corr").alias("rank"))
+
+
+def _by_forest(df: DataFrame, columns: list[str], label: str, trees: int) -> DataFrame:
+    forest = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, numTrees=trees, maxDepth=10, seed=C.SEED)
+    found = importance(forest.fit(assemble(df, columns, label)), columns, df.sparkSession)
+    return found.withColumnRenamed("importance", "rank")
+
+
+RANKINGS = {"correlation": _by_correlation, "importance": _by_forest}
+
+
 def select_features(df: DataFrame, columns: list[str], label: str, method: str = "importance",
                     top_k: int | None = None, trees: int = 100) -> list[str]:
-    """Names of the features to keep: all, or the top k by forest importance or by correlation with the label."""
-    if method == "all" or top_k is None:
-        return list(columns)
-    if method == "correlation":
-        ranked = profile.correlation_with(df, columns, label)
-        best = ranked.where("abs_corr is not null").orderBy(F.desc("abs_corr"), "column").limit(top_k)
-        return [r["column"] for r in best.collect()]
-    if method == "importance":
-        forest = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, numTrees=trees, maxDepth=10, seed=C.SEED)
-        model = forest.fit(assemble(df, columns, label))
-        best = evaluate.top_importance(importance(model, columns, df.sparkSession), top_k)
-        return [r["feature"] for r in best.collect()]
-    raise ValueError(f"unknown method {method!r}")
+    """Names of the features to keep: the `top_k` first by a ranking, all of them for `all` or without `top_k`."""
+    if method not in (*RANKINGS, "all"):
+        raise ValueError(f"unknown method {method!r}")
+    if top_k is None or method not in RANKINGS:
+        return [*columns]
+    ranked = RANKINGS[method](df, columns, label, trees).where("rank IS NOT NULL")
+    return [r["feature"] for r in ranked.orderBy(F.desc("rank"), "feature").limit(top_k).collect()]

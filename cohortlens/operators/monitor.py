@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.functions.numeric import half_even, named
+from cohortlens.functions.numeric import divide, half_even, named
 
 MIN_PREDICTIONS = 10
 
 
-def latest(log: DataFrame, n: int = 1000, time: str = "timestamp", tie: str = "id") -> DataFrame:
+def latest(log: DataFrame, n: int, time: str = "timestamp", tie: str = "id") -> DataFrame:
     """The newest n log rows; each task keeps its own top n."""
     return log.orderBy(F.desc(time), F.desc(tie)).limit(n)
 
@@ -21,14 +21,21 @@ def risk_distribution(log: DataFrame) -> DataFrame:
 
 
 def stats(log: DataFrame, last_n: int | None = None) -> DataFrame:
-    """One row: total, counts by risk level, mean probability and time of the last prediction."""
+    """One row: total, counts of HIGH and LOW and of every level there is, mean probability, time of the last prediction.
+
+    `risk_distribution` is an array of (risk_level, n) by level, so no level is lost whatever it is called.
+    """
     rows = latest(log, last_n) if last_n else log
-    return rows.agg(
-        F.count(F.lit(1)).alias("total_predictions"),
-        F.count_if(F.col("risk_level") == "HIGH").alias("n_high"),
-        F.count_if(F.col("risk_level") == "LOW").alias("n_low"),
-        F.avg("probability_at_risk").alias("avg_probability_at_risk"),
-        F.max("timestamp").alias("latest_prediction"),
+    levels = rows.groupBy("risk_level").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("probability_at_risk").alias("s"), F.count("probability_at_risk").alias("k"), F.max("timestamp").alias("t"))
+    own = F.when(F.col("risk_level").isNotNull(), F.struct("risk_level", "n"))
+    return levels.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_predictions"),
+        F.coalesce(F.sum(F.when(F.col("risk_level") == "HIGH", F.col("n"))), F.lit(0)).alias("n_high"),
+        F.coalesce(F.sum(F.when(F.col("risk_level") == "LOW", F.col("n"))), F.lit(0)).alias("n_low"),
+        divide(F.sum("s"), F.sum("k")).alias("avg_probability_at_risk"),
+        F.max("t").alias("latest_prediction"),
+        F.sort_array(F.collect_list(own)).alias("risk_distribution"),
     )
 
 
@@ -74,9 +81,11 @@ def metrics_view(report: DataFrame, log: DataFrame) -> DataFrame:
 
 def summary(log: DataFrame, metrics: DataFrame | None = None, evaluation: DataFrame | None = None) -> DataFrame:
     """One row: log statistics, the newest metrics row and the evaluation metrics, each as a struct."""
+    empty = F.col("total_predictions") == 0
     totals = stats(log).select(
-        F.lit("active").alias("status"), "total_predictions", "n_high", "n_low",
+        F.lit("active").alias("status"), "total_predictions", "n_high", "n_low", "risk_distribution",
         half_even(F.col("avg_probability_at_risk"), 4).alias("avg_risk_probability"), "latest_prediction",
+        F.when(empty, "no predictions logged yet").alias("message"),
     )
     extra = []
     if metrics is not None:

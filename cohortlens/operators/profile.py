@@ -7,10 +7,10 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.functions.numeric import divide, named
-from cohortlens.functions.shape import statistics, unpivot
+from cohortlens.functions.shape import present, statistics, unpivot
 from cohortlens.functions.text import literal, quoted
 from cohortlens.operators.impute import long_numbers
-from cohortlens.operators.ranks import prefix_sums, quantile_columns, value_counts
+from cohortlens.operators.ranks import quantiles
 from cohortlens.session import materialize
 
 BLOCK = 100  # aggregates per pass, so that generated code stays within the limits of the JVM
@@ -59,23 +59,14 @@ def type_histogram(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, sample deviation, min, quartiles and max per column, exact, in one scan.
-
-    Deviations are taken from the mean that the running totals already carry.
-    """
-    long = long_numbers(df, columns)
-    counted = value_counts(long, ["column"], "value").withColumn("s", F.col("value") * F.col("n"))
-    ranked = prefix_sums(counted, ["column"], "value", ["n", "s"])
-    mean = F.col("tot_s") / F.col("tot_n")
-    squares = F.sum(F.col("n") * (F.col("value") - mean) * (F.col("value") - mean))
-    return ranked.groupBy("column").agg(
-        F.max("tot_n").alias("count"),
-        F.max(mean).alias("mean"),
-        F.sqrt(divide(squares, F.max("tot_n") - 1)).alias("std"),
-        F.min("value").alias("min"),
-        *quantile_columns("value", [0.25, 0.5, 0.75]),
-        F.max("value").alias("max"),
-    )
+    """count, mean, sample deviation, min, quartiles and max per column, exact; columns without values have no row."""
+    long = long_numbers(df, columns).where("value is not null")
+    moments = long.groupBy("column").agg(
+        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    quartiles = quantiles(long, ["column"], "value", [0.25, 0.5, 0.75])
+    both = moments.join(F.broadcast(quartiles), "column")  # one row per column of the schema
+    return both.select("column", "count", "mean", "std", "min", "q0_25", "q0_5", "q0_75", "max")
 
 
 def category_counts(df: DataFrame, column: str) -> DataFrame:
@@ -113,23 +104,36 @@ def yearly_means_wide(df: DataFrame, years, indicators) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str], both_ways: bool = False) -> DataFrame:
-    """(a, b, corr) for every pair a before b (or in both orders); a pair uses the rows where both are present.
+    """(a, b, corr) for every pair a before b (or in both orders); a pair uses the rows where both are present, NaN is null.
 
-    Up to BLOCK pairs share a pass over the data.
+    One pass over the data, however many columns: a row becomes one entry per block of pairs, a block is one group, and
+    its correlations combine before the shuffle.
     """
-    pairs = list(combinations(columns, 2))
-    blocks = [pairs[i:i + BLOCK] for i in range(0, len(pairs), BLOCK)]
-    out = None
-    for block in blocks:
-        row = df.selectExpr(*[f"corr({quoted(a)}, {quoted(b)}) AS p{i}" for i, (a, b) in enumerate(block)])
-        cells = [f"{literal(a)}, {literal(b)}, p{i}" for i, (a, b) in enumerate(block)]
-        if both_ways:
-            cells += [f"{literal(b)}, {literal(a)}, p{i}" for i, (a, b) in enumerate(block)]
-        part = row.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS (a, b, corr)")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    if len(columns) < 2:
         raise ValueError("a correlation needs two columns")
-    return out
+    kinds = dict(df.dtypes)
+    values = [f"cast({present(c, kinds[c])} AS double)" for c in columns]
+    pairs = list(combinations(range(len(columns)), 2))
+    blocks = [pairs[i:i + BLOCK] for i in range(0, len(pairs), BLOCK)]
+    rows = df.select(F.expr(f"array({', '.join(values)})").alias("v"))
+    parts = F.array(*[F.lit(i) for i in range(len(blocks))])
+    entries = rows.select("v", F.explode(parts).alias("block"))
+    # in block b, pair number k has its two columns from a table of numbers
+    left = F.array(*[F.array(*[F.lit(a) for a, _ in block]) for block in blocks])
+    right = F.array(*[F.array(*[F.lit(b) for _, b in block]) for block in blocks])
+
+    def side(table, k):
+        return F.get(F.col("v"), F.get(F.get(table, F.col("block")), F.lit(k)))
+
+    sums = entries.groupBy("block").agg(*[F.corr(side(left, k), side(right, k)).alias(f"p{k}") for k in range(min(BLOCK, len(pairs)))])
+    cells = []
+    for number, block in enumerate(blocks):
+        for k, (a, b) in enumerate(block):
+            both = [(columns[a], columns[b])] + [(columns[b], columns[a])] * both_ways
+            cells += [F.struct(F.lit(number).alias("block"), F.lit(x).alias("a"), F.lit(y).alias("b"), F.lit(k).alias("k")) for x, y in both]
+    table = df.sparkSession.range(1).select(F.inline(F.array(*cells)))
+    long = sums.select("block", F.posexplode(F.array(*[f"p{k}" for k in range(min(BLOCK, len(pairs)))])).alias("k", "corr"))
+    return table.join(long, ["block", "k"]).select("a", "b", "corr")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -152,32 +156,26 @@ def correlation_with(df: DataFrame, columns: list[str], label: str) -> DataFrame
 def histogram(df: DataFrame, columns: list[str], bins: int, by: list[str] = ()) -> DataFrame:
     """(by, column, bin, low, high, n): equal-width bins over the observed range; empty bins have no row.
 
-    Ranges are found per (by, column) and joined back; equal values are counted before that, so the data is
-    read once and the rest works on distinct values.
+    One aggregate finds the ranges, a second pass counts bins; at most one row per bin and task is shuffled.
     """
     by = list(by)
     keys = [*by, "column"]
-    counted = materialize(value_counts(long_numbers(df, columns, by), keys, "value"), "counts")
-    ranges = counted.groupBy(*keys).agg(F.min("value").alias("_min"), F.max("value").alias("_max"))
-    if not by:
-        ranges = F.broadcast(ranges)  # one row per column of the schema
-    both = counted.join(ranges, keys)
+    long = long_numbers(df, columns, by).where("value is not null")
+    ranges = materialize(long.groupBy(*keys).agg(F.min("value").alias("_min"), F.max("value").alias("_max")), "ranges")
+    both = long.join(ranges if by else F.broadcast(ranges), keys)  # without groups one row per column of the schema
     width = (F.col("_max") - F.col("_min")) / bins
     spot = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("_min")) / width), F.lit(bins - 1))).otherwise(0)
-    binned = both.select(*keys, spot.cast("int").alias("bin"), "_min", width.alias("_width"), "n")
-    out = binned.groupBy(*keys, "bin", "_min", "_width").agg(F.sum("n").alias("n"))
+    out = both.groupBy(*keys, spot.cast("int").alias("bin"), "_min", width.alias("_width")).agg(F.count(F.lit(1)).alias("n"))
     low = F.col("_min") + F.col("bin") * F.col("_width")
     return out.select(*keys, "bin", low.alias("low"), (low + F.col("_width")).alias("high"), "n")
 
 
-def _fences(ranked: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles and fences per key, written out: joins then know how small (or large) they are."""
-    quartiles = ranked.groupBy(*keys).agg(
-        F.max("tot_n").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
-        *quantile_columns("value", [0.25, 0.5, 0.75]),
-    )
+def _fences(long: DataFrame, keys: list[str], few_keys: bool) -> DataFrame:
+    """Size, range, quartiles and fences per key, written out: joins then know how small (or large) they are."""
+    quartiles = quantiles(long, keys, "value", [0.25, 0.5, 0.75], few_keys)
+    ranges = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"))
     spread = F.col("q0_75") - F.col("q0_25")
-    return materialize(quartiles.select(
+    return materialize(ranges.join(quartiles, keys).select(
         "*", (F.col("q0_25") - 1.5 * spread).alias("low_fence"), (F.col("q0_75") + 1.5 * spread).alias("high_fence")
     ), "boxes")
 
@@ -186,18 +184,13 @@ def box_stats(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFram
     """Quartiles, whiskers (last values inside 1.5 spreads) and the number of outliers per (by, column)."""
     by = list(by)
     keys = [*by, "column"]
-    counted = materialize(value_counts(long_numbers(df, columns, by), keys, "value"), "counts")
-    ranked = prefix_sums(counted, keys, "value", ["n"], few_keys=not by, stored=True)
-    boxes = _fences(ranked, keys)
+    long = long_numbers(df, columns, by).where("value is not null")
+    boxes = _fences(long, keys, not by)
     inside = F.col("value").between(F.col("low_fence"), F.col("high_fence"))
-    tails = (
-        counted.join(boxes.select(*keys, "low_fence", "high_fence"), keys)
-        .groupBy(*keys)
-        .agg(
-            F.min(F.when(inside, F.col("value"))).alias("low_whisker"),
-            F.max(F.when(inside, F.col("value"))).alias("high_whisker"),
-            F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("n_outliers"),
-        )
+    tails = long.join(boxes.select(*keys, "low_fence", "high_fence"), keys).groupBy(*keys).agg(
+        F.min(F.when(inside, F.col("value"))).alias("low_whisker"),
+        F.max(F.when(inside, F.col("value"))).alias("high_whisker"),
+        F.count_if(~inside).alias("n_outliers"),
     )
     return boxes.join(tails, keys).select(
         *keys, "n", "min", "low_whisker", F.col("q0_25").alias("q1"), F.col("q0_5").alias("median"),
@@ -210,8 +203,7 @@ def box_outliers(df: DataFrame, columns: list[str], ids: list[str], by: list[str
     by = list(by)
     keys = [*by, "column"]
     long = long_numbers(df, columns, [*ids, *by]).where("value is not null")
-    ranked = prefix_sums(value_counts(long, keys, "value"), keys, "value", ["n"], few_keys=not by)
-    fences = _fences(ranked, keys).select(*keys, "low_fence", "high_fence")
+    fences = _fences(long, keys, not by).select(*keys, "low_fence", "high_fence")
     outside = ~F.col("value").between(F.col("low_fence"), F.col("high_fence"))
     return long.join(fences, keys).where(outside).select(*ids, *keys, "value")
 

@@ -1,8 +1,10 @@
 """Running sums, ranks and exact quantiles over values that no single task could hold.
 
 The usual `Window.orderBy(value)` puts everything into one task. Here equal values are first counted
-together, the distinct values are cut into ranges of about the same size, sums run inside each range,
-and the totals of the ranges before it are added.
+together, the distinct values are dealt into ranges by Spark's range partitioning (as many as there are
+shuffle partitions, so they follow the size of the job), sums run inside each range, and the totals of the
+ranges before it are added. Quantiles do not rank all values: a sketch brackets each of them, and only the
+values inside a bracket are counted and ranked.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cohortlens.functions.numeric import named
 from cohortlens.session import materialize
 
-RANGES = 64
+ACCURACY = 2_000  # a bracket holds about 4 / ACCURACY of the rows
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str, counts: dict | None = None) -> DataFrame:
@@ -25,24 +27,13 @@ def value_counts(df: DataFrame, keys: list[str], value: str, counts: dict | None
     )
 
 
-def _ranges(grouped: DataFrame, keys: list[str], value: str, few_keys: bool) -> DataFrame:
-    """Add `_range`: the number of sampled split points at or below the value.
+def in_ranges(grouped: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The rows written out in ranges of (keys, value), with the number of the range as `_range`.
 
-    Split points are the distinct values with the smallest hashes of each key: a fair sample that is the
-    same on every run and has at most RANGES entries per key.
+    Numbers ascend with the value for each key; a key with very many values has many ranges.
     """
-    by_hash = Window.partitionBy(*keys).orderBy("_h", value)
-    splits = (
-        grouped.select(*keys, value, F.xxhash64(*keys, value).alias("_h"))
-        .withColumn("_r", F.row_number().over(by_hash))
-        .where(F.col("_r") <= RANGES)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(value)).alias("_splits"))
-    )
-    if few_keys:
-        splits = F.broadcast(splits)
-    below = F.size(F.filter("_splits", lambda s: s <= named(value)))
-    return grouped.join(splits, keys).withColumn("_range", below).drop("_splits")
+    ranged = grouped.repartitionByRange(*[named(k) for k in keys], named(value))
+    return materialize(ranged.withColumn("_range", F.spark_partition_id()), "counts")
 
 
 def prefix_sums(
@@ -51,15 +42,15 @@ def prefix_sums(
 ) -> DataFrame:
     """Add cum_<c> (running sum up to and including the row) and tot_<c> for every count column.
 
-    `grouped` has one row per (keys, value); it is written out once, because split points, range totals
-    and the sums themselves all read it (`stored`: it is a written table already). `few_keys` says that the number of keys is bounded by the
-    schema, so that the range totals (at most RANGES + 1 rows per key) may be broadcast; otherwise Spark
-    decides from their size at run time. `next_value` adds the next larger value of the same key.
+    `grouped` has one row per (keys, value); it is written out in ranges once, because range totals and the sums
+    themselves both read it (`stored`: it comes from `in_ranges` already). `few_keys` says that the number of keys is
+    bounded by the schema, so that the range totals (one row per key and range) may be broadcast; otherwise
+    Spark decides from their size at run time. `next_value` adds the next larger value of the same key.
     """
     keyless = not keys
     if keyless:
         grouped, keys = grouped.withColumn("_all", F.lit(0)), ["_all"]
-    ranged = _ranges(grouped if stored else materialize(grouped, "counts"), keys, value, few_keys)
+    ranged = grouped if stored else in_ranges(grouped, keys, value)
 
     up_to = Window.partitionBy(*keys).orderBy("_range")
     whole = Window.partitionBy(*keys)
@@ -108,9 +99,58 @@ def quantile_columns(value: str, probabilities, n: str = "n"):
     return out
 
 
+def _brackets(df: DataFrame, keys: list[str], value: str, probabilities) -> DataFrame:
+    """(keys, total, low, high): number of values, and bounds between which each quantile lies, in one aggregate.
+
+    The sketch is right within 1 / ACCURACY in rank; the bounds are two such steps apart from the quantile.
+    """
+    step = 2 / ACCURACY
+    low = ", ".join(f"{max(p - step, 0.0)!r}D" for p in probabilities)
+    high = ", ".join(f"{min(p + step, 1.0)!r}D" for p in probabilities)
+    rows = df.where(named(value).isNotNull()).groupBy(*[named(k) for k in keys])
+    sketch = f"percentile_approx(`{value}`, array({{}}), {ACCURACY})"
+    return rows.agg(
+        F.count(F.lit(1)).alias("_total"), F.expr(sketch.format(low)).alias("_low"), F.expr(sketch.format(high)).alias("_high"),
+        F.min(named(value)).alias("_min"), F.max(named(value)).alias("_max"))
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, probabilities, few_keys: bool = True) -> DataFrame:
-    """Exact quantiles per key, one column per probability."""
-    counted = value_counts(df, keys, value)
-    ranked = prefix_sums(counted, keys, value, ["n"], few_keys)
-    columns = quantile_columns(value, probabilities)
-    return ranked.groupBy(*keys).agg(*columns) if keys else ranked.agg(*columns)
+    """Exact quantiles per key, linearly interpolated, one column per probability.
+
+    One pass brackets them, a second one counts what is below each bracket and the values inside it; only these few
+    are ranked. NaN must have been made null.
+    """
+    probabilities = [float(p) for p in probabilities]
+    brackets = materialize(_brackets(df, keys, value, probabilities), "brackets")
+    both = df.where(named(value).isNotNull())
+    both = both.join(F.broadcast(brackets) if few_keys else brackets, keys) if keys else both.crossJoin(F.broadcast(brackets))
+    v = named(value)
+
+    def place(i: int):
+        """The value if it is inside the bracket of a probability, null if below; no entry if above.
+
+        A step of the sketch must hold a few rows for the bracket to be sure; for fewer rows it is the whole range.
+        """
+        few = F.col("_total") < 4 * ACCURACY
+        low = F.col("_min") if probabilities[i] < 2 / ACCURACY else F.when(few, F.col("_min")).otherwise(F.col("_low")[i])
+        high = F.col("_max") if probabilities[i] > 1 - 2 / ACCURACY else F.when(few, F.col("_max")).otherwise(F.col("_high")[i])
+        return F.when(v <= high, F.struct(F.lit(i).alias("_p"), F.when(v >= low, v).alias("_v")))
+
+    entries = F.filter(F.array(*[place(i) for i in range(len(probabilities))]), lambda x: x.isNotNull())
+    counted = both.select(*[named(k) for k in keys], F.inline(entries)).groupBy(*[named(k) for k in keys], "_p", "_v").agg(F.count(F.lit(1)).alias("n"))
+    counted = materialize(counted, "bracketed")
+    below = counted.where("_v IS NULL").select(*[named(k) for k in keys], "_p", F.col("n").alias("_below"))
+    ranked = prefix_sums(counted.where("_v IS NOT NULL"), [*keys, "_p"], "_v", ["n"], few_keys)
+    ranked = ranked.join(F.broadcast(below) if few_keys else below, [*keys, "_p"], "left")
+    ranked = ranked.join(F.broadcast(brackets) if few_keys else brackets, keys) if keys else ranked.crossJoin(F.broadcast(brackets))
+    before = F.coalesce("_below", F.lit(0))
+    first, last = before + F.col("cum_n") - F.col("n"), before + F.col("cum_n") - 1
+    columns = []
+    for i, p in enumerate(probabilities):
+        position = F.lit(p) * (F.col("_total") - 1)
+        low, high = F.floor(position), F.ceil(position)
+        own = F.col("_p") == i
+        at_low = F.max(F.when(own & low.between(first, last), F.col("_v")))
+        at_high = F.max(F.when(own & high.between(first, last), F.col("_v")))
+        columns.append((at_low + (at_high - at_low) * F.max(position - low)).alias(quantile_name(p)))
+    return ranked.groupBy(*[named(k) for k in keys]).agg(*columns) if keys else ranked.agg(*columns)

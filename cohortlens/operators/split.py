@@ -35,8 +35,8 @@ def cut_points(df: DataFrame, label: str, key: str, fractions: list[float], seed
     inside = F.filter(wanted, lambda w: (w["rank"] > F.col("_before")) & (w["rank"] <= F.col("_before") + F.col("_n")))
     cuts = placed.select("_label", "_b", "_before", F.explode(inside).alias("_w"))
 
-    # At most one (class, prefix) row per cut, so the broadcast is bounded by classes times cuts.
-    candidates = bucketed.join(F.broadcast(cuts), ["_label", "_b"])
+    # At most one (class, prefix) row per cut; written, so that Spark knows their size.
+    candidates = bucketed.join(materialize(cuts, "cut-prefixes"), ["_label", "_b"])
     order = Window.partitionBy("_label", "_w").orderBy("_h", "_key")
     found = candidates.withColumn("_r", F.row_number().over(order)).where(
         F.col("_r") == F.col("_w.rank") - F.col("_before")
@@ -48,7 +48,7 @@ def cut_points(df: DataFrame, label: str, key: str, fractions: list[float], seed
 def _with_cuts(df: DataFrame, label: str, key: str, fractions: list[float], seed: int) -> DataFrame:
     cuts = materialize(cut_points(df, label, key, fractions, seed), "cuts")
     marked = df.withColumn("_at", F.struct(order_hash(named(key), seed).alias("_h"), named(key).alias("_key")))
-    return marked.join(F.broadcast(cuts), named(label) == F.col("_label"), "left")
+    return marked.join(cuts, named(label) == F.col("_label"), "left")
 
 
 def stratified(df: DataFrame, label: str, key: str, test_size: float = C.TEST_SIZE, seed: int = C.SEED,

@@ -11,13 +11,12 @@ MODES = ("negative_is_risk", "already_binary", "detect")
 
 
 def resolve(names: list[str], year: int | None, target: str = C.TARGET) -> str:
-    """The target column of the year, else the last target column by name; an error without any."""
-    if year is not None and f"{target}_{year}" in names:
-        return f"{target}_{year}"
-    others = sorted((n for n in names if n.upper().startswith(target)), reverse=True)
-    if others:
-        return others[0]
-    raise ValueError(f"no target column {target!r} among {names}")
+    """The target column of the year if there is one, else the last by name of all that begin with the target."""
+    wanted = None if year is None else f"{target}_{year}"
+    found = max((n for n in names if n == wanted or n.upper().startswith(target)), key=lambda n: (n == wanted, n), default=None)
+    if found is None:
+        raise ValueError(f"no target column {target!r} among {names}")
+    return found
 
 
 def is_multivalued(df: DataFrame, column: str) -> bool:
@@ -26,13 +25,21 @@ def is_multivalued(df: DataFrame, column: str) -> bool:
 
 
 def binarize(df: DataFrame, column: str, mode: str = "negative_is_risk", label: str = "label") -> DataFrame:
-    """Drop rows without a target and add the label: 1 for a negative value, or the 0/1 value itself."""
+    """Drop rows without a target and add the label: 1 for a negative value, or the 0/1 value itself.
+
+    `detect` looks for a third value and takes the first rule if there is one. Where the values are to be labels
+    already, others than 0 and 1 are an error when the rows are read.
+    """
     if mode not in MODES:
         raise ValueError(f"unknown target mode {mode!r}; one of {MODES}")
     if mode == "detect":
         mode = "negative_is_risk" if is_multivalued(df, column) else "already_binary"
     value = named(column)
-    out = F.when(value < 0, 1).otherwise(0) if mode == "negative_is_risk" else value
+    if mode == "negative_is_risk":
+        out = F.when(value < 0, 1).otherwise(0)
+    else:
+        wrong = F.concat(F.lit(f"{column} is not 0 or 1: "), value.cast("string"))
+        out = F.when(value.isin(0, 1), value).otherwise(F.raise_error(wrong).cast("int"))
     return df.where(value.isNotNull()).withColumn(label, out.cast("int"))
 
 

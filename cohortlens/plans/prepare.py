@@ -140,13 +140,17 @@ def prepare(df: DataFrame, spec: PanelSpec, year: int | None = None, missing: st
             fit_on: str = "train", test_size: float = C.TEST_SIZE, seed: int = C.SEED) -> tuple[DataFrame, Preparation]:
     """(key, label, split and standardised features, fitted preparation).
 
-    Labelled rows, split rows and encoded rows are each written to the shared folder once, so no fit repeats
-    the work before it.
+    Labelled rows and encoded rows are each written to the shared folder once, so no fit repeats the work before
+    it. `missing="drop"` leaves out labelled rows with a gap; rows that are scored later are filled with the medians
+    and modes of the others.
     """
     keep = [spec.key, LABEL, SPLIT]
-    clean = materialize(labelled(df, spec, year), "labelled")
-    rows = materialize(split.stratified(clean, LABEL, spec.key, test_size, seed, SPLIT), "split")
-    prep = fit_values(rows, spec, missing, engineered, fit_on)
+    found = labelled(df, spec, year)
+    if missing == "drop":
+        found = impute.impute_all(found, "drop", (spec.key,))
+    clean = materialize(found, "labelled")
+    rows = split.stratified(clean, LABEL, spec.key, test_size, seed, SPLIT)  # a projection on written rows and cuts
+    prep = fit_values(rows, spec, "median" if missing == "drop" else missing, engineered, fit_on)
     encoded = materialize(prep.encode(prep.fill(rows, keep), keep), "encoded")
     fit_scale(prep, encoded.where(F.col(SPLIT) == "train"))
     return prep.standardize(encoded, keep), prep

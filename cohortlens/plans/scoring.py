@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cohortlens.operators import contract, score
 from cohortlens.operators.models import FEATURES
 from cohortlens.plans.prepare import Preparation
+from cohortlens.session import materialize
 from cohortlens.sources import files, logs
 
 
@@ -58,10 +59,19 @@ def score_valid(scorer: Scorer, df: DataFrame, keep: list[str], timestamp: str |
 
 
 def score_file(spark: SparkSession, scorer: Scorer, source: str, result: str, log: str | None = None,
-               timestamp: str | Column | None = None) -> DataFrame:
-    """CSV in, CSV out with three more columns, rows logged; returns total and counts by risk level."""
+               timestamp: str | Column | None = None, quarantine: str | None = None) -> DataFrame:
+    """CSV in, CSV out with three more columns, rows logged; returns total and counts by risk level.
+
+    Records out of bounds are not scored; they go to the folder `quarantine` with their violations if one is given,
+    and are an error otherwise. Scores are written once, and file and log both come from there.
+    """
     inputs = files.read_csv(spark, source)
-    scored = scorer.predict(inputs, inputs.columns, timestamp)
+    valid, rejected = contract.split(inputs, contract.panel_rules(inputs.columns, scorer.preparation.spec.years))
+    if quarantine:
+        rejected.write.mode("overwrite").json(quarantine)
+    elif not rejected.isEmpty():
+        raise ValueError(f"{source} has records out of bounds and there is no quarantine folder for them")
+    scored = materialize(scorer.predict(valid, inputs.columns, timestamp), "scored")
     flat = scored.select(
         *[F.col(f"`{c}`") for c in inputs.columns], "prediction", "risk_level",
         F.col("probability.at_risk").alias("probability_at_risk"),

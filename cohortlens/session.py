@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,23 +27,27 @@ def build_session(app: str = "cohortlens", master: str | None = None, **conf: st
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return with_scratch(builder.getOrCreate())
 
 
 def _scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        root = os.path.join(tempfile.gettempdir(), "cohortlens")
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
+def with_scratch(spark: SparkSession) -> SparkSession:
+    """Give a session of one machine that names no checkpoint folder a temporary one; others are left as they are."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and re.match(r"local(\[[^\]]*\])?$", context.master):
+        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "cohortlens"))
+    return spark
 
-    Only a local master, as in tests, falls back to a temporary folder of this machine.
-    """
+
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the cluster's shared checkpoint folder; an error where the session names none."""
     return f"{_scratch_root(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 

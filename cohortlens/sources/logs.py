@@ -63,10 +63,10 @@ def metrics_row(metrics: DataFrame, model_type: str, timestamp: str | Column | N
     )
 
 
-def drift_row(summary: DataFrame, timestamp: str | Column | None, report_path: str) -> DataFrame:
+def drift_row(summary: DataFrame, timestamp: str | Column | None, report_path: str | None = None) -> DataFrame:
     return summary.select(
         moment(timestamp).alias("timestamp"), "drift_detected", "drifted_features", "n_features_analyzed",
-        "n_features_drifted", F.lit(report_path).alias("report_path"),
+        "n_features_drifted", F.lit(report_path).cast("string").alias("report_path"),
     )
 
 
@@ -75,11 +75,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def read(spark: SparkSession, path: str, schema: str = PREDICTION_LOG, form: str = "json") -> DataFrame:
-    """A log as a frame; an empty one while nothing has been written. Blank lines are skipped."""
+def read(spark: SparkSession, path: str, schema: str = PREDICTION_LOG, form: str = "json", since: str | None = None) -> DataFrame:
+    """A log as a frame; an empty one while nothing has been written. Blank lines are skipped.
+
+    With `since` (a date) only the folders of that day and later ones are read.
+    """
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     log = spark.read.schema(schema).option("timestampFormat", TIME_FORMAT).format(form).load(path)
+    if since is not None:
+        log = log.where(F.col("log_date") >= F.lit(since).cast("date"))
     return log.select(*StructType.fromDDL(schema).names)
 
 

@@ -7,7 +7,6 @@ from pyspark.sql.types import StructType
 
 from cohortlens.operators import contract
 from cohortlens.plans.scoring import Scorer
-from cohortlens.session import scratch_dir
 from cohortlens.sources import logs
 
 
@@ -24,27 +23,50 @@ def read_stream(spark: SparkSession, path: str, schema: str | StructType, form:
     return reader.load(path)
 
 
-def drain(stream: DataFrame, purpose: str, form: str = "parquet") -> DataFrame:
-    """Process what is there, then stop; the result is the table that the append sink wrote.
+def drain(stream: DataFrame, root: str, form: str = "parquet") -> DataFrame:
+    """Process what is there, then stop; the result is the table that the append sink wrote below `root`.
 
-    Aggregates appear once the watermark has closed their window. Offsets and state live in the shared
-    folder, so a restarted run goes on where it was.
+    Aggregates appear once the watermark has closed their window. Offsets and state live in `root`, so a later call
+    with the same folder takes only what has come since and keeps open windows.
     """
-    spark = stream.sparkSession
-    root = scratch_dir(spark, purpose)
     query = (
         stream.writeStream.outputMode("append").format(form).option("checkpointLocation", f"{root}/checkpoint")
         .option("path", f"{root}/rows").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).format(form).load(f"{root}/rows")
+    return stream.sparkSession.read.schema(stream.schema).format(form).load(f"{root}/rows")
+
+
+def drain_complete(stream: DataFrame, root: str) -> DataFrame:
+    """Process what is there, then stop; the result holds all windows so far, open ones too.
+
+    Every batch replaces the result in a folder of its own, so a batch that is repeated after a failure writes the
+    same folder again. State and results live in `root`, as with `drain`.
+    """
+    spark = stream.sparkSession
 
+    def replace(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{root}/rows/{batch}")
 
-def score_stream(stream: DataFrame, scorer: Scorer, keep: list[str], timestamp: str | Column | None = None) -> DataFrame:
-    """Prediction log rows of the valid records of a stream: stateless, so any batch split gives the same rows."""
+    query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(replace)
+    query = query.trigger(availableNow=True).start()
+    query.awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/rows")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    batches = [int(f.getPath().getName()) for f in system.listStatus(path)] if system.exists(path) else []
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows/{max(batches)}")
+
+
+def score_stream(stream: DataFrame, scorer: Scorer, keep: list[str], timestamp: str | Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(prediction log rows of the valid records, rejected records with their violations) of a stream.
+
+    Both are stateless, so any split into batches gives the same rows; write each to its own sink.
+    """
     rules = contract.panel_rules(stream.columns, scorer.preparation.spec.years)
-    valid, _ = contract.split(stream, rules)
-    return logs.prediction_rows(scorer.predict(valid, keep, timestamp), keep)
+    valid, rejected = contract.split(stream, rules)
+    return logs.prediction_rows(scorer.predict(valid, keep, timestamp), keep), rejected
 
 
 def start_append(rows: DataFrame, path: str, checkpoint: str, interval: str = "1 minute"):

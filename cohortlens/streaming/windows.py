@@ -27,8 +27,8 @@ def windowed_stats(log: DataFrame, width: str, slide: str | None = None, by: lis
 def sessions_table(log: DataFrame, by: list[str], gap_seconds: int = 1800) -> DataFrame:
     """The sessions of a whole table, safe for keys with very many records.
 
-    Records first become short sessions inside (key, day), which spreads a busy key over its days; then only
-    those sessions are chained across days.
+    Records become one row per bucket of the gap's width, those become short sessions inside (key, day), which spreads
+    a busy key over its days; then only those sessions are chained across days.
     """
     at = F.col("timestamp").cast("timestamp")
     gap = gap_seconds * 1_000_000
@@ -48,13 +48,14 @@ def sessions_table(log: DataFrame, by: list[str], gap_seconds: int = 1800) -> Da
             n.alias("_n"), total.alias("_total"), high.alias("_high"),
         )
 
-    rows = log.select(
-        *by, at.alias("_first"), at.alias("_last"), F.date_trunc("day", at).alias("_day"), "probability_at_risk", "risk_level"
-    )
-    days = folded(
-        chained(rows, [*by, "_day"], "_first", "_last"), [*by, "_day"],
-        F.count(F.lit(1)), F.sum("probability_at_risk"), F.count_if(F.col("risk_level") == "HIGH"),
-    ).drop("_session")
+    # records in one gap-wide bucket are always one session: they combine before the shuffle, so the windows see at
+    # most one row per key and bucket, however busy the key is
+    bucket = F.floor(F.unix_micros(at) / gap)
+    rows = log.groupBy(*by, bucket.alias("_bucket")).agg(
+        F.min(at).alias("_first"), F.max(at).alias("_last"), F.count(F.lit(1)).alias("_n"),
+        F.sum("probability_at_risk").alias("_total"), F.count_if(F.col("risk_level") == "HIGH").alias("_high"),
+    ).withColumn("_day", F.date_trunc("day", "_first"))
+    days = folded(chained(rows, [*by, "_day"], "_first", "_last"), [*by, "_day"], F.sum("_n"), F.sum("_total"), F.sum("_high")).drop("_session")
     whole = folded(chained(days, by, "_first", "_last"), by, F.sum("_n"), F.sum("_total"), F.sum("_high"))
     return whole.select(
         *by, F.col("_first").alias("session_start"),
