@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import public_tokenizers
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortlens.llm import bpe, chat, decontaminate, language_id, pii, quality, simhash, substrings, token_counts, toxicity
 from cohortlens.llm.common import crc_mod, table
 from cohortlens.llm.oracle import STATEMENTS
+from cohortlens.session import with_scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = STATEMENTS
@@ -20,8 +22,12 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(with_scratch(spark), sf_dir.rstrip("/"))
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def _remainder_is(parts: int, remainder: int):

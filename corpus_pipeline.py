@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.llm import bpe, decontaminate, pii, simhash, toxicity
 from cohortlens.llm.common import crc_mod, table
-from cohortlens.session import materialize
+from cohortlens.session import materialize, with_scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that a classifier learned from confirmed toxic and unlabelled texts rejects."""
+    with_scratch(spark)
     learn = crc_mod(F.col("doc_id"), 5) != 0
     model = toxicity.fit_from_labels(docs.where(learn), table(spark, sf_dir, "labels").where(learn))
     return toxicity.keep_clean(docs, model)
@@ -22,6 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose SimHash fingerprints link."""
+    with_scratch(spark)
     return simhash.keep_one(docs)
 
 
@@ -32,6 +34,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind; n_chars is that of the new text."""
+    with_scratch(spark)
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
@@ -55,7 +58,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each on what the one before has written."""
     sf_dir = sf_dir.rstrip("/")
-    docs = table(spark, sf_dir, "documents")
+    docs = table(with_scratch(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
