@@ -1,104 +1,153 @@
-"""Training, tuning, importance and model scoring; checked by row counts and by unit tests."""
+"""Training, tuning, importance and model scoring at the catalog's settings.
+
+SQL cannot fit a model, but split and folds are deterministic, so it knows the rows: the statements check sizes and marginals, one
+score per record, probabilities, agreement of label and prediction, chosen parameters and a margin over the constant guess.
+"""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cohortlens import constants as C
-from cohortlens.catalog.registry import query, rounded
-from cohortlens.operators import evaluate, models, target
+from cohortlens.catalog.inputs import PANEL, wide
+from cohortlens.catalog.q_panel import CHECKED, _violation
+from cohortlens.catalog.q_prepare import split_sql
+from cohortlens.catalog.registry import query
+from cohortlens.operators import models, target
 from cohortlens.plans.scoring import Scorer, score_valid
 from cohortlens.plans.training import TrainJob
 from cohortlens.session import materialize, scratch_dir
 from cohortlens.sources import star
 
 S = list(C.SCORE_INDICATORS)
-# Smaller ensembles than the catalog's, so that a query is one round of fits and not a search over hours.
-LIGHT = {
-    "LogisticRegression": {"max_iter": 50},
-    "RandomForest": {"trees": 10, "depth": 5},
-    "GradientBoosting": {"trees": 5},
-    "SVM": {"max_iter": 20},
-    "XGBoost": {"trees": 5, "depth": 3},
-}
-STEMS = (*S, "PEDRA", "TURMA", "FASE", "IDADE_ALUNO", "PONTO_VIRADA", "BOLSISTA", "ANOS_PM", "DEFASAGEM")
+FEATURES = [*S, "FASE"]
+LINEAR = ["LogisticRegression", "SVM"]
+# Trees of the catalog's smallest forest, as deep as the forest that ranks features.
+FOREST = {"trees": 100, "depth": 10}
+NOW = "2024-02-01 12:00:00"
 
 
 def _train(spark, d):
     df = target.binarize(star.panel(spark, d, (*S, "FASE", "DEFASAGEM")), "DEFASAGEM")
-    rows = df.select((F.col("cust_id") * 10000 + F.col("year")).alias("row_key"), *S, "FASE", "label")
+    rows = df.select((F.col("cust_id") * 10000 + F.col("year")).alias("row_key"), *FEATURES, "label")
     return materialize(rows, "train")
 
 
 def _assembled(spark, d):
-    return models.assemble(_train(spark, d), [*S, "FASE"], "label", ["row_key"])
+    return materialize(models.assemble(_train(spark, d), FEATURES, "label", ["row_key"]), "assembled")
+
 
+def _guess(train):
+    """F1 of always saying 1."""
+    share = train.agg(F.avg("label")).head()[0]
+    return 2 * share / (1 + share)
 
-def _job(spark, d, model, grids, out=None):
-    df = star.wide(spark, d, STEMS)
-    job = TrainJob(spark, star.wide_spec(df), out, model=model, folds=3, grids=grids, settings=LIGHT,
-                   timestamp="2024-02-01 12:00:00")
+
+def _job(spark, d, out=None, **options):
+    df = star.wide(spark, d)
+    job = TrainJob(spark, star.wide_spec(df), out, timestamp=NOW, **options)
     return df, job.run(df)
 
 
-@query("model_cv_scores")
+@query("model_cv_scores", "SELECT unnest(['LogisticRegression', 'SVM']) AS model, true AS is_share, true AS beats_guess")
 def model_cv_scores(spark, d):
-    return rounded(models.cross_validate(_assembled(spark, d), "row_key", k=3, settings=LIGHT).drop("time_seconds"))
+    """F1 over five folds; each model is better than the constant guess."""
+    train = _assembled(spark, d)
+    scores = models.cross_validate(train, "row_key", LINEAR)
+    return scores.select(
+        "model", F.col("min_score").between(0, F.col("max_score")).alias("is_share"), (F.col("mean_score") > _guess(train)).alias("beats_guess"))
 
 
-@query("model_vectors_cv")
+@query("model_scorings", "SELECT unnest(['accuracy', 'f1', 'precision', 'recall']) AS scoring, true AS is_share")
+def model_scorings(spark, d):
+    """Every scoring name gives a share."""
+    train = _assembled(spark, d)
+    rows = [(name, models.cross_validate(train, "row_key", LINEAR[:1], name).head()["mean_score"]) for name in models.SCORERS]
+    return spark.createDataFrame([(n, 0 <= s <= 1) for n, s in rows], "scoring string, is_share boolean")
+
+
+@query("model_vectors_cv", "SELECT 'LogisticRegression' AS model, true AS is_share")
 def model_vectors_cv(spark, d):
     train = materialize(models.from_vectors(star.vectors(spark, d), "embedding", "label", "vec_id"), "vectors")
-    return rounded(models.cross_validate(train, "vec_id", ["LogisticRegression"], k=3, settings=LIGHT).drop("time_seconds"))
+    scores = models.cross_validate(train, "vec_id", LINEAR[:1])
+    return scores.select("model", F.col("mean_score").between(0, 1).alias("is_share"))
 
 
-@query("model_tune")
+@query("model_tune", "SELECT 'LogisticRegressionModel' AS model, true AS in_grid")
 def model_tune(spark, d):
-    model, _, params = models.train_best(
-        _assembled(spark, d), "row_key", "LogisticRegression", k=3, settings=LIGHT
-    )
-    rows = [(k, float(v)) for k, v in params.items()]
-    return spark.createDataFrame(rows, "param string, value double").withColumn("model", F.lit(type(model).__name__))
+    """The catalog's whole grid over five folds; the chosen strength is one of it."""
+    train = _assembled(spark, d)
+    model, _, params = models.train_best(train, "row_key", "LogisticRegression")
+    weight = models.total_weight(train)
+    grid = [1.0 / (c * weight) for c in models.GRIDS["LogisticRegression"]["C"]]
+    near = any(abs(params["regParam"] - g) < 1e-12 for g in grid)
+    return spark.createDataFrame([(type(model).__name__, near)], "model string, in_grid boolean")
 
 
-@query("model_importance")
+@query("model_importance", f"SELECT CAST({len(FEATURES)} AS BIGINT) AS n_features, true AS sums_to_one")
 def model_importance(spark, d):
     train = _assembled(spark, d)
-    model = models.catalog()["RandomForest"].build(models.total_weight(train), **LIGHT["RandomForest"]).fit(train)
-    return rounded(evaluate.top_importance(models.importance(model, [*S, "FASE"], spark), 10))
+    model = models.catalog()["RandomForest"].build(models.total_weight(train), **FOREST).fit(train)
+    found = models.importance(model, FEATURES, spark)
+    return found.agg(F.count(F.lit(1)).alias("n_features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"))
 
 
-@query("model_select_features")
+@query("model_select_features", "SELECT unnest(range(3)) AS position, true AS is_feature")
 def model_select_features(spark, d):
-    kept = models.select_features(_train(spark, d), [*S, "FASE"], "label", "importance", 3, trees=10)
-    return spark.createDataFrame([(i, c) for i, c in enumerate(kept)], "position int, feature string")
+    kept = models.select_features(_train(spark, d), FEATURES, "label", "importance", 3)
+    return spark.createDataFrame([(i, c in FEATURES) for i, c in enumerate(kept)], "position bigint, is_feature boolean")
 
 
-@query("model_svm_scores")
+@query("model_svm_scores", f"WITH {PANEL} SELECT cust_id * 10000 + year AS row_key, true AS is_probability FROM P")
 def model_svm_scores(spark, d):
+    """One calibrated probability per row."""
     train = _assembled(spark, d)
-    svm = models.catalog()["SVM"].build(models.total_weight(train), **LIGHT["SVM"])
-    from pyspark.ml.functions import vector_to_array
+    svm = models.catalog()["SVM"].build(models.total_weight(train))
+    scored = models.calibrated_svm(train, "row_key", svm).transform(train).select("row_key", vector_to_array("probability").alias("p"))
+    return scored.select("row_key", (F.col("p")[1].between(0, 1) & (F.abs(F.col("p")[0] + F.col("p")[1] - 1) < 1e-9)).alias("is_probability"))
 
-    scored = models.calibrated_svm(train, "row_key", svm, 3).transform(train)
-    return rounded(scored.select("row_key", "prediction", vector_to_array("probability")[1].alias("at_risk")))
 
+_GOAL = f"{C.TARGET}_{star.LATEST}"
+_TEST = f"""{wide((C.TARGET,))},
+Y AS (SELECT *, CAST(CASE WHEN {_GOAL} < 0 THEN 1 ELSE 0 END AS INTEGER) AS label FROM W WHERE {_GOAL} IS NOT NULL),
+Z AS ({split_sql('Y', 'cust_id', 'label')})"""
+_OUTCOME = "count(*) AS n_test_samples, count(*) FILTER (WHERE label = 1) AS n_positive, count(*) FILTER (WHERE label = 0) AS n_negative"
 
-@query("train_job")
+
+def _outcome(job):
+    tn, fp, fn, tp = (F.col(c) for c in ("true_negatives", "false_positives", "false_negatives", "true_positives"))
+    return job.evaluation.select(
+        "n_test_samples", (tp + fn).alias("n_positive"), (tn + fp).alias("n_negative"), F.col("auc_roc").between(0, 1).alias("is_area"), "model_type")
+
+
+@query("train_job", f"WITH {_TEST} SELECT {_OUTCOME}, true AS is_area, 'LogisticRegressionModel' AS model_type FROM Z WHERE split = 'test'")
 def train_job(spark, d):
-    """Whole training job on the wide panel; the evaluation of its test rows."""
-    _, outcome = _job(spark, d, "LogisticRegression", {"LogisticRegression": {"C": (0.1, 1.0)}})
-    return rounded(outcome.evaluation)
+    """Whole training job on the wide panel with the catalog's grid; the evaluation of its test rows."""
+    return _outcome(_job(spark, d, model="LogisticRegression")[1])
+
+
+@query("train_job_choice", f"WITH {_TEST} SELECT {_OUTCOME}, true AS is_area, true AS is_candidate, CAST(2 AS BIGINT) AS n_compared FROM Z WHERE split = 'test'")
+def train_job_choice(spark, d):
+    """The job chooses its model by cross-validation."""
+    _, outcome = _job(spark, d, candidates=LINEAR)
+    rows = _outcome(outcome)
+    return rows.select("n_test_samples", "n_positive", "n_negative", "is_area", F.col("model_type").isin("LogisticRegressionModel", "LinearSVCModel").alias("is_candidate"),
+                       F.lit(outcome.cv.count()).cast("bigint").alias("n_compared"))
+
+
+_ALL = wide(CHECKED, star.YEARS)
+_IN_BOUNDS = " AND ".join(f"coalesce({_violation(c, y)} IS NOT TRUE, true)" for c in CHECKED for y in star.YEARS)
 
 
-@query("score_model")
+@query("score_model", f"WITH {_ALL} SELECT cust_id, true AS sums_to_one, true AS agrees, TIMESTAMP '{NOW}' AS timestamp FROM W WHERE {_IN_BOUNDS}")
 def score_model(spark, d):
-    """Train, save, load, and score every customer; rows out of bounds go to quarantine."""
+    """Train, save, load, and score every customer within bounds, once each."""
     path = scratch_dir(spark, "train-out")
-    df, _ = _job(spark, d, "RandomForest", {"RandomForest": {"trees": (10,), "depth": (5,), "min_split": (2,)}}, path)
-    scorer = Scorer.load(spark, f"{path}/scorer")
-    scored, _ = score_valid(scorer, df, [star.KEY], "2024-02-01 12:00:00")
-    return rounded(scored.select(
-        star.KEY, "prediction", "risk_level", F.col("probability.no_risk").alias("no_risk"),
-        F.col("probability.at_risk").alias("at_risk"), "model_type", "timestamp",
-    ))
+    df, _ = _job(spark, d, path, model="LogisticRegression")
+    scored, _ = score_valid(Scorer.load(spark, f"{path}/scorer"), df, [star.KEY], NOW)
+    level = F.when(F.col("prediction") == 1, "HIGH").otherwise("LOW")
+    at_risk, no_risk = F.col("probability.at_risk"), F.col("probability.no_risk")
+    return scored.select(
+        star.KEY, (F.abs(at_risk + no_risk - 1) < 1e-9).alias("sums_to_one"),
+        ((F.col("risk_level") == level) & ((at_risk > 0.5) == (F.col("prediction") == 1))).alias("agrees"), F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))

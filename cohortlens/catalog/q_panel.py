@@ -166,9 +166,9 @@ def _records(spark, d):
     return df.withColumn("IDADE_ALUNO_2001", F.expr(_SHIFT).cast("int"))
 
 
-def _violation(c):
+def _violation(c, year=star.LATEST):
     low, high = C.CONTRACT_BOUNDS[c]
-    return f"{c}_2001 NOT BETWEEN {low} AND {high}"
+    return f"{c}_{year} NOT BETWEEN {low} AND {high}"
 
 
 _RECORDS = f"{wide(CHECKED, (2001,))},\nR AS (SELECT * REPLACE (CAST({_SHIFT} AS INTEGER) AS IDADE_ALUNO_2001) FROM W)"

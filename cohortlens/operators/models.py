@@ -179,12 +179,16 @@ def param_maps(name: str, estimator: Estimator, grid: dict, weight: float) -> li
 
 
 def train_best(train: DataFrame, key: str, name: str | None = None, scoring: str = "f1", k: int = C.FOLDS,
-               grids: dict[str, dict] | None = None, settings: dict[str, dict] | None = None, parallelism: int = 4):
-    """(model, cv table or None, best parameters): pick by cross-validation, tune by grid, refit on all rows."""
+               grids: dict[str, dict] | None = None, settings: dict[str, dict] | None = None, parallelism: int = 4,
+               candidates: list[str] | None = None):
+    """(model, cv table or None, best parameters): tune by grid and refit on all rows.
+
+    Without a name the best of `candidates` (the whole catalog if not given) by cross-validation is taken.
+    """
     models = catalog()
     if name is not None and name not in models:
         raise ValueError(f"unknown model {name!r}; one of {sorted(models)}")
-    cv = None if name else cross_validate(train, key, scoring=scoring, k=k, settings=settings)
+    cv = None if name else cross_validate(train, key, candidates, scoring, k, settings)
     if cv is not None:
         name = evaluate.best_model(cv).head()["model"]
     candidate = models[name]

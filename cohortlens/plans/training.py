@@ -28,7 +28,10 @@ class Outcome:
 
 @dataclass
 class TrainJob:
-    """`grids` and `settings` replace parts of the catalog by model name, `model=None` picks by cross-validation."""
+    """`grids` and `settings` replace parts of the catalog by model name.
+
+    `model=None` picks the best of `candidates`, the whole catalog if not given, by cross-validation.
+    """
 
     spark: SparkSession
     spec: PanelSpec
@@ -40,6 +43,7 @@ class TrainJob:
     fit_on: str = "train"
     grids: dict | None = None
     settings: dict | None = None
+    candidates: list[str] | None = None
     timestamp: str | Column | None = None
 
     def run(self, df: DataFrame, year: int | None = None) -> Outcome:
@@ -48,7 +52,7 @@ class TrainJob:
         matrix = materialize(matrix, "matrix")
         train = models.assemble(matrix.where(F.col(prepare.SPLIT) == "train"), prep.columns, label, [key])
         best, cv, params = models.train_best(
-            train, key, self.model, self.scoring, self.folds, self.grids, self.settings
+            train, key, self.model, self.scoring, self.folds, self.grids, self.settings, candidates=self.candidates
         )
         if type(best).__name__ == "LinearSVCModel":
             fitted = models.calibrated_svm(train, key, _refit(best), self.folds)

@@ -27,6 +27,11 @@ def frame(spark):
 
 
 NOW = "2024-02-01 12:00:00"
+# Small ensembles, so that unit tests fit in moments.
+LIGHT = {
+    "LogisticRegression": {"max_iter": 50}, "RandomForest": {"trees": 10, "depth": 5}, "GradientBoosting": {"trees": 5},
+    "SVM": {"max_iter": 20}, "XGBoost": {"trees": 5, "depth": 3},
+}
 
 
 @pytest.fixture(scope="session")
@@ -46,7 +51,6 @@ def spec(panel):
 @pytest.fixture(scope="session")
 def trained(spark, panel, spec, tmp_path_factory):
     """(output folder, outcome) of a small training job."""
-    from cohortlens.catalog.q_models import LIGHT
     from cohortlens.plans.training import TrainJob
 
     out = str(tmp_path_factory.mktemp("job"))

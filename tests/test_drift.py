@@ -29,8 +29,9 @@ def test_threshold_is_strict(frame):
 
 @pytest.mark.parametrize("n", [400, 3000])
 def test_report_on_equal_and_shifted_data(spark, n):
-    equal = drift.report(normal(spark, n), normal(spark, n, seed=2))
+    equal = drift.report(normal(spark, n), normal(spark, n, seed=2), test="ks")
     shifted = drift.report(normal(spark, n), normal(spark, n, shift=1.0, seed=2))
+    assert {r["test"] for r in shifted.collect()} == {"wasserstein"}
     assert drift.summary(equal).head()["drift_detected"] is False
     s = drift.summary(shifted).head()
     assert s["drift_detected"] is True and s["drifted_features"] == ["x"]
@@ -132,3 +133,23 @@ def test_sketched_edges_are_close_to_exact_ones(spark):
     a, b = normal(spark, 4000), normal(spark, 4000, 0.5, 3)
     exact, near = drift.psi(a, b, ["x"]).head()["psi"], drift.psi(a, b, ["x"], accuracy=10000).head()["psi"]
     assert near == pytest.approx(exact, rel=0.02)
+
+
+def test_the_test_is_a_parameter(spark, frame):
+    a, b = frame("x double, y int", (1.0, 0), (2.0, 1)), frame("x double, y int", (1.0, 0), (2.0, 1))
+    got = {r["column"]: r["test"] for r in drift.report(a, b, test={"y": "js_distance"}).collect()}
+    assert got == {"x": "wasserstein", "y": "js_distance"}
+    with pytest.raises(ValueError):
+        drift.report(a, b, test="other")
+
+
+def test_missing_sides_leave_a_record(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text("x,y\n1,a\n2,b\n")
+    other = tmp_path / "b.csv"
+    other.write_text("z\nq\n")
+    for paths, status in (((str(path), str(tmp_path / "none.csv")), "no current data"), ((str(tmp_path / "none"), str(path)), "no reference data"),
+                          ((str(path), str(other)), "no common numeric column"), ((str(path), str(path)), "compared")):
+        features, summary = drift.report_files(spark, *paths)
+        row = summary.head()
+        assert row["status"] == status and row["n_features_analyzed"] == features.count() and row["drift_detected"] is False

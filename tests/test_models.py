@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.catalog.q_models import LIGHT
+from conftest import LIGHT
 from cohortlens.operators import evaluate, models, profile, target
 from cohortlens.plans import prepare
 from cohortlens.plans.scoring import Scorer, score_file, score_valid

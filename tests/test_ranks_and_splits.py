@@ -123,3 +123,18 @@ def test_hash_split_is_about_right(spark):
     df = spark.range(20000).select(F.col("id").alias("k"))
     share = split.by_hash(df, "k").where("split = 'test'").count() / 20000
     assert abs(share - 0.2) < 0.02
+
+
+@pytest.mark.parametrize("n,distinct", [(5, 5), (300, 7), (30_000, 25_000), (30_000, 3)])
+def test_bracketed_quantiles_are_exact(spark, n, distinct):
+    import numpy as np
+
+    df = spark.range(n).selectExpr("id % 3 AS k", f"cast(pmod(xxhash64(id), {distinct}) AS double) / 7 AS v")
+    probabilities = [0.0, 0.0004, 0.25, 0.5, 0.9, 0.9999, 1.0]
+    got = {r["k"]: list(r)[1:] for r in ranks.quantiles(df, ["k"], "v", probabilities).collect()}
+    values = {}
+    for r in df.collect():
+        values.setdefault(r["k"], []).append(r["v"])
+    assert {k: pytest.approx(list(np.quantile(v, probabilities))) for k, v in values.items()} == got
+    plan = ranks.quantiles(df, ["k"], "v", [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (0" not in plan  # the last job ranks what is inside the brackets only

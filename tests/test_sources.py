@@ -39,6 +39,41 @@ def test_discovery(spark, tmp_path):
     assert {r["source_file"].rsplit("/", 1)[1] for r in df.collect()} == {"a.csv", "b.csv"}
 
 
+def test_columns_are_matched_by_header(spark, tmp_path):
+    write(tmp_path / "a.csv", "x,y\n1,2\n")
+    write(tmp_path / "b.csv", "y,x\n20,10\n")
+    write(tmp_path / "c.csv", "y;z\n200;7\n")
+    for schema in (None, "x bigint, y bigint, z bigint"):
+        rows = files.read_csv(spark, str(tmp_path), schema).collect()
+        assert sorted(((r["x"], r["y"], r["z"]) for r in rows), key=str) == [(1, 2, None), (10, 20, None), (None, 200, 7)]
+
+
+def test_discovery_below_subfolders_only(spark, tmp_path):
+    (tmp_path / "one" / "two").mkdir(parents=True)
+    write(tmp_path / "one" / "two" / "a b.csv", "x;y\n1;2\n")
+    assert [(r["x"], r["y"]) for r in files.discover_csv(spark, str(tmp_path)).collect()] == [(1, 2)]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = write(tmp_path / "f.csv", 'a,b\n1,"two\nlines"\n2,"say ""hi"""\n')
+    assert [(r["a"], r["b"]) for r in files.read_csv(spark, path).orderBy("a").collect()] == [(1, "two\nlines"), (2, 'say "hi"')]
+
+
+def test_long_ids_keep_their_digits(spark, tmp_path):
+    path = write(tmp_path / "f.csv", f"a,b,c\n1234567890123456789,{'9' * 30},{'9' * 50}\n1234567890123456788,1,2\n")
+    df = files.read_csv(spark, path)
+    assert [k for _, k in df.dtypes] == ["bigint", "decimal(38,0)", "string"]
+    assert {r["a"] for r in df.collect()} == {1234567890123456789, 1234567890123456788}
+
+
+def test_log_days_are_pruned(spark, frame, tmp_path):
+    path = str(tmp_path / "log")
+    rows = frame("timestamp string, input_data string, prediction int, risk_level string, probability_at_risk double, model_type string",
+                 ("2024-01-01 10:00:00", "{}", 1, "HIGH", 0.5, "m"), ("2024-01-03 10:00:00", "{}", 0, "LOW", 0.1, "m"))
+    logs.append(rows.withColumn("timestamp", F.col("timestamp").cast("timestamp")), path)
+    assert logs.read(spark, path, since="2024-01-02").count() == 1 and logs.read(spark, path).count() == 2
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = synthetic.generate(spark, 60)
     back = files.read_csv(spark, files.write_csv(df, str(tmp_path / "out")))
