@@ -75,11 +75,15 @@ def _turned(fp: Column, order: list[tuple[int, int]]) -> Column:
     return out
 
 
-def _gray_rank(code: Column) -> Column:
-    """Place of a 64-bit word in the order of the reflected Gray code."""
+def _gray_ranked(rows: DataFrame, code: str) -> DataFrame:
+    """The rows with the place of their 64-bit word in the order of the reflected Gray code, as `rank`.
+
+    Each step uses the one before twice, so each is a projection of its own.
+    """
+    rows = rows.withColumnRenamed(code, "rank")
     for k in (1, 2, 4, 8, 16, 32):
-        code = code.bitwiseXOR(F.shiftrightunsigned(code, k))
-    return code
+        rows = rows.withColumn("rank", F.col("rank").bitwiseXOR(F.shiftrightunsigned("rank", k)))
+    return rows
 
 
 class Forest:
@@ -220,10 +224,9 @@ def links(codes: DataFrame, most: int = 3, blocks: int | None = None, max_group:
     for number, lead in enumerate(combinations(range(blocks), blocks - most)):
         order = [places[k] for k in (*lead, *(k for k in range(blocks) if k not in lead))]
         width = sum(places[k][1] for k in lead)
-        rank = _gray_rank(_turned(F.col("fp"), order))
-        key = F.shiftrightunsigned(rank, 64 - width) if width < 64 else rank
-        tables.append(F.struct(F.lit(number).cast("long").alias("table"), key.alias("key"), rank.alias("rank")))
-    rows = codes.select("fp", F.inline(F.array(*tables)))
+        tables.append(F.struct(F.lit(number).cast("long").alias("table"), F.lit(64 - width).alias("rest"), _turned(F.col("fp"), order).alias("code")))
+    rows = _gray_ranked(codes.select("fp", F.inline(F.array(*tables))), "code")
+    rows = rows.select("fp", "table", F.expr("shiftrightunsigned(rank, rest)").alias("key"), "rank")
     large = materialize(rows.groupBy("table", "key").agg(F.count("*").alias("n")).where(F.col("n") > max_group), "simhash-groups")
     parts = F.coalesce(F.ceil(F.col("n") / max_group), F.lit(1)).cast("long")
     own = F.pmod(F.xxhash64("fp"), F.col("parts"))
