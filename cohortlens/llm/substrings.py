@@ -202,9 +202,11 @@ def recurring_ranges(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     segments = materialize(docs.mapInArrow(_segments(window, phrase), "k1 bigint, k2 bigint, start int, n int, phrase bigint, segment bigint, windows array<bigint>"), "substring-segments")
     counted = materialize(segments.groupBy("phrase", "segment").agg(F.count("*").alias("times"), F.first("windows").alias("windows")), "substring-counts")
     mixed = counted.groupBy("phrase").agg(F.count("*").alias("forms")).where("forms > 1").select("phrase")
+    mixed = materialize(mixed, "substring-mixed")
     single = counted.join(mixed, "phrase").select("phrase", "segment", "times", F.posexplode("windows").alias("at", "w"))
     single = materialize(single, "substring-windows")
     again = single.groupBy("phrase", "w").agg(F.sum("times").alias("times")).where("times > 1").select("phrase", "w")
+    again = materialize(again, "substring-windows-again")
     some = single.where("times = 1").join(again, ["phrase", "w"]).groupBy("phrase", "segment").agg(F.collect_set("at").alias("ats"))
     all_ = counted.where("times > 1").select("phrase", "segment", F.lit(None).cast("array<int>").alias("ats"))
     verdict = all_.unionByName(some)
@@ -232,7 +234,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     listed = rows.mapInArrow(_phrases(window, phrase), "k1 bigint, k2 bigint, phrases array<bigint>").where(F.size("phrases") > 0)
     distinct = materialize(listed.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("phrases").alias("phrases")), "substring-phrases")
     single = distinct.select("k1", "k2", "copies", F.explode("phrases").alias("phrase"))
+    # written, so that a very frequent phrase can be split in the join: an aggregate below a join fixes its partitions
     often = single.groupBy("phrase").agg(F.sum("copies").alias("times")).where("times > 1").select("phrase")
+    often = materialize(often, "substring-recurring")
     marked = single.select("k1", "k2", "phrase").join(often, "phrase").groupBy("k1", "k2").agg(F.collect_set("phrase").alias("recurring"))
     joined = rows.join(marked, ["k1", "k2"], "left")
     words = F.filter(F.split(F.coalesce("text", F.lit("")), GAP), lambda w: w != "")
