@@ -9,6 +9,8 @@ values inside a bracket are counted and ranked.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.functions.numeric import named
@@ -17,6 +19,17 @@ from cohortlens.session import materialize
 ACCURACY = 2_000  # a bracket holds about 4 / ACCURACY of the rows
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", few: bool = False) -> DataFrame:
+    """Join on keys, null being a key like any other; `few` says that the rows of the right side are bounded by the schema."""
+    other = right.select(*[named(k).alias(f"_key_{i}") for i, k in enumerate(keys)], *[named(c) for c in right.columns if c not in keys])
+    if few:
+        other = F.broadcast(other)
+    if not keys:
+        return left.crossJoin(other)
+    on = reduce(lambda a, b: a & b, [named(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)])
+    return left.join(other, on, how).drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
 def value_counts(df: DataFrame, keys: list[str], value: str, counts: dict | None = None) -> DataFrame:
     """One row per (keys, value) with counts; equal values merge before the shuffle, so hot values are cheap."""
     counts = counts or {"n": F.count(F.lit(1))}
@@ -64,12 +77,9 @@ def prefix_sums(
         *[F.sum(f"_s_{c}").over(whole).alias(f"tot_{c}") for c in counts],
         F.lead("_low").over(up_to).alias("_next_low"),
     )
-    if few_keys:
-        offsets = F.broadcast(offsets)
-
     inside = Window.partitionBy(*keys, "_range").orderBy(value)
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    result = ranged.join(offsets, [*keys, "_range"]).select(
+    result = join_keys(ranged, offsets, [*keys, "_range"], few=few_keys).select(
         *[k for k in keys if not keyless],
         value,
         *counts,
@@ -123,7 +133,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probabilities, few_key
     probabilities = [float(p) for p in probabilities]
     brackets = materialize(_brackets(df, keys, value, probabilities), "brackets")
     both = df.where(named(value).isNotNull())
-    both = both.join(F.broadcast(brackets) if few_keys else brackets, keys) if keys else both.crossJoin(F.broadcast(brackets))
+    both = join_keys(both, brackets, keys, few=few_keys or not keys)
     v = named(value)
 
     def place(i: int):
@@ -141,8 +151,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probabilities, few_key
     counted = materialize(counted, "bracketed")
     below = counted.where("_v IS NULL").select(*[named(k) for k in keys], "_p", F.col("n").alias("_below"))
     ranked = prefix_sums(counted.where("_v IS NOT NULL"), [*keys, "_p"], "_v", ["n"], few_keys)
-    ranked = ranked.join(F.broadcast(below) if few_keys else below, [*keys, "_p"], "left")
-    ranked = ranked.join(F.broadcast(brackets) if few_keys else brackets, keys) if keys else ranked.crossJoin(F.broadcast(brackets))
+    ranked = join_keys(ranked, below, [*keys, "_p"], "left", few_keys)
+    ranked = join_keys(ranked, brackets, keys, few=few_keys or not keys)
     before = F.coalesce("_below", F.lit(0))
     first, last = before + F.col("cum_n") - F.col("n"), before + F.col("cum_n") - 1
     columns = []

@@ -36,8 +36,6 @@ def test_report_on_equal_and_shifted_data(spark, n):
     s = drift.summary(shifted).head()
     assert s["drift_detected"] is True and s["drifted_features"] == ["x"]
     assert (s["n_features_analyzed"], s["n_features_drifted"]) == (2, 1)
-    tests = {r["column"]: r["test"] for r in shifted.collect()}
-    assert tests == {"b": "js_distance", "x": "ks" if n <= 1000 else "wasserstein"}
 
 
 def test_ks_and_wasserstein_against_numpy(spark):

@@ -32,9 +32,16 @@ def test_prefix_sums_against_numpy(spark):
 
 def test_hot_key_is_spread_over_ranges(spark):
     _, df = skewed(spark)
-    ranged = ranks._ranges(ranks.value_counts(df, ["k"], "v"), ["k"], "v", True)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # else so little data is one range
+    try:
+        ranged = ranks.in_ranges(ranks.value_counts(df, ["k"], "v"), ["k"], "v")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sizes = [r["count"] for r in ranged.where("k = 'hot'").groupBy("_range").count().collect()]
-    assert len(sizes) > 40 and max(sizes) < 0.2 * sum(sizes)
+    assert len(sizes) >= parts - 1 and max(sizes) < 1.5 * sum(sizes) / len(sizes)
+    bounds = ranged.where("k = 'hot'").groupBy("_range").agg(F.min("v").alias("low"), F.max("v").alias("high")).orderBy("_range").collect()
+    assert all(a["high"] < b["low"] for a, b in zip(bounds, bounds[1:]))
 
 
 @pytest.mark.parametrize("parts", [1, 7, 50])

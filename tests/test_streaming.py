@@ -21,8 +21,6 @@ def folder(frame, tmp_path):
     path = str(tmp_path / "in")
     rows((1, "2024-01-01 10:00:00", "HIGH", 0.9, "a"), (2, "2024-01-01 10:10:00", "LOW", 0.1, "a"),
          (3, "2024-01-02 09:00:00", "LOW", 0.3, "b")).coalesce(1).write.mode("append").parquet(path)
-    for file in glob.glob(f"{path}/part-*.parquet"):
-        os.utime(file, (1, 1))  # the older file is read first
     rows((4, "2024-01-01 11:00:00", "HIGH", 0.8, "a"), (5, "2024-01-03 09:00:00", "HIGH", 0.7, "a"),
          (6, "2024-01-04 09:00:00", "LOW", 0.2, "b")).coalesce(1).write.mode("append").parquet(path)
     return path
@@ -57,10 +55,17 @@ def test_sliding_equals_batch(spark, folder, out):
     assert got.count() == want.count() > 5 and got.exceptAll(want).count() == 0
 
 
-def test_late_rows_are_dropped_once_the_watermark_has_passed(spark, folder, out):
-    one = {r["window_start"].day: r["n"] for r in runs.drain(windows.windowed_stats(stream(spark, folder, 1), "1 day"), out).collect()}
-    assert one[2] == 1 and one[3] == 1
-    assert one[1] == 2 and sum(one.values()) == 4  # the window of the late row was closed by the file before
+def test_late_rows_are_dropped_once_the_watermark_has_passed(spark, frame, out, tmp_path):
+    """One file per batch, in the order of their times; a late row is judged by the watermark of the batch before."""
+    path = str(tmp_path / "in")
+    for number, at in enumerate(("2024-01-01 10:00:00", "2024-01-02 09:00:00", "2024-01-03 09:00:00", "2024-01-01 11:00:00", "2024-01-05 09:00:00")):
+        row = frame("id bigint, timestamp string, risk_level string, probability_at_risk double, user string", (number, at, "HIGH", 0.9, "a"))
+        row.withColumn("timestamp", F.col("timestamp").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
+        for file in set(glob.glob(f"{path}/part-*.parquet")):
+            if os.path.getmtime(file) > 1_700_000_100:
+                os.utime(file, (1_700_000_000 + number, 1_700_000_000 + number))
+    one = {r["window_start"].day: r["n"] for r in runs.drain(windows.windowed_stats(stream(spark, path, 1), "1 day"), out).collect()}
+    assert one == {1: 1, 2: 1, 3: 1}
 
 
 def test_sessions(spark, folder, out):
