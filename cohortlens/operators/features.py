@@ -68,6 +68,7 @@ def default_features(columns: list[str], spec: PanelSpec) -> list[Feature]:
     return temporal_features(columns, spec) + composite_features(columns, spec) + interaction_features(columns, spec)
 
 
+# A formula gets the inputs as numeric SQL and the parameters.
 FORMULAS = {
     "difference": lambda xs, _: f"{xs[0]} - {xs[1]}",
     "row_mean": lambda xs, _: row_mean(xs),
@@ -75,6 +76,8 @@ FORMULAS = {
     "inverse_mean": lambda xs, p: f"{literal(p[0])} - {row_mean(xs)}",
     "product": lambda xs, _: " * ".join(xs),
     "product_or_zero": lambda xs, _: " * ".join(map(or_zero, xs)),
+    # any SQL expression; {0}, {1}, ... stand for the inputs
+    "expression": lambda xs, p: f"({p[0].format(*xs)})",
     # weights of the inputs, then a constant
     "linear": lambda xs, p: " + ".join(f"{x} * {literal(w)}" for x, w in zip(xs, p)) + f" + {literal(p[len(xs)])}",
 }
@@ -91,6 +94,6 @@ def build(df: DataFrame, features: list[Feature]) -> DataFrame:
     ])
 
 
-def engineer(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """The default features beside the originals."""
-    return build(df, default_features(df.columns, spec))
+def engineer(df: DataFrame, spec: PanelSpec, own: list[Feature] = ()) -> DataFrame:
+    """The default features and the user's own beside the originals."""
+    return build(df, [*default_features(df.columns, spec), *own])

@@ -2,6 +2,7 @@ import pytest
 
 from cohortlens.operators import evaluate
 
+# Labels, predictions and scores with known metrics.
 Y_TRUE = [0, 0, 1, 1, 0, 1, 0, 1, 1, 0]
 Y_PRED = [0, 1, 1, 1, 0, 0, 0, 1, 1, 0]
 Y_PROBA = [0.2, 0.6, 0.8, 0.9, 0.3, 0.4, 0.1, 0.7, 0.85, 0.15]

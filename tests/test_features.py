@@ -106,3 +106,9 @@ def test_melt_keeps_nulls(frame):
     df = frame("k int, A_2021 double, A_2022 double", (1, None, 2.0))
     spec = PanelSpec.from_schema(df.schema, "k")
     assert sorted((r["year"], r["value"]) for r in panel.melt_years(df, spec, ["A"]).collect()) == [(2021, None), (2022, 2.0)]
+
+
+def test_own_expressions(frame):
+    df = frame("a double, b string", (4.0, "9"), (None, "1"), (2.0, "x"))
+    own = Feature("ratio", "expression", ("a", "b"), ("sqrt({0}) / greatest({1}, 3)",))
+    assert [r["ratio"] for r in features.build(df, [own]).collect()] == [2 / 9, None, pytest.approx(2 ** 0.5 / 3)]
