@@ -111,10 +111,9 @@ def thresholds(figures: DataFrame, labels: DataFrame, id_col: str = "doc_id", la
             F.lit(r.name).alias("rule"), F.lit(step).alias("step"), F.lit(cut).alias("cutoff"),
             F.count(F.when(r.breaks(F.lit(cut)), 1)).alias("rejected")) for r, step, cut in tests]).alias("tests"))
     counts = materialize(counts, "quality-counts")
-    strata = counts.agg(F.count("*").alias("strata"))
-    rows = counts.select("stratum", "good", F.inline("tests")).join(F.broadcast(strata))
+    rows = counts.select("stratum", "good", F.inline("tests"))
     tested = rows.withColumn("tail", tail(F.col("rejected"), F.col("good"), alpha / len(rules)))
-    level = F.lit(delta / len(rules)) / F.col("strata")
+    level = F.lit(delta / len(rules)) / counts.agg(F.count("*")).scalar()
     in_order = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     safe = tested.withColumn("safe", F.min((F.col("tail") <= level).cast("int")).over(in_order)).where("safe = 1")
     return safe.groupBy("stratum", "rule").agg(
