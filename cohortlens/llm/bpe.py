@@ -71,7 +71,7 @@ class PairIndexCodec:
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         begins = np.concatenate([[0], np.cumsum(sizes)])
         symbol = self.base[data]
-        after, before = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        after, before = np.arange(1, len(data) + 1, dtype=np.int32), np.arange(-1, len(data) - 1, dtype=np.int32)
         full = begins[:-1][sizes > 0]
         before[full] = -1
         after[(begins[1:] - 1)[sizes > 0]] = -1
@@ -173,7 +173,7 @@ def codec(path: str) -> PairIndexCodec:
     return PairIndexCodec(path)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 12 << 20,
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20,
            ids: bool = True, digests: bool = False) -> DataFrame:
     """One row per input row: id, n_tokens, with `ids` the ids, with `digests` ids_sha256 and decoded_sha256.
 

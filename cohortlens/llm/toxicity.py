@@ -28,7 +28,7 @@ _WORD = re.compile(r"\w+")
 _STEMS = (4, 5, 6)
 _TIMES = (1, 2, 4, 8, 16)
 _THOUSANDTHS = (2, 4, 8, 16, 32)
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
 
 
 def stems_of(word: str) -> list[str]:
@@ -130,7 +130,7 @@ def _support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_blocks(batches, "text", 1 << 20):
         for text, positive in zip(texts_of(batch, "text"), batch.column("positive").to_pylist()):
             counts[positive].update(features_of(text))
-        if len(counts[False]) + len(counts[True]) > 200_000:
+        if len(counts[False]) + len(counts[True]) > 60_000:
             yield made()
     yield made()
 
