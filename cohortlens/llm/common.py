@@ -43,11 +43,12 @@ def batch_of(schema: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
         names=list(schema))
 
 
-def bounded_sample(rows: DataFrame, by: list[str], wanted: int, total: int) -> DataFrame:
-    """About `wanted` distinct rows of `total` at most, the same ones in every run.
+def bounded_sample(rows: DataFrame, by: list[str], wanted: int) -> DataFrame:
+    """About `wanted` distinct rows at most, all if there are no more, the same ones in every run.
 
-    Rows are chosen by a hash of the columns `by`; rows that agree in them count once, so copies cannot break the bound.
+    Rows are chosen by a hash of the columns `by`, at the rate that the number of distinct hashes asks for; rows that
+    agree in them count once, so copies neither break the bound nor use it up. The rows are read once to count.
     """
-    share = min(1.0, wanted / max(total, 1))
     hashed = rows.withColumn("sample_hash", F.xxhash64(*by))
+    share = min(1.0, wanted / max(hashed.select("sample_hash").distinct().count(), 1))
     return hashed.where(F.pmod("sample_hash", F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["sample_hash"])

@@ -8,6 +8,8 @@ text whose two nearest codewords are about as near is flagged.
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.llm.common import bounded_sample, text_blocks
+from cohortlens.llm.common import text_blocks
+from cohortlens.session import materialize
 
 UNKNOWN = "und"
 MAX_LANGUAGES = 1_000
@@ -115,39 +118,53 @@ def train(profiles: np.ndarray, names: list[str], ridge: float = 0.01) -> Model:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = 1_600) -> Model | None:
-    """The classifiers, from at most about `fit_rows` labelled rows shared evenly by the languages.
+    """The classifiers, from at most `fit_rows` distinct labelled texts shared evenly by the languages, one of each at least.
 
-    Rows without text or language are left out; equal texts of a language count once. None if no row is left.
+    Every language gives its whole share, or all its texts if it has fewer. Rows without text or language are left out;
+    equal texts of a language count once. None if no row is left.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    rows = rows.withColumn("h", F.xxhash64("lang", "text"))
+    hashes = materialize(rows.select("lang", "h").distinct(), "language-hashes")
+    sizes = {r["lang"]: r["count"] for r in hashes.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return None
     quota = max(fit_rows // len(sizes), 1)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.2 * quota / n))])
-    # the hash decides within each language; the bound holds for the distinct texts
-    chosen = bounded_sample(
-        rows.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)),
-        ["lang", "text"], 1, 1)
+    wanted = _least_hashes(hashes, sizes, quota)
+    wanted = labelled.sparkSession.createDataFrame([(h,) for h in wanted], "h bigint")
+    chosen = rows.join(F.broadcast(wanted), "h", "left_semi").dropDuplicates(["h"]).select("lang", "h", "text")
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, "text", 1 << 20):
             made = [profile(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("sample_hash"), pa.array(made, pa.binary())], names=["lang", "h", "profile"])
-
-    gathered = chosen.mapInArrow(profiles, "lang string, h bigint, profile binary").limit(2 * fit_rows + 2 * len(sizes)).collect()
-    kept, taken = [], dict.fromkeys(sizes, 0)
-    for r in sorted(gathered, key=lambda r: (r["lang"], r["h"])):
-        if taken[r["lang"]] < quota:
-            taken[r["lang"]] += 1
-            kept.append(r)
-    if not kept:
-        return None
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(made, pa.binary())], names=["lang", "h", "profile"])
+
+    kept = sorted(chosen.mapInArrow(profiles, "lang string, h bigint, profile binary").collect(), key=lambda r: (r["lang"], r["h"]))
     return train(np.vstack([np.frombuffer(r["profile"], np.float32) for r in kept]), [r["lang"] for r in kept])
 
 
+def _least_hashes(hashes: DataFrame, sizes: dict[str, int], quota: int) -> list[int]:
+    """The `quota` least hashes of every language (all if it has fewer), from distinct (lang, h) rows.
+
+    Only hashes below a bound for each language are collected: several times the square root of the quota more than
+    it on average. A language that falls short all the same gets a higher bound.
+    """
+    found, expected = {}, quota + 8 * math.isqrt(quota) + 16
+    open_ = dict(sizes)
+    while open_:
+        share = F.create_map(*[F.lit(x) for lang, n in open_.items() for x in (lang, min(1.0, expected / n))])
+        place = F.pmod("h", F.lit(1 << 30))
+        gathered = defaultdict(list)
+        for r in hashes.where(place < share[F.col("lang")] * (1 << 30)).select("lang", place.alias("place"), "h").collect():
+            gathered[r["lang"]].append((r["place"], r["h"]))
+        found.update({lang: sorted(g)[:quota] for lang, g in gathered.items()})
+        open_ = {lang: n for lang, n in open_.items() if len(found.get(lang, ())) < min(quota, n)}
+        expected *= 4
+    return [h for own in found.values() for _, h in own]
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", ambiguity: float = 0.2) -> DataFrame:
     """One row per input row: id, lang_pred, score (0 to 1), runner_up, ambiguous.
 

@@ -145,7 +145,7 @@ def fit(positives: DataFrame, unlabelled: DataFrame, prior: float, text_col: str
     parts = []
     for rows, most, positive in ((positives, max_positives, True), (unlabelled, max_unlabelled, False)):
         texts = rows.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
-        parts.append(bounded_sample(texts, ["text"], most, texts.count()).select("text", F.lit(positive).alias("positive")))
+        parts.append(bounded_sample(texts, ["text"], most).select("text", F.lit(positive).alias("positive")))
     sample = materialize(parts[0].unionByName(parts[1]), "toxicity-sample")
     sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
     if len(sizes) < 2 or not 0 < prior < 1:
@@ -172,16 +172,18 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                     max_positives: int = 4_000, max_unlabelled: int = 8_000) -> Model | None:
     """`fit` with the documents that `labels` confirms as toxic, all documents as unlabelled, and the labelled share as prior.
 
-    A document is confirmed if any of its labels is 1. Labels without id or value are left out. The ids of the
-    positives are broadcast: about `max_positives` at most.
+    A document is confirmed if any of its labels is 1. Labels without id or value are left out. The hashes of the
+    positives' distinct texts are broadcast: about `max_positives` at most.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic"))
     total, toxic = known.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
     if not toxic or toxic == total:
         return None
-    wanted = bounded_sample(known.where("toxic = 1").select("id"), ["id"], max_positives, toxic).select("id")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    positives = materialize(rows.join(F.broadcast(wanted), "id").select("text"), "toxicity-positives")
+    hashed = rows.where("text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    confirmed = materialize(hashed.select("id", "h").join(known.where("toxic = 1").select("id"), "id").select("h").distinct(), "toxicity-confirmed")
+    wanted = bounded_sample(confirmed, ["h"], max_positives).select("h")
+    positives = materialize(hashed.join(F.broadcast(wanted), "h", "left_semi").dropDuplicates(["h"]).select("text"), "toxicity-positives")
     return fit(positives, rows, toxic / total, "text", max_positives, max_unlabelled)
 
 

@@ -65,3 +65,18 @@ def test_empty_and_unlabelled_tables(messy):
     assert L.predict(messy.limit(0), None).count() == 0
     one = L.fit(messy)
     assert one.languages == ["en"] and {r.lang_pred for r in L.predict(messy, one).collect()} == {"en", "und"}
+
+
+def test_copies_do_not_use_up_the_share_of_a_language(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(L, "train", lambda profiles, names: learned.append((len(profiles), names)))
+    rows = [(f"text number {k}", "many") for k in range(200)] + [(f"copied text {k % 3}", "few") for k in range(3_000)]
+    L.fit(spark.createDataFrame(rows, "text string, lang string"), fit_rows=40)
+    (size, names), = learned
+    assert size == 23 and names == ["few"] * 3 + ["many"] * 20
+
+
+def test_least_hashes_are_whole_when_the_first_bound_is_too_low(spark):
+    rows = [("a", (k << 30) + (1 << 29) + k) for k in range(1_000)]  # none below the first bound
+    found = L._least_hashes(spark.createDataFrame(rows, "lang string, h bigint"), {"a": 1_000}, 5)
+    assert sorted(found) == [h for _, h in rows[:5]]

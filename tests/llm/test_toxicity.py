@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.llm import toxicity as X
-from cohortlens.llm.common import crc_mod
+from cohortlens.llm.common import bounded_sample, crc_mod
 
 SF = "/root/testdata/sf0.01"
 
@@ -57,3 +57,12 @@ def test_messy_rows_and_no_label(messy):
 @pytest.mark.parametrize("prior", [0.0, 1.0])
 def test_impossible_priors_give_no_model(messy, prior):
     assert X.fit(messy, messy, prior) is None
+
+
+def test_copies_do_not_use_up_the_samples(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"copied text {k % 40}") for k in range(4_000)], "doc_id bigint, text string")
+    assert bounded_sample(docs, ["text"], 100).count() == 40
+    given = []
+    monkeypatch.setattr(X, "fit", lambda positives, *rest: given.append((positives.distinct().count(), rest[1])))
+    X.fit_from_labels(docs, docs.select("doc_id", (F.col("doc_id") % 40 < 20).cast("int").alias("toxic")), max_positives=30)
+    assert given == [(20, 0.5)]
