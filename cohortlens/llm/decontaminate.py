@@ -1,6 +1,6 @@
 """Operator 7, benchmark decontamination by greedy string tiling.
 
-A document and a benchmark item that share a seed (`min_tile` words in a row) are candidates. If the shared seeds could
+A document and a benchmark item that share a seed (`min_tile` words in a row, or all words of a shorter item) are candidates. If the shared seeds could
 cover enough of the item, both are tiled: the longest common runs of unmarked words are found by running Karp-Rabin
 with a falling search length, and marked one after the other, so that tiles do not overlap and may come in any order. The
 item leaks if its tiles cover at least `coverage` of its words, also when passages were put in another order.
@@ -110,41 +110,47 @@ class Items:
     """One block of the benchmark: vocabulary, item codes, and the items of every seed."""
 
     def __init__(self, rows: list[tuple[object, str]], min_tile: int, coverage: float):
-        self.min_tile, self.coverage = min_tile, coverage
+        self.coverage = coverage
         self.vocabulary: dict[str, int] = {}
         self.ids = [r[0] for r in rows]
         self.codes = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(r[1])] for r in rows]
-        owners = defaultdict(list)
+        owners: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for number, codes in enumerate(self.codes):
-            for place, h in enumerate(_rolling(np.array(codes, np.int64), min_tile).tolist()):
-                owners[h].append((number, place))
-        self.owners = dict(owners)
-        self.seeds = np.array(sorted(self.owners), np.uint64)
+            length = min(min_tile, len(codes))  # an item of fewer words is a seed as a whole
+            for place, h in enumerate(_rolling(np.array(codes, np.int64), length).tolist() if length else ()):
+                owners[length][h].append((number, place))
+        self.owners = {length: dict(own) for length, own in owners.items()}
+        self.seeds = {length: np.array(sorted(own), np.uint64) for length, own in self.owners.items()}
 
     def search(self, text: str) -> list[tuple[int, list[tuple[int, int, int]]]]:
         """Numbers of the items that leak into the text, each with its tiles."""
         get = self.vocabulary.get
         codes = np.array([get(w, -1) for w in words(text)], np.int64)
-        if len(codes) < self.min_tile or not len(self.seeds):
-            return []
         known = np.concatenate([[0], np.cumsum(codes < 0)])
-        runs = np.flatnonzero(known[self.min_tile:] == known[:-self.min_tile])
+        return sorted((found for length in self.seeds for found in self._search(codes, known, length)), key=lambda f: f[0])
+
+    def _search(self, codes: np.ndarray, known: np.ndarray, length: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
+        """The leaks of the items whose seeds have `length` words."""
+        seeds, owners = self.seeds[length], self.owners[length]
+        if len(codes) < length:
+            return []
+        runs = np.flatnonzero(known[length:] == known[:-length])
         if not len(runs):
             return []
-        hashes = _rolling(codes, self.min_tile)[runs]
-        at = np.minimum(np.searchsorted(self.seeds, hashes), len(self.seeds) - 1)
-        hit = self.seeds[at] == hashes
+        hashes = _rolling(codes, length)[runs]
+        at = np.minimum(np.searchsorted(seeds, hashes), len(seeds) - 1)
+        hit = seeds[at] == hashes
         runs, hashes = runs[hit].tolist(), hashes[hit].tolist()
         covered: dict[int, set[int]] = defaultdict(set)
         for h in set(hashes):
-            for number, place in self.owners[h]:
-                covered[number].update(range(place, place + self.min_tile))
+            for number, place in owners[h]:
+                covered[number].update(range(place, place + length))
         out = []
         for number in sorted(covered):
             item = self.codes[number]
             if len(covered[number]) < self.coverage * len(item):
                 continue  # no tiling can cover more than the shared seeds do
-            own = {h for h in set(hashes) if any(n == number for n, _ in self.owners[h])}
+            own = {h for h in set(hashes) if any(n == number for n, _ in owners[h])}
             near, last = [], -1
             places: list[int] = []
             for place, h in zip(runs, hashes):
@@ -152,11 +158,11 @@ class Items:
                     if last >= 0 and place > last:
                         near.append(-1)  # the words between are in no seed of the item
                         places.append(-1)
-                    new = range(max(place, last), place + self.min_tile)
+                    new = range(max(place, last), place + length)
                     near.extend(codes[new.start:new.stop].tolist())
                     places.extend(new)
-                    last = place + self.min_tile
-            tiles = [(p, places[t], k) for p, t, k in tile(item, near, self.min_tile)]
+                    last = place + length
+            tiles = [(p, places[t], k) for p, t, k in tile(item, near, length)]
             if sum(k for _, _, k in tiles) >= self.coverage * len(item):
                 out.append((number, tiles))
         return out
@@ -179,8 +185,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
           item_text_col: str = "text", min_tile: int = 5, coverage: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per leaking pair: id, item id, n_words (of the item), n_covered, coverage, contaminated (true), tiles.
 
-    Words are lower-cased runs of letters, digits and underscores; tiles are given in words. Items of fewer than
-    `min_tile` words have no tile and never leak; null texts have no word. Null and repeated ids and repeated rows each
+    Words are lower-cased runs of letters, digits and underscores; tiles are given in words. An item of fewer than
+    `min_tile` words leaks where it stands as a whole; an item without words never does; null texts have no word. Null and repeated ids and repeated rows each
     give their own pairs; an empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

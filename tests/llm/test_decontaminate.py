@@ -73,3 +73,11 @@ def test_messy_rows(messy, spark):
     assert D.leaks(messy.limit(0), bench).count() == 0
     empty = bench.limit(0)
     assert D.leaks(messy, empty).count() == 0 and D.clean(messy, empty).count() == messy.count()
+
+
+def test_items_shorter_than_a_tile_leak_as_a_whole(docs, spark):
+    bench = spark.createDataFrame([(1, "Who wrote Faust?"), (2, "zinc"), (3, "?!"), (4, ITEM)], "item_id bigint, text string")
+    rows = docs((1, "who wrote faust"), (2, "He wrote Faust. Who?"), (3, f"zinc: {ITEM}"), (4, ""), (5, "Say: who WROTE Faust, who wrote Faust"))
+    got = sorted((r.doc_id, r.item_id, r.n_words, r.coverage) for r in D.leaks(rows, bench).collect())
+    assert got == [(1, 1, 3, 1.0), (3, 2, 1, 1.0), (3, 4, 12, 1.0), (5, 1, 3, 1.0)]
+    assert sorted(r.doc_id for r in D.clean(rows, bench).collect()) == [2, 4]
