@@ -5,8 +5,9 @@ cover enough of the item, both are tiled: the longest common runs of unmarked wo
 with a falling search length, and marked one after the other, so that tiles do not overlap and may come in any order. The
 item leaks if its tiles cover at least `coverage` of its words, also when passages were put in another order.
 
-The benchmark is the stated query set. It is taken in blocks of bounded size; each block goes to the tasks, which search
-all documents where they are read. Documents are never shuffled.
+The benchmark is the stated query set. Its distinct texts are taken in blocks of bounded size; each block goes to the tasks,
+which search all documents where they are read, and what they find is written before the next block is read. Documents are
+not shuffled for the search; ids of items, and of several blocks the verdicts, are joined by two 64-bit hashes of the text.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlens.llm.common import text_blocks, texts_of
+from cohortlens.session import materialize, scratch_dir
 
 _WORD = re.compile(r"\w+")
 _FACTOR = 1_000_003
@@ -168,14 +169,29 @@ class Items:
         return out
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, min_tile: int, coverage: float, block_bytes: int) -> Iterator[Items]:
-    """The benchmark in blocks of about `block_bytes` of text, each read once. Null texts have no word."""
-    rows = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    count = max(1, math.ceil(total / block_bytes))
+def _dealt(benchmark: DataFrame, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """The distinct texts of the benchmark with their keys, written once, and the number of blocks of about `block_bytes`."""
+    texts = materialize(benchmark.select(F.col(text_col).alias("text")).where("text <> ''").distinct().select("text", *_keys(F.col("text"))), "benchmark-texts")
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return texts, max(1, math.ceil(total / block_bytes))
+
+
+def _keys(text: Column) -> list[Column]:
+    """Two 64-bit hashes that together stand for the text."""
+    return [F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(F.lit(2), text).alias("k2")]
+
+
+def _items(texts: DataFrame, count: int, k: int, min_tile: int, coverage: float) -> Items:
+    part = texts.where(F.pmod("k1", F.lit(count)) == k)
+    return Items(sorted(((r["k1"], r["k2"]), r["text"]) for r in part.collect()), min_tile, coverage)
+
+
+def _written(rows: DataFrame, search: Callable[[Items], Callable], schema: str, purpose: str, texts: DataFrame, count: int, min_tile: int, coverage: float) -> DataFrame:
+    """What `search` finds in the rows, of one block after the other; the driver lets go of a block before it reads the next."""
+    path = scratch_dir(rows.sparkSession, purpose)
     for k in range(count):
-        part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k)
-        yield Items(sorted(((r["item"], r["text"]) for r in part.collect()), key=repr), min_tile, coverage)
+        rows.mapInArrow(search(_items(texts, count, k, min_tile, coverage)), schema).write.mode("append").parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 _TILES = "array<struct<item_start:int,doc_start:int,length:int>>"
@@ -190,17 +206,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     give their own pairs; an empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, item {benchmark.schema[item_col].dataType.simpleString()}, n_words int, n_covered int, tiles {_TILES}"
-    parts = [rows.mapInArrow(_pairs(items, to_arrow_type(benchmark.schema[item_col].dataType)), schema) for items in blocks(benchmark, item_col, item_text_col, min_tile, coverage, block_bytes)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, k1 bigint, k2 bigint, n_words int, n_covered int, tiles {_TILES}"
+    texts, count = _dealt(benchmark, item_text_col, block_bytes)
+    if count == 1:
+        found = rows.mapInArrow(_pairs(_items(texts, 1, 0, min_tile, coverage)), schema)
+    else:
+        found = _written(rows, _pairs, schema, "benchmark-pairs", texts, count, min_tile, coverage)
+    # rows that repeat a text are searched for once
+    out = found.join(benchmark.select(F.col(item_col).alias("item"), *_keys(F.col(item_text_col))), ["k1", "k2"])
     return out.select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), "n_words", "n_covered",
         (F.col("n_covered") / F.col("n_words")).alias("coverage"), F.lit(True).alias("contaminated"), "tiles")
 
 
-def _pairs(items: Items, id_type: pa.DataType):
+def _pairs(items: Items):
     kind = pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,11 +227,12 @@ def _pairs(items: Items, id_type: pa.DataType):
             found = [(k, number, tiles) for k, text in enumerate(texts_of(batch, "text")) for number, tiles in items.search(text)]
             yield pa.RecordBatch.from_arrays([
                 batch.column("id").take(pa.array([f[0] for f in found], pa.int64())),
-                pa.array([items.ids[f[1]] for f in found], id_type),
+                pa.array([items.ids[f[1]][0] for f in found], pa.int64()),
+                pa.array([items.ids[f[1]][1] for f in found], pa.int64()),
                 pa.array([len(items.codes[f[1]]) for f in found], pa.int32()),
                 pa.array([sum(t[2] for t in f[2]) for f in found], pa.int32()),
                 pa.array([[dict(zip(("item_start", "doc_start", "length"), t)) for t in f[2]] for f in found], kind),
-            ], names=["id", "item", "n_words", "n_covered", "tiles"])
+            ], names=["id", "k1", "k2", "n_words", "n_covered", "tiles"])
 
     return run
 
@@ -220,9 +240,13 @@ def _pairs(items: Items, id_type: pa.DataType):
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
           min_tile: int = 5, coverage: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of `docs`, all columns, without those into which an item leaks; the rules are those of `leaks`."""
-    for items in blocks(benchmark, item_col, item_text_col, min_tile, coverage, block_bytes):
-        docs = docs.mapInArrow(_clean(items, text_col), docs.schema)
-    return docs
+    texts, count = _dealt(benchmark, item_text_col, block_bytes)
+    if count == 1:
+        return docs.mapInArrow(_clean(_items(texts, 1, 0, min_tile, coverage), text_col), docs.schema)
+    rows = docs.select(F.col(text_col).alias("text"), *_keys(F.col(text_col)))
+    leaking = _written(rows, _leaking, "k1 bigint, k2 bigint", "benchmark-leaks", texts, count, min_tile, coverage).distinct()
+    own = _keys(F.col(f"d.{text_col}"))
+    return docs.alias("d").join(leaking.alias("l"), (own[0] == F.col("l.k1")) & (own[1] == F.col("l.k2")), "left_anti")
 
 
 def _clean(items: Items, text_col: str):
@@ -231,3 +255,12 @@ def _clean(items: Items, text_col: str):
             yield batch.filter(pa.array([not items.search(t) for t in texts_of(batch, text_col)], pa.bool_()))
 
     return run
+
+
+def _leaking(items: Items):
+    """Keys of the texts into which an item of the block leaks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_blocks(batches, "text", 4 << 20):
+            yield batch.filter(pa.array([bool(items.search(t)) for t in texts_of(batch, "text")], pa.bool_())).select(["k1", "k2"])
+
+    return run

@@ -29,6 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark item."""
+    with_scratch(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -1,4 +1,6 @@
+import gc
 import random
+import weakref
 
 from cohortlens.llm import decontaminate as D
 
@@ -81,3 +83,24 @@ def test_items_shorter_than_a_tile_leak_as_a_whole(docs, spark):
     got = sorted((r.doc_id, r.item_id, r.n_words, r.coverage) for r in D.leaks(rows, bench).collect())
     assert got == [(1, 1, 3, 1.0), (3, 2, 1, 1.0), (3, 4, 12, 1.0), (5, 1, 3, 1.0)]
     assert sorted(r.doc_id for r in D.clean(rows, bench).collect()) == [2, 4]
+
+
+def test_blocks_are_bounded_and_held_one_at_a_time(docs, spark, monkeypatch):
+    alive, most, sizes, make = weakref.WeakSet(), [], [], D.Items.__init__
+
+    def watched(self, rows, *rest):
+        gc.collect()
+        most.append(len(alive))
+        sizes.append(len(rows))
+        make(self, rows, *rest)
+        alive.add(self)
+
+    monkeypatch.setattr(D.Items, "__init__", watched)
+    other = "one two three four five six seven eight"
+    bench = spark.createDataFrame([(7, ITEM)] * 30 + [(8, other), (None, other)], "item_id bigint, text string")
+    rows = docs((1, ITEM), (2, f"{other} {ITEM}"), (2, "clean"), (None, None))
+    got = sorted((r.doc_id, r.item_id or 0) for r in D.leaks(rows, bench, block_bytes=12).collect())
+    assert got == [(1, 7)] * 30 + [(2, 0)] + [(2, 7)] * 30 + [(2, 8)]
+    assert len(sizes) > 2 and sum(sizes) == 2 and not any(most)
+    kept = D.clean(rows, bench, block_bytes=12)
+    assert kept.columns == rows.columns and sorted(r.text or "" for r in kept.collect()) == ["", "clean"] and not any(most)
