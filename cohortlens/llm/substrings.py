@@ -4,9 +4,10 @@ A window is `window` words in a row. From every window one phrase of `phrase` wo
 window stands, so windows that recur share a phrase that recurs.
 
 1. Phrases are counted over all documents; those that occur once are done with.
-2. For each block of documents an Aho-Corasick automaton is compiled from the recurring phrases of the block (the
-   shard), and the documents are streamed through it to locate every occurrence. The windows that chose an occurrence
-   form a segment.
+2. The recurring phrases are joined back to their texts by hash, which already finds every occurrence that a window
+   chose. For each block of documents an Aho-Corasick automaton is compiled from the recurring phrases of the block (the
+   shard) and walks over the same documents; it reports these places again and decides nothing. The windows that chose an
+   occurrence form a segment.
 3. Segments are counted. All windows of a segment that recurs do so too. Where a phrase stands in different segments, as
    at the edges of a shared passage, the single windows of the distinct segments are counted.
 4. The words of recurring windows are removed.
