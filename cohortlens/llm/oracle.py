@@ -111,4 +111,47 @@ negative AS (
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 5
 """
 
-STATEMENTS = {"op8_quality": QUALITY, "op9_chat_format": CHAT, "op10_substring_dedup": SUBSTRINGS, "op13_hard_negatives": NEGATIVES}
+DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+said AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS d FROM said GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS total FROM counts GROUP BY ALL HAVING sum(d) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, total, sum(coalesce(n, 0)) OVER g AS own, sum(total) OVER g AS whole, count(*) OVER g AS v
+  FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term) WINDOW g AS (PARTITION BY lang, source)),
+shares AS (
+  SELECT lang, source, term, n, 1 + CAST(1000000000 AS HUGEINT) * (n + 1) // (own + v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (total + 1) // (whole + v) AS q
+  FROM cells),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+SUFFIXES = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+places AS (SELECT r, i, md5_number(x[2 * i + 1:2 * i + 800]) AS h FROM (SELECT r, x, unnest(range(0, n - 399)) AS i FROM docs WHERE n >= 400)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS times FROM places) WHERE times > 1),
+begun AS (SELECT r, i, coalesce(i > 400 + lag(i) OVER (PARTITION BY r ORDER BY i), true) AS new FROM again),
+numbered AS (SELECT r, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS run FROM begun),
+runs AS (SELECT r, run, min(i) AS b, max(i) + 400 AS e FROM numbered GROUP BY r, run),
+gaps AS (
+  SELECT r, b AS upto, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS since FROM runs
+  UNION ALL SELECT r, n, coalesce(e, 0) FROM docs LEFT JOIN (SELECT r, max(e) AS e FROM runs GROUP BY r) USING (r)),
+kept AS (SELECT r, string_agg(x[2 * since + 1:2 * upto], '' ORDER BY since) AS x FROM gaps JOIN docs USING (r) GROUP BY r),
+sums AS (SELECT r, count(*) AS spans, sum(e - b) AS gone FROM runs GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.x, ''))) AS kept_sha256
+FROM docs LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+"""
+
+STATEMENTS = {"op8_quality": QUALITY, "op9_chat_format": CHAT, "op10_substring_dedup": SUBSTRINGS, "op11_divergence": DIVERGENCE, "op12_suffix_dedup": SUFFIXES, "op13_hard_negatives": NEGATIVES}

@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm import bpe, chat, decontaminate, hard_negatives, language_id, pii, quality, simhash, substrings, token_counts, toxicity
+from cohortlens.llm import bpe, chat, decontaminate, divergence, hard_negatives, language_id, pii, quality, simhash, substrings, suffix_arrays, token_counts, toxicity
 from cohortlens.llm.common import crc_mod, table
 from cohortlens.llm.oracle import STATEMENTS
 from cohortlens.session import with_scratch
@@ -135,3 +135,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+@query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.deduplicate(table(spark, sf_dir, "documents"), bytes_too=False)
