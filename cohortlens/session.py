@@ -51,16 +51,27 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{_scratch_root(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
+def materialize(df: DataFrame, purpose: str, codec: str | None = None) -> DataFrame:
     """Write a result that several branches read to the shared folder, and read it back.
 
-    The upstream work then runs once, survives lost executors and stays out of later plans.
+    The upstream work then runs once, survives lost executors and stays out of later plans. `codec` is for tables of texts,
+    whose place on the disk matters more than the time to pack them.
     """
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.mode("errorifexists").parquet(path)
+    writer = df.write.mode("errorifexists")
+    (writer.option("compression", codec) if codec else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` has written, once all that reads them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application has written below the checkpoint folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
