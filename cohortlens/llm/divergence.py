@@ -30,7 +30,7 @@ from cohortlens.session import materialize
 #: Bytes of terms; A-Z are lower-cased, all others separate terms (fixed rule).
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 _PIECE = 4 << 20
-_HELD = 200_000  # distinct (group, term) counts that a task holds before it passes them on
+_HELD = 400_000  # distinct (group, term) counts that a task holds before it passes them on
 
 _COUNT = {"lang": pa.string(), "source": pa.string(), "term": pa.string(), "n": pa.int64(), "docs": pa.int64()}
 _POINT = {"lang": pa.string(), "source": pa.string(), "term": pa.string(), "n": pa.int64(), "total": pa.int64(), "p": pa.int64(), "q": pa.int64()}
@@ -50,27 +50,33 @@ def term_pieces(text: str | None) -> Iterator[list[bytes]]:
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each term by group; a term may come several times."""
-    counts: dict[tuple, list[int]] = {}
+    said: dict[tuple, Counter] = {}  # occurrences by group
+    held: dict[tuple, Counter] = {}  # documents by group
 
     def made():
-        keys = list(zip(*counts)) or [()] * 3
-        totals = list(zip(*counts.values())) or [()] * 2
-        out = batch_of(_COUNT, lang=keys[0], source=keys[1], term=[t.decode() for t in keys[2]], n=totals[0], docs=totals[1])
-        counts.clear()
-        return out
-
+        for (lang, source), counts in said.items():
+            terms, docs = list(counts), held[lang, source]
+            yield batch_of(
+                _COUNT, lang=[lang] * len(terms), source=[source] * len(terms), term=pa.array(terms, pa.binary()).cast(pa.string()),
+                n=list(counts.values()), docs=[docs[t] for t in terms])
+        said.clear()
+        held.clear()
+
+    size = 0
     for batch in batches:
         for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-            own: Counter = Counter()
+            counts, docs = said.setdefault((lang, source), Counter()), held.setdefault((lang, source), Counter())
+            size -= len(counts)
+            own: set[bytes] = set()
             for terms in term_pieces(text):
+                counts.update(terms)
                 own.update(terms)
-            for term, n in own.items():
-                held = counts.setdefault((lang, source, term), [0, 0])
-                held[0] += n
-                held[1] += 1
-            if len(counts) >= _HELD:
-                yield made()
-    yield made()
+            docs.update(own)
+            size += len(counts)
+            if size >= _HELD:
+                yield from made()
+                size = 0
+    yield from made()
 
 
 def skyband(n: np.ndarray, total: np.ndarray, place: np.ndarray, keep: int, block: int = 512) -> np.ndarray:
@@ -109,9 +115,9 @@ def _skybands(keep: int):
             for lang, source, term, *numbers in zip(*columns):
                 rows = held.setdefault((lang, source), [])
                 rows.append((term.encode(), *numbers))
-                if len(rows) >= limit.get((lang, source), 16 * keep):
+                if len(rows) >= limit.get((lang, source), 32 * keep):
                     rows[:] = pruned(rows)
-                    limit[(lang, source)] = max(16 * keep, 2 * len(rows))
+                    limit[(lang, source)] = max(32 * keep, 4 * len(rows))
         for (lang, source), rows in held.items():
             terms, *numbers = zip(*pruned(rows))
             yield batch_of(_POINT, lang=[lang] * len(terms), source=[source] * len(terms), term=[t.decode() for t in terms], **dict(zip("n total p q".split(), numbers)))
