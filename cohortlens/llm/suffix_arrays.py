@@ -6,7 +6,7 @@ suffixes would show the repeats as neighbours, and prefix-free parsing builds th
 1. A rolling hash of `TRIGGER` bytes picks triggers, about one in `modulus` places. Equal bytes have equal triggers. A phrase reaches
    from a trigger to the end of the next one. No phrase suffix is the beginning of another, so suffixes of the corpus
    compare by the suffix of the phrase they begin in, then by the phrases that follow.
-2. Phrases are counted over all distinct texts. A string that repeats has only repeating phrases inside, so only places
+2. Phrases are counted over all texts. A string that repeats has only repeating phrases inside, so only places
    whose following `length` bytes have no unique phrase stay in (`open_windows`). In ordinary text that is next to nothing.
 3. What is left is cut into forms: the places before one trigger, up to the trigger before it, with the bytes that they
    reach. A form is a run of suffixes of one phrase together with the parse that follows. Equal forms are counted; all
@@ -31,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.llm.common import text_blocks
-from cohortlens.session import materialize
+from cohortlens.session import discard, materialize
 
 TRIGGER = 16
 _PIECE = 1 << 20
 _FACTOR = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 24) - 1)
 
-_FORM = {"s": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "t": pa.int64(), "copies": pa.int64(), "first": pa.int64(), "n": pa.int64(), "lead": pa.int64()}
+_FORM = {"s": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "t": pa.int64(), "first": pa.int64(), "n": pa.int64(), "lead": pa.int64()}
 _FORM_SQL = ", ".join(f"{c} bigint" for c in _FORM)
 _KEY = ["s", "k1", "k2"]
 
@@ -121,67 +121,72 @@ def _without_trigger(data: bytes, begin: int, end: int, length: int) -> Iterator
 
 
 def forms(data: bytes, runs: list[dict], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """Forms (key, first, places, lead) of the open runs of a text; lead is the number of bytes before the anchor at `first`."""
+    """Forms (key, first, places, lead) of the open runs of a text; lead is the number of bytes before the anchor at `first`.
+
+    A run has begin, end, its anchor (-1 where no trigger is in reach) and `upto`, the trigger that ends the whole phrase
+    behind the anchor, or the anchor where there is no whole phrase in reach.
+    """
     view = memoryview(data)
     held = None  # the run before, if the next one may continue it
     for run in [*runs, None]:
-        if run is not None and run["last"] < run["first"]:
+        if run is None:
+            nexts = [None]
+        elif run["anchor"] < 0:
             nexts = list(_without_trigger(data, run["begin"], run["end"], length))
-        elif run is not None:
-            whole = run["last"] > run["first"]
-            upto = run["next"] if whole else run["anchor"]
-            nexts = [(run["begin"], run["end"], run["anchor"], (whole, upto))]
         else:
-            nexts = [None]
+            nexts = [(run["begin"], run["end"], run["anchor"], (run["upto"],))]
         for new in nexts:
             if held and new and held[1] == new[0] and held[2:] == new[2:]:
                 held = (held[0], *new[1:])
                 continue
             if held:
                 begin, end, anchor, kind = held
-                key = kind if isinstance(kind, int) else xxhash.xxh3_64_intdigest(view[anchor:kind[1] + TRIGGER], seed=1 + kind[0])
+                key = kind if isinstance(kind, int) else xxhash.xxh3_64_intdigest(view[anchor:kind[0] + TRIGGER], seed=1 + (kind[0] > anchor))
                 yield _signed(key), begin, end - begin, anchor - begin
             held = new
 
 
 def _parse(length: int, modulus: int):
-    """(t, size, places, phrases) of each text."""
+    """(t, phrases, loose) of each text; loose if some place reaches no whole phrase, so that no phrase speaks for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, "text", 4 << 20):
-            sizes, places, phrases = [], [], []
+            phrases, loose = [], []
             for text in batch.column("text").to_pylist():
                 data = text.encode()
                 at = triggers(data, modulus)
-                sizes.append(len(data))
-                places.append(at)
-                phrases.append(phrase_hash(memoryview(data), at))
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(sizes, pa.int64()), pa.array(places, lists), pa.array(phrases, lists)], names=["t", "size", "places", "phrases"])
+                found = phrase_hash(memoryview(data), at)
+                phrases.append(found)
+                loose.append(len(open_windows(len(data), at, np.ones(len(found), bool), length)[0]) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(phrases, pa.list_(pa.int64())), pa.array(loose, pa.bool_())], names=["t", "phrases", "loose"])
 
     return run
 
 
-_RUN = pa.struct([(c, pa.int64()) for c in ("begin", "end", "first", "last", "anchor", "next")])
-_RUN_SQL = "t bigint, runs array<struct<begin:bigint,end:bigint,first:bigint,last:bigint,anchor:bigint,next:bigint>>"
+_RUN = pa.struct([(c, pa.int32()) for c in ("begin", "end", "anchor", "upto")])
+_RUN_SQL = "t bigint, text string, runs array<struct<begin:int,end:int,anchor:int,upto:int>>"
 
 
-def _open(length: int):
-    """(t, runs) of the texts that have open places, from their parse and their recurring phrases."""
+def _open(length: int, modulus: int):
+    """(t, text, runs) of the texts that have open places, from their recurring phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, lists = [], []
-            for t, size, places, phrases, recurring in zip(*(batch.column(c) for c in ("t", "size", "places", "phrases", "recurring"))):
-                places = places.values.to_numpy().astype(np.int64)
-                known = recurring.values.to_numpy() if recurring.is_valid else np.zeros(0, np.int64)
-                begin, end, first, last = open_windows(size.as_py(), places, ~np.isin(phrases.values.to_numpy(), known), length)
+        for batch in text_blocks(batches, "text", 4 << 20):
+            kept, lists = [], []
+            for k, (text, recurring) in enumerate(zip(batch.column("text").to_pylist(), batch.column("recurring"))):
+                data = text.encode()
+                places = triggers(data, modulus)
+                unique = ~np.isin(phrase_hash(memoryview(data), places), recurring.values.to_numpy())
+                begin, end, first, last = open_windows(len(data), places, unique, length)
                 if len(begin):
                     after = np.append(places, [-1, -1])
-                    ids.append(t.as_py())
-                    lists.append([dict(zip(("begin", "end", "first", "last", "anchor", "next"), r)) for r in zip(
-                        begin.tolist(), end.tolist(), first.tolist(), last.tolist(), after[first].tolist(), after[first + 1].tolist())])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(_RUN))], names=["t", "runs"])
+                    anchor = np.where(last < first, -1, after[first])
+                    upto = np.where(last > first, after[first + 1], anchor)
+                    kept.append(k)
+                    lists.append([dict(zip(("begin", "end", "anchor", "upto"), r)) for r in zip(begin.tolist(), end.tolist(), anchor.tolist(), upto.tolist())])
+            rows = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("t").take(rows), batch.column("text").take(rows), pa.array(lists, pa.list_(_RUN))], names=["t", "text", "runs"])
 
     return run
 
@@ -190,12 +195,12 @@ def _forms(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, "text", 4 << 20):
             out: dict[str, list] = {c: [] for c in _FORM}
-            for t, copies, text, runs in zip(*(batch.column(c).to_pylist() for c in ("t", "copies", "text", "runs"))):
+            for t, text, runs in zip(*(batch.column(c).to_pylist() for c in ("t", "text", "runs"))):
                 data = text.encode()
                 view = memoryview(data)
                 for key, first, n, lead in forms(data, runs, length):
                     k = xxhash.xxh3_128_intdigest(view[first:first + n - 1 + length], seed=lead)
-                    for c, value in zip(_FORM, (key, _signed(k >> 64), _signed(k & ((1 << 64) - 1)), t, copies, first, n, lead)):
+                    for c, value in zip(_FORM, (key, _signed(k >> 64), _signed(k & ((1 << 64) - 1)), t, first, n, lead)):
                         out[c].append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[c], kind) for c, kind in _FORM.items()], names=list(_FORM))
 
@@ -369,27 +374,29 @@ def _remover(with_bytes: bool):
 
 
 def _open_texts(texts: DataFrame, length: int, modulus: int) -> DataFrame:
-    """(t, copies, text, runs) of the distinct texts with open places."""
-    parsed = materialize(texts.mapInArrow(_parse(length, modulus), "t bigint, size bigint, places array<bigint>, phrases array<bigint>"), "suffix-parse")
+    """(t, text, runs) of the texts with open places."""
+    parsed = materialize(texts.mapInArrow(_parse(length, modulus), "t bigint, phrases array<bigint>, loose boolean"), "suffix-parse")
     single = parsed.select("t", F.explode("phrases").alias("phrase"))
     # written, so that a very frequent phrase can be split in the join
     often = materialize(single.groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1").select("phrase"), "suffix-dictionary")
-    marked = single.join(often, "phrase").groupBy("t").agg(F.collect_set("phrase").alias("recurring"))
-    runs = parsed.join(marked, "t", "left").mapInArrow(_open(length), _RUN_SQL)
-    return materialize(texts.join(runs, "t").select("t", "copies", "text", "runs"), "suffix-open")
+    none = parsed.where("loose").select("t", F.lit(None).cast("bigint").alias("phrase"))
+    marked = single.join(often, "phrase").select("t", "phrase").unionByName(none).groupBy("t").agg(F.collect_set("phrase").alias("recurring"))
+    held = materialize(texts.join(marked, "t").select("t", "text", "recurring").mapInArrow(_open(length, modulus), _RUN_SQL), "suffix-open", "zstd")
+    discard(parsed, often)
+    return held
 
 
 def repeated_ranges(texts: DataFrame, length: int, modulus: int, group: int) -> DataFrame:
-    """(t, ranges): begin and end in bytes of what repeats, for rows (t, copies, text, runs)."""
+    """(t, ranges): begin and end in bytes of what repeats, for rows (t, text, runs)."""
     placed = materialize(texts.mapInArrow(_forms(length), _FORM_SQL), "suffix-forms")
     first = F.min(F.struct("t", "first", "n", "lead")).alias("at")
-    counted = materialize(placed.groupBy(*_KEY).agg(F.sum("copies").alias("times"), first).select(*_KEY, "times", "at.*"), "suffix-counts")
+    counted = materialize(placed.groupBy(*_KEY).agg(F.count("*").alias("times"), first).select(*_KEY, "times", "at.*"), "suffix-counts")
     mixed = counted.groupBy("s").agg(F.count("*").alias("forms"), F.min("times").alias("least")).where("forms > 1 AND least = 1").select("s", "forms")
     mixed = materialize(mixed, "suffix-mixed")
     some = counted.join(mixed, "s").withColumn("hot", F.col("forms") > group)
     wanted = some.groupBy("t").agg(F.collect_list(F.struct("s", "k1", "k2", "times", "lead", "first", "n", "hot")).alias("wanted"))
     content = texts.select("t", "text").join(wanted, "t").mapInArrow(_content(length), "s bigint, k1 bigint, k2 bigint, times bigint, lead bigint, hot boolean, content binary")
-    content = materialize(content, "suffix-content")
+    content = materialize(content, "suffix-content", "zstd")
     spans = "s bigint, k1 bigint, k2 bigint, spans array<struct<near:bigint,far:bigint>>"
     grouped = content.where("NOT hot").repartition("s").sortWithinPartitions("s").mapInArrow(_sorted_groups(length), spans)
     places = content.where("hot").mapInArrow(_places(length), "s bigint, k1 bigint, k2 bigint, times bigint, distance bigint, h1 bigint, h2 bigint")
@@ -399,14 +406,17 @@ def repeated_ranges(texts: DataFrame, length: int, modulus: int, group: int) ->
     by_place = places.where("times = 1").join(again, ["s", "h1", "h2"]).groupBy(*_KEY).agg(F.collect_list(near).alias("spans"))
     every = counted.where("times > 1").select(*_KEY, F.lit(None).cast("array<struct<near:bigint,far:bigint>>").alias("spans"))
     verdict = materialize(every.unionByName(grouped).unionByName(by_place), "suffix-verdicts")
+    discard(content, places, again, counted, mixed)
     begin = F.col("first") + F.col("lead")
     whole = F.array(F.struct(F.col("first").alias("begin"), (F.col("first") + F.col("n") - 1 + length).alias("end")))
     part = F.transform("spans", lambda x: F.struct((begin - x["far"]).alias("begin"), (begin - x["near"] + length).alias("end")))
-    hits = placed.where("copies = 1").join(verdict, _KEY).select("t", F.when(F.col("spans").isNull(), whole).otherwise(part).alias("r"))
-    return hits.groupBy("t").agg(F.flatten(F.collect_list("r")).alias("ranges"))
+    hits = placed.join(verdict, _KEY).select("t", F.when(F.col("spans").isNull(), whole).otherwise(part).alias("r"))
+    ranges = materialize(hits.groupBy("t").agg(F.flatten(F.collect_list("r")).alias("ranges")), "suffix-ranges")
+    discard(placed, verdict)
+    return ranges
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, modulus: int = 40, group: int = 4096, bytes_too: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, modulus: int = 40, group: int = 512, bytes_too: bool = True) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, and with `bytes_too` also `kept`, the kept bytes.
 
     A byte (of the text in UTF-8) goes if a string of `length` bytes that covers it starts anywhere else, in another row
@@ -419,25 +429,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if length < 2 * TRIGGER:
         raise ValueError(f"strings have {2 * TRIGGER} bytes at least")
-    data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.lit(1), F.col(text_col)).alias("d1"), F.xxhash64(F.lit(2), F.col(text_col)).alias("d2"),
-        F.octet_length(data).cast("bigint").alias("n_bytes"), F.sha2(data, 256).alias("sha"), data.alias("data"))
-    distinct = rows.where(F.col("n_bytes") >= length).groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("text").alias("text"))
     # numbers of texts hold for what is written
-    texts = materialize(distinct.withColumn("t", F.monotonically_increasing_id()), "suffix-texts")
+    rows = docs.select(F.monotonically_increasing_id().alias("t"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = materialize(rows, "suffix-texts", "zstd")
+    texts = rows.where(F.octet_length("text") >= length).select("t", "text")
     held = _open_texts(texts, length, modulus)
-    ranges = materialize(repeated_ranges(held, length, modulus, group), "suffix-ranges")
+    ranges = repeated_ranges(held, length, modulus, group)
     kept = ", kept binary" * bytes_too
     cut = held.select("t", "text").join(ranges, "t").mapInArrow(_remover(bytes_too), f"t bigint, n_removed bigint, n_spans bigint, kept_sha256 string{kept}")
-    columns = ["d1", "d2", "n_removed", "n_spans", "kept_sha256", *["kept"] * bytes_too]
-    some = texts.where("copies = 1").select("d1", "d2", "t").join(cut, "t").select(columns)
-    empty = F.lit(b"")
-    gone = texts.where("copies > 1").select(
-        "d1", "d2", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.sha2(empty, 256).alias("kept_sha256"), *[empty.alias("kept")] * bytes_too)
-    verdict = materialize(some.unionByName(gone), "suffix-removed")
-    joined = rows.join(verdict, ["d1", "d2"], "left")
+    data = F.encode("text", "UTF-8")
+    own = rows.select("t", "id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(data, 256).alias("sha"), *[data.alias("data")] * bytes_too)
     none = F.lit(0).cast("bigint")
-    return joined.select(
+    return own.join(cut, "t", "left").select(
         F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *[F.coalesce("kept", "data").alias("kept")] * bytes_too)
