@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from cohortlens.catalog.inputs import LABELS, LOG, SHIFTED
 from cohortlens.catalog.q_evaluation import CELLS, MEASURES, SHORT
 from cohortlens.catalog.registry import query, r6, rounded
-from cohortlens.operators import drift, evaluate, monitor
+from cohortlens.operators import drift, evaluate, monitor, reference
 from cohortlens.session import scratch_dir
 from cohortlens.sources import files, logs, star
+from cohortlens.sources.indexed import IndexedLog
 
 CUT = "timestamp_ntz'2024-01-16'"
 COLUMNS = ["p", "user_id", "high"]
@@ -74,6 +75,25 @@ def drift_summary(spark, d):
     return drift.summary(drift.report(*_sides(spark, d), test=TESTS)).withColumn("drifted_features", F.array_join("drifted_features", ","))
 
 
+@query("drift_profile", f"""WITH {_LONG}
+SELECT "column", CAST(count(*) FILTER (WHERE is_ref) AS BIGINT) AS n_ref, CAST(count(*) FILTER (WHERE NOT is_ref) AS BIGINT) AS n_cur, {r6('avg(v) FILTER (WHERE is_ref)', 'ref_mean')},
+       {r6('stddev_pop(v) FILTER (WHERE is_ref)', 'ref_std')}, {r6('avg(v) FILTER (WHERE NOT is_ref)', 'cur_mean')}, true AS ks_within_error, true AS wasserstein_within_error FROM L GROUP BY 1""")
+def drift_profile(spark, d):
+    """The first half of the month as daily profiles, the second half checked against them; distances lie near the exact ones."""
+    events = star.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    before, after = _sides(spark, d)
+    value = "value / (value + 100.0D)"
+    old = events.where(f"ts < timestamp'2024-01-16'").selectExpr("ts", "user_id", f"{value} AS p").withColumn("high", F.when(F.col("p") >= 0.5, 1).otherwise(0))
+    path = scratch_dir(spark, "profile")
+    reference.store(old, COLUMNS, "ts", path)
+    found = reference.check(reference.load(spark, path), after, COLUMNS)
+    exact = drift.report(before, after, COLUMNS).select("column", F.col("ks").alias("exact_ks"), F.col("wasserstein").alias("exact_wasserstein"))
+    error = reference.ks_error()
+    near = lambda name, by: (F.abs(F.col(name) - F.col(f"exact_{name}")) <= by).alias(f"{name}_within_error")
+    return rounded(found.join(exact, "column").select(
+        "column", "n_ref", "n_cur", "ref_mean", "ref_std", "cur_mean", near("ks", error), near("wasserstein", 3 * error)))
+
+
 _EDGES = """E AS (SELECT "column", """ + ", ".join(
     f"quantile_cont(v, {i / 10!r}) FILTER (WHERE is_ref) AS e{i}" for i in range(1, 10)
 ) + """ FROM L GROUP BY "column"),
@@ -103,9 +123,8 @@ X AS (SELECT *, sum(r) OVER w AS tr, sum(c) OVER w AS tc, (r + c) / CAST(sum(r +
       FROM G WINDOW w AS (PARTITION BY "column")),
 S AS (SELECT "column", CAST(max(tr) AS BIGINT) AS n_ref, CAST(max(tc) AS BIGINT) AS n_cur, count(*) - 1 AS dof,
       sum((r - tr * share) * (r - tr * share) / (tr * share) + (c - tc * share) * (c - tc * share) / (tc * share)) AS x FROM X GROUP BY 1)
-SELECT "column", n_ref, n_cur, {r6('x', 'chi2')}, dof,
-       CASE WHEN dof > 0 THEN (pow(x / dof, 1.0::DOUBLE / 3) - (1 - 2.0::DOUBLE / (9 * dof))) / sqrt(2.0::DOUBLE / (9 * dof)) > 1.6448536269514722
-            ELSE false END AS drift_detected FROM S""")
+SELECT "column", n_ref, n_cur, {r6('x', 'chi2')}, dof, {r6('pv', 'p_value')}, pv < 0.05 AS drift_detected
+FROM (SELECT *, CASE WHEN dof = 0 OR x <= 0 THEN 1.0::DOUBLE ELSE greatest(1 - (SELECT sum(exp((dof / 2 + i) * ln(x / 2) - x / 2 - lgamma(dof / 2 + i + 1))) FROM range(1000) t(i)), 0) END AS pv FROM S)""")
 def drift_chi2(spark, d):
     return rounded(drift.chi2(*_sides(spark, d), ["event_type", "high"]))
 
@@ -183,15 +202,28 @@ def prediction_stats(spark, d):
     return rounded(monitor.stats(star.score_log(spark, d)).drop("risk_distribution"))
 
 
+def indexed_log(spark, d):
+    """The log in four appends that overlap in time."""
+    rows = star.score_log(spark, d)
+    log = IndexedLog(spark, scratch_dir(spark, "indexed-log"), rows.schema)
+    for part in range(4):
+        log.append(rows.where(F.col("id") % 4 == part))
+    return log
+
+
 @query("prediction_stats_last_1000", f"WITH {LOG}, L AS (SELECT * FROM EV ORDER BY timestamp DESC, id DESC LIMIT 1000) SELECT {STATS} FROM L")
 def prediction_stats_last_1000(spark, d):
-    return rounded(monitor.stats(star.score_log(spark, d), 1000).drop("risk_distribution"))
+    newest = indexed_log(spark, d).latest(1000, F.desc("id"))
+    return rounded(monitor.stats(newest).drop("risk_distribution"))
 
 
 @query("log_latest_1000", f"""WITH {LOG} SELECT id, timestamp, prediction, risk_level, {r6('probability_at_risk', 'probability_at_risk')}, model_type
 FROM EV ORDER BY timestamp DESC, id DESC LIMIT 1000""")
 def log_latest_1000(spark, d):
-    rows = monitor.latest(star.score_log(spark, d), 1000)
+    """The log comes in four appends and is compacted; only the newest days are opened."""
+    log = indexed_log(spark, d)
+    log.compact(1)
+    rows = log.latest(1000, F.desc("id"))
     return rounded(rows.select("id", "timestamp", "prediction", "risk_level", "probability_at_risk", "model_type"))
 
 

@@ -19,33 +19,37 @@ def _mean(cols):
     return f"(({' + '.join(f'coalesce({c}, 0)' for c in cols)}) / nullif({present}, 0))"
 
 
-def _temporal():
+def temporal():
+    """(name, expression) of the features over years."""
     out = []
     for s in S:
         cols = names((s,))
         out += [
-            *[r6(f"{s}_{b} - {s}_{a}", f"{s}_diff_{a}_{b}") for a, b in STEPS],
-            r6(f"{s}_{star.LATEST} - {s}_{star.YEARS[0]}", f"{s}_trend"), r6(_mean(cols), f"{s}_mean"),
-            r6(f"coalesce(list_stddev_samp([{', '.join(cols)}]), 0)", f"{s}_std"),
+            *[(f"{s}_diff_{a}_{b}", f"{s}_{b} - {s}_{a}") for a, b in STEPS], (f"{s}_trend", f"{s}_{star.LATEST} - {s}_{star.YEARS[0]}"),
+            (f"{s}_mean", _mean(cols)), (f"{s}_std", f"coalesce(list_stddev_samp([{', '.join(cols)}]), 0)"),
         ]
-    return ", ".join(out)
+    return out
 
 
-def _composites(suffix="_2001"):
-    c = lambda *stems: [f"{x}{suffix}" for x in stems]
-    return ", ".join([
-        r6(_mean(c("INDE", "IAA", "IDA")), "ACADEMIC_COMPOSITE"), r6(_mean(c("IEG", "IPS")), "ENGAGEMENT_COMPOSITE"),
-        r6(f"10 - {_mean(c('INDE', 'IEG', 'IPS'))}", "RISK_SCORE"),
-    ])
+def _latest(*stems):
+    return [f"{s}_{star.LATEST}" for s in stems]
 
 
-PROGRESS = r6("PONTO_VIRADA_2001 * ANOS_PM_2001", "PROGRESS_INDEX")
-GAP = r6("IDADE_ALUNO_2001 - FASE_2001 - 6", "AGE_PHASE_GAP")
-INTERACTIONS = ", ".join([
-    r6("coalesce(INDE_2001, 0) * coalesce(IEG_2001, 0)", "INDE_IEG_INTERACTION"),
-    r6("coalesce(IPS_2001, 0) * coalesce(IAA_2001, 0)", "IPS_IAA_INTERACTION"),
-    r6("coalesce(BOLSISTA_2001, 0) * coalesce(INDE_2001, 0)", "BOLSISTA_INDE_INTERACTION"),
-])
+COMPOSITES = [
+    ("ACADEMIC_COMPOSITE", _mean(_latest("INDE", "IAA", "IDA"))), ("ENGAGEMENT_COMPOSITE", _mean(_latest("IEG", "IPS"))),
+    ("RISK_SCORE", f"10 - {_mean(_latest('INDE', 'IEG', 'IPS'))}"),
+]
+PROGRESS = [("PROGRESS_INDEX", "PONTO_VIRADA_2001 * ANOS_PM_2001")]
+GAP = [("AGE_PHASE_GAP", "IDADE_ALUNO_2001 - FASE_2001 - 6")]
+INTERACTIONS = [
+    ("INDE_IEG_INTERACTION", "coalesce(INDE_2001, 0) * coalesce(IEG_2001, 0)"), ("IPS_IAA_INTERACTION", "coalesce(IPS_2001, 0) * coalesce(IAA_2001, 0)"),
+    ("BOLSISTA_INDE_INTERACTION", "coalesce(BOLSISTA_2001, 0) * coalesce(INDE_2001, 0)"),
+]
+EVERY = [*temporal(), *COMPOSITES, *PROGRESS, *GAP, *INTERACTIONS]
+
+
+def _sql(made):
+    return ", ".join(r6(expression, name) for name, expression in made)
 
 
 def _added(df, make):
@@ -54,33 +58,33 @@ def _added(df, make):
     return rounded(features.build(df, made).select(star.KEY, *[f.name for f in made]))
 
 
-@query("feat_temporal", f"WITH {wide(S)} SELECT cust_id, {_temporal()} FROM W")
+@query("feat_temporal", f"WITH {wide(S)} SELECT cust_id, {_sql(temporal())} FROM W")
 def feat_temporal(spark, d):
     return _added(star.wide(spark, d, S), features.temporal_features)
 
 
-@query("feat_composite", f"WITH {wide(COMPOSITE_INPUTS, LATEST)} SELECT cust_id, {_composites()} FROM W")
+@query("feat_composite", f"WITH {wide(COMPOSITE_INPUTS, LATEST)} SELECT cust_id, {_sql(COMPOSITES)} FROM W")
 def feat_composite(spark, d):
     return _added(star.wide(spark, d, COMPOSITE_INPUTS, LATEST), features.composite_features)
 
 
-@query("feat_progress", f"WITH {wide(('PONTO_VIRADA', 'ANOS_PM'), LATEST)} SELECT cust_id, {PROGRESS} FROM W")
+@query("feat_progress", f"WITH {wide(('PONTO_VIRADA', 'ANOS_PM'), LATEST)} SELECT cust_id, {_sql(PROGRESS)} FROM W")
 def feat_progress(spark, d):
     return _added(star.wide(spark, d, ("PONTO_VIRADA", "ANOS_PM"), LATEST), features.composite_features)
 
 
-@query("feat_age_gap", f"WITH {wide(('IDADE_ALUNO', 'FASE'), LATEST)} SELECT cust_id, {GAP} FROM W")
+@query("feat_age_gap", f"WITH {wide(('IDADE_ALUNO', 'FASE'), LATEST)} SELECT cust_id, {_sql(GAP)} FROM W")
 def feat_age_gap(spark, d):
     return _added(star.wide(spark, d, ("IDADE_ALUNO", "FASE"), LATEST), features.composite_features)
 
 
-@query("feat_interaction", f"WITH {wide(('INDE', 'IEG', 'IPS', 'IAA', 'BOLSISTA'), LATEST)} SELECT cust_id, {INTERACTIONS} FROM W")
+@query("feat_interaction", f"WITH {wide(('INDE', 'IEG', 'IPS', 'IAA', 'BOLSISTA'), LATEST)} SELECT cust_id, {_sql(INTERACTIONS)} FROM W")
 def feat_interaction(spark, d):
     return _added(star.wide(spark, d, ("INDE", "IEG", "IPS", "IAA", "BOLSISTA"), LATEST), features.interaction_features)
 
 
 @query("feat_all", f"""WITH {wide()}
-SELECT cust_id, {', '.join(r6(c, c) for c in names(S))}, {_temporal()}, {_composites()}, {PROGRESS}, {GAP}, {INTERACTIONS} FROM W""")
+SELECT cust_id, {', '.join(r6(c, c) for c in names(S))}, {_sql(EVERY)} FROM W""")
 def feat_all(spark, d):
     df = star.wide(spark, d)
     spec = star.wide_spec(df)

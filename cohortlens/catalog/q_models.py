@@ -85,18 +85,34 @@ def model_tune(spark, d):
     return spark.createDataFrame([(type(model).__name__, near)], "model string, in_grid boolean")
 
 
-@query("model_importance", f"SELECT CAST({len(FEATURES)} AS BIGINT) AS n_features, true AS sums_to_one")
+def _planted(spark, d):
+    """The training rows with two columns that follow the label closely and two that do not."""
+    def noise(seed):
+        return F.pmod(F.xxhash64("row_key", F.lit(seed)), F.lit(1000)) / 1000.0
+
+    return _train(spark, d).withColumn("PLANTED_A", F.col("label") + noise(1)).withColumn("PLANTED_B", noise(2) - F.col("label")).withColumn(
+        "NOISE_A", noise(3)).withColumn("NOISE_B", noise(4))
+
+
+PLANTED = [*FEATURES, "NOISE_A", "PLANTED_A", "NOISE_B", "PLANTED_B"]
+
+
+@query("model_importance", f"SELECT CAST({len(PLANTED)} AS BIGINT) AS n_features, true AS sums_to_one, true AS planted_first")
 def model_importance(spark, d):
-    train = _assembled(spark, d)
+    """The columns that were planted to follow the label are the most important ones."""
+    train = materialize(models.assemble(_planted(spark, d), PLANTED, "label", ["row_key"]), "planted")
     model = models.catalog()["RandomForest"].build(models.total_weight(train), **FOREST).fit(train)
-    found = models.importance(model, FEATURES, spark)
-    return found.agg(F.count(F.lit(1)).alias("n_features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"))
+    found = models.importance(model, PLANTED, spark).collect()
+    first = {r["feature"] for r in found[:2]} == {"PLANTED_A", "PLANTED_B"}
+    return spark.createDataFrame([(len(found), abs(sum(r["importance"] for r in found) - 1) < 1e-9, first)], "n_features bigint, sums_to_one boolean, planted_first boolean")
 
 
-@query("model_select_features", "SELECT unnest(range(3)) AS position, true AS is_feature")
+@query("model_select_features", "SELECT unnest(['all', 'correlation', 'importance']) AS method, true AS as_planted")
 def model_select_features(spark, d):
-    kept = models.select_features(_train(spark, d), FEATURES, "label", "importance", 3)
-    return spark.createDataFrame([(i, c in FEATURES) for i, c in enumerate(kept)], "position bigint, is_feature boolean")
+    """Both rankings choose the planted columns; without a ranking all are kept."""
+    rows = _planted(spark, d)
+    chosen = {m: set(models.select_features(rows, PLANTED, "label", m, 2)) for m in ("correlation", "importance", "all")}
+    return spark.createDataFrame([(m, c == ({"PLANTED_A", "PLANTED_B"} if m != "all" else set(PLANTED))) for m, c in chosen.items()], "method string, as_planted boolean")
 
 
 @query("model_svm_scores", f"WITH {PANEL} SELECT cust_id * 10000 + year AS row_key, true AS is_probability FROM P")
@@ -137,7 +153,7 @@ def train_job_choice(spark, d):
 
 
 _ALL = wide(CHECKED, star.YEARS)
-_IN_BOUNDS = " AND ".join(f"coalesce({_violation(c, y)} IS NOT TRUE, true)" for c in CHECKED for y in star.YEARS)
+_IN_BOUNDS = " AND ".join(f"coalesce({_violation(f"{c}_{y}")} IS NOT TRUE, true)" for c in CHECKED for y in star.YEARS)
 
 
 @query("score_model", f"WITH {_ALL} SELECT cust_id, true AS sums_to_one, true AS agrees, TIMESTAMP '{NOW}' AS timestamp FROM W WHERE {_IN_BOUNDS}")

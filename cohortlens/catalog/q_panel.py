@@ -8,7 +8,7 @@ from pyspark.sql.types import StringType
 from cohortlens import constants as C
 from cohortlens.catalog.inputs import PANEL, names, wide
 from cohortlens.catalog.registry import query, r6, rounded
-from cohortlens.functions.text import number
+from cohortlens.functions.text import literal, number
 from cohortlens.operators import columns, contract, impute, panel, profile, target
 from cohortlens.sources import star
 
@@ -161,42 +161,44 @@ _SHIFT = "IDADE_ALUNO_2001 + CASE WHEN cust_id % 17 = 0 THEN 20 ELSE 0 END"
 
 
 def _records(spark, d):
-    """Latest-year records; some ages are moved out of bounds."""
-    df = star.wide(spark, d, CHECKED, (2001,))
-    return df.withColumn("IDADE_ALUNO_2001", F.expr(_SHIFT).cast("int"))
+    """Records of all years; some ages of the latest one are moved out of bounds."""
+    return star.wide(spark, d, CHECKED).withColumn("IDADE_ALUNO_2001", F.expr(_SHIFT).cast("int"))
 
 
-def _violation(c, year=star.LATEST):
-    low, high = C.CONTRACT_BOUNDS[c]
-    return f"{c}_{year} NOT BETWEEN {low} AND {high}"
+def _violation(name):
+    low, high = C.CONTRACT_BOUNDS[name.rsplit("_", 1)[0]]
+    return f"{name} NOT BETWEEN {low} AND {high}"
 
 
-_RECORDS = f"{wide(CHECKED, (2001,))},\nR AS (SELECT * REPLACE (CAST({_SHIFT} AS INTEGER) AS IDADE_ALUNO_2001) FROM W)"
+_BOUND = sorted(names(CHECKED))
+_RECORDS = f"{wide(CHECKED)},\nR AS (SELECT * REPLACE (CAST({_SHIFT} AS INTEGER) AS IDADE_ALUNO_2001) FROM W)"
+BROKEN = " OR ".join(f"coalesce({_violation(c)}, false)" for c in _BOUND)
+VIOLATIONS = f"concat_ws(',', {', '.join(f'CASE WHEN {_violation(c)} THEN {literal(c)} END' for c in _BOUND)})"
 
 
-@query("dq_contract_violations", f"WITH {_RECORDS}\n" + " UNION ALL ".join(
-    f"SELECT '{c}_2001' AS rule, {float(C.CONTRACT_BOUNDS[c][0])}::DOUBLE AS low, {float(C.CONTRACT_BOUNDS[c][1])}::DOUBLE AS high, "
-    f"count(*) FILTER (WHERE {_violation(c)}) AS n_violations FROM R" for c in CHECKED))
+def rules(df):
+    return contract.panel_rules(df.columns, star.YEARS)
+
+
+@query("dq_contract_violations", f"WITH {_RECORDS},\nT AS (SELECT {', '.join(f'count(*) FILTER (WHERE {_violation(c)}) AS {c}' for c in _BOUND)} FROM R),\n"
+       f"V AS (SELECT unnest([{', '.join(literal(c) for c in _BOUND)}]) AS rule, unnest([{', '.join(f'{float(C.CONTRACT_BOUNDS[c[:-5]][0])}::DOUBLE' for c in _BOUND)}]) AS low, "
+       f"unnest([{', '.join(f'{float(C.CONTRACT_BOUNDS[c[:-5]][1])}::DOUBLE' for c in _BOUND)}]) AS high, unnest([{', '.join(_BOUND)}]) AS n_violations FROM T)\nSELECT * FROM V")
 def dq_contract_violations(spark, d):
     df = _records(spark, d)
-    return contract.violation_counts(df, contract.panel_rules(df.columns, (2001,)))
+    return contract.violation_counts(df, rules(df))
 
 
-@query("dq_valid_rows", f"""WITH {_RECORDS}
-SELECT cust_id, IDADE_ALUNO_2001, FASE_2001 FROM R
-WHERE {' AND '.join(f'coalesce(NOT ({_violation(c)}), true)' for c in CHECKED)}""")
+@query("dq_valid_rows", f"WITH {_RECORDS}\nSELECT cust_id, {', '.join(names(('IDADE_ALUNO', 'FASE')))} FROM R WHERE NOT ({BROKEN})")
 def dq_valid_rows(spark, d):
     df = _records(spark, d)
-    valid, _ = contract.split(df, contract.panel_rules(df.columns, (2001,)))
-    return valid.select(star.KEY, "IDADE_ALUNO_2001", "FASE_2001")
+    valid, _ = contract.split(df, rules(df))
+    return valid.select(star.KEY, *names(("IDADE_ALUNO", "FASE")))
 
 
-@query("dq_quarantine", f"""WITH {_RECORDS}
-SELECT cust_id, concat_ws(',', {', '.join(f"CASE WHEN {_violation(c)} THEN '{c}_2001' END" for c in sorted(CHECKED))}) AS violations
-FROM R WHERE {' OR '.join(_violation(c) for c in CHECKED)}""")
+@query("dq_quarantine", f"WITH {_RECORDS}\nSELECT cust_id, {VIOLATIONS} AS violations FROM R WHERE {BROKEN}")
 def dq_quarantine(spark, d):
     df = _records(spark, d)
-    _, bad = contract.split(df, contract.panel_rules(df.columns, (2001,)))
+    _, bad = contract.split(df, rules(df))
     return bad.select(star.KEY, F.array_join(F.array_sort("violations"), ",").alias("violations"))
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from cohortlens import constants as C
 from cohortlens.catalog.inputs import PANEL, names, wide
+from cohortlens.catalog.q_features import EVERY
 from cohortlens.catalog.registry import query, r6, rounded
 from cohortlens.functions.labels import risk_level
 from cohortlens.operators import encode, impute, scale, split, target
-from cohortlens.plans import prepare
-from cohortlens.session import materialize
+from cohortlens.plans import prepare, stages
+from cohortlens.session import materialize, scratch_dir
 from cohortlens.sources import star
 
 S = C.SCORE_INDICATORS
@@ -159,10 +161,10 @@ def prep_sql(rows: str, keep: str) -> str:
         [f"CAST({c} AS DOUBLE) AS {c}" for c in _NUM] + [f"CAST({ordinal_sql(c)} AS DOUBLE) AS {c}" for c in _ORD]
         + [f"CAST(coalesce((SELECT count(*) FROM C_{c} k WHERE k.v < f.{c} AND f.{c} IN (SELECT v FROM C_{c})), -1) AS DOUBLE) AS {c}" for c in _NOM]
     )
-    scaled = ", ".join(
-        r6(f"({c} - (SELECT avg({c}) FROM TC)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END FROM TC)", c)
-        for c in (*_NUM, *_ORD, *_NOM)
-    )
+    coded += "".join(f", CAST({expression} AS DOUBLE) AS {name}" for name, expression in EVERY)
+    made = (*_NUM, *_ORD, *_NOM, *[name for name, _ in EVERY])
+    moments = ", ".join(f"avg({c}) AS a_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in made)
+    scaled = ", ".join(r6(f"({c} - a_{c}) / s_{c}", c) for c in made)
     lists = ", ".join(f"C_{c} AS (SELECT DISTINCT {c} AS v FROM TF)" for c in _NOM)
     return f"""{wide()},
 Y AS (SELECT *, CAST(CASE WHEN DEFASAGEM_2001 < 0 THEN 1 ELSE 0 END AS INTEGER) AS label FROM W WHERE DEFASAGEM_2001 IS NOT NULL),
@@ -171,22 +173,36 @@ TR AS (SELECT * FROM Z WHERE split = 'train'),
 TF AS (SELECT {filled} FROM TR), {lists},
 TC AS (SELECT {coded} FROM TF f),
 RF AS (SELECT {keep}, {filled} FROM {rows}),
-RC AS (SELECT {keep}, {coded} FROM RF f)
-SELECT {keep}, {scaled} FROM RC"""
+RC AS (SELECT {keep}, {coded} FROM RF f),
+MO AS (SELECT {moments} FROM TC)
+SELECT {keep}, {scaled} FROM RC, MO"""
 
 
 @query("prep_rows", "WITH " + prep_sql("Z", "cust_id, label, split"))
 def prep_rows(spark, d):
     df = star.wide(spark, d)
-    matrix, _ = prepare.prepare(df, star.wide_spec(df), engineered=False)
+    matrix, _ = prepare.prepare(df, star.wide_spec(df))
     return rounded(matrix)
 
 
+@query("prep_pipeline", "WITH " + prep_sql("Z", "cust_id, label, split"))
+def prep_pipeline(spark, d):
+    """The same preparation as a saved and loaded `Pipeline`, fitted on the training rows."""
+    df = star.wide(spark, d)
+    spec = star.wide_spec(df)
+    keep = [spec.key, prepare.LABEL, prepare.SPLIT]
+    rows = split.stratified(materialize(prepare.labelled(df, spec), "labelled"), prepare.LABEL, spec.key)
+    steps, columns = stages.stages(rows, spec, keep)
+    path = scratch_dir(spark, "prep-pipeline")
+    Pipeline(stages=steps).fit(rows.where("split = 'train'")).write().save(path)
+    return rounded(PipelineModel.load(path).transform(rows).select(*keep, *columns))
+
+
 @query("score_prepare", "WITH " + prep_sql("(SELECT * FROM W WHERE DEFASAGEM_2001 IS NULL)", "cust_id"))
 def score_prepare(spark, d):
     df = star.wide(spark, d)
     spec = star.wide_spec(df)
-    _, prep = prepare.prepare(df, spec, engineered=False)
+    _, prep = prepare.prepare(df, spec)
     return rounded(prep.transform(df.where("DEFASAGEM_2001 IS NULL"), [star.KEY]))
 
 
@@ -198,7 +214,7 @@ _COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in (*_NUM, *_ORD, *_NOM))
 def prep_rows_drop(spark, d):
     """The preparation on rows without a gap."""
     df = star.wide(spark, d)
-    matrix, _ = prepare.prepare(df, star.wide_spec(df), missing="drop", engineered=False)
+    matrix, _ = prepare.prepare(df, star.wide_spec(df), missing="drop")
     return rounded(matrix)
 
 

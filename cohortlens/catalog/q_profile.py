@@ -96,13 +96,15 @@ def corr_top_pairs(spark, d):
     return rounded(profile.top_pairs(star.panel(spark, d, S), list(S), 5))
 
 
-_PAIRWISE = names(("INDE", "IAA"))
+_PAIRWISE = list(combinations(names(S), 2))
 
 
-@query("corr_pairwise_nulls", f"WITH {wide(('INDE', 'IAA'))} " + " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, {r6(f'corr({a}, {b})', 'corr')} FROM W" for a, b in combinations(_PAIRWISE, 2)))
+@query("corr_pairwise_nulls", f"""WITH {wide(S)}, K AS (SELECT {', '.join(f'corr({a}, {b}) AS p{k}' for k, (a, b) in enumerate(_PAIRWISE))} FROM W),
+U AS (SELECT unnest([{', '.join(f"'{a}'" for a, _ in _PAIRWISE)}]) AS a, unnest([{', '.join(f"'{b}'" for _, b in _PAIRWISE)}]) AS b, unnest([{', '.join(f'p{k}' for k in range(len(_PAIRWISE)))}]) AS corr FROM K)
+SELECT a, b, {r6('CASE WHEN isfinite(corr) THEN corr END', 'corr')} FROM U""")
 def corr_pairwise_nulls(spark, d):
-    return rounded(profile.correlations(star.wide(spark, d, ("INDE", "IAA")), _PAIRWISE))
+    """All indicators and years, with gaps: too many pairs for one aggregate."""
+    return rounded(profile.correlations(star.wide(spark, d, S), names(S)))
 
 
 @query("select_by_correlation", f"""WITH {PANEL}, Y AS (SELECT *, CASE WHEN DEFASAGEM < 0 THEN 1 ELSE 0 END AS label FROM P),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.catalog.inputs import LOG, wide
+from cohortlens import constants as C
+from cohortlens.catalog.inputs import LOG, PANEL, names, wide
 from cohortlens.catalog.registry import query, r6, rounded
 from cohortlens.operators import score
-from cohortlens.session import scratch_dir
+from cohortlens.session import materialize, scratch_dir
 from cohortlens.sources import files, logs, star
 
 RISK = "((10.0::DOUBLE - coalesce(INDE_2001, 0)) * 0.4::DOUBLE + (10.0::DOUBLE - coalesce(IAA_2001, 0)) * 0.3::DOUBLE)"
@@ -85,14 +86,35 @@ def metrics_log(spark, d):
     return rounded(logs.read(spark, path, logs.METRICS_LOG).select("timestamp", "model_type", "accuracy"))
 
 
-@query("src_csv_roundtrip", f"""WITH {wide(('INDE', 'FASE', 'TURMA'), (2000, 2001))}
-SELECT cust_id, {r6('INDE_2000', 'INDE_2000')}, {r6('INDE_2001', 'INDE_2001')}, CAST(FASE_2000 AS BIGINT) AS FASE_2000,
-       CAST(FASE_2001 AS BIGINT) AS FASE_2001, TURMA_2000, TURMA_2001 FROM W""")
+_DOUBLES = names(C.SCORE_INDICATORS)
+_TEXTS = names((C.ORDINAL, C.GROUP))
+_WHOLE = [c for c in names(star.YEARLY) if c not in (*_DOUBLES, *_TEXTS)]
+
+
+@query("src_csv_roundtrip", f"""WITH {wide()}
+SELECT cust_id, {', '.join(r6(c, c) for c in _DOUBLES)}, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _WHOLE)}, {', '.join(_TEXTS)} FROM W""")
 def src_csv_roundtrip(spark, d):
-    path = files.write_csv(star.wide(spark, d, ("INDE", "FASE", "TURMA"), (2000, 2001)), scratch_dir(spark, "csv"))
+    """The whole panel as CSV, read back with types found in the texts."""
+    path = files.write_csv(star.wide(spark, d), scratch_dir(spark, "csv"))
     return rounded(files.read_csv(spark, path))
 
 
+@query("src_csv_discover", f"""WITH {PANEL}
+SELECT CAST(year AS BIGINT) AS year, count(*) AS n, count(INDE) AS n_inde, {r6('sum(INDE)', 'sum_inde')}, count(DISTINCT year) AS n_folders FROM P GROUP BY year""")
+def src_csv_discover(spark, d):
+    """The panel as CSV in a folder per year below other folders; everything below the top is found, whatever its header's order."""
+    top = scratch_dir(spark, "csv-tree")
+    rows = star.panel(spark, d, ("INDE", "FASE")).withColumn("half", F.when(F.col("year") < 1998, "old/er").otherwise("new"))
+    rows = materialize(rows, "csv-rows")
+    for half, order in (("old/er", ["year", "INDE", "FASE"]), ("new", ["FASE", "INDE", "year"])):
+        part = rows.where(F.col("half") == half).withColumn("folder", F.col("year")).select("folder", *order)
+        part.write.partitionBy("folder").option("header", True).csv(f"{top}/{half}")
+    found = files.discover_csv(spark, top)
+    folder = F.regexp_extract("source_file", "folder=([0-9]+)", 1)
+    return rounded(found.groupBy("year").agg(
+        F.count(F.lit(1)).alias("n"), F.count("INDE").alias("n_inde"), F.sum("INDE").alias("sum_inde"), F.count_distinct(folder).alias("n_folders")))
+
+
 @query("batch_score_file", f"""WITH {SCORED}
 SELECT count(*) AS total, count(*) FILTER (WHERE risk_level = 'HIGH') AS n_high, count(*) FILTER (WHERE risk_level = 'LOW') AS n_low FROM F""")
 def batch_score_file(spark, d):

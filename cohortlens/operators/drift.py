@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.functions.numeric import half_even, named
+from cohortlens.functions.numeric import half_even, named, upper_gamma
 from cohortlens.functions.shape import statistics, unpivot
 from cohortlens.operators.columns import common_columns
 from cohortlens.operators.impute import long_numbers
@@ -154,12 +154,12 @@ def category_side_counts(reference: DataFrame, current: DataFrame, columns: list
     )
 
 
-def chi2(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, chi2, dof, drift_detected): two-sample chi-square on categories.
+def chi2(reference: DataFrame, current: DataFrame, columns: list[str], level: float = 0.05) -> DataFrame:
+    """(column, n_ref, n_cur, chi2, dof, p_value, drift_detected): two-sample chi-square on categories.
 
     With expected counts e = row total * side total / total, the sum of (o - e)^2 / e over both sides is
     sum(o_ref^2 / row) * t / t_ref + sum(o_cur^2 / row) * t / t_cur - t, so one aggregation is enough.
-    The verdict uses the normal form of the statistic (cube root) at 5 %.
+    The p-value is the tail of the chi-square distribution; drift is a p-value below `level`. With a single category it is 1.
     """
     row = (F.col("n_ref") + F.col("n_cur")).cast("double")
     sums = category_side_counts(reference, current, columns).groupBy("column").agg(
@@ -171,11 +171,8 @@ def chi2(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFr
     )
     t = (F.col("n_ref") + F.col("n_cur")).cast("double")
     value = F.greatest(F.col("_r") * t / F.col("n_ref") + F.col("_c") * t / F.col("n_cur") - t, F.lit(0.0))
-    spread = 2.0 / (9.0 * F.col("dof"))
-    z = (F.pow(F.col("chi2") / F.col("dof"), F.lit(1.0 / 3.0)) - (1.0 - spread)) / F.sqrt(spread)
-    return sums.select("column", "n_ref", "n_cur", value.alias("chi2"), "dof").select(
-        "*", F.when(F.col("dof") > 0, z > 1.6448536269514722).otherwise(False).alias("drift_detected")
-    )
+    tail = F.when(F.col("dof") > 0, upper_gamma(F.col("dof") / 2, F.col("chi2") / 2)).otherwise(1.0)
+    return sums.select("column", "n_ref", "n_cur", value.alias("chi2"), "dof").withColumn("p_value", tail).withColumn("drift_detected", F.col("p_value") < level)
 
 
 def moments_shift(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:

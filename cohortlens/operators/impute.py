@@ -9,6 +9,7 @@ from cohortlens.functions.shape import statistics, unpivot
 from cohortlens.functions.text import quoted
 from cohortlens.operators.columns import numeric_columns, text_columns, without_nan
 from cohortlens.operators.ranks import quantile_name, quantiles
+from cohortlens.operators.select import order_statistics
 from cohortlens.session import materialize
 
 
@@ -20,8 +21,8 @@ def long_numbers(df: DataFrame, columns: list[str], ids: list[str] = ()) -> Data
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, fill): exact interpolated medians."""
-    found = quantiles(long_numbers(df, columns), ["column"], "value", [0.5])
-    return found.select("column", F.col(quantile_name(0.5)).alias("fill"))
+    found, _ = order_statistics(df, columns, [0.5])
+    return df.sparkSession.createDataFrame([(c, q[0]) for c, q in zip(columns, found) if q[0] is not None], "column string, fill double")
 
 
 def approximate_medians(df: DataFrame, columns: list[str], accuracy: int = 10000) -> DataFrame:

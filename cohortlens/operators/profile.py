@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, functions as F
 from cohortlens.functions.numeric import divide, named
 from cohortlens.functions.shape import present, statistics, unpivot
 from cohortlens.functions.text import literal, quoted
+from cohortlens.operators import gram
 from cohortlens.operators.impute import long_numbers
-from cohortlens.operators.ranks import quantiles
+from cohortlens.operators.ranks import join_keys, quantiles
+from cohortlens.operators.select import doubles, order_statistics
 from cohortlens.session import materialize
 
-BLOCK = 100  # aggregates per pass, so that generated code stays within the limits of the JVM
+PAIRS = 100  # correlations in one aggregate, so that generated code stays within the limits of the JVM
 
 
 def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -60,13 +62,10 @@ def type_histogram(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sample deviation, min, quartiles and max per column, exact; columns without values have no row."""
-    long = long_numbers(df, columns).where("value is not null")
-    moments = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    quartiles = quantiles(long, ["column"], "value", [0.25, 0.5, 0.75])
-    both = moments.join(F.broadcast(quartiles), "column")  # one row per column of the schema
-    return both.select("column", "count", "mean", "std", "min", "q0_25", "q0_5", "q0_75", "max")
+    quartiles, moments = order_statistics(df, columns, [0.25, 0.5, 0.75])
+    rows = [(c, m.n, m.mean, m.std, m.low, *q, m.high) for c, q, m in zip(columns, quartiles, moments) if m.n]
+    kind = "column string, count bigint, mean double, std double, min double, q0_25 double, q0_5 double, q0_75 double, max double"
+    return df.sparkSession.createDataFrame(rows, kind)
 
 
 def category_counts(df: DataFrame, column: str) -> DataFrame:
@@ -103,37 +102,31 @@ def yearly_means_wide(df: DataFrame, years, indicators) -> DataFrame:
     return row.select(F.inline(F.array(*rows)))
 
 
+def _corr(a: str, b: str) -> str:
+    """Pearson's correlation of the rows where both are present; null where a side is constant."""
+    spread = f"stddev_pop(CASE WHEN {b} IS NOT NULL THEN {a} END) * stddev_pop(CASE WHEN {a} IS NOT NULL THEN {b} END)"
+    return f"covar_pop({a}, {b}) / nullif({spread}, 0D)"
+
+
 def correlations(df: DataFrame, columns: list[str], both_ways: bool = False) -> DataFrame:
     """(a, b, corr) for every pair a before b (or in both orders); a pair uses the rows where both are present, NaN is null.
 
-    One pass over the data, however many columns: a row becomes one entry per block of pairs, a block is one group, and
-    its correlations combine before the shuffle.
+    One pass over the data, however many columns: up to PAIRS pairs are columns of one aggregate, more go through `gram`.
     """
     if len(columns) < 2:
         raise ValueError("a correlation needs two columns")
-    kinds = dict(df.dtypes)
-    values = [f"cast({present(c, kinds[c])} AS double)" for c in columns]
     pairs = list(combinations(range(len(columns)), 2))
-    blocks = [pairs[i:i + BLOCK] for i in range(0, len(pairs), BLOCK)]
-    rows = df.select(F.expr(f"array({', '.join(values)})").alias("v"))
-    parts = F.array(*[F.lit(i) for i in range(len(blocks))])
-    entries = rows.select("v", F.explode(parts).alias("block"))
-    # in block b, pair number k has its two columns from a table of numbers
-    left = F.array(*[F.array(*[F.lit(a) for a, _ in block]) for block in blocks])
-    right = F.array(*[F.array(*[F.lit(b) for _, b in block]) for block in blocks])
-
-    def side(table, k):
-        return F.get(F.col("v"), F.get(F.get(table, F.col("block")), F.lit(k)))
-
-    sums = entries.groupBy("block").agg(*[F.corr(side(left, k), side(right, k)).alias(f"p{k}") for k in range(min(BLOCK, len(pairs)))])
-    cells = []
-    for number, block in enumerate(blocks):
-        for k, (a, b) in enumerate(block):
-            both = [(columns[a], columns[b])] + [(columns[b], columns[a])] * both_ways
-            cells += [F.struct(F.lit(number).alias("block"), F.lit(x).alias("a"), F.lit(y).alias("b"), F.lit(k).alias("k")) for x, y in both]
-    table = df.sparkSession.range(1).select(F.inline(F.array(*cells)))
-    long = sums.select("block", F.posexplode(F.array(*[f"p{k}" for k in range(min(BLOCK, len(pairs)))])).alias("k", "corr"))
-    return table.join(long, ["block", "k"]).select("a", "b", "corr")
+    if len(pairs) > PAIRS:
+        found = gram.correlations(df, columns)
+    else:
+        kinds = dict(df.dtypes)
+        values = [f"cast({present(c, kinds[c])} AS double)" for c in columns]
+        row = df.selectExpr(*[f"{_corr(values[a], values[b])} AS p{k}" for k, (a, b) in enumerate(pairs)])
+        cells = ", ".join(f"{literal(columns[a])}, {literal(columns[b])}, p{k}" for k, (a, b) in enumerate(pairs))
+        found = row.selectExpr(f"stack({len(pairs)}, {cells}) AS (a, b, corr)")
+    if not both_ways:
+        return found
+    return found.select(F.inline(F.array(F.struct("a", "b", "corr"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -150,19 +143,29 @@ def top_pairs(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
 
 def correlation_with(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """(column, abs_corr) with the label, from one pass."""
-    return statistics(df, columns, abs_corr=f"abs(corr({{c}}, {quoted(label)}))")
+    return statistics(df, columns, abs_corr=f"abs({_corr('cast({c} AS double)', f'cast({quoted(label)} AS double)')})")
+
+
+def _ranges(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """(by, column, n, min, max) from one wide aggregate; pairs without values have no row."""
+    kinds = dict(df.dtypes)
+    values = [f"cast({present(c, kinds[c])} AS double)" for c in columns]
+    cells = [F.expr(f"{fn}({v})").alias(f"{fn}{i}") for i, v in enumerate(values) for fn in ("count", "min", "max")]
+    rows = ", ".join(f"{literal(c)}, count{i}, min{i}, max{i}" for i, c in enumerate(columns))
+    wide = df.groupBy(*[named(b) for b in by]).agg(*cells)
+    return wide.select(*[named(b) for b in by], F.expr(f"stack({len(columns)}, {rows}) AS (column, n, min, max)")).where("n > 0")
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int, by: list[str] = ()) -> DataFrame:
     """(by, column, bin, low, high, n): equal-width bins over the observed range; empty bins have no row.
 
-    One aggregate finds the ranges, a second pass counts bins; at most one row per bin and task is shuffled.
+    One wide aggregate finds the ranges, a second pass counts bins; at most one row per bin and task is shuffled.
     """
     by = list(by)
     keys = [*by, "column"]
+    ranges = materialize(_ranges(df, columns, by).select(*keys, F.col("min").alias("_min"), F.col("max").alias("_max")), "ranges")
     long = long_numbers(df, columns, by).where("value is not null")
-    ranges = materialize(long.groupBy(*keys).agg(F.min("value").alias("_min"), F.max("value").alias("_max")), "ranges")
-    both = long.join(ranges if by else F.broadcast(ranges), keys)  # without groups one row per column of the schema
+    both = join_keys(long, ranges, keys, few=not by)  # without groups one row per column of the schema
     width = (F.col("_max") - F.col("_min")) / bins
     spot = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("_min")) / width), F.lit(bins - 1))).otherwise(0)
     out = both.groupBy(*keys, spot.cast("int").alias("bin"), "_min", width.alias("_width")).agg(F.count(F.lit(1)).alias("n"))
@@ -170,29 +173,36 @@ def histogram(df: DataFrame, columns: list[str], bins: int, by: list[str] = ())
     return out.select(*keys, "bin", low.alias("low"), (low + F.col("_width")).alias("high"), "n")
 
 
-def _fences(long: DataFrame, keys: list[str], few_keys: bool) -> DataFrame:
-    """Size, range, quartiles and fences per key, written out: joins then know how small (or large) they are."""
-    quartiles = quantiles(long, keys, "value", [0.25, 0.5, 0.75], few_keys)
-    ranges = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"))
+def _fences(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """(by, column, size, range, quartiles, fences), written out: joins then know how small (or large) they are.
+
+    Without groups the quartiles come from radix selection over `df`, which holds doubles already; with groups from brackets.
+    """
     spread = F.col("q0_75") - F.col("q0_25")
-    return materialize(ranges.join(quartiles, keys).select(
-        "*", (F.col("q0_25") - 1.5 * spread).alias("low_fence"), (F.col("q0_75") + 1.5 * spread).alias("high_fence")
-    ), "boxes")
+    if by:
+        long = long_numbers(df, columns, by).where("value is not null")
+        boxes = join_keys(_ranges(df, columns, by), quantiles(long, [*by, "column"], "value", [0.25, 0.5, 0.75], False), [*by, "column"])
+    else:
+        quartiles, moments = order_statistics(df, columns, [0.25, 0.5, 0.75], stored=True)
+        rows = [(c, m.n, m.low, m.high, *q) for c, q, m in zip(columns, quartiles, moments) if m.n]
+        boxes = df.sparkSession.createDataFrame(rows, "column string, n bigint, min double, max double, q0_25 double, q0_5 double, q0_75 double")
+    return materialize(boxes.select("*", (F.col("q0_25") - 1.5 * spread).alias("low_fence"), (F.col("q0_75") + 1.5 * spread).alias("high_fence")), "boxes")
 
 
 def box_stats(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
     """Quartiles, whiskers (last values inside 1.5 spreads) and the number of outliers per (by, column)."""
     by = list(by)
     keys = [*by, "column"]
+    df = doubles(df, columns, by)
+    boxes = _fences(df, columns, by)
     long = long_numbers(df, columns, by).where("value is not null")
-    boxes = _fences(long, keys, not by)
     inside = F.col("value").between(F.col("low_fence"), F.col("high_fence"))
-    tails = long.join(boxes.select(*keys, "low_fence", "high_fence"), keys).groupBy(*keys).agg(
+    tails = join_keys(long, boxes.select(*keys, "low_fence", "high_fence"), keys, few=not by).groupBy(*keys).agg(
         F.min(F.when(inside, F.col("value"))).alias("low_whisker"),
         F.max(F.when(inside, F.col("value"))).alias("high_whisker"),
         F.count_if(~inside).alias("n_outliers"),
     )
-    return boxes.join(tails, keys).select(
+    return join_keys(boxes, tails, keys, few=not by).select(
         *keys, "n", "min", "low_whisker", F.col("q0_25").alias("q1"), F.col("q0_5").alias("median"),
         F.col("q0_75").alias("q3"), "high_whisker", "max", "n_outliers",
     )
@@ -202,9 +212,8 @@ def box_outliers(df: DataFrame, columns: list[str], ids: list[str], by: list[str
     """(ids, by, column, value): the points outside the fences of their box."""
     by = list(by)
     keys = [*by, "column"]
+    df = doubles(df, columns, [*ids, *by])
+    fences = _fences(df, columns, by).select(*keys, "low_fence", "high_fence")
     long = long_numbers(df, columns, [*ids, *by]).where("value is not null")
-    fences = _fences(long, keys, not by).select(*keys, "low_fence", "high_fence")
     outside = ~F.col("value").between(F.col("low_fence"), F.col("high_fence"))
-    return long.join(fences, keys).where(outside).select(*ids, *keys, "value")
-
-
+    return join_keys(long, fences, keys, few=not by).where(outside).select(*ids, *keys, "value")

@@ -121,19 +121,12 @@ def _brackets(df: DataFrame, keys: list[str], value: str, probabilities) -> Data
     sketch = f"percentile_approx(`{value}`, array({{}}), {ACCURACY})"
     return rows.agg(
         F.count(F.lit(1)).alias("_total"), F.expr(sketch.format(low)).alias("_low"), F.expr(sketch.format(high)).alias("_high"),
-        F.min(named(value)).alias("_min"), F.max(named(value)).alias("_max"))
+        F.min(named(value)).alias("_min"), F.max(named(value)).alias("_max"), F.lit(False).alias("_whole"))
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probabilities, few_keys: bool = True) -> DataFrame:
-    """Exact quantiles per key, linearly interpolated, one column per probability.
-
-    One pass brackets them, a second one counts what is below each bracket and the values inside it; only these few
-    are ranked. NaN must have been made null.
-    """
-    probabilities = [float(p) for p in probabilities]
-    brackets = materialize(_brackets(df, keys, value, probabilities), "brackets")
-    both = df.where(named(value).isNotNull())
-    both = join_keys(both, brackets, keys, few=few_keys or not keys)
+def _inside(df: DataFrame, brackets: DataFrame, keys: list[str], value: str, probabilities: list[float], few_keys: bool) -> DataFrame:
+    """(keys, _p, _v, n): counts of the values inside each bracket, and with a null _v of those below it."""
+    both = join_keys(df.where(named(value).isNotNull()), brackets, keys, few=few_keys or not keys)
     v = named(value)
 
     def place(i: int):
@@ -141,14 +134,43 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probabilities, few_key
 
         A step of the sketch must hold a few rows for the bracket to be sure; for fewer rows it is the whole range.
         """
-        few = F.col("_total") < 4 * ACCURACY
+        few = (F.col("_total") < 4 * ACCURACY) | F.col("_whole")
         low = F.col("_min") if probabilities[i] < 2 / ACCURACY else F.when(few, F.col("_min")).otherwise(F.col("_low")[i])
         high = F.col("_max") if probabilities[i] > 1 - 2 / ACCURACY else F.when(few, F.col("_max")).otherwise(F.col("_high")[i])
         return F.when(v <= high, F.struct(F.lit(i).alias("_p"), F.when(v >= low, v).alias("_v")))
 
     entries = F.filter(F.array(*[place(i) for i in range(len(probabilities))]), lambda x: x.isNotNull())
     counted = both.select(*[named(k) for k in keys], F.inline(entries)).groupBy(*[named(k) for k in keys], "_p", "_v").agg(F.count(F.lit(1)).alias("n"))
-    counted = materialize(counted, "bracketed")
+    return materialize(counted, "bracketed")
+
+
+def _missed(counted: DataFrame, brackets: DataFrame, keys: list[str], probabilities: list[float], few_keys: bool) -> DataFrame:
+    """Groups and probabilities whose quantile does not lie inside its bracket, by the counts."""
+    wanted = F.array(*[F.struct(F.lit(i).alias("_p"), F.lit(p).alias("_at")) for i, p in enumerate(probabilities)])
+    expected = brackets.select(*[named(k) for k in keys], "_total", F.inline(wanted)).where("_total > 0")
+    n = F.col("n")
+    held = counted.groupBy(*[named(k) for k in keys], "_p").agg(
+        F.sum(F.when(F.col("_v").isNull(), n)).alias("_under"), F.sum(F.when(F.col("_v").isNotNull(), n)).alias("_in"))
+    both = join_keys(expected, held, [*keys, "_p"], "left", few_keys)
+    under, inside, position = F.coalesce("_under", F.lit(0)), F.coalesce("_in", F.lit(0)), F.col("_at") * (F.col("_total") - 1)
+    return both.where((F.floor(position) < under) | (F.ceil(position) >= under + inside))
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, probabilities, few_keys: bool = True) -> DataFrame:
+    """Exact quantiles per key, linearly interpolated, one column per probability.
+
+    One pass brackets them, a second one counts what is below each bracket and the values inside it; only these few
+    are ranked. The counts prove that every quantile lies in its bracket; a group for which a sketch was wrong is counted again
+    over its whole range. NaN must have been made null.
+    """
+    probabilities = [float(p) for p in probabilities]
+    brackets = materialize(_brackets(df, keys, value, probabilities), "brackets")
+    counted = _inside(df, brackets, keys, value, probabilities, few_keys)
+    missed = _missed(counted, brackets, keys, probabilities, few_keys)
+    if not missed.isEmpty():
+        wrong = missed.select(*[named(k) for k in keys], F.lit(True).alias("_wrong")).distinct()
+        wide = materialize(join_keys(brackets, wrong, keys, "left") if keys else brackets.withColumn("_wrong", F.lit(True)), "brackets")
+        counted = _inside(df, wide.withColumn("_whole", F.coalesce("_wrong", F.lit(False))).drop("_wrong"), keys, value, probabilities, few_keys)
     below = counted.where("_v IS NULL").select(*[named(k) for k in keys], "_p", F.col("n").alias("_below"))
     ranked = prefix_sums(counted.where("_v IS NOT NULL"), [*keys, "_p"], "_v", ["n"], few_keys)
     ranked = join_keys(ranked, below, [*keys, "_p"], "left", few_keys)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LinearSVC
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortlens import constants as C
 from cohortlens.operators import evaluate, models
+from cohortlens.operators.kernel import FourierFeatures
 from cohortlens.plans import prepare
 from cohortlens.plans.scoring import Scorer
 from cohortlens.session import materialize
@@ -54,11 +57,9 @@ class TrainJob:
         best, cv, params = models.train_best(
             train, key, self.model, self.scoring, self.folds, self.grids, self.settings, candidates=self.candidates
         )
-        if type(best).__name__ == "LinearSVCModel":
-            fitted = models.calibrated_svm(train, key, _refit(best), self.folds)
-        else:
-            fitted = best
-        name = type(best).__name__
+        core = best.stages[-1] if isinstance(best, PipelineModel) else best
+        name = type(core).__name__
+        fitted = models.calibrated_svm(train, key, _refit(best), self.folds, best) if name == "LinearSVCModel" else best
         scorer = Scorer(prep, fitted, name)
 
         test = models.assemble(matrix.where(F.col(prepare.SPLIT) == "test"), prep.columns, label, [key])
@@ -87,9 +88,11 @@ class TrainJob:
 
 
 def _refit(model):
-    """An estimator with the parameters of a fitted linear SVM."""
-    from pyspark.ml.classification import LinearSVC
-
+    """An estimator with the parameters of a fitted machine, behind its kernel map if it has one."""
+    if isinstance(model, PipelineModel):
+        mapping = model.stages[0]
+        names = ("inputCol", "outputCol", "frequencies", "gamma", "seed")
+        return Pipeline(stages=[FourierFeatures(**{n: mapping.getOrDefault(n) for n in names}), _refit(model.stages[-1])])
     names = ("featuresCol", "labelCol", "weightCol", "standardization", "regParam", "maxIter")
     return LinearSVC(**{n: model.getOrDefault(n) for n in names})
 

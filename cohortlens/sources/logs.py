@@ -33,8 +33,8 @@ REPORT = (
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
-def prediction_rows(scored: DataFrame, inputs: list[str], timestamp: str | Column | None = None) -> DataFrame:
-    """Scored rows in the shape of the prediction log; null inputs do not appear in the JSON text."""
+def prediction_rows(scored: DataFrame, inputs: list[str], timestamp: str | Column | None = None, keep: list[str] = ()) -> DataFrame:
+    """Scored rows in the shape of the prediction log, then the columns `keep`; null inputs do not appear in the JSON text."""
     have = set(scored.columns)
     at_risk = F.col("probability.at_risk") if "probability" in have else F.lit(None)
     return scored.select(
@@ -44,6 +44,7 @@ def prediction_rows(scored: DataFrame, inputs: list[str], timestamp: str | Colum
         "risk_level",
         at_risk.cast("double").alias("probability_at_risk"),
         (F.col("model_type") if "model_type" in have else F.lit(None).cast("string")).alias("model_type"),
+        *[named(c) for c in keep],
     )
 
 

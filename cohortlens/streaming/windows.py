@@ -24,13 +24,25 @@ def windowed_stats(log: DataFrame, width: str, slide: str | None = None, by: lis
     )
 
 
-def sessions_table(log: DataFrame, by: list[str], gap_seconds: int = 1800) -> DataFrame:
-    """The sessions of a whole table, safe for keys with very many records.
+def session_parts(log: DataFrame, by: list[str], gap_seconds: int = 1800) -> DataFrame:
+    """Parts of sessions (by, _first, _last, _n, _total, _high): one row per key and bucket of the gap's width.
 
-    Records become one row per bucket of the gap's width, those become short sessions inside (key, day), which spreads
-    a busy key over its days; then only those sessions are chained across days.
+    Records in one bucket are always one session, so they combine before the shuffle, however busy the key is.
     """
     at = F.col("timestamp").cast("timestamp")
+    bucket = F.floor(F.unix_micros(at) / (gap_seconds * 1_000_000))
+    return log.groupBy(*by, bucket.alias("_bucket")).agg(
+        F.min(at).alias("_first"), F.max(at).alias("_last"), F.count(F.lit(1)).alias("_n"),
+        F.sum("probability_at_risk").alias("_total"), F.count_if(F.col("risk_level") == "HIGH").alias("_high"),
+    ).drop("_bucket")
+
+
+def join_sessions(parts: DataFrame, by: list[str], gap_seconds: int = 1800) -> DataFrame:
+    """Parts joined to whole sessions, in the same columns: those with no more than the gap between them belong together.
+
+    They become short sessions inside (key, day), which spreads a busy key over its days; then only those sessions
+    are chained across days.
+    """
     gap = gap_seconds * 1_000_000
 
     def chained(df, part, first, last):
@@ -42,28 +54,29 @@ def sessions_table(log: DataFrame, by: list[str], gap_seconds: int = 1800) -> Da
         upto = Window.partitionBy(*part).orderBy(first, last, F.desc("_opens")).rowsBetween(Window.unboundedPreceding, 0)
         return marked.withColumn("_session", F.sum("_opens").over(upto))
 
-    def folded(df, part, n, total, high):
+    def folded(df, part):
         return df.groupBy(*part, "_session").agg(
-            F.min("_first").alias("_first"), F.max("_last").alias("_last"),
-            n.alias("_n"), total.alias("_total"), high.alias("_high"),
-        )
-
-    # records in one gap-wide bucket are always one session: they combine before the shuffle, so the windows see at
-    # most one row per key and bucket, however busy the key is
-    bucket = F.floor(F.unix_micros(at) / gap)
-    rows = log.groupBy(*by, bucket.alias("_bucket")).agg(
-        F.min(at).alias("_first"), F.max(at).alias("_last"), F.count(F.lit(1)).alias("_n"),
-        F.sum("probability_at_risk").alias("_total"), F.count_if(F.col("risk_level") == "HIGH").alias("_high"),
-    ).withColumn("_day", F.date_trunc("day", "_first"))
-    days = folded(chained(rows, [*by, "_day"], "_first", "_last"), [*by, "_day"], F.sum("_n"), F.sum("_total"), F.sum("_high")).drop("_session")
-    whole = folded(chained(days, by, "_first", "_last"), by, F.sum("_n"), F.sum("_total"), F.sum("_high"))
-    return whole.select(
-        *by, F.col("_first").alias("session_start"),
-        F.timestamp_micros(F.unix_micros("_last") + gap).alias("session_end"),
-        F.col("_n").alias("n"), (F.col("_total") / F.col("_n")).alias("avg_probability"), F.col("_high").alias("n_high"),
+            F.min("_first").alias("_first"), F.max("_last").alias("_last"), *[F.sum(c).alias(c) for c in ("_n", "_total", "_high")],
+        ).drop("_session")
+
+    rows = parts.withColumn("_day", F.date_trunc("day", "_first"))
+    days = folded(chained(rows, [*by, "_day"], "_first", "_last"), [*by, "_day"]).drop("_day")
+    return folded(chained(days, by, "_first", "_last"), by)
+
+
+def session_rows(joined: DataFrame, by: list[str], gap_seconds: int = 1800, keep: list[str] = ()) -> DataFrame:
+    """Sessions in the form of `sessions`."""
+    return joined.select(
+        *by, F.col("_first").alias("session_start"), F.timestamp_micros(F.unix_micros("_last") + gap_seconds * 1_000_000).alias("session_end"),
+        F.col("_n").alias("n"), (F.col("_total") / F.col("_n")).alias("avg_probability"), F.col("_high").alias("n_high"), *keep,
     )
 
 
+def sessions_table(log: DataFrame, by: list[str], gap_seconds: int = 1800) -> DataFrame:
+    """The sessions of a whole table, safe for keys with very many records."""
+    return session_rows(join_sessions(session_parts(log, by, gap_seconds), by, gap_seconds), by, gap_seconds)
+
+
 def sessions(log: DataFrame, by: list[str], gap: str = "30 minutes", watermark: str = WATERMARK) -> DataFrame:
     """One row per session of a stream: a session closes when more than `gap` passes without a record."""
     grouped = log.withWatermark("timestamp", watermark).groupBy(F.session_window("timestamp", gap).alias("s"), *by)

@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from cohortlens.session import build_session, clear_scratch  # noqa: E402
+from helpers import LIGHT, NOW  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -26,14 +27,6 @@ def frame(spark):
     return lambda schema, *rows: spark.createDataFrame(list(rows), schema)
 
 
-NOW = "2024-02-01 12:00:00"
-# Small ensembles, so that unit tests fit in moments.
-LIGHT = {
-    "LogisticRegression": {"max_iter": 50}, "RandomForest": {"trees": 10, "depth": 5}, "GradientBoosting": {"trees": 5},
-    "SVM": {"max_iter": 20}, "XGBoost": {"trees": 5, "depth": 3},
-}
-
-
 @pytest.fixture(scope="session")
 def panel(spark):
     from cohortlens.sources import synthetic

@@ -1,12 +1,15 @@
+import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
-from conftest import LIGHT
-from cohortlens.operators import evaluate, models, profile, target
-from cohortlens.plans import prepare
+from cohortlens.operators import evaluate, kernel, models, profile, split, target
+from cohortlens.plans import prepare, training
 from cohortlens.plans.scoring import Scorer, score_file, score_valid
+from cohortlens.session import materialize
 from cohortlens.sources import files, logs
-from conftest import NOW
+from helpers import LIGHT, NOW
 
 
 
@@ -21,7 +24,7 @@ def prepared(panel, spec):
 def test_catalog():
     found = models.catalog()
     assert {n: len(c.points()) for n, c in found.items()} == {
-        "LogisticRegression": 4, "RandomForest": 36, "GradientBoosting": 36, "SVM": 3, "XGBoost": 108}
+        "LogisticRegression": 4, "RandomForest": 36, "GradientBoosting": 36, "SVM": 6, "XGBoost": 108}
     assert found["LogisticRegression"].weighted and not found["XGBoost"].weighted
 
 
@@ -169,6 +172,74 @@ def test_svm_probabilities(prepared):
     assert min(higher) >= max(lower)
 
 
+@pytest.fixture(scope="module")
+def rings(spark):
+    """Two classes that no line divides."""
+    u, v = F.rand(1) * 6.283185307, F.rand(2)
+    r = F.when(F.col("id") % 2 == 0, 0.4 * v).otherwise(1.0 + 0.4 * v)
+    rows = spark.range(300).select("id", (F.col("id") % 2).cast("int").alias("y"), r.alias("r"), u.alias("u"))
+    rows = materialize(rows.select("id", "y", (F.col("r") * F.cos("u")).alias("a"), (F.col("r") * F.sin("u")).alias("b")), "rings")
+    return materialize(models.assemble(rows, ["a", "b"], "y", ["id"]), "rings-train")
+
+
+def test_fourier_features_are_near_the_kernel(rings, tmp_path):
+    fitted = kernel.FourierFeatures(frequencies=512, seed=3).fit(rings)
+    x = np.array([r[0].toArray() for r in rings.select("features").collect()])
+    assert fitted.getOrDefault("gamma") == pytest.approx(1 / (2 * x.var()))
+    fitted.write().save(str(tmp_path / "map"))
+    again = kernel.FourierFeaturesModel.load(str(tmp_path / "map"))
+    z = np.array([r[0].toArray() for r in again.transform(rings).select("mapped").collect()])
+    exact = np.exp(-fitted.getOrDefault("gamma") * ((x[:, None] - x[None]) ** 2).sum(2))
+    assert abs(z @ z.T - exact).max() < kernel.error_bound(512) and np.sqrt(((z @ z.T - exact) ** 2).mean()) < 0.04
+    assert kernel.FourierFeatures(gamma=0.5).fit(rings).getOrDefault("gamma") == 0.5
+
+
+def test_the_kernel_grid_prefers_the_kernel_where_no_line_divides(rings):
+    model, _, params = models.train_best(rings, "id", "SVM", k=2, grids={"SVM": {"C": (1.0,), "kernel": ("linear", "rbf")}}, settings={"SVM": {"max_iter": 30, "frequencies": 64}})
+    assert params["kernel"] == "rbf" and isinstance(model, PipelineModel)
+    machine = training._refit(model)
+    scored = models.calibrated_svm(rings, "id", machine, 2, model).transform(rings)
+    assert models.scorer("accuracy").evaluate(scored) > 0.95
+    linear, _, params = models.train_best(rings, "id", "SVM", k=2, grids={"SVM": {"C": (0.1, 1.0)}}, settings={"SVM": {"max_iter": 10}})
+    assert "kernel" not in params and type(linear).__name__ == "LinearSVCModel"
+    with pytest.raises(ValueError):
+        models.catalog()["SVM"].build(1.0, kernel="poly")
+
+
+def test_the_first_trees_are_the_shorter_model(rings):
+    make = lambda n: GBTClassifier(featuresCol="features", labelCol="label", maxIter=n, maxDepth=2, subsamplingRate=0.8, seed=5).fit(rings)
+    long, short = make(12), make(5)
+    cut = models.first_trees(long, 5)
+    want = [r["rawPrediction"] for r in short.transform(rings).orderBy("id").collect()]
+    assert [r["rawPrediction"] for r in cut.transform(rings).orderBy("id").collect()] == want
+    assert cut.getNumTrees == 5 and "probability" in cut.transform(rings).columns
+
+
+def test_boosting_is_searched_with_one_fit_for_all_rounds(rings):
+    grid = {"trees": (2, 6, 10), "depth": (1, 3)}
+    fits = []
+    original = GBTClassifier._fit
+
+    def counted(self, dataset):
+        fits.append(self.getMaxIter())
+        return original(self, dataset)
+
+    GBTClassifier._fit = counted
+    try:
+        model, _, params = models.train_best(rings, "id", "GradientBoosting", k=2, grids={"GradientBoosting": grid})
+    finally:
+        GBTClassifier._fit = original
+    assert fits.count(10) >= 4 and len(fits) == 5  # two depths, two folds, and the best one on all rows
+    folded = split.folds(rings, "label", "id", 2)
+    estimator = models.catalog()["GradientBoosting"].build()
+    maps = models.param_maps("GradientBoosting", estimator, grid, 1.0)
+    plain = models._validator(estimator, maps, "f1", 2, 2).fit(folded)
+    best, _, chosen = models.boosting_search(folded, estimator, maps, "f1", 2)
+    assert best == pytest.approx(max(plain.avgMetrics)) and params["maxIter"] == model.getNumTrees
+    raced, _, _ = models.boosting_search(folded, estimator, maps, "f1", 2, margin=1.0)
+    assert raced == pytest.approx(best)
+
+
 def test_select_features(panel):
     df = target.binarize(panel.na.fill(0.0), "DEFASAGEM_2022", "already_binary")
     cols = [f"{s}_2022" for s in ("INDE", "IAA", "IEG", "IPS")]

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check_oracle import compare, connect
+from cohortlens import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
@@ -16,10 +17,18 @@ def con():
     return connect(SF)
 
 
+#: Queries of the panel part whose last step runs Python: very many correlations.
+PYTHON = {"corr_pairwise_nulls"}
+
+
 @pytest.mark.parametrize("name", sorted(n for n in entry_points.queries() if n in entry_points.oracle_sql()))
 def test_agrees_with_sql(spark, con, name):
-    ok, _, _, message = compare(spark, con, SF, name)
+    frames = []
+    ok, _, _, message = compare(spark, con, SF, name, frames)
     assert ok, message
+    if name in catalog.QUERIES:
+        text = spark._jvm.PythonSQLUtils.explainString(frames[0]._jdf.queryExecution(), "simple")
+        assert "CartesianProduct" not in text and (name in PYTHON or not any(w in text for w in ("EvalPython", "MapIn", "InPandas", "InArrow")))
 
 
 def test_every_statement_belongs_to_a_query():

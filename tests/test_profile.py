@@ -61,7 +61,7 @@ def test_correlations_in_blocks(data, monkeypatch):
     df, _ = data
     cols = [f"{s}_2020" for s in ("INDE", "IAA", "IEG", "IPS")]
     whole = {(r["a"], r["b"]): r["corr"] for r in profile.correlations(df, cols).collect()}
-    monkeypatch.setattr(profile, "BLOCK", 2)
+    monkeypatch.setattr(profile, "PAIRS", 2)
     assert {(r["a"], r["b"]): r["corr"] for r in profile.correlations(df, cols).collect()} == pytest.approx(whole)
 
 
