@@ -75,11 +75,27 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 def expand(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """One row per example, that is per target turn: conversation, example, chars, loss_start, loss_end.
+    """One row per example, that is per target turn: conversation, example, ordinal, chars, loss_start, loss_end.
 
-    The text of an example is the first `chars` characters of the formatted conversation.
+    The text of an example is the first `chars` characters of the formatted conversation; `ordinal` is the turn that ends it.
     """
-    return formatted.where("loss_start IS NOT NULL").select(conv_col, "example", F.col("end").alias("chars"), "loss_start", "loss_end")
+    return formatted.where("loss_start IS NOT NULL").select(conv_col, "example", "ordinal", F.col("end").alias("chars"), "loss_start", "loss_end")
+
+
+def read_examples(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """The turns of `read_turns` with what the examples train on: conversation, ordinal, role, text, trained, chars.
+
+    `trained` is the text under the loss mask of the example that the turn ends, cut out by its loss span, `chars` the length of that
+    example; both are null for a turn that ends no example.
+    """
+    turns = read_turns(formatted, conv_col).drop("trained").alias("t")
+    pieces = formatted.select(F.col(conv_col).alias("conv"), F.col("ordinal").alias("at"), "piece", "start").alias("p")
+    same = F.col(f"e.{conv_col}").eqNullSafe(F.col("p.conv")) & (F.col("e.ordinal") == F.col("p.at"))
+    cut = F.col("piece").substr((F.col("loss_start") - F.col("start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    masked = expand(formatted, conv_col).alias("e").join(pieces, same).select(
+        F.col(f"e.{conv_col}").alias("conv"), F.col("e.ordinal").alias("at"), unescape(cut).alias("trained"), "chars").alias("m")
+    mine = F.col(f"t.{conv_col}").eqNullSafe(F.col("m.conv")) & (F.col("t.ordinal") == F.col("m.at"))
+    return turns.join(masked, mine, "left").select(F.col(f"t.{conv_col}").alias(conv_col), "t.ordinal", "t.role", "t.text", "m.trained", "m.chars")
 
 
 def render(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:

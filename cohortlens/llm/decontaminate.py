@@ -143,31 +143,42 @@ class Items:
         hit = seeds[at] == hashes
         runs, hashes = runs[hit].tolist(), hashes[hit].tolist()
         covered: dict[int, set[int]] = defaultdict(set)
+        shared: dict[int, set[int]] = defaultdict(set)
         for h in set(hashes):
             for number, place in owners[h]:
                 covered[number].update(range(place, place + length))
-        out = []
+                shared[number].add(h)
+        out, joined = [], {}
         for number in sorted(covered):
             item = self.codes[number]
             if len(covered[number]) < self.coverage * len(item):
                 continue  # no tiling can cover more than the shared seeds do
-            own = {h for h in set(hashes) if any(n == number for n, _ in owners[h])}
-            near, last = [], -1
-            places: list[int] = []
-            for place, h in zip(runs, hashes):
-                if h in own:
-                    if last >= 0 and place > last:
-                        near.append(-1)  # the words between are in no seed of the item
-                        places.append(-1)
-                    new = range(max(place, last), place + length)
-                    near.extend(codes[new.start:new.stop].tolist())
-                    places.extend(new)
-                    last = place + length
+            own = frozenset(shared[number])
+            # items that share the same seeds with the text, as those with a common preamble do, see the same part of it
+            if own not in joined:
+                joined[own] = self._near(codes, runs, hashes, own, length)
+            near, places = joined[own]
             tiles = [(p, places[t], k) for p, t, k in tile(item, near, length)]
             if sum(k for _, _, k in tiles) >= self.coverage * len(item):
                 out.append((number, tiles))
         return out
 
+    @staticmethod
+    def _near(codes: np.ndarray, runs: list[int], hashes: list[int], own: frozenset, length: int) -> tuple[list[int], list[int]]:
+        """The words of the text in some of its seeds and their places, with -1 for what lies between."""
+        near, last = [], -1
+        places: list[int] = []
+        for place, h in zip(runs, hashes):
+            if h in own:
+                if last >= 0 and place > last:
+                    near.append(-1)
+                    places.append(-1)
+                new = range(max(place, last), place + length)
+                near.extend(codes[new.start:new.stop].tolist())
+                places.extend(new)
+                last = place + length
+        return near, places
+
 
 def _dealt(benchmark: DataFrame, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
     """The distinct texts of the benchmark with their keys, written once, and the number of blocks of about `block_bytes`."""

@@ -22,9 +22,10 @@ from cohortlens.llm.common import text_blocks
 from cohortlens.session import materialize
 
 UNKNOWN = "und"
-MAX_LANGUAGES = 1_000
 
 _BUCKETS = 4_096
+_COMPARED = 1_000  # languages up to which the best of several codes is taken
+_CELLS = 1 << 24  # losses that are held at once
 _BLOCK = 1 << 22
 _LETTER = regex.compile(r"\p{L}")
 # bytes that are no letters in ASCII are one and the same sign
@@ -55,6 +56,8 @@ def codewords(languages: int, seed: int = 7) -> np.ndarray:
         return np.where(rows == 1, -1, 1)
     rng = np.random.default_rng(seed)
     length = int(np.ceil(15 * np.log2(languages)))
+    if languages > _COMPARED:  # random words of this length are far apart; comparing all pairs would cost more than it gives
+        return rng.choice([-1, 1], (languages, length))
     best, best_distance = None, -1
     for _ in range(50):
         code = rng.choice([-1, 1], (languages, length))
@@ -78,8 +81,12 @@ class Model:
 
     def distances(self, margins: np.ndarray) -> np.ndarray:
         """Loss-weighted distance of each row of margins from each codeword."""
-        loss = np.logaddexp(0, -2 * margins[:, None, :] * self.code[None])
-        return (loss * self.trust[None]).sum(2)
+        step = max(1, _CELLS // max(self.code.size, 1))
+        out = np.zeros((len(margins), len(self.code)))
+        for k in range(0, len(margins), step):
+            loss = np.logaddexp(0, -2 * margins[k:k + step, None, :] * self.code[None])
+            out[k:k + step] = (loss * self.trust[None]).sum(2)
+        return out
 
     def probabilities(self, margins: np.ndarray) -> np.ndarray:
         d = -self.sharpness * self.distances(margins)
@@ -87,6 +94,18 @@ class Model:
         return p / p.sum(1, keepdims=True)
 
 
+def _ridge(x: np.ndarray, y: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, and what each row's prediction would be without it, by the smaller one of the two equal systems."""
+    if len(x) <= x.shape[1]:
+        inverse = np.linalg.inv(x @ x.T + penalty * np.eye(len(x)))
+        alpha = inverse @ y
+        return x.T @ alpha, y - alpha / np.diag(inverse)[:, None]
+    inverse = np.linalg.inv(x.T @ x + penalty * np.eye(x.shape[1]))
+    weights = inverse @ (x.T @ y)
+    influence = np.einsum("ij,ij->i", x @ inverse, x)
+    return weights, y - (y - x @ weights) / (1 - influence)[:, None]
+
+
 def train(profiles: np.ndarray, names: list[str], ridge: float = 0.01) -> Model:
     """Regularised least squares for each bit, with exact leave-one-out margins for trust and sharpness."""
     languages = sorted(set(names))
@@ -94,15 +113,12 @@ def train(profiles: np.ndarray, names: list[str], ridge: float = 0.01) -> Model:
     code = codewords(len(languages))
     centre = profiles.mean(0)
     x = (profiles - centre).astype(np.float64)
-    kernel = x @ x.T
     size = len(names)
     # rows weigh alike for each language, whatever its number of rows
     target = code[label].astype(np.float64)
     offset = target.mean(0)
-    inverse = np.linalg.inv(kernel + ridge * max(np.trace(kernel) / size, 1e-9) * np.eye(size))
-    alpha = inverse @ (target - offset)
-    left_out = target - alpha / np.diag(inverse)[:, None]
-    weights = x.T @ alpha
+    weights, left_out = _ridge(x, target - offset, ridge * max((x * x).sum() / size, 1e-9))
+    left_out += offset
     right = (np.sign(left_out) == target).astype(np.float64)
     trust = np.vstack([right[label == k].mean(0) for k in range(len(languages))])
     trust = np.maximum(2 * trust - 1, 1e-3)
@@ -121,14 +137,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit
     """The classifiers, from at most `fit_rows` distinct labelled texts shared evenly by the languages, one of each at least.
 
     Every language gives its whole share, or all its texts if it has fewer. Rows without text or language are left out;
-    equal texts of a language count once. None if no row is left.
+    equal texts of a language count once; texts are read whole. None if no row is left. The driver holds a count and a codeword per
+    language, and with more than `fit_rows` languages one text of each, so the model grows with the number of languages only.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     rows = rows.withColumn("h", F.xxhash64("lang", "text"))
     hashes = materialize(rows.select("lang", "h").distinct(), "language-hashes")
-    sizes = {r["lang"]: r["count"] for r in hashes.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["count"] for r in hashes.groupBy("lang").count().collect()}
     if not sizes:
         return None
     quota = max(fit_rows // len(sizes), 1)
@@ -154,10 +169,12 @@ def _least_hashes(hashes: DataFrame, sizes: dict[str, int], quota: int) -> list[
     found, expected = {}, quota + 8 * math.isqrt(quota) + 16
     open_ = dict(sizes)
     while open_:
-        share = F.create_map(*[F.lit(x) for lang, n in open_.items() for x in (lang, min(1.0, expected / n))])
+        share = hashes.sparkSession.createDataFrame([(lang, int(min(1.0, expected / n) * (1 << 30))) for lang, n in open_.items()], "lang string, bound bigint")
         place = F.pmod("h", F.lit(1 << 30))
         gathered = defaultdict(list)
-        for r in hashes.where(place < share[F.col("lang")] * (1 << 30)).select("lang", place.alias("place"), "h").collect():
+        # one row per language
+        below = hashes.join(F.broadcast(share), "lang").where(place < F.col("bound"))
+        for r in below.select("lang", place.alias("place"), "h").collect():
             gathered[r["lang"]].append((r["place"], r["h"]))
         found.update({lang: sorted(g)[:quota] for lang, g in gathered.items()})
         open_ = {lang: n for lang, n in open_.items() if len(found.get(lang, ())) < min(quota, n)}
@@ -169,8 +186,9 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """One row per input row: id, lang_pred, score (0 to 1), runner_up, ambiguous.
 
     A text that is null or has no letter is `und` with score 0; without a model every text is. `ambiguous` is true if
-    the score is less than `ambiguity` above the runner-up's. Ids are only passed through, so null and repeated ids and
-    repeated rows keep their rows; an empty table gives an empty result; other columns are not read.
+    the score is less than `ambiguity` above the runner-up's. Of languages with the same score the first by name wins. Texts are
+    read whole, in blocks if they are very long. Ids are only passed through, so null and repeated ids and repeated rows keep
+    their rows; an empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

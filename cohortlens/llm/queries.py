@@ -62,7 +62,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _conversation_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of sorted turns, one conversation after the other; the state is that of the open hashes."""
+    """Digests of sorted turns, one conversation after the other; the state is that of the open hashes.
+
+    A digest of this form can only be taken in order, so the turns of one conversation pass through one task, one by one.
+    """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     conv, turns, loss, counts = None, None, None, [0, 0, 0]
@@ -82,7 +85,7 @@ def _conversation_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             if row["trained"] is not None:
                 loss.update(row["trained"].encode())
                 counts[1] += len(row["trained"])
-                counts[2] += row["end"]  # the example's text ends with its target
+                counts[2] += row["chars"]
         yield made(rows)
     if turns is not None:
         yield made([(conv, counts[0], turns.hexdigest(), counts[1], loss.hexdigest(), counts[2])])
@@ -94,7 +97,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    back = chat.read_turns(chat.format_turns(turns))
+    back = chat.read_examples(chat.format_turns(turns))
     in_order = back.repartition("conv_id").sortWithinPartitions("conv_id", "ordinal")
     return in_order.mapInArrow(_conversation_digests, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 

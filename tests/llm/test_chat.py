@@ -51,6 +51,28 @@ def test_examples_have_all_turns_before_their_target(spark):
     assert n == len(rendered) == len(examples) > 20
 
 
+def test_examples_say_what_is_trained(spark):
+    rows = random_turns(seed=9) + [(None, 0, "assistant", "a[INST]"), (None, 1, "user", "b")]
+    formatted = C.format_turns(conversations(spark, rows))
+    rendered = {(r.conv_id, r.example): r for r in C.render(formatted).collect()}
+    examples = {}
+    for r in sorted(C.read_examples(formatted).collect(), key=lambda r: (r.conv_id is None, r.conv_id or 0, r.ordinal)):
+        assert (r.trained is None) == (r.chars is None) == (r.role != "assistant")
+        if r.trained is not None:
+            example = rendered[r.conv_id, examples.setdefault(r.conv_id, 0)]
+            examples[r.conv_id] += 1
+            assert r.chars == len(example.text) and r.trained == r.text
+            masked = spark.createDataFrame([(example.text[example.loss_start:example.loss_end],)], "t string").select(C.unescape(F.col("t"))).head()[0] if r.ordinal < 2 else r.trained
+            assert masked == r.trained
+    assert sum(examples.values()) == len(rendered)
+
+
+def test_without_examples_nothing_is_trained(spark, monkeypatch):
+    formatted = C.format_turns(conversations(spark, random_turns(seed=10)))
+    monkeypatch.setattr(C, "expand", lambda f, c="conv_id": f.limit(0).select(c, "example", "ordinal", F.col("end").alias("chars"), "loss_start", "loss_end"))
+    assert all(r.trained is None and r.chars is None for r in C.read_examples(formatted).collect())
+
+
 def test_a_conversation_that_spans_ranges_is_placed_as_a_whole(spark):
     rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(400)]
     formatted = C.format_turns(conversations(spark, rows).repartition(7)).orderBy("ordinal").collect()

@@ -104,3 +104,63 @@ def test_blocks_are_bounded_and_held_one_at_a_time(docs, spark, monkeypatch):
     assert len(sizes) > 2 and sum(sizes) == 2 and not any(most)
     kept = D.clean(rows, bench, block_bytes=12)
     assert kept.columns == rows.columns and sorted(r.text or "" for r in kept.collect()) == ["", "clean"] and not any(most)
+
+
+def test_all_tiles_and_their_coverage_are_those_of_the_plain_definition():
+    rng = random.Random(9)
+    for _ in range(400):
+        letters = rng.choice([2, 4, 12])
+        item = [rng.randrange(letters) for _ in range(rng.randint(1, 25))]
+        text = [rng.randrange(-1, letters) for _ in range(rng.randint(0, 40))]
+        if rng.random() < 0.5:
+            cut = rng.randrange(len(item))
+            text += item[cut:] + [-1] + item[:cut]
+        covered, plain = plain_tiles(item, text, 3)
+        tiles = D.tile(item, text, 3)
+        assert sorted((k, p, t) for p, t, k in tiles) == sorted(plain) and sum(k for _, _, k in tiles) == covered
+
+
+def test_leaks_of_a_table_equal_all_pairs_tiled_plainly(docs, spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(30)]
+    items = [(100 + k, " ".join(rng.choices(vocabulary, k=rng.randint(1, 30)))) for k in range(25)]
+    items += [(200 + k, "one two three four five six seven eight " + " ".join(rng.choices(vocabulary, k=6))) for k in range(12)]
+
+    def text():
+        parts = [rng.choices(vocabulary, k=rng.randint(0, 12))]
+        for _ in range(rng.randrange(3)):
+            words = D.words(rng.choice(items)[1])
+            cut = rng.randrange(len(words))
+            parts += [words[cut:], rng.choices(vocabulary, k=rng.randrange(3)), words[:cut]]
+        return " ".join(w for p in parts for w in p)
+
+    rows = [(k, text()) for k in range(60)] + [(900, ""), (901, None)]
+    want = set()
+    for doc, t in rows:
+        codes = {}
+        number = lambda ws: [codes.setdefault(w, len(codes)) for w in ws]
+        own = number(D.words(t or ""))
+        for item, it in items:
+            words = number(D.words(it))
+            covered, tiles = plain_tiles(words, own, min(5, len(words)))
+            if covered >= 0.8 * len(words):
+                want.add((doc, item, covered, len(tiles)))
+    for block in (8 << 20, 300):
+        got = {(r.doc_id, r.item_id, r.n_covered, len(r.tiles)) for r in D.leaks(docs(*rows), spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block).collect()}
+        assert got == want and len(want) > 30
+
+
+def test_items_with_a_common_preamble_are_searched_in_step_with_their_number():
+    import time
+
+    preamble = " ".join(f"p{k}" for k in range(40))
+    text = f"{preamble} then something else entirely"
+
+    def seconds(n):
+        items = D.Items([((k, k), f"{preamble} a{k} b{k} c{k}") for k in range(n)], 5, 0.8)
+        start = time.perf_counter()
+        assert len(items.search(text)) == n
+        return time.perf_counter() - start
+
+    few, many = min(seconds(200) for _ in range(3)), min(seconds(1_600) for _ in range(3))
+    assert many < 8 * 2.5 * few + 0.05

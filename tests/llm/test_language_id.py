@@ -80,3 +80,64 @@ def test_least_hashes_are_whole_when_the_first_bound_is_too_low(spark):
     rows = [("a", (k << 30) + (1 << 29) + k) for k in range(1_000)]  # none below the first bound
     found = L._least_hashes(spark.createDataFrame(rows, "lang string, h bigint"), {"a": 1_000}, 5)
     assert sorted(found) == [h for _, h in rows[:5]]
+
+
+def plain_prediction(model, text):
+    """The same model by its definition, with dictionaries and loops: n-grams, margins, losses, shares."""
+    import math
+
+    import regex
+
+    if not text or not regex.search(r"\p{L}", text):
+        return "und", 0.0
+    data = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode("utf-8", "replace"))
+    counts = {}
+    for n in (1, 2, 3):
+        for i in range(len(data) - n + 1):
+            gram = int.from_bytes(data[i:i + n], "big") + (n << 24)
+            bucket = (gram * 0x9E3779B97F4A7C15 % (1 << 64)) >> 52
+            counts[bucket] = counts.get(bucket, 0) + 1
+    total = sum(counts.values())
+    margins = [float(model.bias[b]) + sum(math.sqrt(c / total) * float(model.weights[k, b]) for k, c in counts.items()) for b in range(model.code.shape[1])]
+    distance = [sum(float(model.trust[k, b]) * math.log1p(math.exp(-2 * m * int(model.code[k, b]))) for b, m in enumerate(margins)) for k in range(len(model.languages))]
+    shares = [math.exp(-model.sharpness * (d - min(distance))) for d in distance]
+    best = max(range(len(shares)), key=lambda k: shares[k])
+    return model.languages[best], shares[best] / sum(shares)
+
+
+def test_predictions_equal_a_plain_scorer(spark, messy):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 9 = 0 AND length(text) < 6000")
+    model = L.fit(spark.read.parquet(f"{SF}/documents.parquet"), fit_rows=200)
+    for table in (docs.select("doc_id", "text"), messy.select("doc_id", "text")):
+        texts = {}
+        for r in table.collect():
+            texts.setdefault(r.doc_id, []).append(r.text)
+        for r in L.predict(table, model).collect():
+            if len(texts[r.doc_id]) == 1:
+                lang, score = plain_prediction(model, texts[r.doc_id][0])
+                assert r.score == pytest.approx(score, abs=2e-4)
+                assert r.lang_pred == lang or r.score < 0.51
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    """More languages than `fit_rows`, with codes that are not compared and the system of the features."""
+    monkeypatch.setattr(L, "_COMPARED", 50)
+    names = [f"l{k:04}" for k in range(1_050)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    said = {n: " ".join(letters[k % 26] + letters[k // 26 % 26] + letters[k // 676] + x for x in "xyz") for k, n in enumerate(names)}
+    model = L.fit(spark.createDataFrame([(said[n], n) for n in names], "text string, lang string"), fit_rows=100)
+    assert model.languages == names
+    asked = spark.createDataFrame([(k, said[names[k]]) for k in range(0, 1_050, 70)], "doc_id bigint, text string")
+    assert [r.lang_pred for r in L.predict(asked, model).orderBy("doc_id").collect()] == names[::70]
+
+
+def test_both_systems_of_the_ridge_agree():
+    rng = np.random.default_rng(4)
+    for shape in ((30, 12), (12, 30)):
+        x, y = rng.standard_normal(shape), rng.standard_normal((shape[0], 2))
+        weights, left_out = L._ridge(x, y, 0.7)
+        assert np.allclose(weights, np.linalg.solve(x.T @ x + 0.7 * np.eye(shape[1]), x.T @ y))
+        for i in range(shape[0]):
+            rest = np.arange(shape[0]) != i
+            own = np.linalg.solve(x[rest].T @ x[rest] + 0.7 * np.eye(shape[1]), x[rest].T @ y[rest])
+            assert np.allclose(left_out[i], x[i] @ own)

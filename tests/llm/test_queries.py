@@ -15,7 +15,7 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 
 def test_every_operator_has_a_registered_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert {"pipeline", *QUERIES} <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
@@ -68,3 +68,27 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert whole.count() == sizes[-1]
     same = whole.join(docs.select("doc_id", F.col("ids_sha256").alias("h")), "doc_id").where("h = ids_sha256").count()
     assert same == sizes[-1]
+
+
+def test_stages_take_messy_and_empty_tables_with_columns_of_any_name(spark, messy):
+    messy = messy.withColumn("n_chars", F.length("text").cast("long"))
+    want = {"toxicity": 12, "benchmark_decontamination": 12, "pii": 12, "bpe": 12, "simhash_near_dedup": 7}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, messy, SF)
+        assert name == "bpe" or out.columns == messy.columns
+        rows = out.collect()
+        assert len(rows) == want[name], name
+        assert stage(spark, messy.limit(0), SF).count() == 0
+    once = corpus_pipeline.drop_near_duplicates(spark, messy, SF).collect()
+    # null, empty and blank texts are one group, and so are the copies of a text
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in once)[:3] == [(False, 1), (False, 4), (False, 5)]
+
+
+@pytest.mark.parametrize("name", ["op11_divergence", "op12_suffix_dedup", "op13_hard_negatives"])
+def test_operators_with_a_result_of_their_own(spark, name):
+    df = QUERIES[name](spark, SF)
+    assert df.columns == {
+        "op11_divergence": ["lang", "source", "part", "item", "value", "rank"],
+        "op12_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+        "op13_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]}[name]
+    assert df.count() > 0

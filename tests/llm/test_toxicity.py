@@ -66,3 +66,34 @@ def test_copies_do_not_use_up_the_samples(spark, monkeypatch):
     monkeypatch.setattr(X, "fit", lambda positives, *rest: given.append((positives.distinct().count(), rest[1])))
     X.fit_from_labels(docs, docs.select("doc_id", (F.col("doc_id") % 40 < 20).cast("int").alias("toxic")), max_positives=30)
     assert given == [(20, 0.5)]
+
+
+def plain_score(model, text):
+    """The same model by its definition: every feature of the text by counting, one weight after the other."""
+    import math
+    import re
+
+    words = re.findall(r"\w+", text.lower())
+    z = model.bias
+    for feature, k in model.number.items():
+        stem, _, level = feature.rpartition(" ")
+        times = sum(w.startswith(stem[:-1]) and len(w) >= len(stem) - 1 if stem.endswith("*") else w == stem for w in words)
+        if times and (1000 * times >= int(level[1:]) * len(words) if level[0] == "/" else times >= int(level)):
+            z += float(model.weights[k])
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+
+
+def test_scores_equal_a_plain_scorer(spark, messy):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = X.fit_from_labels(docs, labels)
+    asked = docs.where("doc_id % 12 = 0 AND length(text) < 8000").select("doc_id", "text").unionByName(messy.select("doc_id", "text").where("doc_id < 7 AND doc_id <> 4"))
+    texts = {}
+    for r in asked.collect():
+        texts.setdefault(r.doc_id, []).append(r.text or "")
+    seen = 0
+    for r in X.score(asked, model).collect():
+        if len(texts[r.doc_id]) == 1:
+            seen += 1
+            assert r.score == pytest.approx(plain_score(model, texts[r.doc_id][0]), abs=1e-9) and r.predicted == (r.score >= 0.5)
+    assert seen > 60 and len(model.number) > 3
