@@ -1,11 +1,10 @@
 import numpy as np
 import pytest
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
-from cohortlens.operators import evaluate, kernel, models, profile, split, target
-from cohortlens.plans import prepare, training
+from cohortlens.operators import evaluate, kernel, models, profile, target
+from cohortlens.plans import prepare
 from cohortlens.plans.scoring import Scorer, score_file, score_valid
 from cohortlens.session import materialize
 from cohortlens.sources import files, logs
@@ -194,18 +193,6 @@ def test_fourier_features_are_near_the_kernel(rings, tmp_path):
     assert kernel.FourierFeatures(gamma=0.5).fit(rings).getOrDefault("gamma") == 0.5
 
 
-def test_the_kernel_grid_prefers_the_kernel_where_no_line_divides(rings):
-    model, _, params = models.train_best(rings, "id", "SVM", k=2, grids={"SVM": {"C": (1.0,), "kernel": ("linear", "rbf")}}, settings={"SVM": {"max_iter": 30, "frequencies": 64}})
-    assert params["kernel"] == "rbf" and isinstance(model, PipelineModel)
-    machine = training._refit(model)
-    scored = models.calibrated_svm(rings, "id", machine, 2, model).transform(rings)
-    assert models.scorer("accuracy").evaluate(scored) > 0.95
-    linear, _, params = models.train_best(rings, "id", "SVM", k=2, grids={"SVM": {"C": (0.1, 1.0)}}, settings={"SVM": {"max_iter": 10}})
-    assert "kernel" not in params and type(linear).__name__ == "LinearSVCModel"
-    with pytest.raises(ValueError):
-        models.catalog()["SVM"].build(1.0, kernel="poly")
-
-
 def test_the_first_trees_are_the_shorter_model(rings):
     make = lambda n: GBTClassifier(featuresCol="features", labelCol="label", maxIter=n, maxDepth=2, subsamplingRate=0.8, seed=5).fit(rings)
     long, short = make(12), make(5)
@@ -215,31 +202,6 @@ def test_the_first_trees_are_the_shorter_model(rings):
     assert cut.getNumTrees == 5 and "probability" in cut.transform(rings).columns
 
 
-def test_boosting_is_searched_with_one_fit_for_all_rounds(rings):
-    grid = {"trees": (2, 6, 10), "depth": (1, 3)}
-    fits = []
-    original = GBTClassifier._fit
-
-    def counted(self, dataset):
-        fits.append(self.getMaxIter())
-        return original(self, dataset)
-
-    GBTClassifier._fit = counted
-    try:
-        model, _, params = models.train_best(rings, "id", "GradientBoosting", k=2, grids={"GradientBoosting": grid})
-    finally:
-        GBTClassifier._fit = original
-    assert fits.count(10) >= 4 and len(fits) == 5  # two depths, two folds, and the best one on all rows
-    folded = split.folds(rings, "label", "id", 2)
-    estimator = models.catalog()["GradientBoosting"].build()
-    maps = models.param_maps("GradientBoosting", estimator, grid, 1.0)
-    plain = models._validator(estimator, maps, "f1", 2, 2).fit(folded)
-    best, _, chosen = models.boosting_search(folded, estimator, maps, "f1", 2)
-    assert best == pytest.approx(max(plain.avgMetrics)) and params["maxIter"] == model.getNumTrees
-    raced, _, _ = models.boosting_search(folded, estimator, maps, "f1", 2, margin=1.0)
-    assert raced == pytest.approx(best)
-
-
 def test_select_features(panel):
     df = target.binarize(panel.na.fill(0.0), "DEFASAGEM_2022", "already_binary")
     cols = [f"{s}_2022" for s in ("INDE", "IAA", "IEG", "IPS")]
