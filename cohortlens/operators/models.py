@@ -9,12 +9,12 @@ from itertools import product
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cohortlens import constants as C
 from cohortlens.functions.numeric import named
@@ -208,68 +208,15 @@ def train_best(train: DataFrame, key: str, name: str | None = None, scoring: str
             estimator = candidate.build(weight, **{**(settings or {}).get(name, {}), **variant})
             core = estimator.getStages()[-1] if isinstance(estimator, Pipeline) else estimator
             maps = param_maps(name, core, grid, weight)
-            if name in BOOSTING:
-                score, model, chosen = boosting_search(folded, estimator, maps, scoring, k, parallelism)
-            else:
-                tuned: CrossValidatorModel = _validator(estimator, maps, scoring, k, parallelism).fit(folded)
-                best = max(range(len(maps)), key=lambda i: tuned.avgMetrics[i])
-                score, model, chosen = tuned.avgMetrics[best], tuned.bestModel, maps[best]
-            found.append((score, model, {**{p.name: v for p, v in chosen.items()}, **variant}))
+            tuned: CrossValidatorModel = _validator(estimator, maps, scoring, k, parallelism).fit(folded)
+            best = max(range(len(maps)), key=lambda i: tuned.avgMetrics[i])
+            found.append((tuned.avgMetrics[best], tuned.bestModel, {**{p.name: v for p, v in maps[best].items()}, **variant}))
     finally:
         folded.unpersist()
     _, model, params = max(found, key=lambda f: f[0])
     return model, cv, params
 
 
-BOOSTING = ("GradientBoosting", "XGBoost")
-
-
-def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
-    """The model that the first n rounds of boosting make: later rounds do not change earlier trees and weights."""
-    java, jvm = model._java_obj, SparkSession.active()._jvm
-    arrays = jvm.java.util.Arrays
-    cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(
-        java.uid(), arrays.copyOf(java.trees(), n), arrays.copyOf(java.treeWeights(), n))
-    made = GBTClassificationModel(cut)
-    model._copyValues(made)
-    made._transfer_params_to_java()
-    return made
-
-
-def boosting_search(folded: DataFrame, estimator: Estimator, maps: list[dict], scoring: str = "f1", k: int = C.FOLDS, parallelism: int = 4,
-                    margin: float | None = None) -> tuple[float, GBTClassificationModel, dict]:
-    """(mean score, model on all rows, parameters) of the best grid point; every fold is fitted once for all numbers of rounds.
-
-    Points that differ only in the number of rounds share one fit with the most rounds; the others are its first trees. With
-    `margin` the points run a race: after each fold those whose mean so far is more than `margin` below the best one's drop out. Without
-    it (the default) every point is scored on every fold.
-    """
-    rounds = estimator.getParam("maxIter")
-    groups: dict[tuple, list[int]] = {}
-    for i, point in enumerate(maps):
-        groups.setdefault(tuple(sorted((p.name, v) for p, v in point.items() if p != rounds)), []).append(i)
-    judge, sums, alive = scorer(scoring), [0.0] * len(maps), set(range(len(maps)))
-
-    def one(task):
-        members, fold = task
-        longest = max(members, key=lambda i: maps[i].get(rounds, 0))
-        fitted = estimator.copy(maps[longest]).fit(folded.where(F.col(FOLD) != fold))
-        held = folded.where(F.col(FOLD) == fold)
-        return [(i, float(judge.evaluate(first_trees(fitted, maps[i].get(rounds, fitted.getNumTrees)).transform(held)))) for i in members]
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        for fold in range(k):
-            tasks = [([i for i in members if i in alive], fold) for members in groups.values() if alive & set(members)]
-            for scores in pool.map(inheritable_thread_target(folded.sparkSession)(one), tasks):
-                for i, score in scores:
-                    sums[i] += score
-            if margin is not None:
-                lead = max(sums[i] for i in alive)
-                alive = {i for i in alive if (lead - sums[i]) / (fold + 1) <= margin}
-    best = max(sorted(alive), key=lambda i: sums[i])
-    return sums[best] / k, estimator.copy(maps[best]).fit(folded), maps[best]
-
-
 def calibrated_svm(train: DataFrame, key: str, estimator: Estimator, k: int = C.FOLDS, fitted: Model | None = None) -> PipelineModel:
     """A machine with probabilities: a logistic curve fitted on out-of-fold margins (Platt). `fitted` is it on all rows, if there is one."""
     folded = split.folds(train, LABEL, key, k).persist()

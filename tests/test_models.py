@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from cohortlens.operators import evaluate, kernel, models, profile, target
@@ -193,15 +192,6 @@ def test_fourier_features_are_near_the_kernel(rings, tmp_path):
     assert kernel.FourierFeatures(gamma=0.5).fit(rings).getOrDefault("gamma") == 0.5
 
 
-def test_the_first_trees_are_the_shorter_model(rings):
-    make = lambda n: GBTClassifier(featuresCol="features", labelCol="label", maxIter=n, maxDepth=2, subsamplingRate=0.8, seed=5).fit(rings)
-    long, short = make(12), make(5)
-    cut = models.first_trees(long, 5)
-    want = [r["rawPrediction"] for r in short.transform(rings).orderBy("id").collect()]
-    assert [r["rawPrediction"] for r in cut.transform(rings).orderBy("id").collect()] == want
-    assert cut.getNumTrees == 5 and "probability" in cut.transform(rings).columns
-
-
 def test_select_features(panel):
     df = target.binarize(panel.na.fill(0.0), "DEFASAGEM_2022", "already_binary")
     cols = [f"{s}_2022" for s in ("INDE", "IAA", "IEG", "IPS")]
