@@ -219,3 +219,14 @@ def test_a_drained_stream_goes_on_in_the_same_folder(spark, folder, out):
     assert runs.drain(stream(spark, folder).select("id"), out).count() == 6
     batch(spark, folder).limit(2).coalesce(1).write.mode("append").parquet(folder)
     assert runs.drain(stream(spark, folder).select("id"), out).count() == 8
+
+
+def test_a_cut_line_of_a_customer_without_orders_keeps_its_key(spark, tmp_path):
+    from cohortlens.catalog import q_streams
+    from cohortlens.sources import star
+
+    rows = {"customer": [(5, "a", 1, 1.0, "x"), (16, "b", 1, 1.0, "x"), (7, "c", 1, 1.0, "x"), (None, "d", 1, 1.0, "x")], "orders": [], "lineitem": []}
+    for name, given in rows.items():
+        spark.createDataFrame(given, star.SCHEMAS[name]).write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = q_streams.stream_corrupt(spark, str(tmp_path)).collect()
+    assert {(r["cust_id"], r["way"]) for r in found} == {(5, "unreadable"), (16, "unreadable"), (7, "scored"), (None, "scored")} and len(found) == 4
