@@ -32,7 +32,8 @@ def number(name: str, dtype: DataType | None = None) -> str:
         return f"if({column} RLIKE r'{_NUMBER}', try_cast(trim({column}) AS double), NULL)"
     if dtype is not None and not isinstance(dtype, (DoubleType, FloatType)):
         return f"cast({column} AS double)"
-    return f"nullif(cast({column} AS double), double('NaN'))"
+    # not nullif: Spark gives each of its arguments a column of its own
+    return f"if(isnan(cast({column} AS double)), NULL, cast({column} AS double))"
 
 
 def or_zero(x: str) -> str:
@@ -46,12 +47,12 @@ def filled(xs: list[str]) -> str:
 
 def row_mean(xs: list[str]) -> str:
     """Mean over the non-null ones; null when all are null."""
-    return f"(({' + '.join(map(or_zero, xs))}) / nullif({filled(xs)}, 0))"
+    return f"try_divide({' + '.join(map(or_zero, xs))}, {filled(xs)})"
 
 
-def row_std(xs: list[str]) -> str:
-    """Sample deviation over the non-null ones; 0 with fewer than two."""
-    mean, n = row_mean(xs), filled(xs)
+def row_std(xs: list[str], mean: str | None = None, n: str | None = None) -> str:
+    """Sample deviation over the non-null ones; 0 with fewer than two. `mean` and `n` name their `row_mean` and `filled`, if there are columns of these."""
+    mean, n = mean or row_mean(xs), n or filled(xs)
     squares = " + ".join(or_zero(f"({x} - {mean}) * ({x} - {mean})") for x in xs)
     return f"if({n} > 1, sqrt(({squares}) / ({n} - 1)), 0D)"
 

@@ -38,14 +38,13 @@ def apply(df: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:
 
     Where a join shuffles, null texts are spread by a hash of their row, so they do not meet in one task.
     """
-    out = df
-    for c in columns:
-        own = classes.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("index").alias("_index"), F.lit(0).alias("_spread"))
-        rest = [named(x) if x != c else F.coalesce("_index", F.lit(-1)).cast("bigint").alias(c) for x in df.columns]
+    out, codes = df, {}
+    for i, c in enumerate(columns):
+        own = classes.where(F.col("column") == c).select(F.col("value").alias(f"_value{i}"), F.col("index").alias(f"_index{i}"), F.lit(0).alias(f"_spread{i}"))
         spread = F.when(named(c).isNull(), 1 + F.pmod(F.xxhash64(*[named(x) for x in df.columns]), F.lit(1 << 20))).otherwise(0).cast("int")
-        both = (named(c).cast("string") == F.col("_value")) & (spread == F.col("_spread"))
-        out = out.join(own, both, "left").select(*rest)
-    return out
+        out = out.join(own, (named(c).cast("string") == F.col(f"_value{i}")) & (spread == F.col(f"_spread{i}")), "left")
+        codes[c] = F.coalesce(f"_index{i}", F.lit(-1)).cast("bigint").alias(c)
+    return out.select(*[codes.get(x, named(x)) for x in df.columns])
 
 
 def apply_like_batch(df: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:

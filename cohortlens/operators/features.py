@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from cohortlens import constants as C
-from cohortlens.functions.text import literal, number, or_zero, quoted, row_mean, row_std
+from cohortlens.functions.text import filled, literal, number, or_zero, quoted, row_mean, row_std
 from cohortlens.spec import Feature, PanelSpec
 
 
@@ -84,14 +84,20 @@ FORMULAS = {
 
 
 def build(df: DataFrame, features: list[Feature]) -> DataFrame:
-    """All columns of the frame and the features, in one projection."""
+    """All columns of the frame and the features.
+
+    Means and counts that deviations are made of come first, as columns: written out in every term they make code that Spark can
+    only interpret.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
     unknown = {f.kind for f in features} - set(FORMULAS)
     if unknown:
         raise ValueError(f"unknown feature kinds {sorted(unknown)}; one of {sorted(FORMULAS)}")
-    return df.selectExpr("*", *[
-        f"{FORMULAS[f.kind]([number(c, types[c]) for c in f.inputs], f.params)} AS {quoted(f.name)}" for f in features
-    ])
+    inputs = {f: [number(c, types[c]) for c in f.inputs] for f in features}
+    made = {f: (f"_mean_{i}", f"_filled_{i}") for i, f in enumerate(features) if f.kind == "row_std"}
+    helped = df.selectExpr("*", *[f"{row_mean(inputs[f])} AS {m}" for f, (m, _) in made.items()], *[f"{filled(inputs[f])} AS {n}" for f, (_, n) in made.items()]) if made else df
+    formula = {f: row_std(inputs[f], *made[f]) if f in made else FORMULAS[f.kind](inputs[f], f.params) for f in features}
+    return helped.selectExpr("*", *[f"{formula[f]} AS {quoted(f.name)}" for f in features]).drop(*[c for pair in made.values() for c in pair])
 
 
 def engineer(df: DataFrame, spec: PanelSpec, own: list[Feature] = ()) -> DataFrame:

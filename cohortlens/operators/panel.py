@@ -53,10 +53,14 @@ def to_long(df: DataFrame, spec: PanelSpec, stems: list[str], year: str = "year"
 def to_wide(df: DataFrame, key: str, year: str, years, columns) -> DataFrame:
     """One row per key, columns {name}_{year}.
 
-    One aggregation with the years given, so there is no job to find them and a single shuffle by key.
+    The years are given, so there is no job to find them, and the rows are shuffled once. Each year of a key becomes one
+    struct, so the aggregation by key holds one value per year and not one per cell, which Spark would not compile.
     """
-    cells = [F.expr(f"max(CASE WHEN `{year}` = {y} THEN `{c}` END) AS `{c}_{y}`") for c in columns for y in years]
-    return df.groupBy(key).agg(*cells)
+    numbered = list(enumerate(columns))
+    yearly = df.groupBy(key, F.expr(f"`{year}` AS _year")).agg(*[F.expr(f"max(`{c}`) AS _v{i}") for i, c in numbered])
+    cells = ", ".join(f"_v{i}" for i, _ in numbered)
+    rows = yearly.groupBy(key).agg(*[F.expr(f"any_value(CASE WHEN _year = {y} THEN struct({cells}) END, true) AS _y{y}") for y in years])
+    return rows.select(key, *[F.expr(f"_y{y}._v{i} AS `{c}_{y}`") for i, c in numbered for y in years])
 
 
 def latest_year(df: DataFrame, year: str = "year") -> DataFrame:

@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.functions.numeric import named
-from cohortlens.functions.shape import statistics
+from cohortlens.functions.shape import present, statistics
+from cohortlens.functions.text import literal
+
+_PLAIN = {"double", "float", "bigint", "int", "smallint", "tinyint"}
 
 
 def fit(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, mean, std) from one pass."""
-    return statistics(df, columns, mean="avg({c})", std="stddev_pop({c})")
+    """(column, mean, std) from one pass, NaN counting as null.
+
+    Tasks turn their rows into (column, value) and add these up by column: a handful of aggregates, however many columns there are.
+    """
+    kinds = dict(df.dtypes)
+    if not columns or any(kinds[c] not in _PLAIN for c in columns):
+        return statistics(df, columns, mean="avg({c})", std="stddev_pop({c})")
+    cells = ", ".join(f"cast({present(c, kinds[c])} AS double)" for c in columns)
+    values = df.selectExpr(f"array({cells}) AS cells").selectExpr("posexplode(cells) AS (i, v)").where("v IS NOT NULL")
+    found = values.groupBy("i").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    # one row, so that a column without values has its row too
+    whole = found.agg(F.expr("map_from_entries(collect_list(struct(i, struct(mean, std)))) AS found"))
+    names = whole.selectExpr("found", f"posexplode(array({', '.join(literal(c) for c in columns)})) AS (i, column)")
+    return names.selectExpr("column", "found[i].mean AS mean", "found[i].std AS std")
 
 
 def apply(df: DataFrame, stats: DataFrame, columns: list[str]) -> DataFrame:

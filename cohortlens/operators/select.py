@@ -47,8 +47,8 @@ def _digit(c: str) -> str:
 
 
 def _entries(df: DataFrame, cells: list[str]) -> DataFrame:
-    """(i, digit, v) of every cell that is not null."""
-    return df.selectExpr(f"inline(array_compact(array({', '.join(cells)})))")
+    """(i, v) of every cell that is not null. What is made of a value comes after, once, and not for each column."""
+    return df.selectExpr(f"array({', '.join(cells)}) AS cells").selectExpr("posexplode(cells) AS (i, v)").where("v IS NOT NULL")
 
 
 def _holding(counts: DataFrame, ranks: list[list[int]]) -> DataFrame:
@@ -71,7 +71,7 @@ def order_statistics(df: DataFrame, columns: list[str], probabilities: list[floa
     """
     if not stored:
         df = doubles(df, columns)
-    first = _entries(df, [f"CASE WHEN {quoted(c)} IS NOT NULL THEN named_struct('i', {i}, 'digit', {_digit(quoted(c))}, 'v', {quoted(c)}) END" for i, c in enumerate(columns)])
+    first = _entries(df, [quoted(c) for c in columns]).selectExpr("i", f"{_digit('v')} AS digit", "v")
     counts = materialize(first.groupBy("i", "digit").agg(
         F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"), F.var_pop("v").alias("var")), "digits")
     # one row per column: groups of a column are few, since a digit is a 64th of a power of two
@@ -100,12 +100,11 @@ def order_statistics(df: DataFrame, columns: list[str], probabilities: list[floa
 
     settle(_holding(counts, wanted), [(i, [(r, 0) for r in rs]) for i, rs in enumerate(wanted)])
     while open_:
-        ranges, cells = list(open_.items()), []
-        for k, ((i, low, high), _) in enumerate(ranges):
-            c = quoted(columns[i])
-            cells.append(f"CASE WHEN {c} BETWEEN {low!r}D AND {high!r}D THEN named_struct('i', {k}, 'digit', "
-                         f"least(floor(({c} - ({low!r}D)) / ({high!r}D - ({low!r}D)) * {BINS}D), {BINS - 1}L), 'v', {c}) END")
-        counts = _entries(df, cells).groupBy("i", "digit").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        ranges = list(open_.items())
+        cells = [f"CASE WHEN {quoted(columns[i])} BETWEEN {low!r}D AND {high!r}D THEN {quoted(columns[i])} END" for (i, low, high), _ in ranges]
+        low, high = (f"get(array({', '.join(f'{r[k]!r}D' for r, _ in ranges)}), i)" for k in (1, 2))
+        digit = f"least(floor((v - {low}) / ({high} - {low}) * {BINS}D), {BINS - 1}L) AS digit"
+        counts = _entries(df, cells).selectExpr("i", digit, "v").groupBy("i", "digit").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         origin = [(i, ranks) for (i, _, _), ranks in ranges]
         open_ = {}
         settle(_holding(counts, [[rank - before for rank, before in ranks] for _, ranks in origin]), origin)

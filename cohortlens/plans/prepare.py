@@ -53,8 +53,8 @@ class Preparation:
 
     def encode(self, filled: DataFrame, keep: list[str] = ()) -> DataFrame:
         """Derived features and numeric codes, in training order."""
-        built = features.build(filled, self.derived)
-        coded = encode.apply(built, self.classes, self.nominal)
+        # derived features are made of numbers only; the joins come first, when rows are narrow
+        coded = features.build(encode.apply(filled, self.classes, self.nominal), self.derived)
         levels = self.spec.ordinal_levels
         return coded.selectExpr(*map(quoted, keep), *[
             f"cast({ordinal_code(c, levels) if c in self.ordinal else quoted(c)} AS double) AS {quoted(c)}" for c in self.columns
