@@ -217,20 +217,30 @@ def train_best(train: DataFrame, key: str, name: str | None = None, scoring: str
     return model, cv, params
 
 
-def calibrated_svm(train: DataFrame, key: str, estimator: Estimator, k: int = C.FOLDS, fitted: Model | None = None) -> PipelineModel:
-    """A machine with probabilities: a logistic curve fitted on out-of-fold margins (Platt). `fitted` is it on all rows, if there is one."""
+def calibrated_svm(train: DataFrame, key: str, estimator: Estimator, k: int = C.FOLDS, fitted: Model | None = None, parallelism: int = 4) -> PipelineModel:
+    """A machine with probabilities: a logistic curve fitted on out-of-fold margins (Platt). `fitted` is it on all rows, if there is one.
+
+    Several fits run at a time: one is a row of hundreds of short jobs, between which most of the cluster would wait.
+    """
     folded = split.folds(train, LABEL, key, k).persist()
+
+    def one(fold):
+        if fold is None:
+            return fitted or estimator.fit(folded)
+        return estimator.fit(folded.where(F.col(FOLD) != fold))
+
     try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            *machines, whole = pool.map(inheritable_thread_target(train.sparkSession)(one), [*range(k), None])
         margins = None
-        for fold in range(k):
-            part = estimator.fit(folded.where(F.col(FOLD) != fold)).transform(folded.where(F.col(FOLD) == fold))
-            part = part.select(LABEL, "rawPrediction")
+        for fold, machine in enumerate(machines):
+            part = machine.transform(folded.where(F.col(FOLD) == fold)).select(LABEL, "rawPrediction")
             margins = part if margins is None else margins.unionByName(part)
         curve = LogisticRegression(featuresCol="rawPrediction", labelCol=LABEL, probabilityCol="probability",
                                    rawPredictionCol="_curve_raw", predictionCol="_curve_prediction").fit(margins)
     finally:
         folded.unpersist()
-    return PipelineModel([fitted or estimator.fit(train), curve])
+    return PipelineModel([whole, curve])
 
 
 def importance(model, columns: list[str], spark) -> DataFrame:

@@ -200,3 +200,22 @@ def test_select_features(panel):
     assert len(models.select_features(df, cols, "label", "importance", 3, trees=5)) == 3
     r = profile.correlation_with(df, cols, "label").where("column = 'INDE_2022'").head()
     assert 0 < r["abs_corr"] < 1
+
+
+def test_the_machines_of_a_calibration_are_fitted_side_by_side(spark, frame, monkeypatch):
+    import threading
+
+    from pyspark.ml.classification import LinearSVC
+
+    rows = frame("k bigint, x double, label int", *[(i, float(i % 7) + (2.0 if i % 2 else 0.0), i % 2) for i in range(40)])
+    train = models.assemble(rows, ["x"], "label", ["k"])
+    svm = models.catalog()["SVM"].build(models.total_weight(train), max_iter=3)
+    both, fit = threading.Barrier(2), LinearSVC.fit
+
+    def watched(self, *given):
+        both.wait(60)
+        return fit(self, *given)
+
+    monkeypatch.setattr(LinearSVC, "fit", watched)
+    probability = models.calibrated_svm(train, "k", svm, 3).transform(train).select("k", "probability").collect()
+    assert len(probability) == 40 and all(abs(sum(r["probability"]) - 1) < 1e-9 for r in probability)
