@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortlens import constants as C
 from cohortlens.functions.numeric import named
-from cohortlens.operators import evaluate, kernel as kernels, profile, split, target
+from cohortlens.operators import evaluate, kernel as kernels, logistic, profile, split, target
 from cohortlens.session import materialize
 
 FEATURES, LABEL, WEIGHT, FOLD = "features", "label", "weight", "fold"
@@ -134,9 +134,30 @@ def _validator(estimator, maps, scoring, k, parallelism):
                           foldCol=FOLD, parallelism=parallelism, seed=C.SEED)
 
 
+def _logistic_scores(folded: DataFrame, estimator: LogisticRegression, strengths: list[float], scoring: str, k: int, parallelism: int) -> list[list[float]] | None:
+    """A score by fold and strength; None where the fits cannot run side by side (see `logistic.fold_models`)."""
+    found = logistic.fold_models(folded, strengths, k, estimator.getMaxIter(), FEATURES, LABEL, WEIGHT, FOLD)
+    if found is None:
+        return None
+    spark, judge = folded.sparkSession, scorer(scoring).setWeightCol("n")
+
+    def score(model):
+        counts = [tuple(r)[1:] for r in found[1] if r["model"] == model]
+        if not counts:
+            raise ValueError(f"The validation data at fold {model // len(strengths)} is empty.")
+        return float(judge.evaluate(spark.createDataFrame(counts, "label double, prediction double, n double").coalesce(1)))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        scores = list(pool.map(inheritable_thread_target(spark)(score), range(k * len(strengths))))
+    return [scores[f * len(strengths):(f + 1) * len(strengths)] for f in range(k)]
+
+
 def fold_scores(train: DataFrame, key: str, names: list[str] | None = None, scoring: str = "f1", k: int = C.FOLDS,
                 settings: dict[str, dict] | None = None, parallelism: int = 4) -> DataFrame:
-    """(model, fold, score, seconds): every candidate on the same stratified folds, several fits at a time."""
+    """(model, fold, score, seconds): every candidate on the same stratified folds, several fits at a time.
+
+    The folds of a logistic regression are fitted together and share their time evenly.
+    """
     models = catalog()
     names = names or list(models)
     folded = split.folds(train, LABEL, key, k).persist()
@@ -151,10 +172,19 @@ def fold_scores(train: DataFrame, key: str, names: list[str] | None = None, scor
         score = judge.evaluate(fitted.transform(folded.where(F.col(FOLD) == fold)))
         return name, fold, float(score), time.time() - begin
 
-    tasks = [(name, fold) for name in names for fold in range(k)]
+    rows, single = [], []
     try:
+        for name in names:
+            estimator = models[name].build(weight, **(settings or {}).get(name, {}))
+            begin = time.time()
+            together = _logistic_scores(folded, estimator, [estimator.getRegParam()], scoring, k, parallelism) if isinstance(estimator, LogisticRegression) else None
+            if together is None:
+                single.append(name)
+            else:
+                rows += [(name, fold, scores[0], (time.time() - begin) / k) for fold, scores in enumerate(together)]
+        tasks = [(name, fold) for name in single for fold in range(k)]
         with ThreadPoolExecutor(parallelism) as pool:
-            rows = list(pool.map(inheritable_thread_target(train.sparkSession)(one), tasks))
+            rows += pool.map(inheritable_thread_target(train.sparkSession)(one), tasks)
     finally:
         folded.unpersist()
     return train.sparkSession.createDataFrame(rows, "model string, fold int, score double, seconds double")
@@ -208,9 +238,17 @@ def train_best(train: DataFrame, key: str, name: str | None = None, scoring: str
             estimator = candidate.build(weight, **{**(settings or {}).get(name, {}), **variant})
             core = estimator.getStages()[-1] if isinstance(estimator, Pipeline) else estimator
             maps = param_maps(name, core, grid, weight)
-            tuned: CrossValidatorModel = _validator(estimator, maps, scoring, k, parallelism).fit(folded)
-            best = max(range(len(maps)), key=lambda i: tuned.avgMetrics[i])
-            found.append((tuned.avgMetrics[best], tuned.bestModel, {**{p.name: v for p, v in maps[best].items()}, **variant}))
+            together = None
+            if isinstance(estimator, LogisticRegression) and set(grid) == {"C"}:
+                together = _logistic_scores(folded, estimator, [m[estimator.regParam] for m in maps], scoring, k, parallelism)
+            if together is None:
+                tuned: CrossValidatorModel = _validator(estimator, maps, scoring, k, parallelism).fit(folded)
+                scores = tuned.avgMetrics
+            else:
+                scores = [sum(column) / k for column in zip(*together)]
+            best = max(range(len(maps)), key=lambda i: scores[i])
+            model = estimator.fit(folded, maps[best]) if together else tuned.bestModel
+            found.append((scores[best], model, {**{p.name: v for p, v in maps[best].items()}, **variant}))
     finally:
         folded.unpersist()
     _, model, params = max(found, key=lambda f: f[0])
