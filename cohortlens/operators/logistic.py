@@ -9,7 +9,7 @@ half the strength times the squared coefficients, the intercept free.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +22,7 @@ TOLERANCE = 1e-9  # mean loss that a step may still gain
 MEMORY = 10  # steps that directions remember
 
 
-def _reader():
+def reader():
     """Rows with a 1 behind them, labels, weights and folds of a batch. What tasks run is nested, so it travels with them."""
     def read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         y, w, fold = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
@@ -32,17 +32,17 @@ def _reader():
     return read
 
 
-def _grams(rows: DataFrame, k: int, size: int) -> np.ndarray:
-    """Weighted Gram matrix of each fold. Tasks send rows of it, which meet by fold and row."""
-    read, kind = _reader(), "fold int, i int, v array<double>"
+def grams(rows: DataFrame, k: int, size: int, parts: Callable | None = None) -> np.ndarray:
+    """Weighted Gram matrix of each fold. Tasks send rows of it, which meet by fold and row. `parts` gives what is read of a batch piece by piece."""
+    read, kind = reader(), "fold int, i int, v array<double>"
+    parts = parts or (lambda batch: iter([read(batch)]))
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((k, size, size))
-        for batch in batches:
-            x, _, w, fold = read(batch)
+        for x, _, w, fold in (part for batch in batches for part in parts(batch)):
             for f in np.unique(fold):
                 own = x[fold == f]
-                sums[f] += own.T @ (own * w[fold == f, None])
+                sums[f] += own.T @ (own * w[fold == f, None]).astype(x.dtype)
         for f, total in enumerate(sums):
             yield pa.RecordBatch.from_pydict({
                 "fold": pa.array(np.full(size, f, np.int32)), "i": pa.array(np.arange(size, dtype=np.int32)),
@@ -60,7 +60,7 @@ def _grams(rows: DataFrame, k: int, size: int) -> np.ndarray:
 
 def _slopes(rows: DataFrame, points: np.ndarray, left_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of weighted losses and gradients at a point for each model, over the rows of all folds but its own."""
-    read = _reader()
+    read = reader()
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(points), points.shape[1] + 1))
@@ -81,7 +81,7 @@ def _slopes(rows: DataFrame, points: np.ndarray, left_out: np.ndarray) -> tuple[
 
 
 @dataclass
-class _Search:
+class Search:
     """A model on its way: the point it has reached and the step that is tried."""
 
     fold: int
@@ -89,6 +89,7 @@ class _Search:
     weight: float
     bound: np.ndarray  # inverse of the curvature bound
     at: np.ndarray
+    tolerance: float = TOLERANCE
     loss: float = np.inf
     slope: np.ndarray | None = None
     move: np.ndarray | None = None
@@ -116,7 +117,7 @@ class _Search:
                 self.past = [*self.past, (s, y, 1 / (s @ y))][-MEMORY:]
             self.steps += 1
         self.at, self.loss, self.slope = point, loss, slope
-        self.done = 0.5 * float(slope @ self.bound @ slope) <= TOLERANCE or self.steps >= most
+        self.done = 0.5 * float(slope @ self.bound @ slope) <= self.tolerance or self.steps >= most
         self.move, self.length = self._direction(), 1.0
 
     def _direction(self) -> np.ndarray:
@@ -134,7 +135,7 @@ class _Search:
         return -z
 
 
-def _inverse(curvature: np.ndarray) -> np.ndarray:
+def inverse(curvature: np.ndarray) -> np.ndarray:
     """Inverse, of equal scale in all columns; directions without any curvature keep a little."""
     scale = 1 / np.sqrt(np.maximum(np.diag(curvature), np.finfo(float).tiny))
     values, vectors = np.linalg.eigh(curvature * scale[:, None] * scale)
@@ -143,7 +144,7 @@ def _inverse(curvature: np.ndarray) -> np.ndarray:
 
 def _hits(rows: DataFrame, points: np.ndarray, left_out: np.ndarray) -> DataFrame:
     """(model, label, prediction, n): the rows of the fold that each model has left out, counted."""
-    read = _reader()
+    read = reader()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((len(points), 2, 2), dtype=np.int64)
@@ -160,40 +161,53 @@ def _hits(rows: DataFrame, points: np.ndarray, left_out: np.ndarray) -> DataFram
     return rows.mapInArrow(counted, "model int, label double, prediction double, n bigint").groupBy("model", "label", "prediction").agg(F.sum("n").cast("double").alias("n"))
 
 
+def narrow(folded: DataFrame, features: str, label: str, weight: str, fold: str) -> DataFrame:
+    """The columns that `reader` reads."""
+    return folded.select(vector_to_array(features).alias("x"), label, F.col(weight).cast("double").alias("w"), F.col(fold).cast("int").alias("f"))
+
+
+def class_weights(rows: DataFrame, label: str, k: int) -> tuple[int, np.ndarray] | None:
+    """Features with the 1 behind them, and weights by fold and class; None for rows that cannot be fitted side by side."""
+    classes = rows.groupBy("f", label).agg(F.sum("w").alias("w"), F.min(F.size("x")).alias("low"), F.max(F.size("x")).alias("wide")).collect()
+    wide = {r[c] for r in classes for c in ("low", "wide")}
+    if len(wide) != 1 or max(wide) > WIDEST or any(r[label] not in (0.0, 1.0) or not np.isfinite(r["w"]) for r in classes):
+        return None
+    weights = np.zeros((k, 2))
+    for r in classes:
+        weights[r["f"], int(r[label])] = r["w"]
+    for f in range(k):
+        if not np.delete(weights, f, 0).any():
+            raise ValueError(f"The training data at fold {f} is empty.")
+    return wide.pop() + 1, weights
+
+
 def fold_models(folded: DataFrame, strengths: list[float], k: int, max_iter: int, features: str, label: str, weight: str, fold: str):
     """(models by fold and strength as coefficients and intercept, counts of hits by model), or None where this form does not apply.
 
     It applies to labels 0 and 1, finite values and at most 500 features. Model `f * len(strengths) + i` leaves out fold f.
     """
-    rows = folded.select(vector_to_array(features).alias("x"), label, F.col(weight).cast("double").alias("w"), F.col(fold).cast("int").alias("f")).persist()
+    rows = narrow(folded, features, label, weight, fold).persist()
     try:
-        classes = rows.groupBy("f", label).agg(F.sum("w").alias("w"), F.min(F.size("x")).alias("low"), F.max(F.size("x")).alias("wide")).collect()
-        wide = {r[c] for r in classes for c in ("low", "wide")}
-        if len(wide) != 1 or max(wide) > WIDEST or any(r[label] not in (0.0, 1.0) or not np.isfinite(r["w"]) for r in classes):
+        shape = class_weights(rows, label, k)
+        if shape is None:
             return None
-        size = wide.pop() + 1
-        weights = np.zeros((k, 2))
-        for r in classes:
-            weights[r["f"], int(r[label])] = r["w"]
-        for f in range(k):
-            if not np.delete(weights, f, 0).any():
-                raise ValueError(f"The training data at fold {f} is empty.")
-        grams = _grams(rows, k, size)
-        if not np.isfinite(grams).all():
+        size, weights = shape
+        sums = grams(rows, k, size)
+        if not np.isfinite(sums).all():
             return None
         searches = []
         for f in range(k):
             own = np.delete(weights, f, 0).sum(0)
-            curvature = np.delete(grams, f, 0).sum(0) / (4 * own.sum())
+            curvature = np.delete(sums, f, 0).sum(0) / (4 * own.sum())
             for strength in strengths:
                 penalty = np.append(np.full(size - 1, float(strength)), 0.0)
                 start = np.zeros(size)
                 if own.all():
                     start[-1] = np.log(own[1] / own[0])
-                    searches.append(_Search(f, penalty, own.sum(), _inverse(curvature + np.diag(penalty)), start))
+                    searches.append(Search(f, penalty, own.sum(), inverse(curvature + np.diag(penalty)), start))
                 else:  # one class only, as LogisticRegression has it
                     start[-1] = np.inf if own[1] else -np.inf
-                    searches.append(_Search(f, penalty, own.sum(), np.eye(size), start, done=True))
+                    searches.append(Search(f, penalty, own.sum(), np.eye(size), start, done=True))
         while moving := [s for s in searches if not s.done]:
             losses, slopes = _slopes(rows, np.stack([s.trial for s in moving]), np.array([s.fold for s in moving]))
             for s, loss, slope in zip(moving, losses, slopes):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortlens import constants as C
 from cohortlens.functions.numeric import named
-from cohortlens.operators import evaluate, kernel as kernels, logistic, profile, split, target
+from cohortlens.operators import evaluate, kernel as kernels, logistic, machines, profile, split, target
 from cohortlens.session import materialize
 
 FEATURES, LABEL, WEIGHT, FOLD = "features", "label", "weight", "fold"
@@ -125,6 +126,10 @@ def scorer(scoring: str = "f1") -> MulticlassClassificationEvaluator:
     )
 
 
+def _core(estimator: Estimator) -> Estimator:
+    return estimator.getStages()[-1] if isinstance(estimator, Pipeline) else estimator
+
+
 def total_weight(train: DataFrame) -> float:
     return float(train.agg(F.sum(WEIGHT)).head()[0])
 
@@ -134,9 +139,32 @@ def _validator(estimator, maps, scoring, k, parallelism):
                           foldCol=FOLD, parallelism=parallelism, seed=C.SEED)
 
 
-def _logistic_scores(folded: DataFrame, estimator: LogisticRegression, strengths: list[float], scoring: str, k: int, parallelism: int) -> list[list[float]] | None:
-    """A score by fold and strength; None where the fits cannot run side by side (see `logistic.fold_models`)."""
-    found = logistic.fold_models(folded, strengths, k, estimator.getMaxIter(), FEATURES, LABEL, WEIGHT, FOLD)
+def _map(folded: DataFrame, mapping: kernels.FourierFeatures, k: int, parallelism: int) -> machines.Map:
+    """The map as it is fitted without each fold."""
+    with ThreadPoolExecutor(parallelism) as pool:
+        fitted = list(pool.map(inheritable_thread_target(folded.sparkSession)(lambda f: mapping.fit(folded.where(F.col(FOLD) != f))), range(k)))
+    first = fitted[0]
+    widths = tuple(math.sqrt(2 * m.getOrDefault("gamma")) for m in fitted)
+    return machines.Map(first.getOrDefault("seed"), first.getOrDefault("wide"), first.getOrDefault("frequencies"), widths)
+
+
+def _fitted_together(folded: DataFrame, estimator: Estimator, strengths: list[float], k: int, parallelism: int, start=None):
+    """(models by fold and strength, counts of hits, map or None) of a linear model; None where the fits cannot run side by side."""
+    columns = (FEATURES, LABEL, WEIGHT, FOLD)
+    if isinstance(estimator, LogisticRegression):
+        found = logistic.fold_models(folded, strengths, k, estimator.getMaxIter(), *columns)
+        return found and (*found, None)
+    mapping, machine = estimator.getStages() if isinstance(estimator, Pipeline) else (None, estimator)
+    if not isinstance(machine, LinearSVC):
+        return None
+    kernel = mapping and _map(folded, mapping, k, parallelism)
+    found = machines.fold_models(folded, strengths, k, machine.getMaxIter(), *columns, kernel, start)
+    return found and (*found, kernel)
+
+
+def _scores_together(folded: DataFrame, estimator: Estimator, strengths: list[float], scoring: str, k: int, parallelism: int) -> list[list[float]] | None:
+    """A score by fold and strength; None where the fits cannot run side by side (see `logistic.fold_models`, `machines.fold_models`)."""
+    found = _fitted_together(folded, estimator, strengths, k, parallelism)
     if found is None:
         return None
     spark, judge = folded.sparkSession, scorer(scoring).setWeightCol("n")
@@ -156,7 +184,7 @@ def fold_scores(train: DataFrame, key: str, names: list[str] | None = None, scor
                 settings: dict[str, dict] | None = None, parallelism: int = 4) -> DataFrame:
     """(model, fold, score, seconds): every candidate on the same stratified folds, several fits at a time.
 
-    The folds of a logistic regression are fitted together and share their time evenly.
+    The folds of a logistic regression or a machine are fitted together and share their time evenly.
     """
     models = catalog()
     names = names or list(models)
@@ -177,7 +205,8 @@ def fold_scores(train: DataFrame, key: str, names: list[str] | None = None, scor
         for name in names:
             estimator = models[name].build(weight, **(settings or {}).get(name, {}))
             begin = time.time()
-            together = _logistic_scores(folded, estimator, [estimator.getRegParam()], scoring, k, parallelism) if isinstance(estimator, LogisticRegression) else None
+            core = _core(estimator)
+            together = _scores_together(folded, estimator, [core.getRegParam()], scoring, k, parallelism) if isinstance(core, (LogisticRegression, LinearSVC)) else None
             if together is None:
                 single.append(name)
             else:
@@ -232,33 +261,34 @@ def train_best(train: DataFrame, key: str, name: str | None = None, scoring: str
     grid = dict((grids or {}).get(name, candidate.grid))
     variants = [{"kernel": v} for v in grid.pop("kernel", ())] or [{}]
     folded = split.folds(train, LABEL, key, k).persist()
-    found = []  # score, model, parameters
+    found = []  # score, estimator, setting, parameters, model if it is there already
     try:
         for variant in variants:
             estimator = candidate.build(weight, **{**(settings or {}).get(name, {}), **variant})
-            core = estimator.getStages()[-1] if isinstance(estimator, Pipeline) else estimator
+            core = _core(estimator)
             maps = param_maps(name, core, grid, weight)
-            together = None
-            if isinstance(estimator, LogisticRegression) and set(grid) == {"C"}:
-                together = _logistic_scores(folded, estimator, [m[estimator.regParam] for m in maps], scoring, k, parallelism)
+            together, tuned = None, None
+            if isinstance(core, (LogisticRegression, LinearSVC)) and set(grid) == {"C"}:
+                together = _scores_together(folded, estimator, [m[core.regParam] for m in maps], scoring, k, parallelism)
             if together is None:
                 tuned: CrossValidatorModel = _validator(estimator, maps, scoring, k, parallelism).fit(folded)
                 scores = tuned.avgMetrics
             else:
                 scores = [sum(column) / k for column in zip(*together)]
             best = max(range(len(maps)), key=lambda i: scores[i])
-            model = estimator.fit(folded, maps[best]) if together else tuned.bestModel
-            found.append((scores[best], model, {**{p.name: v for p, v in maps[best].items()}, **variant}))
+            found.append((scores[best], estimator, maps[best], {**{p.name: v for p, v in maps[best].items()}, **variant}, tuned and tuned.bestModel))
+        _, estimator, chosen, params, model = max(found, key=lambda f: f[0])
+        model = model or estimator.fit(folded, chosen)
     finally:
         folded.unpersist()
-    _, model, params = max(found, key=lambda f: f[0])
     return model, cv, params
 
 
 def calibrated_svm(train: DataFrame, key: str, estimator: Estimator, k: int = C.FOLDS, fitted: Model | None = None, parallelism: int = 4) -> PipelineModel:
     """A machine with probabilities: a logistic curve fitted on out-of-fold margins (Platt). `fitted` is it on all rows, if there is one.
 
-    Several fits run at a time: one is a row of hundreds of short jobs, between which most of the cluster would wait.
+    The folds are fitted together, beginning at `fitted`. Without it, or where that form does not apply, several single fits run at a
+    time: one is a row of hundreds of short jobs, between which most of the cluster would wait.
     """
     folded = split.folds(train, LABEL, key, k).persist()
 
@@ -268,12 +298,21 @@ def calibrated_svm(train: DataFrame, key: str, estimator: Estimator, k: int = C.
         return estimator.fit(folded.where(F.col(FOLD) != fold))
 
     try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            *machines, whole = pool.map(inheritable_thread_target(train.sparkSession)(one), [*range(k), None])
-        margins = None
-        for fold, machine in enumerate(machines):
-            part = machine.transform(folded.where(F.col(FOLD) == fold)).select(LABEL, "rawPrediction")
-            margins = part if margins is None else margins.unionByName(part)
+        together = None
+        if fitted is not None:
+            core = fitted.stages[-1] if isinstance(fitted, PipelineModel) else fitted
+            start = [*core.coefficients.toArray(), core.intercept]
+            together = _fitted_together(folded, estimator, [_core(estimator).getRegParam()], k, parallelism, start)
+        if together is not None:
+            points, _, kernel = together
+            whole, margins = fitted, materialize(machines.margins(folded, points, FEATURES, LABEL, WEIGHT, FOLD, kernel), "margins")
+        else:
+            with ThreadPoolExecutor(parallelism) as pool:
+                *singles, whole = pool.map(inheritable_thread_target(train.sparkSession)(one), [*range(k), None])
+            margins = None
+            for fold, machine in enumerate(singles):
+                part = machine.transform(folded.where(F.col(FOLD) == fold)).select(LABEL, "rawPrediction")
+                margins = part if margins is None else margins.unionByName(part)
         curve = LogisticRegression(featuresCol="rawPrediction", labelCol=LABEL, probabilityCol="probability",
                                    rawPredictionCol="_curve_raw", predictionCol="_curve_prediction").fit(margins)
     finally:
