@@ -36,15 +36,20 @@ def catalog(df: DataFrame, columns: list[str]) -> DataFrame:
 def apply(df: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:
     """Replace texts by their index, row by row; null and unseen texts become -1. One join per column.
 
+    All other columns pass the joins as one struct, so a join copies them as a whole and not one by one.
     Where a join shuffles, null texts are spread by a hash of their row, so they do not meet in one task.
     """
-    out, codes = df, {}
+    rest = [c for c in df.columns if c not in columns]
+    packed = [F.struct(*[named(c) for c in rest]).alias("_rest")] if rest else []
+    out, codes = df.select(*packed, *[named(c).alias(f"_text{i}") for i, c in enumerate(columns)]), {}
+    row = out.columns
     for i, c in enumerate(columns):
+        text = F.col(f"_text{i}")
         own = classes.where(F.col("column") == c).select(F.col("value").alias(f"_value{i}"), F.col("index").alias(f"_index{i}"), F.lit(0).alias(f"_spread{i}"))
-        spread = F.when(named(c).isNull(), 1 + F.pmod(F.xxhash64(*[named(x) for x in df.columns]), F.lit(1 << 20))).otherwise(0).cast("int")
-        out = out.join(own, (named(c).cast("string") == F.col(f"_value{i}")) & (spread == F.col(f"_spread{i}")), "left")
+        spread = F.when(text.isNull(), 1 + F.pmod(F.xxhash64(*row), F.lit(1 << 20))).otherwise(0).cast("int")
+        out = out.join(own, (text.cast("string") == F.col(f"_value{i}")) & (spread == F.col(f"_spread{i}")), "left")
         codes[c] = F.coalesce(f"_index{i}", F.lit(-1)).cast("bigint").alias(c)
-    return out.select(*[codes.get(x, named(x)) for x in df.columns])
+    return out.select(*[codes[x] if x in codes else F.col("_rest").getField(x).alias(x) for x in df.columns])
 
 
 def apply_like_batch(df: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:

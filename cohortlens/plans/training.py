@@ -52,7 +52,7 @@ class TrainJob:
     def run(self, df: DataFrame, year: int | None = None) -> Outcome:
         matrix, prep = prepare.prepare(df, self.spec, year, self.missing, True, self.fit_on)
         key, label = self.spec.key, prepare.LABEL
-        matrix = materialize(matrix, "matrix")
+        # the encoded rows are written; scaling is a projection on them, which the fits keep in memory and the predictions read once
         train = models.assemble(matrix.where(F.col(prepare.SPLIT) == "train"), prep.columns, label, [key])
         best, cv, params = models.train_best(
             train, key, self.model, self.scoring, self.folds, self.grids, self.settings, candidates=self.candidates

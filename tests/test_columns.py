@@ -123,6 +123,20 @@ class TestEncodeAndScale:
         assert [r["t"] for r in encode.apply(new, classes, ["t"]).orderBy("k").collect()] == [2, -1, -1]
         assert [r["t"] for r in encode.apply_like_batch(new, classes, ["t"]).orderBy("k").collect()] == [0, 0, 0]
 
+    def test_other_columns_pass_the_joins_as_one(self, frame):
+        names = ["a.b", "_rest", "_text0", *[f"c{i}" for i in range(30)]]
+        rows = [(t, u, *[f"{k}{n}" if k else None for n in names]) for k, (t, u) in enumerate([("x", "u"), (None, "v"), ("y", None), ("z", "u"), ("x", "u"), ("x", "u")])]
+        df = frame("t string, u string, " + ", ".join(f"`{n}` string" for n in names), *rows)
+        classes = frame("column string, value string, index bigint", ("t", "x", 0), ("t", "y", 1), ("u", "u", 0), ("u", "v", 1), ("u", "x", 5))
+        coded = encode.apply(df, classes, ["t", "u"])
+        codes = {"t": {"x": 0, "y": 1}, "u": {"u": 0, "v": 1}}
+        assert coded.columns == df.columns
+        assert sorted(map(repr, coded.collect())) == sorted(repr(r.__class__(**{**r.asDict(), **{c: codes[c].get(r[c], -1) for c in codes}})) for r in df.collect())
+        node = coded._jdf.queryExecution().optimizedPlan()
+        while node.nodeName() != "Join":
+            node = node.children().head()
+        assert node.output().size() < 10
+
     def test_large_catalog_is_dense(self, spark):
         df = spark.range(5000).select(F.concat(F.lit("v"), F.lpad("id", 6, "0")).alias("t"))
         classes = encode.catalog(df, ["t"])

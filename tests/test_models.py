@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import evaluate, kernel, models, profile, target
-from cohortlens.plans import prepare
+from cohortlens.plans import prepare, training
 from cohortlens.plans.scoring import Scorer, score_file, score_valid
 from cohortlens.session import materialize
 from cohortlens.sources import files, logs
@@ -87,6 +87,15 @@ def test_training_beats_the_constant_guess(trained):
     assert set(outcome.params) == {"regParam"}
 
 
+def test_scaled_rows_are_not_written(spark, panel, spec, monkeypatch):
+    written = []
+    monkeypatch.setattr(training, "materialize", lambda df, purpose: written.append(purpose) or materialize(df, purpose))
+    job = training.TrainJob(spark, spec, model="LogisticRegression", folds=2, grids={"LogisticRegression": {"C": (1.0,)}}, settings=LIGHT)
+    outcome = job.run(panel)
+    assert written == ["predictions", "evaluation"]
+    assert outcome.evaluation.head()["n_test_samples"] == outcome.predictions.count() > 0
+
+
 def test_artifacts(spark, trained):
     out, outcome = trained
     report = logs.read_report(spark, f"{out}/evaluation_report").head()

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.sources import files, logs, synthetic
+from cohortlens.sources import files, logs, star, synthetic
 
 
 def write(path, text):
@@ -118,3 +118,20 @@ class TestSynthetic:
         b = synthetic.generate(spark, 200).repartition(13)
         assert a.exceptAll(b).count() == 0
         assert a.exceptAll(synthetic.generate(spark, 200, seed=1)).count() > 0
+
+
+def test_whole_numbers_are_those_of_round(spark, frame):
+    values = [0.0, -0.0, 0.5, 1.5, 2.5, -0.5, -2.5, 0.49999999999999994, 0.07 * 100, 1.005 * 100, 4503599627370495.5, 4503599627370496.0, 9e15, None]
+    df = frame("x double", *[(v,) for v in values]).union(spark.range(2000).selectExpr("(id - 1000) / 8D"))
+    assert df.where(f"NOT ({star.whole('x')} <=> cast(round(x) AS bigint))").count() == 0
+    for wrong in ("NaN", "Infinity", "1e300"):
+        with pytest.raises(Exception, match="CAST_OVERFLOW"):
+            frame("x string", (wrong,)).selectExpr("cast(x AS double) AS x").selectExpr(star.whole("x")).collect()
+
+
+def test_the_panel_rounds_ties_only_by_decimals(spark, frame, tmp_path):
+    frame("l_orderkey bigint, l_quantity double, l_discount double, l_tax double, l_returnflag string", (1, 2.5, 0.07, 0.005, "R"), (1, 3.5, 0.29, 0.02, "A")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    frame("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    columns = ("IDA", "INDE")
+    text = star.panel(spark, str(tmp_path), columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("rint(") >= 2 * text.count("round(") > 0
