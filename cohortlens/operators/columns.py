@@ -79,9 +79,9 @@ def head(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def without_nan(df: DataFrame) -> DataFrame:
-    """NaN becomes null in every floating column, as sources promise."""
-    floating = {name for name, kind in df.dtypes if kind in ("double", "float")}
+def without_nan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """NaN becomes null in every floating column, as sources promise, or in those of `columns`."""
+    floating = {name for name, kind in df.dtypes if kind in ("double", "float") and (columns is None or name in columns)}
     return df.select(
         *[F.when(~F.isnan(named(c)), named(c)).alias(c) if c in floating else named(c) for c in df.columns]
     )

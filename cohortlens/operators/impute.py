@@ -100,7 +100,7 @@ def impute_all(df: DataFrame, how: str = "median", keep: tuple[str, ...] = ()) -
     """
     own = [c for c in df.columns if c not in keep]
     if how == "drop":
-        return drop_incomplete(without_nan(df), own)
+        return without_nan(drop_incomplete(df, own), list(keep))
     numbers = [c for c in numeric_columns(df) if c in own]
     texts = [c for c in text_columns(df) if c in own]
     filled = apply(df, fit(df, numbers, how), numbers) if numbers else df
@@ -108,5 +108,11 @@ def impute_all(df: DataFrame, how: str = "median", keep: tuple[str, ...] = ()) -
 
 
 def drop_incomplete(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
-    """Rows with no null at all, or none in the named columns."""
-    return df.na.drop("any", subset=subset)
+    """Rows with no null or NaN at all, or none in the named columns.
+
+    One condition per column: of a single one over all columns (`na.drop`) Spark derives a variant for each set of them.
+    """
+    own = df.columns if subset is None else subset
+    kinds = df.select(*[named(c) for c in own]).dtypes
+    whole = [f"{quoted(c)} IS NOT NULL" + (f" AND NOT isnan({quoted(c)})" if kind in ("double", "float") else "") for c, (_, kind) in zip(own, kinds)]
+    return df.where(" AND ".join(whole)) if whole else df

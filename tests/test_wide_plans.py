@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import features, panel, scale
+from cohortlens.operators import features, impute, panel, scale
 from cohortlens.spec import Feature
 
 
@@ -13,6 +13,10 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def _constraints(df):
+    return df._jdf.queryExecution().optimizedPlan().constraints().size()
+
+
 def test_a_pivot_holds_one_value_per_year(spark, frame):
     long = frame("k bigint, y int, a double, `b.c` string", (1, 2000, 1.0, "x"), (1, 2000, 2.0, None), (1, 2001, None, "z"), (None, 2001, 5.0, "n"), (2, None, 7.0, "q"))
     wide = panel.to_wide(long, "k", "y", (2000, 2001), ("a", "b.c"))
@@ -41,3 +45,15 @@ def test_scaling_has_as_many_aggregates_for_any_number_of_columns(spark, frame):
     assert {tuple(r) for r in scale.fit(df.limit(0), ["a", "none"]).collect()} == {("a", None, None), ("none", None, None)}
     wide = spark.range(3).select(*[F.lit(float(i)).alias(f"c{i}") for i in range(40)])
     assert _plan(scale.fit(wide.where("c0 = 0"), wide.columns)).count("stddev_pop(") <= 1
+
+
+def test_a_gap_in_any_column_is_one_condition_per_column(spark, frame):
+    """One condition over all columns has a variant for each set of them: 2 ** 12 here, more than a driver holds with 90."""
+    names = [f"c{i}" for i in range(12)]
+    df = spark.range(40).selectExpr("struct(id, " + ", ".join(f"if(id % 13 = {i}, NULL, id / 2D) AS {c}" for i, c in enumerate(names)) + ") AS s").selectExpr("s.id AS id", *[f"s.{c} AS {c}" for c in names])
+    whole = impute.impute_all(df, "drop", ("id",))
+    assert _constraints(whole) < 200 and _constraints(impute.drop_incomplete(df, names)) < 200
+    assert {tuple(r) for r in whole.collect()} == {(i, *[i / 2] * 12) for i in (12, 25, 38)}
+    odd = frame("k double, a double, f float, `b.c` string", (math.nan, 1.0, 1.0, "x"), (2.0, math.nan, 1.0, "x"), (3.0, 1.0, math.nan, "x"), (4.0, None, 1.0, "x"), (5.0, 1.0, 1.0, None), (None, 2.0, 2.0, ""))
+    assert {tuple(r) for r in impute.impute_all(odd, "drop", ("k",)).collect()} == {(None, 1.0, 1.0, "x"), (None, 2.0, 2.0, "")}
+    assert impute.drop_incomplete(odd).count() == 0 and impute.drop_incomplete(odd, ["k", "b.c"]).count() == 3 and impute.drop_incomplete(odd, []).count() == 6
