@@ -20,7 +20,8 @@ def fit(df: DataFrame, columns: list[str]) -> DataFrame:
     if not columns or any(kinds[c] not in _PLAIN for c in columns):
         return statistics(df, columns, mean="avg({c})", std="stddev_pop({c})")
     cells = ", ".join(f"cast({present(c, kinds[c])} AS double)" for c in columns)
-    values = df.selectExpr(f"array({cells}) AS cells").selectExpr("posexplode(cells) AS (i, v)").where("v IS NOT NULL")
+    # no column for the array: Spark would ask for its size first, and derive a variant of that for each set of columns below it
+    values = df.selectExpr(f"posexplode(array({cells})) AS (i, v)").where("v IS NOT NULL")
     found = values.groupBy("i").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
     # one row, so that a column without values has its row too
     whole = found.agg(F.expr("map_from_entries(collect_list(struct(i, struct(mean, std)))) AS found"))

@@ -57,3 +57,14 @@ def test_a_gap_in_any_column_is_one_condition_per_column(spark, frame):
     odd = frame("k double, a double, f float, `b.c` string", (math.nan, 1.0, 1.0, "x"), (2.0, math.nan, 1.0, "x"), (3.0, 1.0, math.nan, "x"), (4.0, None, 1.0, "x"), (5.0, 1.0, 1.0, None), (None, 2.0, 2.0, ""))
     assert {tuple(r) for r in impute.impute_all(odd, "drop", ("k",)).collect()} == {(None, 1.0, 1.0, "x"), (None, 2.0, 2.0, "")}
     assert impute.drop_incomplete(odd).count() == 0 and impute.drop_incomplete(odd, ["k", "b.c"]).count() == 3 and impute.drop_incomplete(odd, []).count() == 6
+
+
+def test_scaling_asks_nothing_about_the_array_of_all_columns(spark):
+    """A condition on the size of an array of all columns has a variant for each set of the columns made below it."""
+    names = [f"c{i}" for i in range(12)]
+    made = spark.range(6).selectExpr(*[f"if(id = {i}, NULL, id * {i + 1}D) AS {c}" for i, c in enumerate(names)]).selectExpr(*[f"coalesce({c}, 0D) AS {c}" for c in names])
+    found = scale.fit(made, names)
+    assert "size(" not in _plan(found)
+    values = [[0.0 if k == i else k * (i + 1.0) for k in range(6)] for i in range(12)]
+    assert {r["column"]: (r["mean"], r["std"]) for r in found.collect()} == {
+        c: (pytest.approx(sum(v) / 6), pytest.approx(math.sqrt(sum((x - sum(v) / 6) ** 2 for x in v) / 6))) for c, v in zip(names, values)}
