@@ -103,9 +103,10 @@ def yearly_means_wide(df: DataFrame, years, indicators) -> DataFrame:
 
 
 def _corr(a: str, b: str) -> str:
-    """Pearson's correlation of the rows where both are present; null where a side is constant."""
-    spread = f"stddev_pop(CASE WHEN {b} IS NOT NULL THEN {a} END) * stddev_pop(CASE WHEN {a} IS NOT NULL THEN {b} END)"
-    return f"covar_pop({a}, {b}) / nullif({spread}, 0D)"
+    """Pearson's correlation of the rows where both are present; null where a side is constant (its deviation need not come out as 0)."""
+    left, right = f"CASE WHEN {b} IS NOT NULL THEN {a} END", f"CASE WHEN {a} IS NOT NULL THEN {b} END"
+    corr = f"covar_pop({a}, {b}) / nullif(stddev_pop({left}) * stddev_pop({right}), 0D)"
+    return f"CASE WHEN min({left}) < max({left}) AND min({right}) < max({right}) THEN {corr} END"
 
 
 def correlations(df: DataFrame, columns: list[str], both_ways: bool = False) -> DataFrame:
